@@ -91,6 +91,24 @@ def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[
     return float(best[capacity]), pattern
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row pivots: element-wise only, so no thread pool of a linear algebra library starts in the driver."""
+    m = len(matrix)
+    work = np.concatenate([matrix.astype(float), np.eye(m)], axis=1)
+    for k in range(m):
+        pivot = k + int(np.abs(work[k:, k]).argmax())
+        work[[k, pivot]] = work[[pivot, k]]
+        work[k] /= work[k, k]
+        column = work[:, k].copy()
+        column[k] = 0
+        work -= column[:, None] * work[k][None, :]
+    return work[:, m:].copy()
+
+
+def times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return (matrix * vector).sum(axis=1)
+
+
 def first_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Patterns of first-fit decreasing over the sizes with demand left, each used until a size runs out.
 
@@ -105,9 +123,9 @@ def first_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[n
             if open_[i] and sizes[i] <= room:
                 pattern[i], room = room // sizes[i], room % sizes[i]
         used = np.flatnonzero(pattern)
-        times = left[used] / pattern[used]
-        out = used[times.argmin()]
-        amounts[step] = times.min()
+        lasts = left[used] / pattern[used]
+        out = used[lasts.argmin()]
+        amounts[step] = lasts.min()
         left -= amounts[step] * pattern
         left[out], open_[out], basis[:, step] = 0.0, False, pattern
     return basis, amounts
@@ -122,15 +140,15 @@ def relaxed(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = G
     """
     m = len(sizes)
     basis, amounts = first_basis(sizes, demand, capacity)
-    inverse = np.linalg.inv(basis)
-    bound = float(sizes @ demand) / capacity
+    inverse = inverted(basis)
+    bound = float((sizes * demand).sum()) / capacity
     for step in range(STEPS * m):
         if amounts.sum() <= bound * (1 + gap):
             break
         prices = inverse.sum(axis=0)
         value, pattern = best_pattern(np.maximum(prices, 0), sizes, capacity)
         bound = max(bound, amounts.sum() / max(value, 1.0))
-        direction = inverse @ pattern
+        direction = times(inverse, pattern)
         ok = direction > 1e-9
         if value <= 1 + 1e-9 or not ok.any():
             break
@@ -144,8 +162,8 @@ def relaxed(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = G
         inverse -= np.outer(direction, row)
         inverse[leave] = row
         if step % 100 == 99:
-            inverse = np.linalg.inv(basis)
-            amounts = np.maximum(inverse @ demand, 0)
+            inverse = inverted(basis)
+            amounts = np.maximum(times(inverse, demand), 0)
     return basis.T.round().astype(np.int64), amounts
 
 

@@ -124,10 +124,10 @@ def estimate(counts: dict[str, int], rounds: int = 100) -> dict[str, float]:
     for _ in range(rounds):
         logs = np.zeros((len(patterns), 2))
         for cls, weight in enumerate((bad * n, (1 - bad) * n)):
-            x, y = weight @ voted_bad + PSEUDO[cls][0], weight @ voted_good + PSEUDO[cls][1]
+            x, y = (weight[:, None] * voted_bad).sum(axis=0) + PSEUDO[cls][0], (weight[:, None] * voted_good).sum(axis=0) + PSEUDO[cls][1]
             rate = x / (x + y)
             rate = np.maximum(rate, TRUE_BAD) if cls == 0 else np.minimum(rate, FALSE_BAD)
-            logs[:, cls] = np.log((weight.sum() + 1) / (n.sum() + 2)) + voted_bad @ np.log(rate) + voted_good @ np.log1p(-rate)
+            logs[:, cls] = np.log((weight.sum() + 1) / (n.sum() + 2)) + (voted_bad * np.log(rate)).sum(axis=1) + (voted_good * np.log1p(-rate)).sum(axis=1)
         new = 1 / (1 + np.exp(np.clip(logs[:, 1] - logs[:, 0], -700, 700)))
         done, bad = np.abs(new - bad).max() < 1e-10, new
         if done:
