@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respanel.llm import chat, decontaminate, linededup, packing, quality, sentences, simhash, warc
+from respanel.llm import chat, decontaminate, htmltext, linededup, packing, quality, rulefit, sentences, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,15 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rulefit.score(docs, rulefit.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {
         "op1_benchmark_decontamination": op1_benchmark_decontamination,
@@ -65,6 +74,8 @@ def queries() -> dict:
         "op6_substring_dedup": op6_substring_dedup,
         "op7_quality_rules": op7_quality_rules,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
+        "op9_quality_classifier": op9_quality_classifier,
+        "op10_html_extraction": op10_html_extraction,
     }
 
 
