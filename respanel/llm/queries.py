@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from respanel.llm import chat, decontaminate, htmltext, linededup, packing, quality, rulefit, sentences, simhash, warc
 
 
@@ -76,8 +77,9 @@ def queries() -> dict:
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_html_extraction": op10_html_extraction,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
