@@ -74,19 +74,21 @@ def branches(nodes: DataFrame, top: int = 1) -> DataFrame:
     rows = rows.join(known.withColumn("known", F.lit(True)), ["conv", "parent"], "left")
     jump = stored(rows.select("conv", "node", F.when(F.col("known"), F.col("parent")).alias("up"), "score", F.lit(1).cast("long").alias("depth")), "tree")
     leaves = jump.select("conv", "node").join(jump.select("conv", F.col("up").alias("node")).filter("node is not null").distinct(), ["conv", "node"], "left_anti")
-    jumps = []
-    total = jump.count()
-    while (open_ := jump.filter("up is not null")).limit(1).count() and 1 << len(jumps) <= total:
+    jumps, total = [], jump.count()
+    ended = jump.filter("up is null")  # their path to the root is summed; only the others are joined again
+    open_ = jump.filter("up is not null")
+    while not open_.isEmpty() and 1 << len(jumps) <= total:
         jumps.append(open_.select("conv", "node", "up"))
-        above = jump.select("conv", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("depth").alias("depth2"))
-        joined = jump.join(above, ["conv", "up"], "left")
-        jump = stored(
-            joined.select(
-                "conv", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")
-            ),
-            "tree",
+        above = ended.unionByName(open_).select(
+            "conv", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("depth").alias("depth2")
         )
-    ranked = leaves.join(jump.filter("up is null"), ["conv", "node"]).select("conv", F.col("node").alias("leaf"), (F.col("score") / F.col("depth")).alias("score"))
+        grown = open_.join(above, ["conv", "up"]).select(
+            "conv", "node", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score"), (F.col("depth") + F.col("depth2")).alias("depth")
+        )
+        grown = stored(grown, "tree")
+        ended, open_ = ended.unionByName(grown.filter("up is null")), grown.filter("up is not null")
+    jump = ended
+    ranked = leaves.join(jump, ["conv", "node"]).select("conv", F.col("node").alias("leaf"), (F.col("score") / F.col("depth")).alias("score"))
     best = Window.partitionBy("conv").orderBy(F.desc("score"), "leaf")
     chosen = ranked.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
     on = stored(chosen.select("conv", "leaf", "score", F.col("leaf").alias("node")), "branch")
