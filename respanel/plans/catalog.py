@@ -1,11 +1,665 @@
-"""All registered queries of the library proper."""
+"""All registered queries of the library proper, each with its DuckDB SQL beside it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from respanel.functions import coerce, irt, ranks
+from respanel.operators import crosscheck, fit, holdout, matrix, report, score, select
+from respanel.operators.store import stored
+from respanel.plans import bindings as bind
+from respanel.plans.sql import LOGIT, TABLES, info, rounded, statement
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def r6(*names: str) -> list:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: statement(sql) for name, sql in SQL.items()}
+
+
+def spelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades in many spellings, dealt over the lines."""
+    # Spellings, accepted and refused, dealt by order key and line number.
+    words = ["TRUE", " yes ", "1", "1.0", "Correct", "false", "N", "0.0", "maybe", "0.5", "", "2", "-1"]
+    at = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % len(words)
+    return bind.table(spark, sf_dir, "lineitem").select(F.element_at(F.array(*[F.lit(w) for w in words]), (at + 1).cast("int")).alias("value"))
+
+
+def planted_fit(spark: SparkSession, sf_dir: str) -> tuple[matrix.ResponseMatrix, DataFrame, DataFrame, DataFrame]:
+    """(matrix, flagged items, abilities, ability points) of the Newton fit on the planted binding."""
+    m = bind.planted(spark, sf_dir)
+    items, abilities = fit.newton_fit(m.responses)
+    items = items.join(m.items.select("c", "item_id", "subject"), "c")
+    return m, items, abilities, select.ability_points(abilities, m.respondents)
+
+
+# --- first slice and ingestion -------------------------------------------------
+
+
+@query("select concat('m', cast(j as varchar)) as model_id, concat('i', cast(i as varchar)) as item_id, cast(correct as bigint) as correct from b2_cells")
+def planted_matrix(spark, sf_dir):
+    m = bind.planted(spark, sf_dir)
+    rows = m.responses.join(m.respondents.select("r", "model_id"), "r").join(m.items.select("c", "item_id"), "c")
+    return rows.select("model_id", "item_id", F.col("obs").cast("long").alias("correct"))
+
+
+@query("select item_id, n_resp, round(p, 6) as p_correct from itm join rates on itm.c = rates.c")
+def item_rates(spark, sf_dir):
+    return matrix.item_rates(bind.planted(spark, sf_dir)).select("item_id", "n_resp", *r6("p_correct"))
+
+
+@query("select 'item' as kind, c as id, round(b, 6) as value from start_i union all select 'respondent', r, round(theta, 6) from start_r")
+def classical_start(spark, sf_dir):
+    m = bind.planted(spark, sf_dir)
+    items = fit.classical_items(m.responses).select(F.lit("item").alias("kind"), F.col("c").alias("id"), F.round("b", 6).alias("value"))
+    people = fit.classical_abilities(m.responses).select(F.lit("respondent").alias("kind"), F.col("r").alias("id"), F.round("theta", 6).alias("value"))
+    return items.union(people)
+
+
+@query(
+    f"""select row_number() over (order by score desc, c) as rank, c, score as gain from
+    (select start_i.c, round(sum(weight*{info()}), 10) as score from start_i cross join pts group by start_i.c) qualify row_number() over (order by score desc, c) <= 25"""
+)
+def anchor_max_information(spark, sf_dir):
+    m = bind.planted(spark, sf_dir)
+    items = fit.classical_items(m.responses)
+    points = select.ability_points(fit.classical_abilities(m.responses), m.respondents)
+    scored = select.weighted_information(items, points).withColumn("tier", F.lit(0))
+    return select.anchor_max_information(scored, 25).select("rank", "c", "gain")
+
+
+@query(
+    """select value, coerced, count(*) as n from (select value, case when lower(trim(value)) in ('1','true','t','yes','y','correct') or try_cast(trim(value) as double) = 1 then 1
+      when lower(trim(value)) in ('0','false','f','no','n','incorrect') or try_cast(trim(value) as double) = 0 then 0 end as coerced
+    from (select list_extract(['TRUE',' yes ','1','1.0','Correct','false','N','0.0','maybe','0.5','','2','-1'], cast((l_orderkey*7+l_linenumber)%13 as int)+1) as value from lineitem)) group by value, coerced"""
+)
+def coerce_correct(spark, sf_dir):
+    rows = spelled(spark, sf_dir).withColumn("coerced", coerce.coerce_correct(F.col("value")))
+    return rows.groupBy("value", "coerced").agg(F.count("*").alias("n"))
+
+
+@query("select respondent_id, count(*) as n from b1 group by respondent_id")
+def respondent_key(spark, sf_dir):
+    rows = matrix.keyed(bind.natural_records(spark, sf_dir), ["model_id", "prompt_variant"])
+    return rows.groupBy("respondent_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    """select event_type, count(k) as n_with_k, round(avg(k), 6) as mean_k, sum(case when k >= 50 then 1 else 0 end)::bigint as n_correct
+    from (select event_type, try_cast(json_extract_string(props, '$.k') as double) as k from events) group by event_type"""
+)
+def json_props_scan(spark, sf_dir):
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "double")
+    rows = bind.table(spark, sf_dir, "events").select("event_type", k.alias("k"))
+    return rows.groupBy("event_type").agg(
+        F.count("k").alias("n_with_k"), F.round(F.avg("k"), 6).alias("mean_k"), F.sum((F.col("k") >= 50).cast("long")).alias("n_correct")
+    )
+
+
+@query(
+    """select concat_ws(',', case when m is null then 'model_id' end, case when i is null then 'item_id' end, case when c is null then 'correct' end) as missing, count(*) as n
+    from (select nullif(o_orderpriority, '5-LOW') as m, nullif(o_orderstatus, 'F') as i, case when o_custkey % 3 <> 0 then '1' end as c from orders) group by missing"""
+)
+def missing_field_audit(spark, sf_dir):
+    o = bind.table(spark, sf_dir, "orders")
+    rows = o.select(
+        F.nullif("o_orderpriority", F.lit("5-LOW")).alias("model_id"),
+        F.nullif("o_orderstatus", F.lit("F")).alias("item_id"),
+        F.when(F.col("o_custkey") % 3 != 0, F.lit("1")).alias("correct"),
+    )
+    missing = F.array_join(coerce.missing_fields({n: F.col(n) for n in rows.columns}), ",")
+    return rows.groupBy(missing.alias("missing")).agg(F.count("*").alias("n"))
+
+
+# --- matrix --------------------------------------------------------------------
+
+
+@query(
+    """select count(distinct respondent_id) as n_respondents, count(distinct model_id) as n_real_models, count(distinct item_id) as n_items, count(*) as n_responses,
+    round(count(*) / (count(distinct respondent_id) * count(distinct item_id)), 6) as density from b1"""
+)
+def matrix_shape(spark, sf_dir):
+    return matrix.shape(bind.natural(spark, sf_dir)).select("n_respondents", "n_real_models", "n_items", "n_responses", *r6("density"))
+
+
+@query("select respondent_id, item_id, count(*) as n from b3 group by 1, 2 having count(*) > 1 order by n desc, respondent_id, item_id limit 3")
+def duplicate_pairs(spark, sf_dir):
+    return matrix.duplicates(bind.event_cells(spark, sf_dir), ["respondent_id", "item_id"])
+
+
+@query("select prompt_variant as respondent_id, count(distinct model_id) as n_models from b1 group by 1 having count(distinct model_id) > 1")
+def ownership_conflict(spark, sf_dir):
+    rows = bind.natural_records(spark, sf_dir).withColumn("respondent_id", F.col("prompt_variant"))
+    return matrix.ownership_conflicts(rows)
+
+
+@query(
+    """select i.item_id, s.subject from (select distinct item_id from b3) i left join
+    (select item_id, min_by(case when event_id % 4 <> 0 then event_type || cast(event_id % 5 as varchar) end, event_id) as subject
+     from b3 where event_id % 4 <> 0 group by item_id) s on i.item_id = s.item_id"""
+)
+def first_seen_passthrough(spark, sf_dir):
+    rows = bind.event_cells(spark, sf_dir)
+    subject = F.when(F.col("event_id") % 4 != 0, F.concat("event_type", (F.col("event_id") % 5).cast("string")))
+    return matrix.first_seen(rows.withColumn("subject", subject), "item_id", "subject", F.col("event_id"))
+
+
+@query("select item_id, row_number() over (order by first_id, item_id) - 1 as c from (select item_id, min(event_id) as first_id from b3 group by item_id)")
+def first_seen_index(spark, sf_dir):
+    return matrix.encode(bind.event_cells(spark, sf_dir), "item_id", "c", "event_id").select("item_id", "c")
+
+
+@query("select respondent_id, count(*) as n_resp, round(avg(correct), 6) as accuracy from b1 group by respondent_id")
+def respondent_accuracy(spark, sf_dir):
+    return matrix.respondent_accuracy(bind.natural(spark, sf_dir)).select("respondent_id", "n_resp", *r6("accuracy"))
+
+
+@query(
+    "select model_id, count(*) as n_respondents, round(avg(a), 6) as accuracy from (select model_id, respondent_id, avg(correct) as a from b1 group by 1, 2) group by model_id"
+)
+def full_suite_accuracy(spark, sf_dir):
+    return matrix.full_suite_accuracy(bind.natural(spark, sf_dir)).select("model_id", "n_respondents", *r6("accuracy"))
+
+
+@query(
+    """select h.model_id as holdout, count(distinct b1.respondent_id) as n_respondents, count(*) as n_responses, count(distinct item_id) as n_items
+    from (select distinct model_id from b1) h join b1 on b1.model_id <> h.model_id group by h.model_id"""
+)
+def drop_model(spark, sf_dir):
+    m = bind.natural(spark, sf_dir)
+    left = holdout.held_out_responses(m, holdout.all_holdouts(m)).join(holdout.all_holdouts(m), "k")
+    return left.groupBy("holdout").agg(F.count_distinct("r").alias("n_respondents"), F.count("*").alias("n_responses"), F.count_distinct("c").alias("n_items"))
+
+
+@query(
+    """select k as c, w.item_id, count(obs) as n_resp, cast(coalesce(sum(obs), 0) as bigint) as n_correct from
+    (select unnest(['i30','i7','i150','i9']) as item_id, unnest([0,1,2,3]) as k) w join itm on w.item_id = itm.item_id left join resp on itm.c = resp.c group by k, w.item_id"""
+)
+def select_items(spark, sf_dir):
+    m = matrix.select_items(bind.planted(spark, sf_dir), ["i30", "i7", "i150", "i30", "i9"])
+    counted = m.responses.groupBy("c").agg(F.count("*").alias("n_resp"), F.sum("obs").alias("n_correct"))
+    joined = m.items.join(counted, "c", "left")
+    return joined.select(F.col("c").cast("int").alias("c"), "item_id", F.coalesce("n_resp", F.lit(0)).alias("n_resp"), F.coalesce("n_correct", F.lit(0)).alias("n_correct"))
+
+
+@query("select itm.c, itm.item_id from itm join (select c from resp where r in (1, 2, 4, 5) group by c having count(distinct r) = 4) x on itm.c = x.c")
+def dense_rectangle(spark, sf_dir):
+    m = bind.planted(spark, sf_dir)
+    return matrix.answered_by_all(m, spark.createDataFrame([("m1",), ("m2",), ("m4",), ("m5",)], "model_id string"))
+
+
+@query("select itm.c, itm.item_id from itm left join (select c from resp group by c having min(obs) <> max(obs)) x on itm.c = x.c where x.c is null")
+def single_category_items(spark, sf_dir):
+    return matrix.single_category_items(bind.planted(spark, sf_dir))
+
+
+# --- fit, intervals, flags -------------------------------------------------------
+
+
+@query("select nw.c, nw.n_resp, round(a, 6) as a, round(d, 6) as d, round(b, 5) as b, round(gradient, 6) as gradient from nw join nw_info on nw.c = nw_info.c")
+def newton_item_params(spark, sf_dir):
+    m = bind.planted(spark, sf_dir)
+    rows = stored(fit.with_theta(m.responses, fit.classical_abilities(m.responses)), "fit-rows")
+    return fit.newton_items(rows).select("c", "n_resp", *r6("a", "d"), F.round("b", 5).alias("b"), *r6("gradient"))
+
+
+@query(
+    """select c, round(sqrt(ibb/det), 6) as a_sd, round(sqrt(iaa/det), 6) as b_sd, round(b - 1.959963985e0*sqrt(iaa/det), 6) as b_lo, round(b + 1.959963985e0*sqrt(iaa/det), 6) as b_hi from (
+    select *, iaa*ibb - iab*iab as det from (select s.c, any_value(s.b) as b, sum(w*(theta-s.b)*(theta-s.b)) + 1 as iaa, sum(-1e0*w*(theta-s.b)) as iab, sum(w) + 1 as ibb
+    from (select rows0.c, theta, b, 1/(1+exp(-(theta-b)))*(1-1/(1+exp(-(theta-b)))) as w from rows0 join start_i on rows0.c = start_i.c) s group by s.c))"""
+)
+def item_intervals(spark, sf_dir):
+    m = bind.planted(spark, sf_dir)
+    rows = fit.with_theta(m.responses, fit.classical_abilities(m.responses))
+    return fit.item_intervals(fit.classical_items(m.responses), rows).select("c", *r6("a_sd", "b_sd", "b_lo", "b_hi"))
+
+
+@query("select c, round(a_sd, 6) as a_sd, round(a_lo, 6) as a_lo, round(a_hi, 6) as a_hi, round(b_sd, 4) as b_sd from nw_iv")
+def newton_intervals(spark, sf_dir):
+    m = bind.planted(spark, sf_dir)
+    rows = stored(fit.with_theta(m.responses, fit.classical_abilities(m.responses)), "fit-rows")
+    return fit.newton_intervals(stored(fit.newton_items(rows), "fit-items"), rows).select("c", *r6("a_sd", "a_lo", "a_hi"), F.round("b_sd", 4).alias("b_sd"))
+
+
+@query(
+    f"""select r, round(theta, 6) as theta, round(sd, 6) as theta_sd, round(theta - 1.959963985e0*sd, 6) as theta_lo, round(theta + 1.959963985e0*sd, 6) as theta_hi from (
+    select start_r.r, theta, sqrt(1/(1+i) + power(theta/sqrt(2e0*greatest((select count(*) from start_r) - 1, 1)), 2)) as sd
+    from start_r join (select rows0.r, sum({info()}) as i from rows0 join start_i on rows0.c = start_i.c group by rows0.r) x on start_r.r = x.r)"""
+)
+def ability_intervals(spark, sf_dir):
+    m = bind.planted(spark, sf_dir)
+    abilities = fit.classical_abilities(m.responses)
+    out = fit.ability_intervals(abilities, fit.classical_items(m.responses), m.responses)
+    return out.select("r", *r6("theta", "theta_sd", "theta_lo", "theta_hi"))
+
+
+@query(
+    """select c, concat_ws(',', case when dead then 'dead' end, case when inverted then 'inverted' end, case when unsure then 'insufficient-data' end,
+    case when ceil_ then 'ceiling' end, case when floor_ then 'floor' end, case when off then 'off-range' end) as flags from fl"""
+)
+def item_flags(spark, sf_dir):
+    _, items, _, _ = planted_fit(spark, sf_dir)
+    return items.select("c", F.array_join("flags", ",").alias("flags"))
+
+
+@query(
+    """select f.flag, cast(coalesce(n, 0) as bigint) as n, round(coalesce(n, 0) / (select count(*) from fl), 6) as rate from
+    (select unnest(['dead','inverted','insufficient-data','ceiling','floor','off-range']) as flag) f left join (
+    select 'dead' as flag, sum(dead::int) as n from fl union all select 'inverted', sum(inverted::int) from fl union all select 'insufficient-data', sum(unsure::int) from fl
+    union all select 'ceiling', sum(ceil_::int) from fl union all select 'floor', sum(floor_::int) from fl union all select 'off-range', sum(off::int) from fl) x on f.flag = x.flag"""
+)
+def flag_counts(spark, sf_dir):
+    _, items, _, _ = planted_fit(spark, sf_dir)
+    return fit.flag_counts(items).select("flag", "n", *r6("rate"))
+
+
+@query("select c, item_id from pool")
+def usable_items(spark, sf_dir):
+    return fit.usable(planted_fit(spark, sf_dir)[1]).select("c", "item_id")
+
+
+@query("select c, item_id from pads")
+def padding_items(spark, sf_dir):
+    return fit.padding(planted_fit(spark, sf_dir)[1]).select("c", "item_id")
+
+
+# --- selection -------------------------------------------------------------------
+
+
+@query(f"select c, round(sum(weight*{info()}), 6) as score from fl cross join pts where b is not null group by c")
+def item_information(spark, sf_dir):
+    _, items, _, points = planted_fit(spark, sf_dir)
+    return select.weighted_information(items, points).select("c", *r6("score"))
+
+
+@query(
+    """select model_id, respondent_id, round(1e0/(count(*) over (partition by model_id))/(select count(distinct model_id) from b1), 10) as weight
+    from (select distinct model_id, respondent_id from b1)"""
+)
+def ability_weights(spark, sf_dir):
+    m = bind.natural(spark, sf_dir)
+    points = select.ability_points(fit.classical_abilities(m.responses), m.respondents)
+    return points.join(m.respondents.select("r", "respondent_id"), "r").select("model_id", "respondent_id", F.round("weight", 10).alias("weight"))
+
+
+@query("select rank, c, round(score, 6) as gain, tier = 1 as padded from anchors where rank <= 300")
+def anchor_padded(spark, sf_dir):
+    _, items, _, points = planted_fit(spark, sf_dir)
+    return select.select_anchor(items, points, 300).select("rank", "c", *r6("gain"), "padded")
+
+
+@query(
+    f"""select round(sum(weight*se), 6) as mean_theta_se, count(*) as n_points, round(min(se), 6) as least, round(max(se), 6) as most from (
+    select pts.r, any_value(weight) as weight, 1/sqrt(1 + sum({info("fl.a", "fl.b")})) as se from pts cross join anchor40 k join fl on k.c = fl.c group by pts.r)"""
+)
+def anchor_theta_se(spark, sf_dir):
+    _, items, _, points = planted_fit(spark, sf_dir)
+    errors = select.set_error(select.select_anchor(items, points, 40), items, points)
+    return errors.agg(
+        F.round(F.sum(F.col("weight") * F.col("theta_se")), 6).alias("mean_theta_se"),
+        F.count("*").alias("n_points"),
+        F.round(F.min("theta_se"), 6).alias("least"),
+        F.round(F.max("theta_se"), 6).alias("most"),
+    )
+
+
+@query(
+    f"""select rank, c, round(score, 6) as gain from (select row_number() over (order by tier, score desc, c) as rank, c, score from (
+    select c, tier, round(sum(weight*{info("greatest(a-1.96e0*a_sd, 0)")}), 10) as score from both_tiers cross join pts group by c, tier)) where rank <= 50"""
+)
+def lower_bound_selector(spark, sf_dir):
+    _, items, _, points = planted_fit(spark, sf_dir)
+    return select.scored_selector(items, select.lower_bound_scores(items, points), 50).select("rank", "c", *r6("gain"))
+
+
+_GH = " union all ".join(f"select {x!r}::double as x, {w!r}::double as w" for x, w in select.gauss_hermite(9))
+
+
+@query(
+    f"""select rank, c, round(score, 6) as gain from (select row_number() over (order by tier, score desc, c) as rank, c, score from (
+    select c, tier, round(sum(w*weight*{info("a+x*a_sd")}), 10) as score from both_tiers cross join (select theta, sum(weight) as weight from pts group by theta) cross join ({_GH}) group by c, tier)) where rank <= 50"""
+)
+def expected_info_selector(spark, sf_dir):
+    _, items, _, points = planted_fit(spark, sf_dir)
+    return select.scored_selector(items, select.expected_scores(items, points), 50).select("rank", "c", *r6("gain"))
+
+
+TABLES["scen"] = """
+select subject as scenario, fl_ + case when row_number() over (order by round(share - fl_, 10) desc, subject) <= 45 - sum(fl_) over () then 1 else 0 end as take from (
+  select subject, share, floor(share) as fl_ from (select subject, count(*) * 45e0 / (select count(*) from itm) as share from itm group by subject))"""
+
+
+@query("select scenario, cast(take as bigint) as take from scen")
+def largest_remainder(spark, sf_dir):
+    items = bind.planted(spark, sf_dir).items.withColumnRenamed("subject", "scenario")
+    return ranks.largest_remainder(items.groupBy("scenario").agg(F.count("*").alias("size")), "scenario", "size", 45)
+
+
+@query(
+    """select scenario, rank, c, round(score, 6) as gain, tier = 1 as padded from (select t.c, t.score, t.tier, subject, row_number() over (partition by subject order by t.tier, t.score desc, t.c) as rank
+    from tier_score t join itm on t.c = itm.c) x join scen on x.subject = scen.scenario where rank <= take"""
+)
+def per_scenario_selector(spark, sf_dir):
+    m, items, _, points = planted_fit(spark, sf_dir)
+    scenario = m.items.select("c", F.col("subject").alias("scenario"))
+    return select.per_scenario(items, points, scenario, 45).select("scenario", "rank", "c", *r6("gain"), "padded")
+
+
+TABLES["ir"] = """
+select c, count(*) as n_models, (sum(x*rest) - sum(x)*sum(rest)/count(*)) / sqrt((sum(x*x) - sum(x)*sum(x)/count(*)) * (sum(rest*rest) - sum(rest)*sum(rest)/count(*))) as item_rest,
+  sum(x*x) - sum(x)*sum(x)/count(*) as vx, sum(rest*rest) - sum(rest)*sum(rest)/count(*) as vr from (
+  select resp.c, resp.obs * 1e0 as x, (s - obs)/(n - 1) as rest from resp join (select r, sum(obs) * 1e0 as s, count(*) as n from resp group by r) t on resp.r = t.r where n > 1) group by c"""
+
+
+@query(
+    """select rank, c, round(item_rest, 6) as item_rest from (select row_number() over (order by round(item_rest, 10) desc, c) as rank, c, item_rest from ir
+    where n_models >= 3 and vx > 1e-12 and vr > 1e-12) where rank <= 50"""
+)
+def item_rest_selector(spark, sf_dir):
+    m = bind.planted(spark, sf_dir)
+    return select.top_by(select.item_rest(m.responses, m.respondents), "item_rest", 50).select("rank", "c", *r6("item_rest"))
+
+
+@query(
+    f"""select row_number() over (order by score desc, c) as rank, c, round(score, 6) as gain from (select c, round(sum(weight*{info()}), 10) as score from
+    (select c, case when a < 0 then 0e0 else a end as a, b from truth_i) cross join pts2 group by c) qualify row_number() over (order by score desc, c) <= 50"""
+)
+def oracle_selector(spark, sf_dir):
+    """Sets chosen by the true parameters, mis-keyed items at 0, over the true abilities."""
+    truth, people = bind.planted_truth(spark, sf_dir)
+    items = truth.withColumn("a", F.greatest("a", F.lit(0.0)))
+    points = people.withColumn("weight", F.lit(1.0) / people.count())
+    scored = select.weighted_information(items, points).withColumn("tier", F.lit(0))
+    return select.anchor_max_information(scored, 50).select("rank", "c", *r6("gain"))
+
+
+TABLES["pts2"] = "select r, theta, 1e0/(select count(*) from truth_r) as weight from truth_r"
+
+# --- scoring ---------------------------------------------------------------------
+
+TABLES["sets3"] = "select case c%3 when 0 then 'a' when 1 then 'b' else 'd' end as s, c from itm where c%2 = 0"
+
+
+def three_sets(m: matrix.ResponseMatrix) -> DataFrame:
+    name = F.when(F.col("c") % 3 == 0, "a").when(F.col("c") % 3 == 1, "b").otherwise("d")
+    return m.items.filter("c % 2 = 0").select(name.alias("s"), "c")
+
+
+TABLES["acc3"] = "select s, model_id, avg(obs) as accuracy from resp join sets3 on resp.c = sets3.c join peop on resp.r = peop.r group by s, model_id"
+TABLES["place3"] = """
+select s, x.model_id, rank() over (partition by s order by round(accuracy, 10) desc) + (count(*) over (partition by s, round(accuracy, 10)) - 1)/2e0 as place,
+  rank() over (partition by s order by round(truth, 10) desc) + (count(*) over (partition by s, round(truth, 10)) - 1)/2e0 as true_place
+from acc3 x join (select model_id, accuracy as truth from acc) t on x.model_id = t.model_id"""
+
+
+@query("select s, model_id, round(accuracy, 6) as accuracy from acc3")
+def set_accuracy(spark, sf_dir):
+    m = bind.planted(spark, sf_dir)
+    return score.set_accuracy(three_sets(m), m.responses, m.respondents, ["s"]).select("s", "model_id", *r6("accuracy"))
+
+
+@query("select s, model_id, place, true_place from place3")
+def placement_ranks(spark, sf_dir):
+    m = bind.planted(spark, sf_dir)
+    scores = score.set_accuracy(three_sets(m), m.responses, m.respondents, ["s"])
+    return score.placements(scores, matrix.full_suite_accuracy(m), ["s"])
+
+
+TABLES["map_in"] = "select resp.r, resp.obs, truth_i.a, truth_i.b from resp join truth_i on resp.c = truth_i.c where resp.c < 60"
+TABLES["map_r"] = "select r, list(struct_pack(a := a, b := b, y := obs)) as xs from map_in group by r"
+TABLES["map_t"] = """
+select r, (lo+hi)/2 as theta from (
+  with recursive bis as (
+    select r, xs, -6e0 as lo, 6e0 as hi, 0 as k from map_r
+    union all
+    select r, xs, case when g > 0 then mid else lo end, case when g > 0 then hi else mid end, k+1 from (
+      select r, xs, lo, hi, k, (lo+hi)/2 as mid, -(lo+hi)/2 + list_sum(list_transform(xs, lambda x: x.a*(x.y - 1/(1+exp(-(x.a*((lo+hi)/2-x.b))))))) as g from bis where k < 60))
+  select * from bis where k = 60)"""
+
+
+@query("select r, round(theta, 6) as theta from map_t")
+def map_theta(spark, sf_dir):
+    m = bind.planted(spark, sf_dir)
+    truth, _ = bind.planted_truth(spark, sf_dir)
+    return score.estimate_abilities(m.items.filter("c < 60"), truth, m.responses, []).select("r", *r6("theta"))
+
+
+@query(
+    """select t.r, 1e0 + sum(case when round(q.theta, 10) > round(t.theta, 10) then 1e0 when round(q.theta, 10) = round(t.theta, 10) then 0.5e0 else 0e0 end) as place
+    from (select r, theta from start_r) t cross join truth_r q group by t.r"""
+)
+def ability_places(spark, sf_dir):
+    m = bind.planted(spark, sf_dir)
+    own = fit.classical_abilities(m.responses).select("r", "theta")
+    return score.ability_places(own, bind.planted_truth(spark, sf_dir)[1].select("theta"), ["r"])
+
+
+@query(
+    """select x.s, n, round(spearman, 6) as spearman, round(kendall, 6) as kendall from (select s, count(*) as n, corr(place, true_place) as spearman from place3 group by s) x join (
+    select p.s, sum(sign(p.place-q.place)*sign(p.true_place-q.true_place)) / sqrt(sum(abs(sign(p.place-q.place))) * sum(abs(sign(p.true_place-q.true_place)))) as kendall
+    from place3 p join place3 q on p.s = q.s and p.model_id < q.model_id group by p.s) y on x.s = y.s"""
+)
+def spearman_kendall(spark, sf_dir):
+    m = bind.planted(spark, sf_dir)
+    scores = score.set_accuracy(three_sets(m), m.responses, m.respondents, ["s"]).withColumn("accuracy", F.round("accuracy", 10))
+    truth = matrix.full_suite_accuracy(m).select("model_id", F.round("accuracy", 10).alias("truth"))
+    return ranks.rank_correlations(scores.join(truth, "model_id"), ["s"], "model_id", "accuracy", "truth").select("s", "n", *r6("spearman", "kendall"))
+
+
+@query(
+    """select draw, c from (select draw, c, row_number() over (partition by draw order by h, c) as k from (
+    select draw, c, (g*g + c*31 + draw*17) % 999983 as h from (select draw, c, (c*7919 + draw*104729 + 3*15485863) % 1000003 as g from itm cross join (select range as draw from range(20))))) where k <= 25"""
+)
+def random_draw_sets(spark, sf_dir):
+    return select.random_sets(bind.planted(spark, sf_dir).items, 25, 20, 3)
+
+
+@query(
+    """select place - 1 as place, model_id from (select model_id, row_number() over (order by round(accuracy, 10) desc, model_id) as place from acc)
+    where place - 1 in (select cast(round_even(k * (n - 1) / 4e0, 0) as bigint) from (select unnest([0,1,2,3,4]) as k) cross join (select count(*) as n from acc))"""
+)
+def spaced_holdouts(spark, sf_dir):
+    """Five models equally spaced over the ranking."""
+    return crosscheck.spaced(matrix.full_suite_accuracy(bind.planted(spark, sf_dir)), 5)
+
+
+# --- validation ------------------------------------------------------------------
+
+ONLY = ["m1", "m4", "m7"]
+TABLES["hold"] = "select row_number() over (order by model_id) - 1 as k, model_id as holdout from peop"
+TABLES["hold3"] = "select * from hold where holdout in ('m1', 'm4', 'm7')"
+TABLES["hresp"] = "select k, resp.r, c, obs from resp join peop on resp.r = peop.r join hold3 on peop.model_id <> holdout"
+TABLES["tpts"] = "select k, truth_r.r, theta, 1e0/(count(*) over (partition by k)) as weight from truth_r join peop on truth_r.r = peop.r join hold3 on peop.model_id <> holdout"
+TABLES["tsets"] = f"""
+select k, size, c from (select k, c, row_number() over (partition by k order by score desc, c) as rank from (
+  select k, c, round(sum(weight*{info()}), 10) as score from tpts cross join (select * from truth_i where a >= 0) group by k, c)) join (select unnest([25, 50]) as size) on rank <= size"""
+
+
+def truth_holdout(spark, sf_dir):
+    """(matrix, holdouts, items and abilities as if every fit had found the truth)."""
+    m = bind.planted(spark, sf_dir)
+    holdouts = holdout.all_holdouts(m, ONLY)
+    truth, people = bind.planted_truth(spark, sf_dir)
+    flagged = truth.withColumn("flags", F.when(F.col("a") < 0, F.array(F.lit("inverted"))).otherwise(F.array().cast("array<string>"))).withColumn("n_resp", F.lit(1))
+    items = flagged.crossJoin(F.broadcast(holdouts.select("k")))
+    owned = people.join(m.respondents.select("r", "model_id"), "r").join(holdouts, F.col("model_id") != F.col("holdout"))
+    return m, holdouts, items, owned.select("k", "r", "theta")
+
+
+def placed(sets: str, by: str) -> str:
+    """SQL of place and true place of the held-out model under each set."""
+    return f"""select {by}, holdout, place, true_place, abs(place - true_place) as error from (
+  select {by}, x.model_id, rank() over (partition by {by} order by round(accuracy, 10) desc) + (count(*) over (partition by {by}, round(accuracy, 10)) - 1)/2e0 as place,
+    rank() over (partition by {by} order by round(truth, 10) desc) + (count(*) over (partition by {by}, round(truth, 10)) - 1)/2e0 as true_place
+  from (select {by}, model_id, avg(obs) as accuracy from {sets} join resp on resp.c = {sets}.c join peop on resp.r = peop.r group by {by}, model_id) x
+  join (select model_id, accuracy as truth from acc) t on x.model_id = t.model_id) z join (select k as hk, holdout from hold3) on k = hk and model_id = holdout"""
+
+
+TABLES["terr"] = placed("tsets", "k, size")
+
+
+@query("select k, cast(size as bigint) as size, holdout, place, true_place, error from terr")
+def loo_truth_placement(spark, sf_dir):
+    m, holdouts, items, abilities = truth_holdout(spark, sf_dir)
+    points = select.ability_points(abilities, m.respondents, ["k"])
+    return holdout.errors(holdout.chosen_sets(items, points, [25, 50], ["k"]), m, holdouts, ["k", "size"])
+
+
+TABLES["draws"] = """
+select k, size, draw, c from (select k, draw, c, row_number() over (partition by k, draw order by h, c) as rank from (
+  select k, draw, c, (g*g + c*31 + draw*17) % 999983 as h from (select k, draw, c, (c*7919 + draw*104729 + k*1299709 + 5*15485863) % 1000003 as g
+    from (select distinct k, c from hresp) cross join (select range as draw from range(20))))) join (select unnest([25, 50]) as size) on rank <= size"""
+TABLES["derr"] = placed("draws", "k, size, draw")
+
+
+def truth_draws(m, holdouts, items):
+    realised = items.sparkSession.createDataFrame([(25, 25), (50, 50)], "size long, n_selected long").crossJoin(holdouts.select("k"))
+    answered = holdout.held_out_responses(m, holdouts).select("k", "c").distinct()
+    return holdout.errors(holdout.random_sets(answered, realised, 20, 5), m, holdouts, ["k", "size", "draw"])
+
+
+@query("select k, cast(size as bigint) as size, draw, holdout, place, true_place, error from derr")
+def loo_random_baseline(spark, sf_dir):
+    m, holdouts, items, _ = truth_holdout(spark, sf_dir)
+    return truth_draws(m, holdouts, items)
+
+
+@query(
+    """select cast(d.size as bigint) as size, any_value(n) as n_holdouts, round(any_value(m), 6) as mean_error, round(avg(e), 6) as random_error,
+    round(avg(case when round(e, 10) > round(m, 10) then 1e0 when round(e, 10) = round(m, 10) then 0.5e0 else 0e0 end), 6) as beats_random
+    from (select size, draw, avg(error) as e from derr group by size, draw) d join (select size, count(*) as n, avg(error) as m from terr group by size) t on d.size = t.size group by d.size"""
+)
+def loo_beats_random(spark, sf_dir):
+    m, holdouts, items, abilities = truth_holdout(spark, sf_dir)
+    points = select.ability_points(abilities, m.respondents, ["k"])
+    own = holdout.errors(holdout.chosen_sets(items, points, [25, 50], ["k"]), m, holdouts, ["k", "size"])
+    return holdout.summary(own, truth_draws(m, holdouts, items)).select("size", "n_holdouts", *r6("mean_error", "random_error", "beats_random"))
+
+
+TABLES["tmap_r"] = """
+select t.k, t.size, list(struct_pack(a := a, b := b, y := obs)) as xs from tsets t join hold3 on t.k = hold3.k join peop on peop.model_id = holdout
+join resp on resp.r = peop.r and resp.c = t.c join truth_i on truth_i.c = t.c group by t.k, t.size"""
+TABLES["tmap_t"] = TABLES["map_t"].replace("select r, ", "select k, size, ").replace("map_r", "tmap_r").replace(" k+1", " it+1").replace("0 as k", "0 as it").replace("hi, k, (", "hi, it, (").replace("k < 60", "it < 60").replace("k = 60", "it = 60")
+
+
+@query(
+    """select p.k, cast(p.size as bigint) as size, round(theta, 6) as theta, place, round(abs(place - true_place), 6) as error from (
+    select m.k, m.size, any_value(m.theta) as theta, 1e0 + sum(case when round(q.theta, 10) > round(m.theta, 10) then 1e0 when round(q.theta, 10) = round(m.theta, 10) then 0.5e0 else 0e0 end) as place
+    from tmap_t m join tpts q on m.k = q.k group by m.k, m.size) p join (select k, size, true_place from terr) e on p.k = e.k and p.size = e.size"""
+)
+def loo_ability_placement(spark, sf_dir):
+    m, holdouts, items, abilities = truth_holdout(spark, sf_dir)
+    points = select.ability_points(abilities, m.respondents, ["k"])
+    sets = holdout.chosen_sets(items, points, [25, 50], ["k"])
+    reference = score.model_abilities(abilities, m.respondents, ["k"])
+    out = holdout.ability_errors(sets, items.select("k", "c", "a", "b"), reference, m, holdouts, ["k", "size"], ["k"])
+    return out.select("k", "size", *r6("theta"), "place", *r6("error"))
+
+
+@query()
+def loo_newton_placement(spark, sf_dir):
+    """Whole validation with a Newton fit of every holdout: size summary."""
+    m = bind.planted(spark, sf_dir)
+    return holdout.leave_one_model_out(m, lambda responses, by: fit.newton_fit(responses, by), (25, 50), draws=20, seed=5, only=ONLY)
+
+
+# --- report ----------------------------------------------------------------------
+
+
+@query(
+    """select row_number() over (order by not unsure desc, round(a, 10) desc, item_id) as position, item_id, n_resp, round(p, 6) as p_correct, round(a, 6) as a, round(b, 5) as b,
+    case when not unsure then row_number() over (partition by unsure order by round(a, 10) desc, item_id) end as rank from fl qualify position <= 40"""
+)
+def report_rows(spark, sf_dir):
+    items = planted_fit(spark, sf_dir)[1]
+    return report.rows(items, "discrimination", 40).select("position", "item_id", "n_resp", *r6("p_correct", "a"), F.round("b", 5).alias("b"), "rank")
+
+
+TABLES["head"] = """
+select (select count(distinct model_id) from peop) as n_real_models, (select count(*) from peop) as n_respondents, count(*) as n_items, (select count(*) from pool) as n_usable,
+  sum(dead::bigint)::bigint as n_dead, sum(inverted::bigint)::bigint as n_inverted, sum(unsure::bigint)::bigint as n_insufficient_data, (select count(*) from resp) as n_responses,
+  round(sum(unsure::bigint)/count(*), 6) as insufficient_share, round((select count(*) from resp) / ((select count(*) from peop) * count(*)), 6) as density from fl"""
+
+
+def planted_header(spark, sf_dir):
+    m, items, _, _ = planted_fit(spark, sf_dir)
+    return report.header(items, m.respondents, m.responses)
+
+
+@query("select * from head")
+def report_header(spark, sf_dir):
+    names = ["n_real_models", "n_respondents", "n_items", "n_usable", "n_dead", "n_inverted", "n_insufficient_data", "n_responses"]
+    return planted_header(spark, sf_dir).select(*names, *r6("insufficient_share", "density"))
+
+
+@query("select n_real_models, insufficient_share, case when insufficient_share >= 0.5 then 'refusal' when insufficient_share >= 0.2 or n_real_models < 5 then 'caution' else 'none' end as level from head")
+def refusal_level(spark, sf_dir):
+    return report.refusal(planted_header(spark, sf_dir)).select("n_real_models", *r6("insufficient_share"), "level")
+
+
+TABLES["pr0"] = """
+select least(t0 - 0.75e0, greatest(q0 - 0.75e0, -8e0)) as low, greatest(t1 + 0.75e0, least(q1 + 0.75e0, 8e0)) as high
+from ends cross join (select quantile_cont(b, 0.02) as q0, quantile_cont(b, 0.98) as q1 from pool)"""
+TABLES["pr"] = "select low - greatest(4e0 - (high - low), 0)/2 as low, high + greatest(4e0 - (high - low), 0)/2 as high from pr0"
+TABLES["grid"] = "select g, low + (high - low)*g/240e0 as theta from (select range as g from range(241)) cross join pr"
+TABLES["curve"] = f"""
+select grid.g, grid.theta, sum(case when unsure or inverted or ceil_ or floor_ then 0e0 else {info("fl.a", "fl.b", "grid.theta")} end) as pool_info, sum({info("fl.a", "fl.b", "grid.theta")}) as all_info
+from grid cross join fl where fl.b is not null group by grid.g, grid.theta"""
+
+
+@query("select g, round(theta, 5) as theta, round(pool_info, 5) as pool_info, round(all_info, 5) as all_info from curve")
+def information_curve(spark, sf_dir):
+    _, items, abilities, _ = planted_fit(spark, sf_dir)
+    return report.information_curve(items, abilities).select("g", *[F.round(c, 5).alias(c) for c in ("theta", "pool_info", "all_info")])
+
+
+@query(
+    f"""select round(peak, 5) as peak_info, round(atm, 5) as info_at_models, round(atm/peak, 5) as coverage,
+    case when atm/peak >= 0.75 then 'aligned' when atm/peak >= 0.4 then 'partial' else 'mismatch' end as verdict
+    from (select max(pool_info) as peak from curve) cross join (select sum(weight*{info("pool.a", "pool.b", "pts.theta")}) as atm from pool cross join pts)"""
+)
+def curve_verdict(spark, sf_dir):
+    _, items, abilities, points = planted_fit(spark, sf_dir)
+    out = report.verdict(report.information_curve(items, abilities), items, points)
+    return out.select(*[F.round(c, 5).alias(c) for c in ("peak_info", "info_at_models", "coverage")], "verdict")
+
+
+@query(
+    f"""select model_id, round(theta, 6) as theta, round(i, 5) as info, round(1/sqrt(1+i), 6) as se from (
+    select model_id, any_value(pts.theta) as theta, sum({info("pool.a", "pool.b", "pts.theta")}) as i from pts cross join pool group by model_id)"""
+)
+def model_positions(spark, sf_dir):
+    m, items, abilities, _ = planted_fit(spark, sf_dir)
+    return report.model_positions(items, abilities, m.respondents).select("model_id", *r6("theta"), F.round("info", 5).alias("info"), *r6("se"))
+
+
+@query(
+    """select subject, count(*) as n_items, sum((not (unsure or inverted or ceil_ or floor_))::bigint)::bigint as n_usable, sum(unsure::bigint)::bigint as n_insufficient,
+    sum(dead::bigint)::bigint as n_dead, round(avg(a), 6) as mean_a from fl group by subject"""
+)
+def subject_profile(spark, sf_dir):
+    items = planted_fit(spark, sf_dir)[1]
+    return report.subject_profile(items).select("subject", "n_items", "n_usable", "n_insufficient", "n_dead", *r6("mean_a"))
