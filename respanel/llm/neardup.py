@@ -1,8 +1,9 @@
 """Near-duplicate documents on five-word shingles, found by covering SimHash tables.
 
-Candidates are documents that meet in a covering table of one of several
-SimHash fingerprints of their word sets; a link needs a Jaccard similarity of
-the five-word shingle sets of at least ``SIMILARITY``, computed exactly.
+Documents whose word-set fingerprints lie within a radius, in one of several
+families of SimHash, fall into one cluster of candidates. Inside a cluster
+every pair is compared: a link needs a Jaccard similarity of the five-word
+shingle sets of at least ``SIMILARITY``, computed exactly.
 """
 
 from __future__ import annotations
@@ -16,16 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from respanel.llm.common import arrow_map, components, prepare, stored, text_bytes
-from respanel.llm.simhash import covering_masks
+from respanel.llm.simhash import forest, links
 
 SIMILARITY, WIDTH = 0.8, 5
 #: Fingerprints a document, and the radius each fingerprint's tables cover.
-#: Measured on pairs of similarity 0.8 and more: 96 % meet in some table.
+#: Measured on pairs of similarity 0.8 and more: 96 % lie within it in some
+#: family, and clusters also hold pairs that only others connect.
 SEEDS, RADIUS = 6, 3
-#: Differing bits over all fingerprints beyond which no pair of that similarity was seen (their mean is 22).
-MOST_BITS = 72
-#: Buckets up to this size emit all their pairs; larger ones are linked centre by centre.
-SMALL = 16
+#: Texts of a block; a cluster of more is compared block against block, so a task holds two blocks.
+BLOCK = 1024
+#: Shingles that so many texts of a comparison share, or fewer, are counted pair by pair; commoner ones by matrix products.
+RARE = 16
 
 
 def word_set_fingerprints(words: list[bytes]) -> np.ndarray:
@@ -68,136 +70,98 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return arrow_map(rows, ", ".join(f"{n} long" for n in names), signed)
 
 
-def buckets(nodes: DataFrame) -> DataFrame:
-    """(key, node, fp): every text in every table of every fingerprint."""
-    masks = covering_masks(RADIUS)
-    tables = len(masks)
+def candidate_clusters(nodes: DataFrame) -> DataFrame:
+    """(node, cluster) of the texts with a candidate: closure of near fingerprints over all families.
 
-    def dealt(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n = batch.num_rows
-        node = batch.column(0).to_numpy()
-        keys, fps = np.zeros((SEEDS, tables, n), np.uint64), np.zeros((SEEDS, tables, n), np.int64)
-        for s in range(SEEDS):
-            fp = batch.column(1 + s).to_numpy()
-            fps[s] = fp
-            for t in range(tables):
-                k = (fp.view(np.uint64) & masks[t]) ^ np.uint64((s * tables + t + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-                k = (k ^ (k >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                keys[s, t] = k ^ (k >> np.uint64(31))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(node, SEEDS * tables)), pa.array(fps.ravel())], names=["key", "node", "fp"]
-        )
-
-    return arrow_map(nodes.select("node", *[f"s{k}" for k in range(SEEDS)]), "key long, node long, fp long", dealt)
-
-
-def by_centrality(fps: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    """Order of a bucket's members: least sum of differing bits to all others first."""
-    bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64)
-    ones = bits.sum(axis=0)
-    return np.lexsort((nodes, (bits * (len(fps) - ones) + (1 - bits) * ones).sum(axis=1)))
-
-
-PAIRS = "a long, b long, key long, rank int"
-
-
-def first_pairs(dealt: DataFrame) -> DataFrame:
-    """Pairs (a, b) of small buckets and of the centre of large ones; members of large buckets as (a, null, key, rank)."""
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        pending: list[list[np.ndarray]] = []
-        for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(3)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-            if cut:
-                yield tuple(np.concatenate([*(p[i] for p in pending), cols[i][:cut]]) for i in range(3))
-                pending = []
-            pending.append([c[cut:] for c in cols])
-        if pending:
-            yield tuple(np.concatenate([p[i] for p in pending]) for i in range(3))
-
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, fp in runs(batches):
-            starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
-            lengths = np.diff(np.concatenate((starts, [len(key)])))
-            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            run, small = np.repeat(np.arange(len(starts)), lengths), np.repeat(lengths <= SMALL, lengths)
-            for shift in range(1, min(SMALL, int(lengths.max()))):
-                at = np.flatnonzero(small[:-shift] & (run[:-shift] == run[shift:]))
-                left.append(node[at])
-                right.append(node[at + shift])
-            members = []
-            for r in np.flatnonzero(lengths > SMALL):
-                own = slice(starts[r], starts[r] + lengths[r])
-                order = by_centrality(fp[own], node[own])
-                ranked = node[own][order]
-                left.append(np.full(len(ranked) - 1, ranked[0]))
-                right.append(ranked[1:])
-                members.append((ranked, np.full(len(ranked), key[starts[r]])))
-            a, b = np.concatenate(left), np.concatenate(right)
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            n = len(pairs)
-            none = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), *none], names=["a", "b", "key", "rank"])
-            for ranked, keys in members:
-                rank = pa.array(np.arange(len(ranked), dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(ranked), pa.nulls(len(ranked), pa.int64()), pa.array(keys), rank], names=["a", "b", "key", "rank"])
-
-    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(paired, PAIRS)
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose shingle sets are similar enough."""
-    sig = [f"s{k}" for k in range(SEEDS)]
-    left = nodes.select(F.col("node").alias("a"), *[F.col(s).alias(f"a_{s}") for s in sig])
-    right = nodes.select(F.col("node").alias("b"), *[F.col(s).alias(f"b_{s}") for s in sig])
-    bits = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in sig[1:]), F.bit_count(F.col(f"a_{sig[0]}").bitwiseXOR(F.col(f"b_{sig[0]}"))))
-    near = stored(pairs.distinct().join(left, "a").join(right, "b").filter(bits <= MOST_BITS).select("a", "b"), "nd-near")
-    wanted = near.select(F.col("a").alias("want")).union(near.select("b")).distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("node"), text_bytes(text_col).alias("raw"))
-    texts = rows.join(wanted, F.col("node") == F.col("want"), "left_semi")
+    The graph joins each text to its fingerprints and fingerprints to near
+    ones, so no pair of texts is ever a row.
+    """
+    kinds = F.array(*[F.struct(F.lit(k).alias("family"), F.col(f"s{k}").alias("fp")) for k in range(SEEDS)])
+    held = stored(nodes.select("node", F.inline(kinds)), "nd-held")
+    counted = stored(held.groupBy("family", "fp").agg(F.count("*").alias("n")), "nd-fps")
+    near = stored(links(counted.select("family", "fp"), RADIUS), "nd-links")
+    met = near.select("family", F.col("a").alias("fp")).union(near.select("family", "b")).union(counted.filter("n > 1").select("family", "fp")).distinct()
+    place = lambda fp: F.xxhash64(F.lit("fp"), "family", fp)
+    of_text = F.xxhash64(F.lit("text"), "node")
+    own = held.join(met, ["family", "fp"]).select("node", of_text.alias("a"), place("fp").alias("b"))
+    own = stored(own, "nd-own")
+    joined = components(own.select("a", "b").union(near.select(place("a"), place("b"))))
+    texts = own.select("node", "a").distinct()
+    return texts.join(joined, texts.a == joined.node).select(texts.node, F.col("label").alias("cluster"))
+
+
+def similar(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join every two sets of Jaccard similarity ``SIMILARITY`` or more, at most one fewer than sets."""
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(flat)) + 1))
+    counts = np.diff(np.concatenate((starts, [len(flat)])))
+    common = np.zeros((n, n), np.float32)
+    for f in range(2, RARE + 1):
+        own = owner[starts[counts == f][:, None] + np.arange(f)] if (counts == f).any() else np.zeros((0, f), np.int64)
+        for x in range(f if len(own) else 0):
+            for y in range(x + 1, f):
+                np.add.at(common, (own[:, x], own[:, y]), 1)
+    columns = np.flatnonzero(counts > RARE)
+    for k in range(0, len(columns), 1024):
+        table = np.zeros((n, min(1024, len(columns) - k)), np.float32)
+        for j, c in enumerate(columns[k : k + 1024]):
+            table[owner[starts[c] : starts[c] + counts[c]], j] = 1
+        common += np.triu(table @ table.T, 1)
+    total = sizes[:, None] + sizes[None, :]
+    near = np.triu(common >= SIMILARITY * (total - common) - 1e-3, 1) & (common > 0)
+    x, y = forest(near, np.arange(n), np.arange(n), True)
+    return x, y
+
+
+def links_in_clusters(docs: DataFrame, clusters: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): verified links of all clusters, enough to connect what is connected."""
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    member = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("raw"))
+    texts = rows.join(member, F.col("doc_id") == F.col("node")).select("node", "cluster", "blocks", "block", "raw")
 
     def to_set(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(raw.lower().split()) for raw in batch.column(1).to_pylist()]
+        sets = [shingle_set(raw.lower().split()) for raw in batch.column(4).to_pylist()]
         offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
         flat = pa.array(np.concatenate([np.zeros(0, np.int32), *sets]))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["node", "shingles"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["node", "cluster", "blocks", "block", "shingles"])
 
-    sets = stored(arrow_map(texts, "node long, shingles array<int>", to_set).dropDuplicates(["node"]), "nd-sets")
-    with_b = near.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = with_b.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(common >= SIMILARITY * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    sets = arrow_map(texts, "node long, cluster long, blocks int, block int, shingles array<int>", to_set)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    paired = sets.select("node", "cluster", "block", other, "shingles").select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "shingles")
 
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sets = None, [], []
 
-def links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, label) of the texts with a link, linked texts under one label.
+        def closed() -> pa.RecordBatch | None:
+            _, at = np.unique(ids, return_index=True)  # a repeated row counts once
+            if len(at) < 2:
+                return None
+            nodes = np.array(ids)[at]
+            x, y = similar([sets[k] for k in at])
+            return pa.RecordBatch.from_arrays([pa.array(nodes[x]), pa.array(nodes[y])], names=["a", "b"])
 
-    A bucket never emits all its pairs at once: first its most central
-    member is held against the others, and after each round of checks the
-    next centres (as many as all before) only against members that no link
-    has joined to them yet. The rounds end when every bucket has nothing
-    left to hold against each other, so no link between components is lost.
-    """
-    found = stored(first_pairs(buckets(nodes)), "nd-pairs")
-    edges = stored(verified(found.filter("key is null"), nodes, docs, id_col, text_col), "nd-edges")
-    labels = stored(components(edges), "nd-labels")
-    large = found.filter("key is not null").select("key", F.col("a").alias("node"), "rank")
-    most = large.agg(F.max("rank")).first()[0] or 0
-    low = 1
-    while low <= most:
-        high = 2 * low
-        labelled = large.join(labels, "node", "left").select("key", "node", "rank", F.coalesce("label", "node").alias("label"))
-        centres = labelled.filter((F.col("rank") >= low) & (F.col("rank") < high))
-        centres = centres.select("key", F.col("node").alias("c"), F.col("rank").alias("c_rank"), F.col("label").alias("c_label"))
-        fresh = centres.join(labelled, "key").filter((F.col("rank") > F.col("c_rank")) & (F.col("label") != F.col("c_label")))
-        fresh = stored(fresh.select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct(), "nd-fresh")
-        if not fresh.isEmpty():
-            edges = stored(edges.union(verified(fresh, nodes, docs, id_col, text_col)), "nd-edges")
-            labels = stored(components(edges), "nd-labels")
-        low = high
-    return labels
+        for batch in batches:
+            lists = batch.column(4)
+            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True))
+            for row, (cluster, i, j, node) in enumerate(keys):
+                if (cluster, i, j) != key:
+                    if key is not None and (out := closed()) is not None:
+                        yield out
+                    key, ids, sets = (cluster, i, j), [], []
+                ids.append(node)
+                sets.append(flat[offsets[row] : offsets[row + 1]].copy())
+        if key is not None and (out := closed()) is not None:
+            yield out
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = paired.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    return dealt.mapInArrow(compared, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,7 +175,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prepare(docs.sparkSession)
     rows = stored(signatures(docs, id_col, text_col), "nd-signatures")
     nodes = stored(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), *[F.min(f"s{k}").alias(f"s{k}") for k in range(SEEDS)]), "nd-nodes")
-    labels = links(nodes, docs, id_col, text_col)
+    clusters = stored(candidate_clusters(nodes), "nd-clusters")
+    labels = components(links_in_clusters(docs, clusters, id_col, text_col))
     group = nodes.select("h1", "h2", "node").join(labels, "node", "left").select("h1", "h2", "node", F.coalesce("label", "node").alias("label"))
     group = stored(group, "nd-group")
     keeper = group.groupBy("label").agg(F.min("node").alias("keeper"))

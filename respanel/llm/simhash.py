@@ -84,11 +84,11 @@ def _block_edges(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndar
             if i == j:
                 near = np.triu(near, 1)
             if near.any():
-                out.append(_forest(near, rows, cols, i == j))
+                out.append(forest(near, rows, cols, i == j))
     return out
 
 
-def _forest(near: np.ndarray, rows: np.ndarray, cols: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+def forest(near: np.ndarray, rows: np.ndarray, cols: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Edges with the components of ``near``, at most one per node."""
     x, y = np.nonzero(near)
     shift = 0 if same else len(rows)
@@ -129,12 +129,12 @@ def _run_edges(fps: np.ndarray, mask: int, radius: int) -> list[tuple[np.ndarray
     return out
 
 
-def bucket_links(table: np.ndarray, key: np.ndarray, fps: np.ndarray, masks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal (table, key); the three arrays are sorted by them."""
+def bucket_links(table: np.ndarray, key: np.ndarray, fps: np.ndarray, masks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(table, one, other) of links within runs of equal (table, key); the three arrays are sorted by them."""
     change = np.flatnonzero((np.diff(table) != 0) | (np.diff(key) != 0)) + 1
     starts = np.concatenate(([0], change))
     lengths = np.diff(np.concatenate((starts, [len(fps)])))
-    left, right = [], []
+    left, right, own = [], [], []
     run = np.repeat(np.arange(len(starts)), lengths)
     small = np.repeat(lengths <= SMALL_RUN, lengths)
     for shift in range(1, min(SMALL_RUN, int(lengths.max(initial=1)))):
@@ -146,37 +146,41 @@ def bucket_links(table: np.ndarray, key: np.ndarray, fps: np.ndarray, masks: np.
         at, differ = at[ok], differ[ok]
         if len(at):  # the pair comes from the first table in which it meets
             first = np.argmax((differ[:, None] & masks[None, :]) == 0, axis=1)
-            at = at[first == table[at]]
+            at = at[first == table[at] % len(masks)]
             left.append(fps[at])
             right.append(fps[at + shift])
+            own.append(table[at])
     for r in np.flatnonzero(lengths > SMALL_RUN):
         s, n = starts[r], lengths[r]
-        for x, y in _run_edges(fps[s : s + n], int(masks[table[s]]), radius):
+        for x, y in _run_edges(fps[s : s + n], int(masks[table[s] % len(masks)]), radius):
             left.append(x)
             right.append(y)
+            own.append(np.full(len(x), table[s]))
     none = np.zeros(0, np.uint64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+    return np.concatenate([none.astype(np.int64), *own]), np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
 def links(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """Edges (a, b) of distinct fingerprints whose closure joins every pair within ``radius`` bits.
+    """Edges (family, a, b) of distinct fingerprints whose closure joins every pair within ``radius`` bits.
 
-    ``fps`` has one column fp without repeats. Each fingerprint goes to every
-    covering table under its masked bits; a task sees whole buckets in sorted
-    order, as a stream, and holds one bucket at a time: 8 bytes for each
-    distinct fingerprint.
+    ``fps``: family (0 where there is only one kind of fingerprint) and fp,
+    without repeats; only members of a family are held against each other.
+    Each fingerprint goes to every covering table under its masked bits; a
+    task sees whole buckets in sorted order, as a stream, and holds one
+    bucket at a time: 8 bytes for each distinct fingerprint.
     """
     masks = covering_masks(radius)
     signed = masks.view(np.int64).tolist()
-    tables = F.array(*[F.struct(F.lit(t).alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(signed)])
-    dealt = fps.select("fp", F.inline(tables))
+    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(signed)])
+    dealt = fps.select("family", "fp", F.inline(tables)).select((F.col("family") * len(signed) + F.col("t")).cast("int").alias("table"), "key", "fp")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: list[np.ndarray] = []
 
         def emit(table: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            x, y = bucket_links(table, key, fp.view(np.uint64), masks, radius)
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
+            own, x, y = bucket_links(table, key, fp.view(np.uint64), masks, radius)
+            family = pa.array((own // len(masks)).astype(np.int32))
+            return pa.RecordBatch.from_arrays([family, pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["family", "a", "b"])
 
         pending: list[list[np.ndarray]] = []
         for batch in batches:
@@ -194,7 +198,7 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
 
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = dealt.select("table", "key", "fp").repartition(parts, "table", "key").sortWithinPartitions("table", "key", "fp")
-    return sorted_.mapInArrow(linked, "a long, b long")
+    return sorted_.mapInArrow(linked, "family int, a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
@@ -212,7 +216,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = stored(fingerprints(docs, id_col, text_col, width), "simhash")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    labels = components(links(nodes.select("fp"), radius))
+    labels = components(links(nodes.select(F.lit(0).alias("family"), "fp"), radius))
     member = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     member = stored(member, "simhash-member")
     root = member.groupBy("label").agg(F.min("least").alias("component_id"))
