@@ -98,7 +98,7 @@ def anchor_min_variance(items: DataFrame, points: DataFrame, n: int) -> DataFram
         return pd.DataFrame(out, columns=["rank", "c", "gain", "padded"])
 
     pool = tiers(items).select("c", "a", "b", "tier")
-    return pool.groupBy(F.lit(1)).applyInPandas(greedy, "rank long, c long, gain double, padded boolean")
+    return pool.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(greedy, "rank long, c long, gain double, padded boolean")
 
 
 def set_error(chosen: DataFrame, items: DataFrame, points: DataFrame, by: list[str] = ()) -> DataFrame:

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from respanel.functions import coerce, irt, ranks
-from respanel.operators import crosscheck, fit, holdout, matrix, report, score, select
+from respanel.operators import crosscheck, em, fit, holdout, matrix, report, score, select, variational
 from respanel.operators.store import stored
 from respanel.plans import bindings as bind
-from respanel.plans.sql import LOGIT, TABLES, info, rounded, statement
+from respanel.plans.sql import TABLES, info, statement
+from respanel.sources import helm
+from respanel.streaming import online
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -663,3 +665,149 @@ def model_positions(spark, sf_dir):
 def subject_profile(spark, sf_dir):
     items = planted_fit(spark, sf_dir)[1]
     return report.subject_profile(items).select("subject", "n_items", "n_usable", "n_insufficient", "n_dead", *r6("mean_a"))
+
+
+# --- studies, cross-checks, fits -----------------------------------------------
+
+TABLES["est"] = "select c, a, b from start_i"
+TABLES["agree0"] = "select t.c, t.b as x, e.b as y from truth_i t left join est e on t.c = e.c where e.b is not null"
+TABLES["agree1"] = """select *, row_number() over (order by x, c) * 1e0 as rx, row_number() over (order by y, c) * 1e0 as ry, (select sum(x*y)/sum(x*x) from agree0) as os from agree0"""
+
+
+@query(
+    """select count(*) as n, round(corr(x, y), 6) as pearson, round(corr(rx, ry), 6) as spearman, round(regr_slope(y, x), 6) as slope, round(regr_intercept(y, x), 6) as intercept,
+    round(any_value(os), 6) as origin_slope, round(sqrt(avg((y-x)*(y-x))), 6) as rmse, round(max(abs(y-x)), 6) as max_diff,
+    round(sqrt(avg((y-os*x)*(y-os*x))), 6) as rmse_after, round(max(abs(y-os*x)), 6) as max_diff_after from agree1"""
+)
+def agreement_stats(spark, sf_dir):
+    """True against classical difficulties."""
+    truth, _ = bind.planted_truth(spark, sf_dir)
+    own = fit.classical_items(bind.planted(spark, sf_dir).responses).select("c", F.col("b").alias("y"))
+    pairs = truth.select("c", F.col("b").alias("x")).join(own, "c", "left")
+    out = crosscheck.agreement(pairs, "c", "x", "y")
+    return out.select("n", *r6(*[c for c in out.columns if c != "n"]))
+
+
+@query(
+    """select count(*) as n, round(avg(d), 6) as mean_diff, round(median(d), 6) as median_diff, round(max(d), 6) as max_diff from (
+    select abs(1/(1+exp(-t.a*(q.theta-t.b))) - 1/(1+exp(-e.a*(s.theta-e.b)))) as d from truth_i t join est e on t.c = e.c cross join truth_r q join start_r s on q.r = s.r)"""
+)
+def probability_surface(spark, sf_dir):
+    m = bind.planted(spark, sf_dir)
+    own = (fit.classical_items(m.responses), fit.classical_abilities(m.responses))
+    return crosscheck.probability_surface(bind.planted_truth(spark, sf_dir), own).select("n", *r6("mean_diff", "median_diff", "max_diff"))
+
+
+@query(
+    """select c, round(a*s, 6) as a, round((b-m)/s, 6) as b from truth_i cross join (select avg(theta) as m, stddev_pop(theta) as s from truth_r)"""
+)
+def standardise_theta(spark, sf_dir):
+    return crosscheck.standardised(*bind.planted_truth(spark, sf_dir))[0].select("c", *r6("a", "b"))
+
+
+@query("select c, round(-a, 6) as a, round(-b, 6) as b from truth_i")
+def reflection(spark, sf_dir):
+    return crosscheck.reflected(*bind.planted_truth(spark, sf_dir))[0].select("c", *r6("a", "b"))
+
+
+@query(
+    """select l_returnflag as g, count(*) as n, round(avg(d), 6) as mean, round(stddev_samp(d)/sqrt(count(*)), 6) as se from (
+    select l_returnflag, l_suppkey, avg(case when l_linestatus = 'F' then l_discount end) - avg(case when l_linestatus = 'O' then l_discount end) as d
+    from lineitem group by 1, 2) where d is not null group by 1"""
+)
+def paired_differences(spark, sf_dir):
+    lines = bind.table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "g")
+    return crosscheck.paired_differences(lines, ["g"], "l_suppkey", "l_linestatus", "l_discount", "F", "O").select("g", "n", *r6("mean", "se"))
+
+
+TABLES["run_names"] = """select 'lite/benchmark_output/runs/v1.' || cast(o_orderkey % 13 as varchar) || '.0/task' || cast(o_custkey % 20 as varchar) || ':k=' || cast(o_custkey % 3 as varchar)
+  || ',model=org_m' || cast(o_orderkey % 7 as varchar) || case when o_orderkey % 5 = 0 then ',extra=' || cast(o_orderkey % 11 as varchar) else '' end || '/' as prefix from orders"""
+TABLES["parsed"] = """select prefix, regexp_extract(rtrim(prefix, '/'), '([^/]*)/[^/]*$', 1) as version, regexp_extract(rtrim(prefix, '/'), '([^/]*)[,]model=', 1) as spec,
+  regexp_extract(prefix, ',model=([^,/]*)', 1) as model, nullif(regexp_extract(rtrim(prefix, '/'), ',model=[^,]*,(.*)$', 1), '') as params from run_names"""
+
+
+@query(
+    """select spec, model, version, coalesce(params, '') as params from (select *, row_number() over (partition by spec, model
+    order by cast(split_part(version, '.', 2) as int) desc, length(coalesce(params, '')), prefix desc) as k from (select distinct * from parsed)) where k = 1"""
+)
+def latest_runs(spark, sf_dir):
+    o = bind.table(spark, sf_dir, "orders")
+    text = lambda c: c.cast("string")
+    prefix = F.concat(
+        F.lit("lite/benchmark_output/runs/v1."), text(F.col("o_orderkey") % 13), F.lit(".0/task"), text(F.col("o_custkey") % 20), F.lit(":k="), text(F.col("o_custkey") % 3),
+        F.lit(",model=org_m"), text(F.col("o_orderkey") % 7), F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit(",extra="), text(F.col("o_orderkey") % 11))).otherwise(F.lit("")), F.lit("/"),
+    )
+    found = helm.latest_runs(helm.parse_runs(o.select(prefix.alias("prefix")).distinct()))
+    return found.select("spec", "model", "version", F.coalesce(F.nullif("params", F.lit("")), F.lit("")).alias("params"))
+
+
+TABLES["nodes"] = """select q, node, -node*node/2 - ln(sum(exp(-node*node/2)) over ()) as logw from (select range as q, -6e0 + 12e0*range/30e0 as node from range(31))"""
+
+
+@query("select q, round(node, 6) as node, round(logw, 6) as logw from nodes")
+def quadrature_nodes(spark, sf_dir):
+    return crosscheck.quadrature(spark, 31).select("q", *r6("node", "logw"))
+
+
+TABLES["lls"] = """select r, q, node, any_value(logw) + sum(obs*z - greatest(z, 0) - ln(1+exp(-abs(z)))) as ll from (
+  select resp.r, q, node, logw, obs, a*(node-b) as z from resp join truth_i on resp.c = truth_i.c cross join nodes where resp.c < 100) group by r, q, node"""
+
+
+@query("select r, round(sum(exp(ll-top)*node)/sum(exp(ll-top)), 6) as theta from (select *, max(ll) over (partition by r) as top from lls) group by r")
+def eap_theta(spark, sf_dir):
+    truth, _ = bind.planted_truth(spark, sf_dir)
+    items = truth.filter("c < 100").select("c", "a", (-F.col("a") * F.col("b")).alias("d"))
+    return crosscheck.eap_theta(bind.planted(spark, sf_dir).responses, items, crosscheck.quadrature(spark, 31)).select("r", *r6("theta"))
+
+
+@query(
+    """select l_returnflag as g, low, high from (select *, row_number() over (partition by l_returnflag order by high - low, low) as best from (
+    select l_returnflag, l_extendedprice as low, lead(l_extendedprice, cast(ceil(n*0.95e0) as int) - 1) over (partition by l_returnflag order by l_extendedprice) as high
+    from (select *, count(*) over (partition by l_returnflag) as n from lineitem)) where high is not null) where best = 1"""
+)
+def narrowest_interval(spark, sf_dir):
+    lines = bind.table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "g")
+    return ranks.narrowest_interval(lines, ["g"], "l_extendedprice", 0.95)
+
+
+@query()
+def em_fit(spark, sf_dir):
+    """Marginal maximum likelihood estimates of the planted items."""
+    items, _ = em.em_fit(bind.planted(spark, sf_dir).responses, rounds=6)
+    return items.select("c", "a", "d", "b")
+
+
+@query()
+def vi_fit(spark, sf_dir):
+    """Variational fits of the natural binding, one for each prompt variant."""
+    m = bind.natural(spark, sf_dir)
+    variant = F.when(F.col("respondent_id").endswith("|O"), 1).otherwise(0).cast("long")
+    rows = m.responses.join(m.respondents.select("r", variant.alias("fit_id")), "r")
+    return variational.vi_fit(rows.select("fit_id", "r", "c", "obs"), epochs=400)
+
+
+@query()
+def anchor_min_variance(spark, sf_dir):
+    """Greedy set by posterior variance; each gain depends on the set before."""
+    _, items, _, points = planted_fit(spark, sf_dir)
+    return select.anchor_min_variance(items, points, 25)
+
+
+@query()
+def shuffled_control(spark, sf_dir):
+    """Correlation of true and classical difficulties against 32 shuffles."""
+    truth, _ = bind.planted_truth(spark, sf_dir)
+    own = fit.classical_items(bind.planted(spark, sf_dir).responses).select("c", F.col("b").alias("y"))
+    return crosscheck.shuffled_control(truth.join(own, "c"), "c", "b", "y")
+
+
+@query(
+    """select event_type, hour, sum(n) over w as n, round(sum(k) over w / sum(n) over w, 6) as p_correct from (
+    select event_type, date_trunc('hour', ts) as hour, count(*) as n, sum(case when value >= 10 then 1 else 0 end) as k from events group by 1, 2)
+    window w as (partition by event_type order by hour rows unbounded preceding)"""
+)
+def running_rates(spark, sf_dir):
+    """Batch form of the streaming rates: running share of correct answers by hour."""
+    return online.running_rates(bind.table(spark, sf_dir, "events").select("event_type", "ts", (F.col("value") >= 10).cast("int").alias("obs")), "event_type", "ts").select(
+        "event_type", "hour", "n", *r6("p_correct")
+    )

@@ -1 +1 @@
-
+"""Rates of a stream of graded answers."""
