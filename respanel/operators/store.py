@@ -23,3 +23,46 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+SCHEMA_VERSION = 2
+TABLES = ("respondents", "items", "responses", "meta")
+
+
+def save_fit(path: str, respondents: DataFrame, items: DataFrame, responses: DataFrame | None, meta: dict) -> None:
+    """A fit as a folder of Parquet tables; ``meta`` is one row of JSON with the schema version."""
+    import json
+
+    spark = items.sparkSession
+    respondents.write.mode("overwrite").parquet(f"{path}/respondents")
+    items.write.mode("overwrite").parquet(f"{path}/items")
+    if responses is not None:
+        responses.write.mode("overwrite").parquet(f"{path}/responses")
+    row = json.dumps({"schema_version": SCHEMA_VERSION, "embedded": responses is not None} | meta, sort_keys=True)
+    spark.createDataFrame([(row,)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def load_fit(spark: SparkSession, path: str, check: bool = True) -> dict:
+    """respondents, items, responses (None if not embedded) and meta of a stored fit; only this version is read."""
+    import json
+
+    from pyspark.errors import AnalysisException
+    from pyspark.sql import functions as F
+
+    from respanel.schema import FLAGS, ArtifactError
+
+    try:
+        meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
+        people, items = spark.read.parquet(f"{path}/respondents"), spark.read.parquet(f"{path}/items")
+    except AnalysisException as error:
+        raise ArtifactError(f"no fit at {path}: {str(error).splitlines()[0]}") from error
+    if meta.get("schema_version") != SCHEMA_VERSION:
+        raise ArtifactError(f"schema version {meta.get('schema_version')!r}, this reads {SCHEMA_VERSION}")
+    if check:
+        readings = F.size(F.array_intersect("flags", F.array(*[F.lit(f) for f in FLAGS[:3]])))
+        unknown = F.size(F.array_except("flags", F.array(*[F.lit(f) for f in FLAGS])))
+        bad = items.filter((readings > 1) | (unknown > 0) | (F.col("a_lo") > F.col("a_hi"))).limit(1).collect()
+        if bad:
+            raise ArtifactError(f"item {bad[0]['item_id']} has contradictory flags or an inverted interval")
+    responses = spark.read.parquet(f"{path}/responses") if meta["embedded"] else None
+    return {"respondents": people, "items": items, "responses": responses, "meta": meta}
