@@ -67,6 +67,19 @@ def arrow_map(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.Reco
     return df.mapInArrow(run, schema)
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """``df`` with columns c0, c1 ..., so that no name can clash with one of ours."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the rows whose id is the one column of ``gone``; rows without an id stay."""
+    own = plain_names(docs)
+    at = own[f"c{docs.columns.index(id_col)}"]
+    lost = gone.toDF("gone_id").distinct()
+    return own.join(lost, at == lost.gone_id, "left_anti").toDF(*docs.columns)
+
+
 def text_bytes(text: str | Column) -> Column:
     """The UTF-8 bytes of a text column; a null text is empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")

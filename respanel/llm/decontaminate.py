@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from respanel.llm.common import prepare, text_bytes
+from respanel.llm.common import prepare, text_bytes, without_ids
 
 #: Fixed masks. One ignored position in the middle survives every fifth token
 #: changed at one phase, two ignored positions five apart the other phases.
@@ -184,5 +184,4 @@ def overlaps(
 
 def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that overlap some test item; rows without an id stay."""
-    leaked = overlaps(docs, items, id_col, text_col).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(leaked, F.col(id_col) == F.col("__leaked"), "left_anti")
+    return without_ids(docs, overlaps(docs, items, id_col, text_col).select("doc_id"), id_col)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from respanel.llm.common import arrow_map, prepare, text_bytes
+from respanel.llm.common import arrow_map, plain_names, prepare, text_bytes
 
 #: Lines in the rolling window, mean lines between cuts, least and most lines of a chunk.
 WINDOW, MEAN, LEAST, MOST = 2, 3, 2, 64
@@ -92,11 +92,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     document: both keep what either holds first. Empty table: empty result.
     """
     prepare(docs.sparkSession)
-    names = docs.columns
-    gone = removals(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_set("h").alias("__gone"))
-    gone = gone.withColumnRenamed("doc_id", "__doc")
-    joined = docs.join(gone, F.col(id_col) == F.col("__doc"), "left").drop("__doc")
-    at, schema = names.index(text_col), docs.schema
+    own, names, at = plain_names(docs), docs.columns, docs.columns.index(text_col)
+    inner = own.columns
+    gone = removals(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_set("h").alias("gone"))
+    joined = own.join(gone, F.col(f"c{names.index(id_col)}") == F.col("doc_id"), "left").drop("doc_id")
 
     def rebuilt(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, counts = [], []
@@ -109,9 +108,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             texts.append(kept.decode())
             counts.append(n)
         cols = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64())], names=[*names, "__removed"])
+        return pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64())], names=[*inner, "removed"])
 
-    return arrow_map(joined, StructType([*schema.fields, StructField("__removed", LongType())]), rebuilt)
+    return arrow_map(joined, StructType([*own.schema.fields, StructField("removed", LongType())]), rebuilt).toDF(*names, "__removed")
 
 
 def without(raw: bytes, gone: set[int]) -> tuple[bytes, int]:

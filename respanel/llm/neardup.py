@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from respanel.llm.common import arrow_map, components, prepare, stored, text_bytes
+from respanel.llm.common import arrow_map, components, prepare, stored, text_bytes, without_ids
 from respanel.llm.simhash import forest, links
 
 SIMILARITY, WIDTH = 0.8, 5
@@ -185,5 +185,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group, the one of smallest id; rows without an id stay."""
-    gone = near_duplicates(docs, id_col, text_col).filter("doc_id <> keeper").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col).filter("doc_id <> keeper").select("doc_id")
+    return without_ids(docs, gone, id_col)

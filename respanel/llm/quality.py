@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from respanel.llm.common import arrow_map, prepare, stored, text_bytes
+from respanel.llm.common import arrow_map, plain_names, prepare, stored, text_bytes
 
 SYMBOLS = b"#*$%&|<>"
 BLANK = b" \t\n\r\v\f"
@@ -169,6 +169,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns unchanged. Statistics are taken twice rather than moved."""
-    posteriors = _posteriors(votes(with_statistics(docs, text_col, [])))
-    voted = votes(with_statistics(docs, text_col, docs.columns))
-    return _verdict(voted, posteriors).filter("__kept").select(*docs.columns)
+    own = plain_names(docs)
+    text = f"c{docs.columns.index(text_col)}"
+    posteriors = _posteriors(votes(with_statistics(own, text, [])))
+    voted = votes(with_statistics(own, text, own.columns))
+    return _verdict(voted, posteriors).filter("__kept").select(*own.columns).toDF(*docs.columns)

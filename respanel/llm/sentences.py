@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from respanel.llm.common import arrow_map, prepare, text_bytes
+from respanel.llm.common import arrow_map, plain_names, prepare, text_bytes
 
 #: Consecutive sentences of a span. Words after which a long sentence is cut,
 #: so that any 51 words made of whole sentences hold a span.
@@ -115,14 +115,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     without an id lose only their own repetitions. Rows that share an id
     count as one document. Empty table: empty result.
     """
-    names, schema = docs.columns, docs.schema
+    own, names, at = plain_names(docs), docs.columns, docs.columns.index(text_col)
+    inner = own.columns
     gone = (
         removals(docs, id_col, text_col)
-        .groupBy(F.col("doc_id").alias("__doc"))
-        .agg(F.collect_list(F.struct("h1", "h2")).alias("__gone"))
+        .groupBy("doc_id")
+        .agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))
     )
-    joined = docs.join(gone, F.col(id_col) == F.col("__doc"), "left").drop("__doc")
-    at = names.index(text_col)
+    joined = own.join(gone, F.col(f"c{names.index(id_col)}") == F.col("doc_id"), "left").drop("doc_id")
 
     def rebuilt(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, total, lost = [], [], []
@@ -130,13 +130,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         offsets, flat = lists.offsets.to_numpy(), lists.values
         pair = np.stack([flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)], axis=1) if len(flat) else np.zeros((0, 2), np.int64)
         for k, text in enumerate(batch.column(at).to_pylist()):
-            own = pair[offsets[k] : offsets[k + 1]]
-            new, n, m = (None, 0, 0) if text is None else without(text.encode(), {x.tobytes() for x in own})
+            held = pair[offsets[k] : offsets[k + 1]]
+            new, n, m = (None, 0, 0) if text is None else without(text.encode(), {x.tobytes() for x in held})
             texts.append(new if new is None else new.decode())
             total.append(n)
             lost.append(m)
         cols = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(lost, pa.int64())], names=[*names, "__sentences", "__removed"])
+        return pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(lost, pa.int64())], names=[*inner, "sentences", "removed"])
 
-    out = StructType([*schema.fields, StructField("__sentences", LongType()), StructField("__removed", LongType())])
-    return arrow_map(joined, out, rebuilt)
+    out = StructType([*own.schema.fields, StructField("sentences", LongType()), StructField("removed", LongType())])
+    return arrow_map(joined, out, rebuilt).toDF(*names, "__sentences", "__removed")

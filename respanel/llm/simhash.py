@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from respanel.llm.common import arrow_map, components, prepare, stored, text_bytes
+from respanel.llm.common import arrow_map, components, prepare, stored, text_bytes, without_ids
 
 BITS = 64
 #: Runs up to this length are compared by shifts over a whole batch.
@@ -230,5 +230,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     Rows without an id stay. Rows that share an id count as one document.
     """
     groups = near_groups(docs, id_col, text_col, width, radius)
-    gone = groups.filter("doc_id > component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return without_ids(docs, groups.filter("doc_id > component_id").select("doc_id"), id_col)
