@@ -1,14 +1,15 @@
-"""Near-duplicate documents on five-word shingles, found by covering SimHash tables.
+"""Near-duplicate documents on five-word shingles, found by a prefix filter.
 
-Documents whose word-set fingerprints lie within a radius, in one of several
-families of SimHash, fall into one cluster of candidates. Inside a cluster
-every pair is compared: a link needs a Jaccard similarity of the five-word
-shingle sets of at least ``SIMILARITY``, computed exactly.
+Two shingle sets of Jaccard similarity ``SIMILARITY`` or more share a shingle
+among the rarest fifth of each (Chaudhuri et al. 2006), whatever changed
+between them. Documents that do fall into one cluster of candidates. Inside a
+cluster every pair is compared: a link needs that similarity, computed exactly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,33 +18,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from respanel.llm.common import arrow_map, components, prepare, stored, text_bytes, without_ids
-from respanel.llm.simhash import forest, links
+from respanel.llm.simhash import forest
 
 SIMILARITY, WIDTH = 0.8, 5
-#: Fingerprints a document, and the radius each fingerprint's tables cover.
-#: Measured on pairs of similarity 0.8 and more: 96 % lie within it in some
-#: family, and clusters also hold pairs that only others connect.
-SEEDS, RADIUS = 6, 3
+#: Shingles that a task of the prefix filter holds at once, about.
+PART = 1_000_000
 #: Texts of a block; a cluster of more is compared block against block, so a task holds two blocks.
 BLOCK = 1024
 #: Shingles that so many texts of a comparison share, or fewer, are counted pair by pair; commoner ones by matrix products.
 RARE = 16
 
 
-def word_set_fingerprints(words: list[bytes]) -> np.ndarray:
-    """``SEEDS`` SimHash values of the set of words."""
-    own = list(set(words))
-    if not own:
-        return np.zeros(SEEDS, np.int64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))
-    out = []
-    for seed in range(SEEDS):
-        g = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * seed)
-        g = (g ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        g ^= g >> np.uint64(32)
-        ones = np.unpackbits(g.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(np.packbits(2 * ones > len(g), bitorder="little").view(np.int64)[0])
-    return np.array(out, np.int64)
+def shingle_keys(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of the different five-word shingles (fewer words: the whole)."""
+    if len(words) < WIDTH:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words))] if words else [], np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = len(h) - WIDTH + 1
+    out = np.zeros(n, np.uint64)
+    for k in range(WIDTH):
+        out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+    out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(out ^ (out >> np.uint64(32)))
 
 
 def shingle_set(words: list[bytes]) -> np.ndarray:
@@ -55,39 +51,123 @@ def shingle_set(words: list[bytes]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, h1, h2, s0 ...): hash of the words and the fingerprints."""
+    """(doc_id, h1, h2, n): hash of the words, number of words."""
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("raw"))
-    names = ["doc_id", "h1", "h2", *(f"s{k}" for k in range(SEEDS))]
 
     def signed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = np.zeros((batch.num_rows, 2 + SEEDS), np.int64)
+        out = np.zeros((batch.num_rows, 3), np.int64)
         for i, raw in enumerate(batch.column(1).to_pylist()):
             words = raw.lower().split()
             out[i, :2] = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), np.int64)
-            out[i, 2:] = word_set_fingerprints(words)
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, k].copy()) for k in range(2 + SEEDS))], names=names)
+            out[i, 2] = len(words)
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, k].copy()) for k in range(3))], names=["doc_id", "h1", "h2", "n"])
 
-    return arrow_map(rows, ", ".join(f"{n} long" for n in names), signed)
+    return arrow_map(rows, "doc_id long, h1 long, h2 long, n long", signed)
 
 
-def candidate_clusters(nodes: DataFrame) -> DataFrame:
-    """(node, cluster) of the texts with a candidate: closure of near fingerprints over all families.
+#: A shingle of a text: the text by the first hash of its words, its number of shingles, the shingle, how many texts hold it.
+ENTRY = np.dtype([("text", "<i8"), ("size", "<i4"), ("held", "<i4"), ("key", "<u8")])
 
-    The graph joins each text to its fingerprints and fingerprints to near
-    ones, so no pair of texts is ever a row.
+
+def packed(entries: np.ndarray, by: str, parts: int) -> pa.RecordBatch:
+    """(part, entries): the entries as bytes, dealt over ``parts`` by a field."""
+    part = (entries[by].view(np.uint64) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    part, entries = part[order], entries[order]
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    ends = [*starts[1:].tolist(), len(part)]
+    blobs = [entries[x:y].tobytes() for x, y in zip(starts.tolist(), ends, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array(blobs, pa.binary())], names=["part", "entries"])
+
+
+def by_part(rows: DataFrame, schema: str, fn: Callable[[np.ndarray], pa.RecordBatch]) -> DataFrame:
+    """``fn`` of all entries of each part of (part, entries)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+        for batch in batches:
+            for own, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if own != part and held:
+                    yield fn(np.frombuffer(b"".join(held), ENTRY))
+                    held = []
+                part = own
+                held.append(blob)
+        if held:
+            yield fn(np.frombuffer(b"".join(held), ENTRY))
+
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(run, schema)
+
+
+def shared(entries: np.ndarray) -> np.ndarray:
+    """The entries whose shingle two texts or more hold, with their number, in the order of texts."""
+    entries = entries[np.lexsort((entries["text"], entries["key"]))]
+    new = np.ones(len(entries), bool)
+    new[1:] = (entries["key"][1:] != entries["key"][:-1]) | (entries["text"][1:] != entries["text"][:-1])
+    entries = entries[new]  # equal texts count once
+    starts = np.flatnonzero(np.concatenate(([True], entries["key"][1:] != entries["key"][:-1])))
+    counts = np.diff(np.append(starts, len(entries)))
+    entries["held"] = np.repeat(counts, counts)
+    entries = entries[entries["held"] > 1]
+    return entries[np.argsort(entries["text"], kind="stable")]
+
+
+def prefixes(entries: np.ndarray) -> np.ndarray:
+    """Of the shared shingles of whole texts those among the rarest of a text, by (texts that hold it, shingle).
+
+    A partner of similarity ``SIMILARITY`` shares at least that part of the
+    shingles, so all but one fewer of them are enough to meet it in one.
+    Shingles of the text that are not here are its own and come first.
+    """
+    entries = entries[np.lexsort((entries["key"], entries["held"], entries["text"]))]
+    starts = np.flatnonzero(np.concatenate(([True], entries["text"][1:] != entries["text"][:-1])))
+    counts = np.diff(np.append(starts, len(entries)))
+    size = entries["size"].astype(np.int64)
+    rank = np.arange(len(entries)) - np.repeat(starts, counts) + size - np.repeat(counts, counts)
+    needed = np.ceil(SIMILARITY * size - 1e-6).astype(np.int64)
+    return entries[rank <= size - needed]
+
+
+def met(entries: np.ndarray) -> np.ndarray:
+    """(text, other) rows that join the texts of each shingle."""
+    entries = entries[np.lexsort((entries["text"], entries["key"]))]
+    starts = np.flatnonzero(np.concatenate(([True], entries["key"][1:] != entries["key"][:-1])))
+    first = np.repeat(entries["text"][starts], np.diff(np.append(starts, len(entries))))
+    pairs = np.stack([first, entries["text"]], axis=1)
+    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+
+
+def candidate_clusters(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
+    """(node, cluster) of the texts with a candidate: closure of a shared shingle among the rarest.
+
+    Shingles travel as bytes, dealt first by shingle, to count the texts that
+    hold each, then by text, to find the rarest, and by shingle again. No
+    pair of texts is ever a row: all texts of a shingle join its first.
     """
-    kinds = F.array(*[F.struct(F.lit(k).alias("family"), F.col(f"s{k}").alias("fp")) for k in range(SEEDS)])
-    held = stored(nodes.select("node", F.inline(kinds)), "nd-held")
-    counted = stored(held.groupBy("family", "fp").agg(F.count("*").alias("n")), "nd-fps")
-    near = stored(links(counted.select("family", "fp"), RADIUS), "nd-links")
-    met = near.select("family", F.col("a").alias("fp")).union(near.select("family", "b")).union(counted.filter("n > 1").select("family", "fp")).distinct()
-    place = lambda fp: F.xxhash64(F.lit("fp"), "family", fp)
-    of_text = F.xxhash64(F.lit("text"), "node")
-    own = held.join(met, ["family", "fp"]).select("node", of_text.alias("a"), place("fp").alias("b"))
-    own = stored(own, "nd-own")
-    joined = components(own.select("a", "b").union(near.select(place("a"), place("b"))))
-    texts = own.select("node", "a").distinct()
-    return texts.join(joined, texts.a == joined.node).select(texts.node, F.col("label").alias("cluster"))
+    parts = max(1, math.ceil((nodes.agg(F.sum("n")).first()[0] or 0) / PART))
+    rows = docs.select(text_bytes(text_col).alias("raw"))
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, keys = [], []
+        for raw in dict.fromkeys(batch.column(0).to_pylist()):
+            words = raw.lower().split()
+            texts.append(np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), np.int64)[0])
+            keys.append(shingle_keys(words))
+        sizes = np.array([len(k) for k in keys])
+        out = np.zeros(sizes.sum(), ENTRY)
+        out["text"], out["size"], out["key"] = np.repeat(np.array(texts), sizes), np.repeat(sizes, sizes), np.concatenate(keys)
+        return packed(out, "key", parts)
+
+    held = "part int, entries binary"
+    counted = by_part(arrow_map(rows, held, cut), held, lambda e: packed(shared(e), "text", parts))
+    rarest = by_part(counted, held, lambda e: packed(prefixes(e), "key", parts))
+
+    def joined(entries: np.ndarray) -> pa.RecordBatch:
+        pairs = met(entries)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    labels = components(by_part(rarest, "a long, b long", joined))
+    return nodes.join(labels.withColumnRenamed("node", "text"), F.col("h1") == F.col("text")).select("node", F.col("label").alias("cluster"))
 
 
 def similar(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -174,8 +254,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prepare(docs.sparkSession)
     rows = stored(signatures(docs, id_col, text_col), "nd-signatures")
-    nodes = stored(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), *[F.min(f"s{k}").alias(f"s{k}") for k in range(SEEDS)]), "nd-nodes")
-    clusters = stored(candidate_clusters(nodes), "nd-clusters")
+    nodes = stored(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n")), "nd-nodes")
+    clusters = stored(candidate_clusters(docs.filter(F.col(id_col).isNotNull()), nodes, text_col), "nd-clusters")
     labels = components(links_in_clusters(docs, clusters, id_col, text_col))
     group = nodes.select("h1", "h2", "node").join(labels, "node", "left").select("h1", "h2", "node", F.coalesce("label", "node").alias("label"))
     group = stored(group, "nd-group")

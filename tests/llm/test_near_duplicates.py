@@ -156,3 +156,31 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert len(near) > 100 and {got[k] for k in near} == {min(near)} and got[500] == min(near)
     assert all(got[900 + k] == 900 + k for k in range(20))
     assert neardup.near_duplicates(table(spark, [])).count() == 0
+
+
+def test_appended_truncated_and_prefixed_copies_are_found(spark):
+    base = [text(120 + 40 * k, 4000 + k) for k in range(40)]
+    rows = list(enumerate(base))
+    for k, t in enumerate(base):
+        words, n = t.split(), len(t.split())
+        rows.append((100 + k, f"{t} {text(n * 4 // 5 // 4, 5000 + k)}"))
+        rows.append((200 + k, " ".join(words[: -(n // 6)])))
+        rows.append((300 + k, f"{text(n // 8, 6000 + k)} {t}"))
+        rows.append((400 + k, f"{t} {text(n // 2, 7000 + k)}"))
+    assert all(jaccard(base[i % 100], t) >= 0.8 for i, t in rows if i < 400) and all(jaccard(base[i - 400], t) < 0.8 for i, t in rows if i >= 400)
+    got = {r.doc_id: r.keeper for r in neardup.near_duplicates(table(spark, rows)).collect()}
+    assert all(got[i] == i % 100 for i, _ in rows if i < 400)
+    label = closure(len(rows), lambda i, j: rows[i][0] % 100 == rows[j][0] % 100 and jaccard(rows[i][1], rows[j][1]) >= 0.8)
+    assert got == {i: min(rows[k][0] for k in range(len(rows)) if label[k] == g) for (i, _), g in zip(rows, label, strict=True)}
+
+
+def test_prefixes_of_similar_sets_always_meet():
+    draw = random.Random(8)
+    for _ in range(300):
+        own = draw.sample(range(10_000), draw.randint(1, 60))
+        other = own[draw.randint(0, len(own) // 5) :] + [20_000 + k for k in range(draw.randint(0, len(own) // 5))]
+        sets = [set(own), set(other)] + [set(draw.sample(range(10_000), 40)) | set(own[:3]) for _ in range(5)]
+        entries = np.concatenate([np.array([(t, len(s), 0, k) for k in s], neardup.ENTRY) for t, s in enumerate(sets)])
+        if 5 * len(sets[0] & sets[1]) >= 4 * len(sets[0] | sets[1]):
+            left = neardup.prefixes(neardup.shared(entries))
+            assert set(left["key"][left["text"] == 0].tolist()) & set(left["key"][left["text"] == 1].tolist())
