@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 
 from respanel.llm.common import prepare, text_bytes, without_ids
 
-#: Fixed masks. One ignored position in the middle survives every fifth token
-#: changed at one phase, two ignored positions five apart the other phases.
-MASKS = ("11101111", "11011011", "10111101")
-SPAN = len(MASKS[0])
+#: Fixed masks, none longer than ``SPAN``, the least item that may have changes.
+#: Found by greedy search over all patterns of changes: whatever fifth of the
+#: tokens of an overlap of ``SPAN`` tokens or more is changed, one mask hits.
+MASKS = ("1111011", "11010111", "111111", "11100111", "1110111", "10110111", "1111101")
+SPAN = 8
 MIN_WORDS, IDENTITY = 13, 0.8
 #: Words of test items that one pass holds in each worker: 8 bytes for a word
-#: and 20 for each of its seeds, about 70 MB at this bound.
+#: and 20 for each of its seeds, about 150 MB at this bound.
 BLOCK_WORDS = 1_000_000
 FILTER_BITS = 22
 
@@ -68,10 +69,10 @@ class SeedIndex:
                 self.ids.append(item)
                 self.tokens.append(tokens)
         short = {"1" * len(t) for t in self.tokens if len(t) < SPAN}
-        self.masks = [*MASKS, *sorted(short)]
+        self.masks = list(dict.fromkeys([*MASKS, *sorted(short)]))
         self.tables = []
         for mask in self.masks:
-            own = [(k, t) for k, t in enumerate(self.tokens) if len(t) >= SPAN or len(t) == len(mask)]
+            own = [(k, t) for k, t in enumerate(self.tokens) if len(t) >= SPAN or mask == "1" * len(t)]
             seeds = [seed_hashes(t, mask) for _, t in own]
             key = np.concatenate([np.zeros(0, np.uint64), *seeds])
             item = np.repeat(np.array([k for k, _ in own], np.int64), [len(s) for s in seeds])

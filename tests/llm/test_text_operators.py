@@ -1,5 +1,6 @@
 """Decontamination, line and sentence dedup, quality rules and the classifier against plain Python."""
 
+import itertools
 import random
 import re
 
@@ -50,6 +51,30 @@ def test_leaks_match_brute_force(spark, sf):
     assert want and want <= got
 
 
+def test_every_pattern_of_a_fifth_of_changes_hits():
+    # an overlap of 26 words or more holds one of 13 to 20 with as few changes; 21 to 24 words with 4 changes hold one of 20
+    for n in [*range(decontaminate.SPAN, 21), 25]:
+        patterns = np.array([sum(1 << k for k in p) for p in itertools.combinations(range(n), n // 5)])
+        open_ = np.ones(len(patterns), bool)
+        for mask in decontaminate.MASKS:
+            assert len(mask) <= decontaminate.SPAN
+            for at in range(n - len(mask) + 1):
+                open_ &= (patterns & (int(mask[::-1], 2) << at)) != 0
+        assert not open_.any(), n
+
+
+def test_short_changed_items_are_found(spark):
+    item = words(13, 21).split()
+    rows, cut = [], list(itertools.combinations(range(13), 2))
+    for k, (a, b) in enumerate(cut):
+        rows.append((1000 + k, " ".join(["before", *(f"new{k}" if j in (a, b) else w for j, w in enumerate(item)), "after"])))
+    items = spark.createDataFrame([(0, " ".join(item)), (1, words(7, 22)), (2, words(6, 23))], "item_id long, text string")
+    seven, six = words(7, 22).split(), words(6, 23).split()
+    rows += [(1, " ".join([*seven[:3], "zzz", *seven[4:]])), (2, f"x {words(7, 22)} y"), (3, " ".join([*six[:3], "zzz", *six[4:]])), (4, f"x {words(6, 23)} y")]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(table(spark, rows), items).collect()}
+    assert got == {(1000 + k, 0) for k, (a, b) in enumerate(cut)} | {(2, 1), (4, 2)}
+
+
 def test_leaks_empty_tables(spark):
     docs, items = table(spark, []), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.overlaps(docs, items).count() == 0
