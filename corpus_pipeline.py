@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay, repeated line runs go; n_chars follows the text."""
-    out = linededup.dedup(docs).drop("__removed")
+    out = linededup.dedup(docs, whole=True).drop("__removed")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

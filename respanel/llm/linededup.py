@@ -46,6 +46,48 @@ def candidates(raw: bytes) -> list[tuple[int, bytes]]:
     return out
 
 
+def runs(raw: bytes) -> tuple[list[bytes], list[tuple[int, int]], list[bytes]]:
+    """(lines, [first, last] lines of each run of two lines with words, 128-bit hash of its bytes).
+
+    Blank lines between the two belong to the run. A run starts at every line
+    with words, so a longer equal passage is covered wherever it starts.
+    """
+    lines = raw.split(b"\n")
+    worded = [k for k, x in enumerate(lines) if x.strip()]
+    ranges = list(zip(worded[:-1], worded[1:], strict=True))
+    return lines, ranges, [xxhash.xxh3_128_digest(b"\n".join(lines[s : e + 1])) for s, e in ranges]
+
+
+def run_removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, h1, h2): the runs of two lines that some document of smaller id also holds."""
+    prepare(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("raw"))
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts, keys = [], []
+        for raw in batch.column(1).to_pylist():
+            own = dict.fromkeys(runs(raw)[2])
+            counts.append(len(own))
+            keys += own
+        pairs = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+        ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
+        return pa.RecordBatch.from_arrays([ids, pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["doc_id", "h1", "h2"])
+
+    held = arrow_map(rows, "doc_id long, h1 long, h2 long", cut)
+    first = held.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "owner")
+    return held.join(first, ["h1", "h2"]).filter("doc_id > owner").select("doc_id", "h1", "h2")
+
+
+def without_runs(raw: bytes, gone: set[bytes]) -> tuple[bytes, int]:
+    """(text without the lines that a run in ``gone`` or a later equal run covers, lines removed)."""
+    lines, ranges, keys = runs(raw)
+    lost, ends = [False] * len(lines), {}
+    for (s, e), key in zip(ranges, keys, strict=True):
+        if key in gone or s > ends.setdefault(key, e):
+            lost[s : e + 1] = [True] * (e + 1 - s)
+    return b"\n".join(x for x, out in zip(lines, lost, strict=True) if not out), sum(lost)
+
+
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, hash): the chunks that some document of smaller id also holds, by hash of the chunk.
 
@@ -81,9 +123,12 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return held.join(repeated, "h").filter("doc_id > owner").select("doc_id", "h")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """``docs`` with every column, ``text_col`` without its repeated chunks, plus ``__removed``, the lines removed.
 
+    With ``whole`` every repeated run of two or more lines with words goes,
+    wherever its chunks are cut; without it only whole equal chunks go.
+
     A chunk stays in the document of smallest id that holds it and goes from
     all others; inside one document its first place stays. Texts of one line
     and single-line chunks never change. Kept lines stay in order, joined by
@@ -94,7 +139,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     prepare(docs.sparkSession)
     own, names, at = plain_names(docs), docs.columns, docs.columns.index(text_col)
     inner = own.columns
-    gone = removals(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_set("h").alias("gone"))
+    if whole:
+        key = F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))
+        gone = run_removals(docs, id_col, text_col).select("doc_id", F.unhex(key).alias("h"))
+    else:
+        gone = removals(docs, id_col, text_col)
+    gone = gone.groupBy("doc_id").agg(F.collect_set("h").alias("gone"))
     joined = own.join(gone, F.col(f"c{names.index(id_col)}") == F.col("doc_id"), "left").drop("doc_id")
 
     def rebuilt(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -104,7 +154,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 texts.append(None)
                 counts.append(0)
                 continue
-            kept, n = without(text.encode(), set(gone or ()))
+            if whole:  # the halves of a key come with the greatest byte first
+                kept, n = without_runs(text.encode(), {bytes(x[7::-1] + x[:7:-1]) for x in gone or ()})
+            else:
+                kept, n = without(text.encode(), set(gone or ()))
             texts.append(kept.decode())
             counts.append(n)
         cols = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))]

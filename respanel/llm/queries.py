@@ -23,7 +23,7 @@ def op2_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
     return out.select("doc_id", F.col("__removed").alias("n_removed_lines"), "text")
 
 

@@ -117,6 +117,29 @@ def test_line_dedup_matches_brute_force(spark):
     assert linededup.dedup(table(spark, [])).count() == 0
 
 
+def test_whole_line_runs_go_at_any_length(spark):
+    lines = lambda n, seed: [words(6, seed * 100 + k) for k in range(n)]
+    rows, want = [], {}
+    for k in range(60):
+        n = 2 + k % 11
+        passage = lines(n, 7000 + k)
+        if k % 3 == 0:
+            passage.insert(1, " ")
+        for d in range(2):
+            before, after = lines(k % 4, 8000 + 2 * k + d), lines(1 + k % 3, 9000 + 2 * k + d)
+            rows.append((1000 * d + 100 + k, "\n".join(before + passage + after)))
+            want[1000 * d + 100 + k] = "\n".join(before + (passage if d == 0 else []) + after)
+    one = words(6, 1)
+    rows += [(3000, "\n".join([one] * 3)), (3001, "a b\nc d\ne f\na b\nc d"), (3002, one + "\nx"), (None, "a b\nc d"), *EDGE]
+    want |= {3000: "\n".join([one] * 3), 3001: "a b\nc d\ne f", 3002: one + "\nx", None: None}
+    out = linededup.dedup(table(spark, rows), whole=True)
+    got = {r.doc_id: r for r in out.collect()}
+    assert {i: got[i].text for i in want if i is not None} == {i: t for i, t in want.items() if i is not None}
+    assert got[1100]["__removed"] == 3 and out.count() == len(rows)
+    assert {r.text for r in out.filter("doc_id is null").collect()} == {None, "one two", "a b\nc d"}
+    assert linededup.dedup(table(spark, []), whole=True).count() == 0
+
+
 def test_chunks_resist_shifts():
     lines = [words(5, k).encode() for k in range(60)]
     cuts = {lines[e - 1] for _, e in linededup.chunks(lines)}
