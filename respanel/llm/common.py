@@ -21,21 +21,29 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: Scratch paths this process made and has not deleted, in order.
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset
-    (tests on one machine) a temporary folder takes its place.
+    Where that is unset, a temporary folder takes its place on one machine
+    (tests); on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is unset: executors need a shared folder for intermediate tables")
         root = "file://" + tempfile.mkdtemp(prefix="respanel-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -47,6 +55,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def scratch_mark() -> int:
+    """A place in the list of scratch paths, for ``drop_scratch``."""
+    return len(_MADE)
+
+
+def drop_scratch(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the scratch folders made after ``since``, but not those ``keep`` reads directly.
+
+    For callers that have read or written their results: frames made from
+    those folders cannot be read any more.
+    """
+    held = {name.rsplit("/", 2)[-2] for name in keep.inputFiles()} if keep is not None else set()
+    own = _MADE[since:]
+    _MADE[since:] = [x for x in own if x.rsplit("/", 1)[-1] in held]
+    for path in own:
+        if path.rsplit("/", 1)[-1] not in held:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete the files behind a table made by ``stored``."""
     jvm = df.sparkSession._jvm
@@ -80,6 +108,36 @@ def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     return own.join(lost, at == lost.gone_id, "left_anti").toDF(*docs.columns)
 
 
+#: Repeated keys that are broadcast at once, at most: about 24 MB. A key held more often than this is dealt over all tasks.
+FEW_KEYS, HOT = 250_000, 100_000
+
+
+def later_holders(held: DataFrame, first: DataFrame) -> DataFrame:
+    """The rows (doc_id, key) of ``held`` whose key some smaller doc_id holds too.
+
+    ``first``: (key, owner, n), the smallest holder and the number of rows of
+    every key that several documents hold. Few keys are broadcast. Else only
+    the commonest are, at most ``FEW_KEYS`` since each has over sum(n) /
+    ``FEW_KEYS`` rows, and the others meet by a shuffle, in which no key
+    brings more rows than that to a task.
+    """
+    first = stored(first, "first-holders")
+    size = first.agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    if size["keys"] <= FEW_KEYS:
+        return held.join(F.broadcast(first.select("key", "owner")), "key").filter("doc_id > owner").select("doc_id", "key")
+    hot = F.col("n") > max(HOT, size["rows"] // FEW_KEYS)
+    common, rare = first.filter(hot).select("key", "owner"), first.filter(~hot).select("key", "owner")
+    near = held.join(F.broadcast(common), "key")
+    far = held.join(F.broadcast(common.select("key")), "key", "left_anti").join(rare, "key")
+    return near.unionByName(far).filter("doc_id > owner").select("doc_id", "key")
+
+
+def first_holders(held: DataFrame) -> DataFrame:
+    """(key, owner, n) of the keys of (doc_id, key) that several documents hold."""
+    seen = held.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top"), F.count("*").alias("n"))
+    return seen.filter("top > owner").select("key", "owner", "n")
+
+
 def text_bytes(text: str | Column) -> Column:
     """The UTF-8 bytes of a text column; a null text is empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")

@@ -1,7 +1,16 @@
-"""Removal of line runs that repeat across documents, cut at content-defined places."""
+"""Removal of line runs that repeat across documents.
+
+Chunks are cut at content-defined places: a rolling hash over the last lines
+is compared with its neighbours, and its local minima are cuts, so that an
+insertion moves only the cuts next to it. Chunks are grouped by their bytes.
+A repeated passage keeps the lines between its ends and the nearest cuts, so
+``whole`` adds the runs of the rolling window itself, by 128-bit hash.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -9,176 +18,151 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from respanel.llm.common import arrow_map, plain_names, prepare, text_bytes
+from respanel.llm.common import arrow_map, first_holders, later_holders, plain_names, prepare, stored, text_bytes
+
+#: Lines in the rolling window, and so the least lines of a chunk.
+WINDOW = 2
+FACTOR = 0x9E3779B97F4A7C15
+MASK = (1 << 64) - 1
 
-#: Lines in the rolling window, mean lines between cuts, least and most lines of a chunk.
-WINDOW, MEAN, LEAST, MOST = 2, 3, 2, 64
+
+def rolling(lines: list[bytes]) -> list[int]:
+    """Hash of the ``WINDOW`` lines that end at each line: the newest line comes in, the oldest goes out."""
+    out, at, oldest = [], 0, pow(FACTOR, WINDOW, 1 << 64)
+    hashed = [xxhash.xxh64_intdigest(x) for x in lines]
+    for i, h in enumerate(hashed):
+        at = (at * FACTOR + h) & MASK
+        if i >= WINDOW:
+            at = (at - hashed[i - WINDOW] * oldest) & MASK
+        out.append(at ^ (at >> 32))
+    return out
 
 
 def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
-    """[start, end) line ranges: a cut follows a line whose rolling hash over the last lines hits.
+    """[start, end) line ranges: a cut follows a line whose rolling hash lies below its neighbours'.
 
-    The hash sees only the last ``WINDOW`` lines, so an insertion moves cuts
-    only next to itself. A line run without a cut ends at ``MOST`` lines.
+    No two cuts are adjacent, so every chunk but the first and the last has
+    two lines or more. A cut depends on the ``WINDOW`` + 2 lines around it and
+    on no cut before, whatever comes earlier in the text.
     """
-    out, start, rolled = [], 0, 0
-    hashed = [xxhash.xxh32_intdigest(x) for x in lines]
-    for i in range(len(lines)):
-        rolled = hashed[i] if not i else (hashed[i] * 31 + hashed[i - 1] * 961) & 0xFFFFFFFF
-        size = i + 1 - start
-        if (size >= LEAST and (rolled >> 7) % MEAN == 0) or size >= MOST:
-            out.append((start, i + 1))
-            start = i + 1
-    if start < len(lines):
-        out.append((start, len(lines)))
-    return out
+    rolled = rolling(lines)
+    cuts = [i + 1 for i in range(1, len(lines) - 1) if rolled[i] < rolled[i - 1] and rolled[i] <= rolled[i + 1]]
+    edges = [0, *cuts, len(lines)]
+    return [(s, e) for s, e in zip(edges[:-1], edges[1:], strict=True) if e > s]
 
 
-def candidates(raw: bytes) -> list[tuple[int, bytes]]:
-    """(chunk number, bytes) of the chunks with two or more lines that hold words."""
-    lines = raw.split(b"\n")
+def chunk_ranges(lines: list[bytes]) -> list[tuple[int, int]]:
+    """The chunks with two or more lines that hold words, without blank lines at their ends."""
     if len(lines) < 2:
         return []
     out = []
-    for k, (s, e) in enumerate(chunks(lines)):
-        if e - s > 1 and sum(1 for x in lines[s:e] if x.strip()) > 1:
-            out.append((k, b"\n".join(lines[s:e])))
+    for s, e in chunks(lines):
+        held = [k for k in range(s, e) if lines[k].strip()]
+        if len(held) > 1:
+            out.append((held[0], held[-1] + 1))
     return out
 
 
-def runs(raw: bytes) -> tuple[list[bytes], list[tuple[int, int]], list[bytes]]:
-    """(lines, [first, last] lines of each run of two lines with words, 128-bit hash of its bytes).
-
-    Blank lines between the two belong to the run. A run starts at every line
-    with words, so a longer equal passage is covered wherever it starts.
-    """
+def candidates(raw: bytes) -> list[tuple[int, bytes]]:
+    """(first line, bytes) of the chunks that may be removed."""
     lines = raw.split(b"\n")
+    return [(s, b"\n".join(lines[s:e])) for s, e in chunk_ranges(lines)]
+
+
+def chunk_key(chunk: bytes) -> bytes:
+    return hashlib.sha256(chunk).digest()[:16]
+
+
+def run_ranges(lines: list[bytes]) -> list[tuple[int, int]]:
+    """[start, end) of each run of ``WINDOW`` lines with words; blank lines between them belong to it."""
     worded = [k for k, x in enumerate(lines) if x.strip()]
-    ranges = list(zip(worded[:-1], worded[1:], strict=True))
-    return lines, ranges, [xxhash.xxh3_128_digest(b"\n".join(lines[s : e + 1])) for s, e in ranges]
+    return [(s, e + 1) for s, e in zip(worded, worded[WINDOW - 1 :], strict=False)]
 
 
-def run_removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, h1, h2): the runs of two lines that some document of smaller id also holds."""
+def run_keys(lines: list[bytes], ranges: list[tuple[int, int]]) -> list[bytes]:
+    return [xxhash.xxh3_128_digest(b"\n".join(lines[s:e])) for s, e in ranges]
+
+
+def _keys(docs: DataFrame, id_col: str, text_col: str, fn) -> DataFrame:
+    """(doc_id, key): ``fn`` of the lines of every row, each key once a row."""
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("raw"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("raw")).filter("doc_id is not null")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, keys = [], []
         for raw in batch.column(1).to_pylist():
-            own = dict.fromkeys(runs(raw)[2])
+            own = dict.fromkeys(fn(raw.split(b"\n")))
             counts.append(len(own))
             keys += own
-        pairs = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
         ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-        return pa.RecordBatch.from_arrays([ids, pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["doc_id", "h1", "h2"])
+        return pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary())], names=["doc_id", "key"])
 
-    held = arrow_map(rows, "doc_id long, h1 long, h2 long", cut)
-    first = held.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "owner")
-    return held.join(first, ["h1", "h2"]).filter("doc_id > owner").select("doc_id", "h1", "h2")
+    return arrow_map(rows, "doc_id long, key binary", cut)
 
 
-def without_runs(raw: bytes, gone: set[bytes]) -> tuple[bytes, int]:
-    """(text without the lines that a run in ``gone`` or a later equal run covers, lines removed)."""
-    lines, ranges, keys = runs(raw)
-    lost, ends = [False] * len(lines), {}
-    for (s, e), key in zip(ranges, keys, strict=True):
-        if key in gone or s > ends.setdefault(key, e):
-            lost[s : e + 1] = [True] * (e + 1 - s)
-    return b"\n".join(x for x, out in zip(lines, lost, strict=True) if not out), sum(lost)
+def _chunks_of(lines: list[bytes]) -> list[bytes]:
+    return [b"\n".join(lines[s:e]) for s, e in chunk_ranges(lines)]
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, hash): the chunks that some document of smaller id also holds, by hash of the chunk.
+def chunk_removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, key): the chunks that a document of smaller id also holds, compared byte by byte."""
+    same = first_holders(_keys(docs, id_col, text_col, _chunks_of))
+    first = same.select(F.substring(F.unhex(F.sha2("key", 256)), 1, 16).alias("key"), "owner", "n")
+    return later_holders(_keys(docs, id_col, text_col, lambda lines: [chunk_key(x) for x in _chunks_of(lines)]), first)
 
-    Chunks are grouped by their bytes, so only equal bytes ever count as a
-    repetition; a chunk whose 64-bit hash another repeated chunk shares is
-    left out of the result, as its hash would not name it.
-    """
-    prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("raw"))
 
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, raws = [], []
-        for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = {x for _, x in candidates(raw)}
-            ids += [i] * len(own)
-            raws += own
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raws, pa.binary())], names=["doc_id", "chunk"])
-
-    def hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, keys = [], []
-        for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = {xxhash.xxh64_intdigest(x, 42) for _, x in candidates(raw)}
-            ids += [i] * len(own)
-            keys += own
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64))], names=["doc_id", "h"])
-
-    same = arrow_map(rows, "doc_id long, chunk binary", cut).groupBy("chunk").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"))
-    named = same.groupBy(F.xxhash64("chunk").alias("h")).agg(
-        F.count("*").alias("texts"), F.max("n").alias("n"), F.min("owner").alias("owner")
-    )
-    repeated = named.filter("texts = 1 and n > 1").select("h", "owner")
-    held = arrow_map(rows, "doc_id long, h long", hashes)
-    return held.join(repeated, "h").filter("doc_id > owner").select("doc_id", "h")
+def run_removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, key): the runs of ``WINDOW`` lines that a document of smaller id also holds."""
+    held = stored(_keys(docs, id_col, text_col, lambda lines: run_keys(lines, run_ranges(lines))), "line-runs")
+    return later_holders(held, first_holders(held))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
-    """``docs`` with every column, ``text_col`` without its repeated chunks, plus ``__removed``, the lines removed.
+def without(raw: bytes, gone: set[bytes], whole: bool = False) -> tuple[bytes, int]:
+    """(text without the lines of chunks, with ``whole`` of runs, that ``gone`` names or that repeat inside the text, lines removed)."""
+    lines = raw.split(b"\n")
+    lost, seen = [False] * len(lines), {}
+    named = [(r, chunk_key(b"\n".join(lines[slice(*r)]))) for r in chunk_ranges(lines)]
+    if whole:
+        ranges = run_ranges(lines)
+        named += zip(ranges, run_keys(lines, ranges), strict=True)
+    for (s, e), key in named:
+        if key in gone or s >= seen.setdefault(key, e):
+            lost[s:e] = [True] * (e - s)
+    return b"\n".join(x for x, out in zip(lines, lost, strict=True) if not out), sum(lost)
 
-    With ``whole`` every repeated run of two or more lines with words goes,
-    wherever its chunks are cut; without it only whole equal chunks go.
 
-    A chunk stays in the document of smallest id that holds it and goes from
-    all others; inside one document its first place stays. Texts of one line
-    and single-line chunks never change. Kept lines stay in order, joined by
-    a line feed, byte for byte. A null text stays null (0 lines removed); a
-    row without an id keeps its text. Rows that share an id count as one
-    document: both keep what either holds first. Empty table: empty result.
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """``docs`` with every column, ``text_col`` without its repeated lines, plus ``__removed``, the lines removed.
+
+    A chunk of two or more lines with words stays in the document of smallest
+    id that holds it and goes from all others; inside one document its first
+    place stays. With ``whole`` so does every run of two lines with words
+    (and the blank lines between), so that a repeated passage goes from its
+    first line to its last wherever chunks are cut.
+
+    Texts of one line and lines that repeat alone never change. Kept lines
+    stay in order, joined by a line feed, byte for byte. A null text stays
+    null (0 lines removed); a row without an id is held against no other and
+    loses only its own repetitions. Rows that share an id count as one
+    document: both keep what either holds first. Very long texts are cut as
+    a whole. Columns may have any names. Empty table: empty result.
     """
     prepare(docs.sparkSession)
     own, names, at = plain_names(docs), docs.columns, docs.columns.index(text_col)
     inner = own.columns
+    gone = chunk_removals(docs, id_col, text_col)
     if whole:
-        key = F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))
-        gone = run_removals(docs, id_col, text_col).select("doc_id", F.unhex(key).alias("h"))
-    else:
-        gone = removals(docs, id_col, text_col)
-    gone = gone.groupBy("doc_id").agg(F.collect_set("h").alias("gone"))
+        gone = gone.unionByName(run_removals(docs, id_col, text_col))
+    gone = gone.groupBy("doc_id").agg(F.collect_list("key").alias("gone"))
     joined = own.join(gone, F.col(f"c{names.index(id_col)}") == F.col("doc_id"), "left").drop("doc_id")
 
     def rebuilt(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, counts = [], []
         for text, gone in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
-            if text is None:
-                texts.append(None)
-                counts.append(0)
-                continue
-            if whole:  # the halves of a key come with the greatest byte first
-                kept, n = without_runs(text.encode(), {bytes(x[7::-1] + x[:7:-1]) for x in gone or ()})
-            else:
-                kept, n = without(text.encode(), set(gone or ()))
-            texts.append(kept.decode())
+            kept, n = (None, 0) if text is None else without(text.encode(), set(gone or ()), whole)
+            texts.append(kept if kept is None else kept.decode())
             counts.append(n)
         cols = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
         return pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64())], names=[*inner, "removed"])
 
     return arrow_map(joined, StructType([*own.schema.fields, StructField("removed", LongType())]), rebuilt).toDF(*names, "__removed")
-
-
-def without(raw: bytes, gone: set[int]) -> tuple[bytes, int]:
-    """(text without the chunks whose signed hash is in ``gone`` and without later equal chunks, lines removed)."""
-    lines = raw.split(b"\n")
-    if len(lines) < 2:
-        return raw, 0
-    kept, seen = [], set()
-    for s, e in chunks(lines):
-        piece = lines[s:e]
-        if e - s > 1 and sum(1 for x in piece if x.strip()) > 1:
-            whole = b"\n".join(piece)
-            h = xxhash.xxh64_intdigest(whole, 42)
-            if whole in seen or (h - (1 << 64) if h >> 63 else h) in gone:
-                continue
-            seen.add(whole)
-        kept += piece
-    return b"\n".join(kept), len(lines) - len(kept)
