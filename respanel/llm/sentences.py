@@ -1,8 +1,13 @@
-"""Removal of sentences covered by a run of sentences that occurred before."""
+"""Removal of sentences covered by a run of sentences that occurred before.
 
-from __future__ import annotations
+Sentences end at stops and line ends. One of over ``WINDOW`` words is cut at
+content-defined words (winnowing: the word of least hash in every window of
+``WINDOW`` words), so that a passage is cut alike wherever it stands in a
+sentence. A span is the shortest run of at least ``SPAN`` such pieces that
+has ``LEAST`` words: stock phrases are none.
+"""
 
-import re
+from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
@@ -11,56 +16,99 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from respanel.llm.common import arrow_map, plain_names, prepare, text_bytes
-
-#: Consecutive sentences of a span. Words after which a long sentence is cut,
-#: so that any 51 words made of whole sentences hold a span.
-SPAN, LONG = 3, 20
-
-END = re.compile(rb"(?:[.!?]+(?=[ \t\r\f\v\n])|\n)[ \t\r\f\v\n]*")
-WORDS = re.compile(rb"\S+\s*")
+from respanel.llm.common import arrow_map, first_holders, later_holders, plain_names, prepare, stored, text_bytes
+
+#: Least pieces and words of a span; words of a window that holds a cut. A
+#: passage of n words has its cuts in common from word WINDOW to word
+#: n - WINDOW at the latest, and a span ends within LEAST + WINDOW - 1 words
+#: of its start (or 3 * WINDOW), so any 51 words hold a span.
+SPAN, LEAST, WINDOW = 3, 20, 10
+
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+# Unicode sentence ends, by their UTF-8 bytes.
+STOPS = (".", "!", "?", "。", "！", "？", "｡", "؟", "۔", "।", "॥", "።", "។", "։", "။", "…")
+#: UTF-8 first bytes of U+3000 to U+9FFF: kana and Han, written without spaces. Each such character is a word.
+LEADS = (0xE3, 0xE9)
+
+
+def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(starts, ends, words in lower case) of the words of a text, white space between or characters of scripts without spaces."""
+    data = np.frombuffer(raw, np.uint8)
+    blank = BLANK[data]
+    first = ~blank
+    first[1:] &= blank[:-1]
+    lead = (data >= LEADS[0]) & (data <= LEADS[1])
+    spaced = not lead.any()
+    if not spaced:
+        first |= lead
+        first[3:] |= lead[:-3] & ~blank[3:]
+    starts = np.flatnonzero(first)
+    last = ~blank
+    last[:-1] &= blank[1:] | first[1:]
+    ends = np.flatnonzero(last) + 1
+    low = raw.lower()
+    return starts, ends, low.split() if spaced else [low[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
+def piece_starts(raw: bytes, starts: np.ndarray, ends: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """Numbers of the words that begin a piece: the first of a sentence, and the least of a window inside one."""
+    n = len(words)
+    data = np.frombuffer(raw, np.uint8)
+    begins = np.zeros(n, bool)
+    begins[0] = True
+    stop = np.zeros(n, bool)
+    for mark in STOPS:
+        code = mark.encode()
+        held = ends - starts >= len(code)
+        for k, byte in enumerate(reversed(code)):
+            held &= data[np.maximum(ends - 1 - k, 0)] == byte
+        stop |= held
+    lines = np.concatenate(([0], np.cumsum(data == 10)))
+    begins[1:] = stop[:-1] | (lines[starts[1:]] > lines[ends[:-1]])
+    if n >= WINDOW:
+        sentence = np.cumsum(begins)
+        hashed = np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, n)
+        inside = np.flatnonzero(sentence[: n - WINDOW + 1] == sentence[WINDOW - 1 :])
+        if len(inside):
+            windows = np.lib.stride_tricks.sliding_window_view(hashed, WINDOW)[inside]
+            begins[inside + windows.argmin(axis=1)] = True
+    return np.flatnonzero(begins)
 
 
 def sentences(raw: bytes) -> list[tuple[int, int]]:
-    """Byte ranges that tile the text: sentences with the white space after them, long ones cut by words."""
-    out, start = [], 0
-    pieces: list[tuple[int, int]] = []
-    for m in END.finditer(raw):
-        pieces.append((start, m.end()))
-        start = m.end()
-    if start < len(raw):
-        pieces.append((start, len(raw)))
-    for s, e in pieces:
-        if e - s <= 2 * LONG:  # a word and a space take two bytes at least
-            out.append((s, e))
-            continue
-        words = [w.end() for w in WORDS.finditer(raw, s, e)]
-        if len(words) <= LONG:
-            out.append((s, e))
-            continue
-        cuts = [s, *words[LONG - 1 : -1 : LONG], e]
-        out += zip(cuts[:-1], cuts[1:], strict=True)
-    return out
+    """Byte ranges that tile the text: pieces with the white space after them."""
+    return pieces_and_spans(raw)[0]
+
+
+def pieces_and_spans(raw: bytes) -> tuple[list[tuple[int, int]], list[int], list[bytes]]:
+    """(piece ranges, for each span its last piece, 128-bit key of its words); span k begins at piece k. White space and case of A-Z don't count."""
+    if not raw:
+        return [], [], []
+    starts, ends, words = words_of(raw)
+    if not words:
+        return [(0, len(raw))], [], []
+    first = piece_starts(raw, starts, ends, words)
+    cuts = [0, *starts[first[1:]].tolist(), len(raw)]
+    after = np.append(first, len(words))
+    stop = np.maximum(np.searchsorted(after, first + LEAST), np.arange(len(first)) + SPAN)
+    stop = stop[stop < len(after)]
+    begin, end = first[: len(stop)].tolist(), after[stop].tolist()
+    keys = [xxhash.xxh3_128_digest(b" ".join(words[s:e])) for s, e in zip(begin, end, strict=True)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True)), (stop - 1).tolist(), keys
 
 
 def span_keys(raw: bytes) -> tuple[list[tuple[int, int]], list[bytes]]:
-    """(sentence ranges, 128-bit key of each run of ``SPAN`` sentences); white space and case don't count."""
-    ranges = sentences(raw)
-    flat = [b" ".join(raw[s:e].lower().split()) for s, e in ranges]
-    worded = [k for k, x in enumerate(flat) if x]
-    texts = [flat[k] for k in worded]
-    keys = [xxhash.xxh3_128_digest(b"\x00".join(texts[i : i + SPAN])) for i in range(len(texts) - SPAN + 1)]
-    return [ranges[k] for k in worded], keys
-
-
-def _signed(keys: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+    """(piece ranges, key of each span)."""
+    ranges, _, keys = pieces_and_spans(raw)
+    return ranges, keys
 
 
 def spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, h1, h2) of every different span of every row."""
+    """(doc_id, key) of every different span of every row with an id."""
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("raw"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("raw")).filter("doc_id is not null")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, keys = [], []
@@ -68,28 +116,28 @@ def spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             own = dict.fromkeys(span_keys(raw)[1])
             counts.append(len(own))
             keys += own
-        pairs = _signed(keys)
         ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-        return pa.RecordBatch.from_arrays([ids, pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["doc_id", "h1", "h2"])
+        return pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary())], names=["doc_id", "key"])
 
-    return arrow_map(rows, "doc_id long, h1 long, h2 long", cut)
+    return arrow_map(rows, "doc_id long, key binary", cut)
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, h1, h2): spans of a document that a document of smaller id also holds."""
-    held = spans(docs, id_col, text_col)
-    first = held.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "owner")
-    return held.join(first, ["h1", "h2"]).filter("doc_id > owner").select("doc_id", "h1", "h2")
+    """(doc_id, key): spans of a document that a document of smaller id also holds."""
+    held = stored(spans(docs, id_col, text_col), "sentence-spans")
+    return later_holders(held, first_holders(held))
 
 
 def without(raw: bytes, gone: set[bytes]) -> tuple[bytes, int, int]:
-    """(text without sentences that a span in ``gone`` or a later equal span covers, sentences, removed)."""
-    ranges, keys = span_keys(raw)
-    covered, seen = np.zeros(len(ranges), bool), set()
-    for i, key in enumerate(keys):
+    """(text without pieces that a span in ``gone`` or a later equal span covers, pieces, removed)."""
+    ranges, last, keys = pieces_and_spans(raw)
+    change, seen = np.zeros(len(ranges) + 1, np.int64), set()
+    for i, (key, j) in enumerate(zip(keys, last, strict=True)):
         if key in gone or key in seen:
-            covered[i : i + SPAN] = True
+            change[i] += 1
+            change[j + 1] -= 1
         seen.add(key)
+    covered = np.cumsum(change)[:-1] > 0
     if not covered.any():
         return raw, len(ranges), 0
     kept, at = [], 0
@@ -102,36 +150,29 @@ def without(raw: bytes, gone: set[bytes]) -> tuple[bytes, int, int]:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every column, ``text_col`` without repeated sentences, plus __sentences and __removed.
-
-    A span is ``SPAN`` consecutive sentences with words. Its first occurrence
-    (the smallest doc_id, inside a document the first place) stays; sentences
-    that any other occurrence covers go. Sentences end at ``.``, ``!`` or
-    ``?`` before white space and at line ends; one of over ``LONG`` words
-    counts as several. White space between kept sentences stays as it was;
-    a text that lost sentences is trimmed.
-
-    Null text stays null. Texts under ``SPAN`` sentences never change. Rows
-    without an id lose only their own repetitions. Rows that share an id
-    count as one document. Empty table: empty result.
+    """``docs`` with every column, ``text_col`` without repeated sentences, plus __sentences and __removed (pieces).
+
+    A span is a run of at least ``SPAN`` consecutive pieces and ``LEAST``
+    words. Its first occurrence (the smallest doc_id, inside a document the
+    first place) stays; sentences that any other occurrence covers go. Any
+    passage of 51 words that repeats holds a span, wherever it stands; what
+    is left of it at each end is shorter than a window. White space between
+    kept sentences stays as it was; a text that lost sentences is trimmed.
+
+    Null text stays null. Texts without a span never change. Rows without an
+    id are held against no other and lose only their own repetitions. Rows
+    that share an id count as one document. Very long texts are cut as a
+    whole. Columns may have any names. Empty table: empty result.
     """
     own, names, at = plain_names(docs), docs.columns, docs.columns.index(text_col)
     inner = own.columns
-    gone = (
-        removals(docs, id_col, text_col)
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))
-    )
+    gone = removals(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_list("key").alias("gone"))
     joined = own.join(gone, F.col(f"c{names.index(id_col)}") == F.col("doc_id"), "left").drop("doc_id")
 
     def rebuilt(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, total, lost = [], [], []
-        lists = batch.column(len(names))
-        offsets, flat = lists.offsets.to_numpy(), lists.values
-        pair = np.stack([flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)], axis=1) if len(flat) else np.zeros((0, 2), np.int64)
-        for k, text in enumerate(batch.column(at).to_pylist()):
-            held = pair[offsets[k] : offsets[k + 1]]
-            new, n, m = (None, 0, 0) if text is None else without(text.encode(), {x.tobytes() for x in held})
+        for text, gone in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+            new, n, m = (None, 0, 0) if text is None else without(text.encode(), set(gone or ()))
             texts.append(new if new is None else new.decode())
             total.append(n)
             lost.append(m)
