@@ -29,6 +29,11 @@ BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 # Unicode sentence ends, by their UTF-8 bytes.
 STOPS = (".", "!", "?", "。", "！", "？", "｡", "؟", "۔", "।", "॥", "።", "។", "։", "။", "…")
+LONG_STOPS = tuple(x.encode() for x in STOPS if not x.isascii())
+SHORT_STOP, LONG_STOP = np.zeros(256, bool), np.zeros(256, bool)
+SHORT_STOP[[ord(x) for x in STOPS if x.isascii()]] = True
+LONG_STOP[[x[-1] for x in LONG_STOPS]] = True
+
 #: UTF-8 first bytes of U+3000 to U+9FFF: kana and Han, written without spaces. Each such character is a word.
 LEADS = (0xE3, 0xE9)
 
@@ -58,22 +63,26 @@ def piece_starts(raw: bytes, starts: np.ndarray, ends: np.ndarray, words: list[b
     data = np.frombuffer(raw, np.uint8)
     begins = np.zeros(n, bool)
     begins[0] = True
-    stop = np.zeros(n, bool)
-    for mark in STOPS:
-        code = mark.encode()
-        held = ends - starts >= len(code)
-        for k, byte in enumerate(reversed(code)):
-            held &= data[np.maximum(ends - 1 - k, 0)] == byte
-        stop |= held
-    lines = np.concatenate(([0], np.cumsum(data == 10)))
-    begins[1:] = stop[:-1] | (lines[starts[1:]] > lines[ends[:-1]])
+    last = data[ends - 1]
+    stop = SHORT_STOP[last]
+    for k in np.flatnonzero(LONG_STOP[last]).tolist():
+        stop[k] = raw[max(starts[k], ends[k] - 3) : ends[k]].endswith(LONG_STOPS)
+    begins[1:] = stop[:-1]
+    feeds = np.flatnonzero(data == 10)
+    if len(feeds):
+        after = np.searchsorted(starts, feeds)
+        begins[after[after < n]] = True
     if n >= WINDOW:
         sentence = np.cumsum(begins)
         hashed = np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, n)
         inside = np.flatnonzero(sentence[: n - WINDOW + 1] == sentence[WINDOW - 1 :])
         if len(inside):
-            windows = np.lib.stride_tricks.sliding_window_view(hashed, WINDOW)[inside]
-            begins[inside + windows.argmin(axis=1)] = True
+            least, place = hashed[inside], inside.copy()
+            for k in range(1, WINDOW):
+                other = hashed[inside + k]
+                less = other < least
+                least, place = np.where(less, other, least), np.where(less, inside + k, place)
+            begins[place] = True
     return np.flatnonzero(begins)
 
 
@@ -131,6 +140,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def without(raw: bytes, gone: set[bytes]) -> tuple[bytes, int, int]:
     """(text without pieces that a span in ``gone`` or a later equal span covers, pieces, removed)."""
     ranges, last, keys = pieces_and_spans(raw)
+    if not gone and len(set(keys)) == len(keys):
+        return raw, len(ranges), 0
     change, seen = np.zeros(len(ranges) + 1, np.int64), set()
     for i, (key, j) in enumerate(zip(keys, last, strict=True)):
         if key in gone or key in seen:
