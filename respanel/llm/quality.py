@@ -17,12 +17,12 @@ TRAIL = bytes(range(0x80, 0xC0))
 NOT_UPPER = bytes(c for c in range(256) if not 65 <= c <= 90)
 NOT_LETTER = bytes(c for c in range(256) if not (65 <= c <= 90 or 97 <= c <= 122 or c >= 0xC0))
 
-#: Bounds on a rule's rate of bad votes among good and among bad texts, and pseudo-counts (bad, good votes) of the bad and the good class.
-FALSE_BAD, TRUE_BAD = 0.005, 0.1
-PSEUDO = ((2.0, 2.0), (0.1, 10.0))
+#: Pseudo-votes (bad, good) of a rule: in good texts, in bad texts of its own kind, in bad texts of another kind.
+IN_GOOD, IN_OWN, IN_OTHER = (0.5, 9.5), (4.0, 1.0), (0.5, 4.5)
+ROUNDS = 1000
 
 #: Statistics that every text gets; the first five are fixed by contract.
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_bangs", "n_wordlike", "n_unique")
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_bangs", "n_wordlike", "n_unique", "n_adjacent")
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -60,6 +60,7 @@ def statistics(raw: bytes) -> tuple[int, ...]:
         raw.count(b"!"),
         len(plain),
         len(set(words)),
+        sum(map(bytes.__eq__, words, words[1:])),
     )
 
 
@@ -68,19 +69,34 @@ def share(part: str, whole: str) -> Column:
     return F.coalesce(F.try_divide(F.col(f"__{part}").cast("double"), F.col(f"__{whole}").cast("double")), F.lit(0.0))
 
 
-def rules() -> list[tuple[str, Column, Column]]:
-    """(name, votes bad, votes good) on the columns ``__<statistic>``; neither: abstains."""
+def rules() -> list[tuple[str, str, Column, Column]]:
+    """(name, kind of bad text it sees, votes bad, votes good) on the columns ``__<statistic>``; neither: abstains.
+
+    Thresholds are sensitive: a lone bad vote may well be wrong, and how far
+    to trust it is estimated. Each kind has two rules or more, so that they
+    can confirm each other.
+    """
     mean = share("word_chars", "n_words")
-    return [
-        ("symbols", share("n_symbols", "n_words") > 0.3, share("n_symbols", "n_words") < 0.1),
-        ("repetition", share("n_repeat_words", "n_words") > 0.2, share("n_repeat_words", "n_words") < 0.05),
-        ("capitals", share("n_upper", "n_letters") > 0.5, share("n_upper", "n_letters") < 0.2),
-        ("exclamations", share("n_bangs", "n_words") > 0.3, share("n_bangs", "n_words") < 0.05),
-        ("lines", share("n_dup_lines", "n_lines") > 0.4, share("n_dup_lines", "n_lines") < 0.2),
-        ("letters", share("n_wordlike", "n_words") < 0.7, share("n_wordlike", "n_words") > 0.9),
-        ("word_length", (mean < 2.5) | (mean > 14), (mean > 3) & (mean < 10)),
-        ("length", F.col("__n_words") < 10, F.col("__n_words") >= 50),
+    each = [
+        ("symbols", "markup", share("n_symbols", "n_words"), 0.1, 0.02),
+        ("repetition", "repetition", share("n_repeat_words", "n_words"), 0.2, 0.05),
+        ("adjacent", "repetition", share("n_adjacent", "n_words"), 0.1, 0.02),
+        ("lines", "repetition", share("n_dup_lines", "n_lines"), 0.2, 0.05),
+        ("capitals", "shouting", share("n_upper", "n_letters"), 0.3, 0.15),
+        ("exclamations", "shouting", share("n_bangs", "n_words"), 0.1, 0.02),
+    ]
+    out = [(name, kind, value > bad, value < good) for name, kind, value, bad, good in each]
+    low = [
+        ("letters", "markup", share("n_letters", "word_chars"), 0.8, 0.9),
+        ("words", "markup", share("n_wordlike", "n_words"), 0.8, 0.95),
+        ("variety", "repetition", share("n_unique", "n_words"), 0.3, 0.45),
+        ("length", "fragment", F.col("__n_words"), 10, 50),
     ]
+    out += [(name, kind, value < bad, value > good) for name, kind, value, bad, good in low]
+    return [*out, ("word_length", "fragment", (mean < 3) | (mean > 12), (mean > 3.5) & (mean < 9))]
+
+
+KINDS = ("markup", "repetition", "repetition", "repetition", "shouting", "shouting", "markup", "markup", "repetition", "fragment", "fragment")
 
 
 def with_statistics(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -99,46 +115,54 @@ def with_statistics(docs: DataFrame, text_col: str, keep: list[str]) -> DataFram
 
 def votes(measured: DataFrame) -> DataFrame:
     """Adds ``__votes``: a letter for each rule, b bad, g good, - abstains."""
-    each = [F.when(bad, "b").when(good, "g").otherwise("-") for _, bad, good in rules()]
+    each = [F.when(bad, "b").when(good, "g").otherwise("-") for _, _, bad, good in rules()]
     return measured.withColumn("__votes", F.concat(*each))
 
 
-def estimate(counts: dict[str, int], rounds: int = 100) -> dict[str, float]:
+def estimate(counts: dict[str, int], kinds: tuple[str, ...] | None = None, rounds: int = ROUNDS) -> dict[str, float]:
     """Posterior probability of good for every vote pattern, by expectation maximisation.
 
-    Two classes; a rule that does not abstain votes bad with one probability
-    in each class, independent of the other rules given the class. An
-    abstention says nothing. Starts from: a pattern with a bad vote is bad.
-    Rules are held to be precise rather than complete: at most ``FALSE_BAD``
-    of the good texts and at least ``TRUE_BAD`` of the bad texts draw a bad
-    vote, so that one kind of bad text, seen by one rule only, is not
-    outvoted by the rules for the other kinds.
+    A text is good or bad of one of the kinds that the rules see (``kinds``:
+    each rule's; without, one kind of all rules). A rule that does not
+    abstain votes bad with a probability of its own in every class,
+    independent of the other rules given the class; an abstention says
+    nothing. All these rates and the shares of the classes are estimated.
+    Weak pseudo-counts tell the classes apart: a rule seldom votes bad on
+    good texts and mostly does on its own kind. Starts from: a pattern
+    belongs to the kinds of its bad votes, one without any to good.
     """
     if not counts:
         return {}
     patterns = list(counts)
+    kinds = kinds or ("bad",) * len(patterns[0])
+    names = list(dict.fromkeys(kinds))
+    own = np.array([[k == name for k in kinds] for name in names], float)
     n = np.array([counts[p] for p in patterns], float)
-    voted_bad = np.array([[c == "b" for c in p] for p in patterns], float)
-    voted_good = np.array([[c == "g" for c in p] for p in patterns], float)
-    bad = np.where(voted_bad.any(axis=1), 0.95, 0.05)
+    bad = np.array([[c == "b" for c in p] for p in patterns], float)
+    good = np.array([[c == "g" for c in p] for p in patterns], float)
+    pseudo = [np.concatenate([np.full((1, len(kinds)), IN_GOOD[v]), own * IN_OWN[v] + (1 - own) * IN_OTHER[v]]) for v in (0, 1)]
+    hits = (bad[:, None, :] * own[None, :, :]).sum(axis=2)
+    part = np.concatenate([np.where(hits.any(axis=1), 0.05, 1.0)[:, None], hits], axis=1) + 0.01
+    part /= part.sum(axis=1, keepdims=True)
+    sums = lambda a, b: (a[:, :, None] * b[:, None, :]).sum(axis=0)  # noqa: E731  a product without the linear algebra thread pool
     for _ in range(rounds):
-        logs = np.zeros((len(patterns), 2))
-        for cls, weight in enumerate((bad * n, (1 - bad) * n)):
-            x, y = (weight[:, None] * voted_bad).sum(axis=0) + PSEUDO[cls][0], (weight[:, None] * voted_good).sum(axis=0) + PSEUDO[cls][1]
-            rate = x / (x + y)
-            rate = np.maximum(rate, TRUE_BAD) if cls == 0 else np.minimum(rate, FALSE_BAD)
-            logs[:, cls] = np.log((weight.sum() + 1) / (n.sum() + 2)) + (voted_bad * np.log(rate)).sum(axis=1) + (voted_good * np.log1p(-rate)).sum(axis=1)
-        new = 1 / (1 + np.exp(np.clip(logs[:, 1] - logs[:, 0], -700, 700)))
-        done, bad = np.abs(new - bad).max() < 1e-10, new
+        weight = part * n[:, None]
+        shares = (weight.sum(axis=0) + 1) / (n.sum() + len(names) + 1)
+        x, y = sums(weight, bad) + pseudo[0], sums(weight, good) + pseudo[1]
+        rate = x / (x + y)
+        logs = np.log(shares)[None, :] + sums(bad.T, np.log(rate).T) + sums(good.T, np.log1p(-rate).T)
+        new = np.exp(logs - logs.max(axis=1, keepdims=True))
+        new /= new.sum(axis=1, keepdims=True)
+        done, part = np.abs(new - part).max() < 1e-10, new
         if done:
             break
-    return {p: float(1 - b) for p, b in zip(patterns, bad, strict=True)}
+    return {p: float(q) for p, q in zip(patterns, part[:, 0], strict=True)}
 
 
 def _posteriors(voted: DataFrame) -> DataFrame:
     """(__votes, __good) of all patterns: at most 3 to the number of rules, whatever the input."""
     rows = voted.groupBy("__votes").count().collect()
-    table = estimate({r["__votes"]: r["count"] for r in sorted(rows, key=lambda r: r["__votes"])})
+    table = estimate({r["__votes"]: r["count"] for r in sorted(rows, key=lambda r: r["__votes"])}, KINDS)
     schema = StructType([StructField("__votes", StringType()), StructField("__good", DoubleType())])
     return voted.sparkSession.createDataFrame(list(table.items()), schema)
 
@@ -158,8 +182,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Votes are counted over all documents. A null text has no words; under 10
     words, or over a fifth of the words in repeated five-word runs, fails
-    outright. Null ids and repeated rows are carried as they are. An empty
-    table gives an empty result. Other columns are ignored.
+    outright. Null ids and repeated rows are carried as they are, very long
+    texts are read as a whole. An empty table gives an empty result. Other
+    columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     voted = stored(votes(with_statistics(rows, "text", ["doc_id"])), "quality")
