@@ -1,9 +1,11 @@
-"""Near-duplicate documents on five-word shingles, found by a prefix filter.
-
-Two shingle sets of Jaccard similarity ``SIMILARITY`` or more share a shingle
-among the rarest fifth of each (Chaudhuri et al. 2006), whatever changed
-between them. Documents that do fall into one cluster of candidates. Inside a
-cluster every pair is compared: a link needs that similarity, computed exactly.
+"""Near-duplicate documents on five-word shingles, each link verified exactly.
+
+Covering SimHash tables propose links between fingerprints within 3 bits.
+They miss pairs whose change moves more bits, so a prefix filter proposes the
+rest: two shingle sets of Jaccard similarity ``SIMILARITY`` or more share a
+shingle among the rarest fifth of each (Chaudhuri et al. 2006), whatever
+changed between them. Texts that do fall into one cluster of candidates.
+Inside a cluster every pair is compared that verified links don't join yet.
 """
 
 from __future__ import annotations
@@ -18,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from respanel.llm.common import arrow_map, components, prepare, stored, text_bytes, without_ids
-from respanel.llm.simhash import forest
+from respanel.llm.simhash import fingerprint, forest, links
 
-SIMILARITY, WIDTH = 0.8, 5
+SIMILARITY, WIDTH, RADIUS = 0.8, 5, 3
+#: A node with many links is joined in so many parts.
+SALT = 32
 #: Shingles that a task of the prefix filter holds at once, about.
 PART = 1_000_000
 #: Texts of a block; a cluster of more is compared block against block, so a task holds two blocks.
@@ -51,18 +55,18 @@ def shingle_set(words: list[bytes]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, h1, h2, n): hash of the words, number of words."""
+    """(doc_id, h1, h2, n, fp): hash of the words, number of words, SimHash of the five-word shingles."""
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("raw"))
 
     def signed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = np.zeros((batch.num_rows, 3), np.int64)
+        out = np.zeros((batch.num_rows, 4), np.int64)
         for i, raw in enumerate(batch.column(1).to_pylist()):
             words = raw.lower().split()
             out[i, :2] = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), np.int64)
-            out[i, 2] = len(words)
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, k].copy()) for k in range(3))], names=["doc_id", "h1", "h2", "n"])
+            out[i, 2:] = len(words), fingerprint(raw, WIDTH)
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, k].copy()) for k in range(4))], names=["doc_id", "h1", "h2", "n", "fp"])
 
-    return arrow_map(rows, "doc_id long, h1 long, h2 long, n long", signed)
+    return arrow_map(rows, "doc_id long, h1 long, h2 long, n long, fp long", signed)
 
 
 #: A shingle of a text: the text by the first hash of its words, its number of shingles, the shingle, how many texts hold it.
@@ -197,22 +201,80 @@ def similar(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, y
 
 
-def links_in_clusters(docs: DataFrame, clusters: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): verified links of all clusters, enough to connect what is connected."""
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    member = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("raw"))
-    texts = rows.join(member, F.col("doc_id") == F.col("node")).select("node", "cluster", "blocks", "block", "raw")
+def proposed(nodes: DataFrame) -> DataFrame:
+    """(a, b) of nodes whose fingerprints the covering tables bring within ``RADIUS`` bits; equal ones join the first.
+
+    Of each node the link to the smallest partner is kept, a row a node. The
+    comparison inside clusters makes up for the others.
+    """
+    first = stored(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("held")), "nd-fingerprints")
+    equal = nodes.join(first.filter("held > 1"), "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = links(first.select(F.lit(0).alias("family"), "fp"), RADIUS)
+    at = first.select("fp", "first")
+    near = near.join(at.toDF("a", "one"), "a").join(at.toDF("b", "other"), "b").select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b"))
+    return equal.unionByName(near).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, shingles) of the documents whose id is a node of ``wanted``."""
+    rows = docs.select(F.col(id_col).cast("long").alias("node"), text_bytes(text_col).alias("raw"))
 
     def to_set(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(raw.lower().split()) for raw in batch.column(4).to_pylist()]
+        sets = [shingle_set(raw.lower().split()) for raw in batch.column(1).to_pylist()]
         offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
         flat = pa.array(np.concatenate([np.zeros(0, np.int32), *sets]))
-        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["node", "cluster", "blocks", "block", "shingles"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["node", "shingles"])
+
+    return arrow_map(rows.join(wanted.select("node").distinct(), "node", "left_semi"), "node long, shingles array<int>", to_set)
+
 
-    sets = arrow_map(texts, "node long, cluster long, blocks int, block int, shingles array<int>", to_set)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    paired = sets.select("node", "cluster", "block", other, "shingles").select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "shingles")
+def verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """The edges (a, b) between sets of Jaccard similarity ``SIMILARITY`` or more. A node with very many edges is dealt over ``SALT`` parts."""
+    one = sets.join(edges.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
+    one = one.select(F.col("node").alias("a"), F.col("shingles").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    other = edges.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALT)).cast("int"))
+    both = other.join(one, ["a", "salt"]).select("a", "b", "x", "y")
+
+    def near(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = [(batch.column(k).offsets.to_numpy(), batch.column(k).values.to_numpy()) for k in (2, 3)]
+        keep = []
+        for i in range(batch.num_rows):
+            x, y = (flat[at[i] : at[i + 1]] for at, flat in lists)
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(shared > 0 and shared >= SIMILARITY * (len(x) + len(y) - shared) - 1e-3)
+        kept = pa.array(keep, pa.bool_())
+        return pa.RecordBatch.from_arrays([batch.column(k).filter(kept) for k in (0, 1)], names=["a", "b"])
+
+    return arrow_map(both, "a long, b long", near)
+
+
+def links_in_clusters(sets: DataFrame, clusters: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): verified links inside the clusters (node, cluster), enough to connect what is connected.
+
+    ``known``: (node, label) of what verified links join already. A cluster
+    of one label needs nothing more; one of at most ``BLOCK`` texts is
+    compared at once; in a larger one the texts of its commonest label are
+    joined already, so only the others are held against all, block by block.
+    """
+    labelled = clusters.join(known, "node", "left").select("node", "cluster", F.coalesce("label", "node").alias("label"))
+    labelled = stored(labelled, "nd-labelled")
+    parts = labelled.groupBy("cluster", "label").agg(F.count("*").alias("held"))
+    sizes = parts.groupBy("cluster").agg(F.sum("held").alias("n"), F.count("*").alias("labels"), F.max(F.struct("held", "label")).alias("most"))
+    sizes = stored(sizes.filter("labels > 1").select("cluster", "n", F.col("most.label").alias("main"), F.col("most.held").alias("joined")), "nd-sizes")
+    own, rest = F.ceil(F.col("joined") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("joined")) / BLOCK).cast("int")
+    small = F.col("n") <= BLOCK
+    member = labelled.join(sizes, "cluster").select(
+        "node", "cluster", F.when(small, 0).otherwise(own).alias("own"), F.when(small, 1).otherwise(rest).alias("rest"), (~small & (F.col("label") == F.col("main"))).alias("inner")
+    )
+    # blocks 0 to own - 1 hold the commonest label, the rest follow; a pair of blocks always has one of the rest
+    at = F.xxhash64("node")
+    block = F.when(F.col("inner"), F.pmod(at, F.greatest("own", F.lit(1)))).otherwise(F.col("own") + F.pmod(at, F.greatest("rest", F.lit(1)))).cast("int")
+    member = member.withColumn("block", block)
+    low = F.when(F.col("inner"), F.col("own")).otherwise(F.lit(0))
+    other = F.explode(F.sequence(low, F.col("own") + F.col("rest") - 1)).alias("other")
+    paired = member.select("node", "cluster", "block", other)
+    paired = paired.select("node", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    paired = paired.join(sets, "node").select("cluster", "i", "j", "node", "shingles")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, sets = None, [], []
@@ -239,7 +301,7 @@ def links_in_clusters(docs: DataFrame, clusters: DataFrame, id_col: str, text_co
         if key is not None and (out := closed()) is not None:
             yield out
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = paired.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     return dealt.mapInArrow(compared, "a long, b long")
 
@@ -253,10 +315,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     must share a text to be told apart from others; they come back repeated.
     """
     prepare(docs.sparkSession)
-    rows = stored(signatures(docs, id_col, text_col), "nd-signatures")
-    nodes = stored(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n")), "nd-nodes")
-    clusters = stored(candidate_clusters(docs.filter(F.col(id_col).isNotNull()), nodes, text_col), "nd-clusters")
-    labels = components(links_in_clusters(docs, clusters, id_col, text_col))
+    known = docs.filter(F.col(id_col).isNotNull())
+    rows = stored(signatures(known, id_col, text_col), "nd-signatures")
+    nodes = stored(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.min("fp").alias("fp")), "nd-nodes")
+    edges = stored(proposed(nodes.filter("n > 0")), "nd-edges")
+    clusters = stored(candidate_clusters(known, nodes, text_col), "nd-clusters")
+    wanted = clusters.select("node").unionByName(edges.select(F.explode(F.array("a", "b")).alias("node")))
+    sets = stored(shingle_sets(known, wanted, id_col, text_col), "nd-sets")
+    links_ = stored(verified(edges, sets), "nd-verified")
+    more = links_in_clusters(sets, clusters, components(links_))
+    labels = components(links_.unionByName(more))
     group = nodes.select("h1", "h2", "node").join(labels, "node", "left").select("h1", "h2", "node", F.coalesce("label", "node").alias("label"))
     group = stored(group, "nd-group")
     keeper = group.groupBy("label").agg(F.min("node").alias("keeper"))

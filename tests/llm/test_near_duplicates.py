@@ -184,3 +184,35 @@ def test_prefixes_of_similar_sets_always_meet():
         if 5 * len(sets[0] & sets[1]) >= 4 * len(sets[0] | sets[1]):
             left = neardup.prefixes(neardup.shared(entries))
             assert set(left["key"][left["text"] == 0].tolist()) & set(left["key"][left["text"] == 1].tolist())
+
+
+def test_clusters_of_several_families_are_compared_across_labels(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    hubs = [text(150, 8000 + k) for k in range(4)]
+    shared = text(12, 8100)  # rare shingles in common, so that all families meet in one cluster
+    rows = [(1000 * h + k, f"{changed(t, 1 + k % 9, 100 * h + k)} {shared}") for h, t in enumerate(hubs) for k in range(30)]
+    rows += [(9000 + k, f"{text(20, 8200 + k)} {shared}") for k in range(40)]
+    got = {r.doc_id: r.keeper for r in neardup.near_duplicates(table(spark, rows)).collect()}
+    label = closure(len(rows), lambda i, j: jaccard(rows[i][1], rows[j][1]) >= 0.8)
+    assert got == {i: min(rows[k][0] for k in range(len(rows)) if label[k] == g) for (i, _), g in zip(rows, label, strict=True)}
+
+
+def test_recall_on_the_given_documents(spark, sf):
+    """All pairs of different texts at 0.8 or more, by exact counts over an index of shingles."""
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text").collect()]
+    sets, holders, shared = {}, {}, {}
+    for i, t in rows:
+        w = t.encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+        for s in sets[i]:
+            holders.setdefault(s, []).append(i)
+    for own in holders.values():
+        for x in range(len(own)):
+            for y in range(x):
+                shared[own[y], own[x]] = shared.get((own[y], own[x]), 0) + 1
+    pairs = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) - 1e-9]
+    got = {r.doc_id: r.keeper for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(pairs) > 20 and all(got[a] == got[b] for a, b in pairs)
+    near = _labels(len(rows), [(k[a], k[b]) for k in [{i: n for n, (i, _) in enumerate(rows)}] for a, b in pairs])
+    wordless = [i for i, _ in rows if not sets[i]]
+    assert sum(i != g for i, g in got.items() if i not in wordless) == sum(near[n] != n for n, (i, _) in enumerate(rows) if i not in wordless)
