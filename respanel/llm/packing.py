@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -17,10 +18,11 @@ CAPACITY = 2048
 #: Fewer make less padding and a larger programme (CAPACITY / UNIT rows).
 UNIT = 8
 END_ID = 1
-#: The programme stops once its proven distance from the optimum is below this share, or after so many columns a class.
-GAP, STEPS = 1e-3, 4
+#: The programme stops once its proven distance from the optimum is below this share, or where no column improves it.
+GAP = 1e-3
 
 _ENCODERS: dict[str, object] = {}
+_ADDED: dict[str, tuple[re.Pattern | None, dict[str, int]]] = {}
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -31,7 +33,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 def encoder(vocabulary: str, pattern: str):
-    """Byte-level BPE of a ``tokenizers`` JSON file; strings of special tokens are ordinary text.
+    """Byte-level BPE of a ``tokenizers`` JSON file, for text between added tokens.
 
     Merges in such a file are ranked by the id of what they make, so the ids
     serve as the ranks of the faster encoder, with equal results.
@@ -48,6 +50,28 @@ def encoder(vocabulary: str, pattern: str):
     return _ENCODERS[vocabulary]
 
 
+def added(vocabulary: str) -> tuple[re.Pattern | None, dict[str, int]]:
+    """(pattern, ids) of the added tokens of a ``tokenizers`` file: strings that stand for one id wherever they occur, the longest first."""
+    if vocabulary not in _ADDED:
+        with open(vocabulary, encoding="utf-8") as file:
+            own = json.load(file).get("added_tokens", ())
+        if odd := [x["content"] for x in own if x.get("lstrip") or x.get("rstrip") or x.get("single_word")]:
+            raise ValueError(f"added tokens that take white space or whole words only are not supported: {odd}")
+        ids = {x["content"]: x["id"] for x in own if x["content"]}
+        parts = "|".join(re.escape(x) for x in sorted(ids, key=len, reverse=True))
+        _ADDED[vocabulary] = (re.compile(f"({parts})") if parts else None, ids)
+    return _ADDED[vocabulary]
+
+
+def token_ids(text: str, vocabulary: str, pattern: str) -> list[int]:
+    """Ids of a text as the ``tokenizers`` library gives them, without the special tokens that it would add around."""
+    encode = encoder(vocabulary, pattern).encode_ordinary
+    split, known = added(vocabulary)
+    if split is None or not split.search(text):
+        return encode(text)
+    return [i for k, part in enumerate(split.split(text)) for i in ([known[part]] if k % 2 else encode(part) if part else [])]
+
+
 def pieces(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, doc_tokens, start, length, ids_crc32): whole texts as ids with ``END_ID`` after them, cut every ``capacity`` ids."""
     import public_tokenizers
@@ -57,10 +81,9 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode = encoder(vocabulary, pattern).encode_ordinary
         out: list[list] = [[], [], [], [], []]
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = np.array([*encode(text), END_ID], "<u4")
+            ids = np.array([*token_ids(text, vocabulary, pattern), END_ID], "<u4")
             for start in range(0, len(ids), capacity):
                 own = ids[start : start + capacity]
                 for col, x in zip(out, (doc, len(ids), start, len(own), zlib.crc32(own.tobytes())), strict=True):
@@ -131,20 +154,21 @@ def first_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[n
     return basis, amounts
 
 
-def relaxed(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
-    """(patterns, amounts) of the linear programme: least total amount whose patterns meet the demand.
+def relaxed(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray, float]:
+    """(patterns, amounts, gap reached) of the linear programme: least total amount whose patterns meet the demand.
 
     Revised simplex; the columns are the patterns, priced by the knapsack. It
-    stops at ``gap`` above the best proven bound, or after ``STEPS`` columns a
-    size; either way the patterns meet the demand.
+    runs until the amount is proven to lie within ``gap`` of the optimum or
+    no pattern improves it. Demands are raised by unlike trifles, so that no
+    step stands still and no basis comes back.
     """
     m = len(sizes)
+    demand = demand + 1e-7 * (1 + np.arange(m) / m)
     basis, amounts = first_basis(sizes, demand, capacity)
     inverse = inverted(basis)
     bound = float((sizes * demand).sum()) / capacity
-    for step in range(STEPS * m):
-        if amounts.sum() <= bound * (1 + gap):
-            break
+    step = 0
+    while amounts.sum() > bound * (1 + gap):
         prices = inverse.sum(axis=0)
         value, pattern = best_pattern(np.maximum(prices, 0), sizes, capacity)
         bound = max(bound, amounts.sum() / max(value, 1.0))
@@ -161,19 +185,25 @@ def relaxed(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = G
         row = inverse[leave] / direction[leave]
         inverse -= np.outer(direction, row)
         inverse[leave] = row
-        if step % 100 == 99:
+        step += 1
+        if step % 100 == 0:
             inverse = inverted(basis)
             amounts = np.maximum(times(inverse, demand), 0)
-    return basis.T.round().astype(np.int64), amounts
+    return basis.T.round().astype(np.int64), amounts, float(max(0.0, amounts.sum() / bound - 1))
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """[(times, {size: how many})] that hold exactly ``counts`` items: amounts rounded down, the rest first-fit decreasing."""
+    """[(times, {size: how many})] that hold exactly ``counts`` items."""
+    return plan_with_gap(counts, capacity)[0]
+
+
+def plan_with_gap(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, dict[int, int]]], float]:
+    """(plan, proven distance of its programme from the optimum): amounts rounded down, the rest first-fit decreasing."""
     sizes = np.array(sorted(s for s, n in counts.items() if n > 0), np.int64)
     if not len(sizes):
-        return []
+        return [], 0.0
     left = np.array([counts[s] for s in sizes.tolist()], np.int64)
-    patterns, amounts = relaxed(sizes, left.astype(float), capacity)
+    patterns, amounts, gap = relaxed(sizes, left.astype(float), capacity)
     out = []
     for k in np.argsort(-amounts, kind="stable"):
         used = patterns[k] > 0
@@ -194,11 +224,11 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int
             left[i] -= times * own.get(s, 0)
         key = tuple(sorted(own.items()))
         rest[key] = rest.get(key, 0) + times
-    return out + [(n, dict(key)) for key, n in rest.items()]
+    return out + [(n, dict(key)) for key, n in rest.items()], gap
 
 
 def assign(cut: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFrame:
-    """Adds sequence_id, offset and sequence_tokens (padded length) to stored ``pieces``.
+    """Adds sequence_id, offset, sequence_tokens (padded length) and lp_gap (of the whole plan) to stored ``pieces``.
 
     The driver gets one count for each length class, capacity / unit at most.
     Pieces are ranked inside their class without gathering it: counts by
@@ -212,7 +242,8 @@ def assign(cut: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFr
     sizes = stored(dealt.groupBy("class", "block").count(), "packing-counts")
     totals = {r["class"]: r["n"] for r in sizes.groupBy("class").agg(F.sum("count").alias("n")).collect()}
     slots, filled, base = [], {}, 0
-    for times, own in plan(totals, capacity // unit):
+    made, gap = plan_with_gap(totals, capacity // unit)
+    for times, own in made:
         for size, many in own.items():
             low = filled.get(size, 0)
             slots.append((size, low, low + times * many, many, base))
@@ -242,17 +273,21 @@ def assign(cut: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFr
         "sequence_id",
         (F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).alias("offset"),
         F.when(power, used).otherwise(F.lit(capacity).cast("long")).alias("sequence_tokens"),
+        F.lit(gap).alias("lp_gap"),
     )
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document as pieces in sequences of at most ``CAPACITY`` ids: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens.
+    """Every document as pieces in sequences of at most ``CAPACITY`` ids: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens, lp_gap.
 
     Texts are cut only every ``CAPACITY`` ids, so all but a text's last piece
     fill a sequence alone; last pieces are combined by patterns. Sequences
     are padded to ``CAPACITY`` unless their ids number a power of two.
 
     A null or empty text is the end id alone. Null ids and repeated rows are
-    packed like others. An empty table gives an empty result.
+    packed like others, equal pieces in any order; other columns are ignored
+    whatever their names. Very long texts are encoded whole, one at a time.
+    ``lp_gap`` is how far the linear programme may lie above its optimum. An
+    empty table gives an empty result.
     """
     return assign(stored(pieces(docs, vocabulary, id_col, text_col), "packing"))

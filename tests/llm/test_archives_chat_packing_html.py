@@ -221,3 +221,23 @@ def test_wrappers_drop_constant_nodes(spark):
     assert got[50, "http://other.example/1"].text == "Site name\n\nalone\n\nCall us today"
     assert got[60, None].text == "" and got[60, None].n_chars == 0 and got[70, "http://h.example/11"].text == "deep"
     assert htmltext.extract(pages(spark, [])).count() == 0
+
+
+# --- packing, as the tokenizer gives ids
+
+
+def test_ids_equal_the_tokenizer_with_added_tokens():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    for text in ["<|endoftext|> a", "a<|endoftext|>", "<|endoftext|><|endoftext|>", "x <|endoftext| > y", "<|endoftext|>\n\n<|endoftext|> é", "", "plain"]:
+        assert packing.token_ids(text, path, public_tokenizers.PATTERN) == t.encode(text, add_special_tokens=False).ids
+
+
+def test_programmes_reach_their_gap():
+    draw = np.random.default_rng(6)
+    for n, low in ((5000, 1), (40_000, 60), (40_000, 100), (300, 1)):
+        sizes, counts = np.unique(draw.integers(low, 257, n), return_counts=True)
+        _, amounts, gap = packing.relaxed(sizes, counts.astype(float), 256)
+        assert gap <= packing.GAP + 1e-9
+        made, reached = packing.plan_with_gap(dict(zip(sizes.tolist(), counts.tolist(), strict=True)), 256)
+        assert reached < 0.02 and sum(k for k, _ in made) <= amounts.sum() * (1 + packing.GAP) + len(sizes)
