@@ -132,6 +132,29 @@ def later_holders(held: DataFrame, first: DataFrame) -> DataFrame:
     return near.unionByName(far).filter("doc_id > owner").select("doc_id", "key")
 
 
+def beside_keys(rows: DataFrame, keyed: DataFrame, key: str, value: str) -> DataFrame:
+    """``rows`` with the ``value`` of their ``key`` in ``keyed`` (key, value, n rows), null where it has none.
+
+    Few keys are broadcast and the rows stay where they are. Else only the
+    commonest are, bounded as in ``later_holders``; the other rows meet
+    theirs by a shuffle, those of common keys under a key of their own.
+    """
+    keyed = stored(keyed, "keyed")
+    size = keyed.agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    few = keyed.select(F.col("key").alias("__key"), F.col(value).alias("__value"))
+    if size["keys"] <= FEW_KEYS:
+        return rows.join(F.broadcast(few), F.col(key) == F.col("__key"), "left").drop("__key").withColumnRenamed("__value", value)
+    hot = F.col("n") > max(HOT, size["rows"] // FEW_KEYS)
+    common = keyed.filter(hot).select(F.col("key").alias("__common"), F.col(value).alias("__hot"))
+    rare = keyed.filter(~hot).select(F.col("key").alias("__key"), F.col(value).alias("__value"))
+    met = rows.join(F.broadcast(common), F.col(key) == F.col("__common"), "left")
+    # a digest of another length than any key: dealt evenly, equal to none
+    own = F.concat(F.unhex(F.md5(F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns if c != key]))), F.lit(b"-"))
+    met = met.withColumn("__at", F.when(F.col("__common").isNull(), F.col(key)).otherwise(own))
+    joined = met.join(rare, F.col("__at") == F.col("__key"), "left").withColumn(value, F.coalesce("__hot", "__value"))
+    return joined.drop("__key", "__value", "__common", "__hot", "__at")
+
+
 def first_holders(held: DataFrame) -> DataFrame:
     """(key, owner, n) of the keys of (doc_id, key) that several documents hold."""
     seen = held.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top"), F.count("*").alias("n"))

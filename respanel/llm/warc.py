@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respanel.llm.common import prepare, scratch_path, stored, text_bytes
+from respanel.llm.common import beside_keys, prepare, scratch_path, stored, text_bytes
 
 LOCAL, CENTRAL, DESCRIPTOR = 0x04034B50, 0x02014B50, 0x08074B50
 END, END64, LOCATOR64 = 0x06054B50, 0x06064B50, 0x07064B50
@@ -196,8 +196,9 @@ def write_packages(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_bytes(html_col).alias("html"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("html")))
     least = rows.groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n"), F.first(F.length("html")).alias("size"))
-    least = least.filter((F.col("n") > 1) & (F.col("size") >= min_bytes)).select("digest", "least")
-    joined = rows.join(least, "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("page_id") > F.col("least"), F.col("least")).alias("refers_to"))
+    least = least.filter((F.col("n") > 1) & (F.col("size") >= min_bytes)).select(F.col("digest").alias("key"), "least", "n")
+    joined = beside_keys(rows, least, "digest", "least")
+    joined = joined.select("page_id", "url", "html", "digest", F.when(F.col("page_id") > F.col("least"), F.col("least")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(path)

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from respanel.llm import chat, htmltext, packing, warc
+from respanel.llm import chat, common, htmltext, packing, warc
 
 # --- archives
 
@@ -69,6 +69,17 @@ def test_round_trip(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_hot_payloads_and_many_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW_KEYS", 3)
+    monkeypatch.setattr(common, "HOT", 5)
+    rows = [(k, f"u{k}", "" if k % 3 == 0 else None if k % 3 == 1 else f"page {k // 9}") for k in range(120)]
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.round_trip(pages(spark, rows)).collect()}
+    least = {}
+    for i, _, h in rows:
+        least.setdefault(h or "", i)
+    assert got == {i: ("response", None) if least[h or ""] == i else ("revisit", least[h or ""]) for i, _, h in rows}
+
+
 def test_small_payloads_may_all_be_responses(spark):
     path = warc.scratch_path(spark, "small")
     assert warc.write_packages(pages(spark, [(1, "a", "x"), (2, "b", "x"), (3, "c", "y" * 50), (4, "d", "y" * 50)]), path, min_bytes=10).count() > 0
