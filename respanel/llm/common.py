@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch that carries texts. Batches are bounded in rows, so
 #: a worker's memory follows the longest texts of one batch and not the table.
-BATCH_ROWS = 1000
+BATCH_ROWS = 256
 
 
 def prepare(spark: SparkSession) -> None:

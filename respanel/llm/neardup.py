@@ -26,7 +26,7 @@ SIMILARITY, WIDTH, RADIUS = 0.8, 5, 3
 #: A node with many links is joined in so many parts.
 SALT = 32
 #: Shingles that a task of the prefix filter holds at once, about.
-PART = 1_000_000
+PART = 250_000
 #: Texts of a block; a cluster of more is compared block against block, so a task holds two blocks.
 BLOCK = 1024
 #: Shingles that so many texts of a comparison share, or fewer, are counted pair by pair; commoner ones by matrix products.
