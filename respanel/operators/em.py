@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from respanel.functions.irt import clamped_logit, difficulty
-from respanel.operators.crosscheck import log_likelihoods, posteriors, quadrature
+from respanel.operators.crosscheck import log_likelihoods, posteriors, quadrature, summed_by_node
 from respanel.operators.store import stored
 
 
@@ -26,8 +26,9 @@ def em_fit(responses: DataFrame, rounds: int = 8, nodes: int = 31, precision_a:
     for _ in range(rounds):
         post = stored(posteriors(log_likelihoods(responses, items, grid)), "em-posterior")
         history.append(post.filter("q = 0").agg(F.sum("marginal")).first()[0])
-        counts = responses.join(post, "r").groupBy("c", "q", "node").agg(F.sum("p").alias("n"), F.sum(F.col("p") * F.col("obs")).alias("k"))
-        counts = stored(counts, "em-counts")
+        wide = post.groupBy("r").agg(F.map_from_entries(F.collect_list(F.struct("q", "p"))).alias("p"))
+        sums = {"n": lambda g: F.col("p")[g["q"]], "k": lambda g: F.col("p")[g["q"]] * F.col("obs")}
+        counts = stored(summed_by_node(responses.join(wide, "r"), "c", grid.orderBy("q").collect(), sums), "em-counts")
         for _ in range(3):
             both = counts.join(items, "c")
             p = 1 / (1 + F.exp(-(F.col("a") * F.col("node") + F.col("d"))))

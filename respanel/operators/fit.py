@@ -107,19 +107,21 @@ def newton_intervals(items: DataFrame, rows: DataFrame, by: list[str] = (), prec
     """Adds intervals from the information of (a, d), that of b by the delta method.
 
     With b = -d / a an item near a = 0 would look certain in the (a, b) form.
+    An item without a response keeps the prior's width.
     """
     keys = [*by, "c"]
     at = rows.select(*keys, "theta").join(items.select(*keys, "a", "d"), keys)
     p = 1 / (1 + F.exp(-(F.col("a") * F.col("theta") + F.col("d"))))
     w = p * (1 - p)
     info = at.groupBy(*keys).agg(F.sum(w * F.col("theta") * F.col("theta")).alias("iaa"), F.sum(w * F.col("theta")).alias("iad"), F.sum(w).alias("idd"))
-    iaa, idd, iad = F.col("iaa") + precision_a, F.col("idd") + precision_d, F.col("iad")
+    iaa, idd, iad = (F.coalesce(c, F.lit(0.0)) for c in ("iaa", "idd", "iad"))
+    iaa, idd = iaa + precision_a, idd + precision_d
     det = iaa * idd - iad * iad
     va, vd, cov = idd / det, iaa / det, -iad / det
     b = F.col("b")
     vb = (vd + 2 * b * cov + b * b * va) / (F.col("a") * F.col("a"))
     sd_b = F.when(F.abs("a") > 1e-9, F.sqrt(F.greatest(vb, F.lit(0.0))))
-    return items.join(info, keys).select(*items.columns, *interval(F.col("a"), F.sqrt(va), "a"), *interval(b, sd_b, "b"))
+    return items.join(info, keys, "left").select(*items.columns, *interval(F.col("a"), F.sqrt(va), "a"), *interval(b, sd_b, "b"))
 
 
 def ability_intervals(abilities: DataFrame, items: DataFrame, responses: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -138,12 +140,12 @@ def ability_intervals(abilities: DataFrame, items: DataFrame, responses: DataFra
     return joined.select(*abilities.columns, *interval(F.col("theta"), sd, "theta"))
 
 
-def canonical_sign(items: DataFrame, abilities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Reflected so that slopes sum to no less than 0: a, b and theta change sign, interval ends swap."""
-    sign = F.broadcast(items.agg(F.when(F.sum("a") < 0, F.lit(-1.0)).otherwise(F.lit(1.0)).alias("sign")))
+def canonical_sign(items: DataFrame, abilities: DataFrame, by: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Every fit reflected so that its slopes sum to no less than 0: a, b and theta change sign, interval ends swap."""
+    sign = F.broadcast(items.groupBy(*by).agg(F.when(F.sum("a") < 0, F.lit(-1.0)).otherwise(F.lit(1.0)).alias("sign")))
 
     def turned(df: DataFrame, names: list[str]) -> DataFrame:
-        both = df.crossJoin(sign)
+        both = df.join(sign, list(by)) if by else df.crossJoin(sign)
         out = []
         for c in df.columns:
             stem, _, end = c.rpartition("_")
@@ -206,4 +208,6 @@ def newton_fit(responses: DataFrame, by: list[str] = ()) -> tuple[DataFrame, Dat
     abilities = stored(classical_abilities(responses, by), "abilities")
     rows = stored(with_theta(responses, abilities, by), "fit-rows")
     items = stored(newton_items(rows, by), "fit-items")
-    return stored(item_flags(newton_intervals(items, rows, by), abilities, by), "fit"), abilities
+    items, abilities = canonical_sign(newton_intervals(items, rows, by), abilities, by)
+    abilities = stored(abilities, "abilities")
+    return stored(item_flags(items, abilities, by), "fit"), abilities

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from respanel.functions.coerce import respondent_id
+from respanel.operators.store import stored
 from respanel.schema import MatrixError
 
 
@@ -64,6 +65,8 @@ def build_matrix(records: DataFrame, key: tuple[str, ...] = ("model_id",), order
     """Assemble records; raises ``MatrixError`` for empty input, repeated cells, and respondents of two models."""
     rows = keyed(records, list(key))
     order = order if order in rows.columns else None
+    used = ["respondent_id", "model_id", "item_id", "correct", *[c for c in ("subject", "split", order) if c in rows.columns]]
+    rows = stored(rows.select(*used), "records")  # read many times below, written once
     if check:
         if rows.isEmpty():
             raise MatrixError("no responses")

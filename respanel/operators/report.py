@@ -40,6 +40,8 @@ def rows(items: DataFrame, sort: str = "discrimination", limit: int = 0) -> Data
     }
     position = F.row_number().over(Window.orderBy(*orders[sort])).cast("long")
     rank = F.row_number().over(Window.partitionBy("rankable").orderBy(F.desc("__a"), "item_id")).cast("long")
+    if limit and sort == "discrimination":  # the head by a distributed top-n; ranks of the first rows don't need the others
+        marked = marked.orderBy(*orders[sort]).limit(limit)
     out = marked.withColumn("position", position).withColumn("rank", F.when(F.col("rankable"), rank)).drop("__a", "__b")
     return out.filter(F.col("position") <= limit) if limit else out
 

@@ -27,7 +27,7 @@ def placements(scores: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
     return both.select(*by, "model_id", average_rank(by, "accuracy").alias("place"), average_rank(by, "truth").alias("true_place"))
 
 
-def map_theta(answers: Column) -> Column:
+def map_theta(answers: Column, bound: float = THETA_BOUND, steps: int = THETA_STEPS) -> Column:
     """Ability of greatest posterior from an array of struct<a, b, y>: root of -theta + sum a (y - P) by bisection."""
 
     def score(theta: Column) -> Column:
@@ -39,16 +39,18 @@ def map_theta(answers: Column) -> Column:
         right = score(middle) > 0
         return F.struct(F.when(right, middle).otherwise(ends["lo"]).alias("lo"), F.when(right, ends["hi"]).otherwise(middle).alias("hi"))
 
-    start = F.struct(F.lit(-THETA_BOUND).alias("lo"), F.lit(THETA_BOUND).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(THETA_STEPS)), start, halve, lambda ends: (ends["lo"] + ends["hi"]) / 2)
+    start = F.struct(F.lit(-float(bound)).alias("lo"), F.lit(float(bound)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda ends: (ends["lo"] + ends["hi"]) / 2)
 
 
-def estimate_abilities(members: DataFrame, items: DataFrame, responses: DataFrame, by: list[str], item_by: list[str] = ()) -> DataFrame:
+def estimate_abilities(
+    members: DataFrame, items: DataFrame, responses: DataFrame, by: list[str], item_by: list[str] = (), bound: float = THETA_BOUND, steps: int = THETA_STEPS
+) -> DataFrame:
     """(by, r, theta) of every respondent that answered something in the set. A set bounds the answers gathered for a respondent."""
     own = members.select(*by, "c").join(items.select(*item_by, "c", "a", "b"), [*item_by, "c"]).join(responses, "c")
     answer = F.struct(F.col("c").alias("c"), F.col("a").alias("a"), F.col("b").alias("b"), F.col("obs").cast("double").alias("y"))
     gathered = own.groupBy(*by, "r").agg(F.sort_array(F.collect_list(answer)).alias("answers"))
-    return gathered.select(*by, "r", map_theta(F.col("answers")).alias("theta"))
+    return gathered.select(*by, "r", map_theta(F.col("answers"), bound, steps).alias("theta"))
 
 
 def model_abilities(abilities: DataFrame, respondents: DataFrame, by: list[str] = ()) -> DataFrame:

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The shared folder of ``spark.checkpoint.dir``. Unset, it is a temporary one on one machine, as in tests, and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is unset: executors need a shared folder for intermediate tables")
         root = "file://" + tempfile.mkdtemp(prefix="respanel-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

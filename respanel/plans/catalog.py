@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from respanel.functions import coerce, irt, ranks
-from respanel.operators import crosscheck, em, fit, holdout, matrix, report, score, select, variational
+from respanel.operators import crosscheck, em, fit, holdout, matrix, report, score, select, studies, variational
 from respanel.operators.store import stored
 from respanel.plans import bindings as bind
 from respanel.plans.sql import TABLES, info, statement
@@ -73,7 +73,7 @@ def item_rates(spark, sf_dir):
     return matrix.item_rates(bind.planted(spark, sf_dir)).select("item_id", "n_resp", *r6("p_correct"))
 
 
-@query("select 'item' as kind, c as id, round(b, 6) as value from start_i union all select 'respondent', r, round(theta, 6) from start_r")
+@query("select 'item' as kind, c as id, round(b, 6) + 0e0 as value from start_i union all select 'respondent', r, round(theta, 6) + 0e0 from start_r")
 def classical_start(spark, sf_dir):
     m = bind.planted(spark, sf_dir)
     items = fit.classical_items(m.responses).select(F.lit("item").alias("kind"), F.col("c").alias("id"), F.round("b", 6).alias("value"))
@@ -221,11 +221,11 @@ def single_category_items(spark, sf_dir):
 # --- fit, intervals, flags -------------------------------------------------------
 
 
-@query("select nw.c, nw.n_resp, round(a, 6) as a, round(d, 6) as d, round(b, 5) as b, round(gradient, 6) as gradient from nw join nw_info on nw.c = nw_info.c")
+@query("select nw.c, nw.n_resp, round(a, 6) + 0e0 as a, round(d, 6) + 0e0 as d, case when abs(b) < 1e3 then round(b, 5) + 0e0 end as b, round(gradient, 6) + 0e0 as gradient from nw join nw_info on nw.c = nw_info.c")
 def newton_item_params(spark, sf_dir):
     m = bind.planted(spark, sf_dir)
     rows = stored(fit.with_theta(m.responses, fit.classical_abilities(m.responses)), "fit-rows")
-    return fit.newton_items(rows).select("c", "n_resp", *r6("a", "d"), F.round("b", 5).alias("b"), *r6("gradient"))
+    return fit.newton_items(rows).select("c", "n_resp", *r6("a", "d"), F.when(F.abs("b") < 1e3, F.round("b", 5)).alias("b"), *r6("gradient"))
 
 
 @query(
@@ -239,11 +239,11 @@ def item_intervals(spark, sf_dir):
     return fit.item_intervals(fit.classical_items(m.responses), rows).select("c", *r6("a_sd", "b_sd", "b_lo", "b_hi"))
 
 
-@query("select c, round(a_sd, 6) as a_sd, round(a_lo, 6) as a_lo, round(a_hi, 6) as a_hi, round(b_sd, 4) as b_sd from nw_iv")
+@query("select c, round(a_sd, 6) as a_sd, round(a_lo, 6) + 0e0 as a_lo, round(a_hi, 6) + 0e0 as a_hi, case when b_sd < 1e3 then round(b_sd, 4) end as b_sd from nw_iv")
 def newton_intervals(spark, sf_dir):
     m = bind.planted(spark, sf_dir)
     rows = stored(fit.with_theta(m.responses, fit.classical_abilities(m.responses)), "fit-rows")
-    return fit.newton_intervals(stored(fit.newton_items(rows), "fit-items"), rows).select("c", *r6("a_sd", "a_lo", "a_hi"), F.round("b_sd", 4).alias("b_sd"))
+    return fit.newton_intervals(stored(fit.newton_items(rows), "fit-items"), rows).select("c", *r6("a_sd", "a_lo", "a_hi"), F.when(F.col("b_sd") < 1e3, F.round("b_sd", 4)).alias("b_sd"))
 
 
 @query(
@@ -294,7 +294,7 @@ def padding_items(spark, sf_dir):
 @query(f"select c, round(sum(weight*{info()}), 6) as score from fl cross join pts where b is not null group by c")
 def item_information(spark, sf_dir):
     _, items, _, points = planted_fit(spark, sf_dir)
-    return select.weighted_information(items, points).select("c", *r6("score"))
+    return select.weighted_information(items.filter("b is not null"), points).select("c", *r6("score"))
 
 
 @query(
@@ -402,12 +402,12 @@ TABLES["pts2"] = "select r, theta, 1e0/(select count(*) from truth_r) as weight
 
 # --- scoring ---------------------------------------------------------------------
 
-TABLES["sets3"] = "select case c%3 when 0 then 'a' when 1 then 'b' else 'd' end as s, c from itm where c%2 = 0"
+TABLES["sets3"] = "select case c%3 when 0 then 'a' when 1 then 'b' else 'd' end as s, c from itm"
 
 
 def three_sets(m: matrix.ResponseMatrix) -> DataFrame:
     name = F.when(F.col("c") % 3 == 0, "a").when(F.col("c") % 3 == 1, "b").otherwise("d")
-    return m.items.filter("c % 2 = 0").select(name.alias("s"), "c")
+    return m.items.select(name.alias("s"), "c")
 
 
 TABLES["acc3"] = "select s, model_id, avg(obs) as accuracy from resp join sets3 on resp.c = sets3.c join peop on resp.r = peop.r group by s, model_id"
@@ -430,7 +430,7 @@ def placement_ranks(spark, sf_dir):
     return score.placements(scores, matrix.full_suite_accuracy(m), ["s"])
 
 
-TABLES["map_in"] = "select resp.r, resp.obs, truth_i.a, truth_i.b from resp join truth_i on resp.c = truth_i.c where resp.c < 60"
+TABLES["map_in"] = "select resp.r, resp.obs, truth_i.a, truth_i.b from resp join truth_i on resp.c = truth_i.c"
 TABLES["map_r"] = "select r, list(struct_pack(a := a, b := b, y := obs)) as xs from map_in group by r"
 TABLES["map_t"] = """
 select r, (lo+hi)/2 as theta from (
@@ -446,7 +446,7 @@ select r, (lo+hi)/2 as theta from (
 def map_theta(spark, sf_dir):
     m = bind.planted(spark, sf_dir)
     truth, _ = bind.planted_truth(spark, sf_dir)
-    return score.estimate_abilities(m.items.filter("c < 60"), truth, m.responses, []).select("r", *r6("theta"))
+    return score.estimate_abilities(m.items, truth, m.responses, []).select("r", *r6("theta"))
 
 
 @query(
@@ -705,7 +705,7 @@ def standardise_theta(spark, sf_dir):
     return crosscheck.standardised(*bind.planted_truth(spark, sf_dir))[0].select("c", *r6("a", "b"))
 
 
-@query("select c, round(-a, 6) as a, round(-b, 6) as b from truth_i")
+@query("select c, round(-a, 6) + 0e0 as a, round(-b, 6) + 0e0 as b from truth_i")
 def reflection(spark, sf_dir):
     return crosscheck.reflected(*bind.planted_truth(spark, sf_dir))[0].select("c", *r6("a", "b"))
 
@@ -750,13 +750,13 @@ def quadrature_nodes(spark, sf_dir):
 
 
 TABLES["lls"] = """select r, q, node, any_value(logw) + sum(obs*z - greatest(z, 0) - ln(1+exp(-abs(z)))) as ll from (
-  select resp.r, q, node, logw, obs, a*(node-b) as z from resp join truth_i on resp.c = truth_i.c cross join nodes where resp.c < 100) group by r, q, node"""
+  select resp.r, q, node, logw, obs, a*(node-b) as z from resp join truth_i on resp.c = truth_i.c cross join nodes) group by r, q, node"""
 
 
 @query("select r, round(sum(exp(ll-top)*node)/sum(exp(ll-top)), 6) as theta from (select *, max(ll) over (partition by r) as top from lls) group by r")
 def eap_theta(spark, sf_dir):
     truth, _ = bind.planted_truth(spark, sf_dir)
-    items = truth.filter("c < 100").select("c", "a", (-F.col("a") * F.col("b")).alias("d"))
+    items = truth.select("c", "a", (-F.col("a") * F.col("b")).alias("d"))
     return crosscheck.eap_theta(bind.planted(spark, sf_dir).responses, items, crosscheck.quadrature(spark, 31)).select("r", *r6("theta"))
 
 
@@ -811,3 +811,249 @@ def running_rates(spark, sf_dir):
     return online.running_rates(bind.table(spark, sf_dir, "events").select("event_type", "ts", (F.col("value") >= 10).cast("int").alias("obs")), "event_type", "ts").select(
         "event_type", "hour", "n", *r6("p_correct")
     )
+
+
+# --- studies with known truth -----------------------------------------------------
+
+TABLES["kn"] = "select fl.*, t.a as true_a, t.b as true_b, ceil_ or floor_ as edge_, not (unsure or inverted or ceil_ or floor_) as sure_ from fl join truth_i t on fl.c = t.c"
+
+
+@query(
+    """select round(avg((a_lo <= true_a and true_a <= a_hi)::int), 6) as a_coverage, round(avg(case when sure_ then (true_a < 0.35e0)::int end), 6) as usable_truly_flat,
+    round(avg(case when sure_ then (true_a < 0)::int end), 6) as usable_truly_backwards, round(avg(case when dead then (abs(true_a) < 0.35e0)::int end), 6) as dead_truly_negligible,
+    round(avg(case when inverted then (true_a < 0)::int end), 6) as inverted_truly_backwards, round(avg(case when true_a >= 0.8e0 and not edge_ then unsure::int end), 6) as live_refused from kn"""
+)
+def claim_purity(spark, sf_dir):
+    """Coverage of the slopes and how far the flags' claims hold."""
+    out = studies.purity(planted_fit(spark, sf_dir)[1], bind.planted_truth(spark, sf_dir)[0])
+    return out.select(*r6(*out.columns))
+
+
+@query(
+    """select case when inverted then 'inverted' when dead then 'dead' when edge_ then 'edge' when unsure then 'insufficient' else 'usable' end as bucket, count(*) as n,
+    sum((round(a, 9) < 0)::bigint)::bigint as fitted_negative from kn where true_a < 0 group by 1"""
+)
+def planted_buckets(spark, sf_dir):
+    return studies.planted_buckets(planted_fit(spark, sf_dir)[1], bind.planted_truth(spark, sf_dir)[0])
+
+
+@query("select count(*) as n, round(avg((true_a > a_hi)::int), 6) as above, round(avg((true_a < a_lo)::int), 6) as below from kn where not edge_")
+def interval_misses(spark, sf_dir):
+    return studies.misses(planted_fit(spark, sf_dir)[1], bind.planted_truth(spark, sf_dir)[0]).select("n", *r6("above", "below"))
+
+
+@query(
+    """select round(a, 9) < 0 as fitted_negative, count(*) as n, round(median(abs(ln(least(greatest(p, 1e-3), 1 - 1e-3)/(1 - least(greatest(p, 1e-3), 1 - 1e-3))))), 6) as median_logit
+    from kn where true_a < 0 and not edge_ group by 1"""
+)
+def sign_barrier(spark, sf_dir):
+    return studies.barrier(planted_fit(spark, sf_dir)[1], bind.planted_truth(spark, sf_dir)[0]).select("fitted_negative", "n", *r6("median_logit"))
+
+
+@query("select round((select stddev_pop(theta) from start_r), 6) as fitted_sd, round((select stddev_pop(theta) from truth_r), 6) as true_sd")
+def ability_spread(spark, sf_dir):
+    own = fit.classical_abilities(bind.planted(spark, sf_dir).responses)
+    return studies.ability_spread(own, bind.planted_truth(spark, sf_dir)[1]).select(*r6("fitted_sd", "true_sd"))
+
+
+@query(
+    """select l_returnflag, l_linestatus, count(*) as n_runs, round(avg(case when l_quantity > 25 then l_discount end), 6) as x, round(avg(l_tax), 6) as y
+    from lineitem group by 1, 2"""
+)
+def study_cell_means(spark, sf_dir):
+    """Means over the runs of a cell where some runs have no value."""
+    lines = bind.table(spark, sf_dir, "lineitem").withColumn("x", F.when(F.col("l_quantity") > 25, F.col("l_discount"))).withColumn("y", F.col("l_tax"))
+    return studies.cell_means(lines, ["l_returnflag", "l_linestatus"], ["x", "y"]).select("l_returnflag", "l_linestatus", "n_runs", *r6("x", "y"))
+
+
+@query(
+    f"""select x.s, n_items, round(true_a, 6) as true_a, round(fitted_a, 6) as fitted_a, round(true_b_sd, 6) as true_b_sd, saturated, round(info_mean, 5) as info_mean, round(info_min, 5) as info_min from
+    (select s, count(*) as n_items, avg(t.a) as true_a, avg(fl.a) as fitted_a, stddev_pop(t.b) as true_b_sd from sets3 join truth_i t on sets3.c = t.c join fl on fl.c = t.c group by s) x
+    join (select s, sum((accuracy <= 0 or accuracy >= 1)::bigint)::bigint as saturated from acc3 group by s) y on x.s = y.s
+    join (select s, avg(i) as info_mean, min(i) as info_min from (select s, r, sum({info()}) as i from sets3 join truth_i on sets3.c = truth_i.c cross join truth_r group by s, r) group by s) z on x.s = z.s"""
+)
+def set_description(spark, sf_dir):
+    m, items, _, _ = planted_fit(spark, sf_dir)
+    truth, people = bind.planted_truth(spark, sf_dir)
+    out = studies.describe_sets(three_sets(m), truth, items, people, m, ["s"])
+    return out.select("s", "n_items", *r6("true_a", "fitted_a", "true_b_sd"), "saturated", F.round("info_mean", 5).alias("info_mean"), F.round("info_min", 5).alias("info_min"))
+
+
+@query("select concat('m', cast(r as varchar)) as model_id, round(any_value(theta), 6) + 0e0 as theta, round(avg(1/(1+exp(-a*(theta-b)))), 6) as expected from truth_r cross join truth_i group by r")
+def true_targets(spark, sf_dir):
+    """True ability and noise-free accuracy of every model."""
+    m = bind.planted(spark, sf_dir)
+    return studies.expected_accuracy(*bind.planted_truth(spark, sf_dir), m.respondents).select("model_id", *r6("theta", "expected"))
+
+
+TABLES["map3_r"] = "select s, r, list(struct_pack(a := a, b := b, y := obs)) as xs from sets3 join resp on resp.c = sets3.c join truth_i on truth_i.c = resp.c group by s, r"
+TABLES["map3_t"] = (
+    TABLES["map_t"].replace("select r, ", "select s, r, ").replace("map_r", "map3_r").replace("-6e0", "-12e0").replace("6e0 as hi", "12e0 as hi").replace("k < 60", "k < 50").replace("k = 60", "k = 50")
+)
+
+
+@query("select s, r, round(theta, 6) + 0e0 as theta from map3_t")
+def ability_scores(spark, sf_dir):
+    """Sets scored by ability within wide bounds instead of accuracy."""
+    m = bind.planted(spark, sf_dir)
+    truth, _ = bind.planted_truth(spark, sf_dir)
+    return score.estimate_abilities(three_sets(m), truth, m.responses, ["s"], bound=12.0, steps=50).select("s", "r", *r6("theta"))
+
+
+@query(
+    """select x.c, concat_ws(',', case when abs(a) < 0.35e0 then 'dead' end, case when a < 0 and abs(a) >= 0.35e0 then 'inverted' end, case when p >= 0.99e0 then 'ceiling' end, case when p <= 0.01e0 then 'floor' end,
+    case when b < t0 - span or b > t1 + span then 'off-range' end) as flags from rates x join truth_i t on x.c = t.c
+    cross join (select min(theta) as t0, max(theta) as t1, greatest(max(theta) - min(theta), 1e-6) as span from truth_r)"""
+)
+def oracle_flags(spark, sf_dir):
+    """Flags of a fit that found the truth."""
+    m = bind.planted(spark, sf_dir)
+    own = fit.classical_items(m.responses).join(m.items.select("c", "item_id"), "c")
+    return studies.oracle_fit(own, *bind.planted_truth(spark, sf_dir)).select("c", F.array_join("flags", ",").alias("flags"))
+
+
+TABLES["fresh"] = """
+select j as r, i as c, case when u < 1/(1+exp(-a*(th-b))) then 1 else 0 end as obs from (
+  select j, i, th, a, b, ((j*7919 + i*611953 + (j*i*32452843)%10000019)%10007)/10007.0e0 as u from b2_cells)"""
+SPEARMAN = """select {by}, count(*) as n, round(coalesce(corr(rx, ry), 0), 6) + 0e0 as spearman from (
+  select {by}, rank() over (partition by {by} order by round({x}, 10) desc) + (count(*) over (partition by {by}, round({x}, 10)) - 1)/2e0 as rx,
+    rank() over (partition by {by} order by round({y}, 10) desc) + (count(*) over (partition by {by}, round({y}, 10)) - 1)/2e0 as ry from {rows}) group by {by}"""
+
+
+def spearman_of(rows: str, by: str, x: str, y: str) -> str:
+    return SPEARMAN.format(rows=rows, by=by, x=x, y=y)
+
+
+TABLES["two_draws"] = """select draw, s, x.r, theta, avg(obs) as accuracy from (select 'original' as draw, r, c, obs from resp union all select 'fresh', r, c, obs from fresh) x
+  join sets3 on x.c = sets3.c join truth_r on truth_r.r = x.r group by draw, s, x.r, theta"""
+
+
+@query(spearman_of("two_draws", "draw, s", "theta", "accuracy"))
+def fresh_response_scoring(spark, sf_dir):
+    """The same sets scored on the responses they were made from and on a second draw."""
+    m = bind.planted(spark, sf_dir)
+    again = bind.planted_cells(spark, sf_dir, fresh=True).select(F.lit("fresh").alias("draw"), F.col("j").alias("r"), F.col("i").alias("c"), F.col("correct").alias("obs"))
+    both = m.responses.select(F.lit("original").alias("draw"), "r", "c", "obs").unionByName(again)
+    scores = both.join(three_sets(m), "c").groupBy("draw", "s", "r").agg(F.avg("obs").alias("accuracy"))
+    rows = scores.join(bind.planted_truth(spark, sf_dir)[1], "r")
+    return studies.spearman(rows, ["draw", "s"], "theta", "accuracy").select("draw", "s", "n", *r6("spearman"))
+
+
+TABLES["oracle40"] = f"""select c from (select c, row_number() over (order by score desc, c) as rank from (select c, round(sum(weight*{info()}), 10) as score from
+  (select c, case when a < 0 then 0e0 else a end as a, b from truth_i) cross join pts2 group by c)) where rank <= 40"""
+TABLES["two_sets"] = "select 'tool' as s, c from anchor40 union all select 'oracle', c from oracle40"
+TABLES["unseen"] = """select population, k, round(centre + spread*(s - 6), 9) as theta from (select k, sum(u) as s from (
+  select k, q, ((h*h + k*31 + q*17) % 999983)/999983e0 as u from (select k, q, (3*15485863 + k*7919 + q*104729) % 1000003 as h from (select range as k from range(2000)) cross join (select range as q from range(12)))) group by k)
+  cross join (select 'same' as population, 0e0 as centre, 1e0 as spread union all select 'stronger', 1e0, 0.7e0)"""
+TABLES["unseen_acc"] = """select s, population, k, theta, avg(case when u < 1/(1+exp(-a*(theta-b))) then 1e0 else 0e0 end) as accuracy from (
+  select s, population, k, theta, a, b, ((h*h + k*17 + c*31) % 999983)/999983e0 as u from (
+    select two_sets.s, population, k, theta, truth_i.c, a, b, (5*15485863 + k*7919 + truth_i.c*104729) % 1000003 as h from two_sets join truth_i on two_sets.c = truth_i.c cross join unseen)) group by s, population, k, theta"""
+
+
+@query(spearman_of("unseen_acc", "s, population", "theta", "accuracy"))
+def fresh_population_spearman(spark, sf_dir):
+    """How well a chosen set and the best possible one order 2,000 unseen models of two populations."""
+    _, items, _, points = planted_fit(spark, sf_dir)
+    truth, people = bind.planted_truth(spark, sf_dir)
+    best = select.weighted_information(truth.withColumn("a", F.greatest("a", F.lit(0.0))), people.withColumn("weight", F.lit(1.0) / people.count())).withColumn("tier", F.lit(0))
+    sets = select.select_anchor(items, points, 40).select(F.lit("tool").alias("s"), "c").unionByName(select.anchor_max_information(best, 40).select(F.lit("oracle").alias("s"), "c"))
+    return studies.fresh_spearman(stored(sets, "sets"), truth, ["s"]).select("s", "population", "n", *r6("spearman"))
+
+
+TABLES["own_set"] = """select size, x.model_id, own, accuracy from (select size, model_id, avg(obs) as own from tsets t join hold3 on t.k = hold3.k join peop on peop.model_id = holdout
+  join resp on resp.r = peop.r and resp.c = t.c group by size, model_id) x join acc on acc.model_id = x.model_id"""
+
+
+@query(spearman_of("own_set", "size", "own", "accuracy").replace("select size, count", "select cast(size as bigint) as size, count"))
+def own_set_spearman(spark, sf_dir):
+    """The older protocol: every held-out model on its own set, one correlation over the holdouts."""
+    m, holdouts, items, abilities = truth_holdout(spark, sf_dir)
+    sets = holdout.chosen_sets(items, select.ability_points(abilities, m.respondents, ["k"]), [25, 50], ["k"])
+    return studies.own_set_spearman(sets, m, matrix.full_suite_accuracy(m), holdouts, ["size"]).select("size", "n", *r6("spearman"))
+
+
+TABLES["gated"] = f"""select f.*, score from (select *, ceil_ or floor_ as edge_, not (unsure or inverted or ceil_ or floor_) as sure_,
+  unsure and a > 0 and not (inverted or ceil_ or floor_) as pad_ from fl where n_resp > 0 and b is not null) f
+  join (select c, round(sum(weight*{info()}), 10) as score from fl cross join pts where b is not null group by c) s on f.c = s.c"""
+
+
+@query(
+    """select variant, rank, c from (select variant, c, row_number() over (partition by variant order by tier, score desc, c) as rank from (
+    select 'short' as variant, 0 as tier, c, score from gated where sure_ union all select 'ungated', 0, c, score from gated where not edge_
+    union all select 'no-inv', case when sure_ then 0 else 1 end, c, score from gated where sure_ or not (edge_ or inverted)
+    union all select 'shipped', case when sure_ then 0 else 1 end, c, score from gated where sure_ or pad_)) where rank <= 100"""
+)
+def candidate_pools(spark, sf_dir):
+    _, items, _, points = planted_fit(spark, sf_dir)
+    return studies.candidate_pools(items, points, 100)
+
+
+@query(
+    """select variant, draw, c from (select variant, draw, c, row_number() over (partition by variant, draw order by tier, ((h*h + c*31 + draw*17) % 999983)/999983e0, c) as rank from (
+    select variant, tier, draw, c, (9*15485863 + c*7919 + draw*104729) % 1000003 as h from (
+      select 'filtered' as variant, 0 as tier, c from fl where n_resp > 0 and not (dead or inverted or ceil_ or floor_)
+      union all select 'usable', 0, c from fl where n_resp > 0 and not (unsure or inverted or ceil_ or floor_)
+      union all select 'usable', 1, c from fl where n_resp > 0 and unsure and a > 0 and not (inverted or ceil_ or floor_)) cross join (select range as draw from range(20)))) where rank <= 50"""
+)
+def random_variants(spark, sf_dir):
+    return studies.random_variants(planted_fit(spark, sf_dir)[1], 50, 20, 9)
+
+
+@query(
+    """select r, place, true_place, abs(place - true_place) as error from (select t.r,
+    1e0 + sum(case when round(q.theta, 10) > round(t.theta, 10) then 1e0 when round(q.theta, 10) = round(t.theta, 10) then 0.5e0 else 0e0 end) as place,
+    1e0 + sum(case when round(q.theta, 10) > round(o.theta, 10) then 1e0 when round(q.theta, 10) = round(o.theta, 10) then 0.5e0 else 0e0 end) as true_place
+    from start_r t join truth_r o on t.r = o.r join truth_r q on q.r <> t.r group by t.r)"""
+)
+def ability_placement(spark, sf_dir):
+    """Places by estimated ability among the true abilities of the others, against the true places."""
+    own = fit.classical_abilities(bind.planted(spark, sf_dir).responses)
+    people = bind.planted_truth(spark, sf_dir)[1]
+    return studies.places_against(own, people, people)
+
+
+TABLES["filled"] = """select x.model_id, x.c, coalesce(x.v, x.m) as x from (select p.model_id, itm.c, v, avg(v) over (partition by itm.c) as m from (select distinct model_id from peop) p cross join itm
+  left join (select model_id, c, avg(obs) as v from resp join peop on resp.r = peop.r group by 1, 2) s on s.model_id = p.model_id and s.c = itm.c) x"""
+TABLES["irf"] = """select c, (sum(x*rest) - sum(x)*sum(rest)/count(*)) as cov, sum(x*x) - sum(x)*sum(x)/count(*) as vx, sum(rest*rest) - sum(rest)*sum(rest)/count(*) as vr from (
+  select c, x, sum(x) over (partition by model_id) - x as rest from filled) group by c"""
+
+
+@query("select c, round(case when vx > 1e-12 and vr > 1e-12 then cov/sqrt(vx*vr) else 0 end, 5) + 0e0 as item_rest from irf")
+def item_rest_filled(spark, sf_dir):
+    """Item-rest correlation on the whole models x items table, gaps filled by the item's mean."""
+    m = bind.planted(spark, sf_dir)
+    return select.item_rest_filled(m.responses, m.respondents, m.items).select("c", F.round("item_rest", 5).alias("item_rest"))
+
+
+@query("select count(*) as n, round(corr(t.theta, s.theta), 6) as r, corr(t.theta, s.theta) >= 0 as agrees from truth_r t join start_r s on t.r = s.r")
+def reflection_agrees(spark, sf_dir):
+    own = fit.classical_abilities(bind.planted(spark, sf_dir).responses)
+    return studies.reflection_agrees(bind.planted_truth(spark, sf_dir)[1], own).select("n", *r6("r"), "agrees")
+
+
+@query("select c, round(a, 6) + 0e0 as a, round(b, 6) + 0e0 as b from truth_i")
+def canonical_sign(spark, sf_dir):
+    """A mirrored fit turned back."""
+    items, people = crosscheck.reflected(*bind.planted_truth(spark, sf_dir))
+    return fit.canonical_sign(items, people)[0].select("c", *r6("a", "b"))
+
+
+TABLES["dmap_r"] = """
+select t.k, t.size, t.draw, list(struct_pack(a := a, b := b, y := obs)) as xs from draws t join hold3 on t.k = hold3.k join peop on peop.model_id = holdout
+join resp on resp.r = peop.r and resp.c = t.c join truth_i on truth_i.c = t.c group by t.k, t.size, t.draw"""
+TABLES["dmap_t"] = TABLES["tmap_t"].replace("select k, size, ", "select k, size, draw, ").replace("tmap_r", "dmap_r")
+
+
+@query(
+    """select k, cast(size as bigint) as size, draw, round(any_value(theta), 6) + 0e0 as theta, 1e0 + sum(case when round(qt, 10) > round(theta, 10) then 1e0 when round(qt, 10) = round(theta, 10) then 0.5e0 else 0e0 end) as place
+    from (select m.k, m.size, m.draw, m.theta, q.theta as qt from dmap_t m join tpts q on m.k = q.k) group by k, size, draw"""
+)
+def loo_random_ability(spark, sf_dir):
+    """Random sets scored by ability, as the chosen ones are."""
+    m, holdouts, items, abilities = truth_holdout(spark, sf_dir)
+    realised = spark.createDataFrame([(25, 25), (50, 50)], "size long, n_selected long").crossJoin(holdouts.select("k"))
+    answered = holdout.held_out_responses(m, holdouts).select("k", "c").distinct()
+    sets = stored(holdout.random_sets(answered, realised, 20, 5), "draws")
+    reference = score.model_abilities(abilities, m.respondents, ["k"])
+    out = holdout.ability_errors(sets, items.select("k", "c", "a", "b"), reference, m, holdouts, ["k", "size", "draw"], ["k"])
+    return out.select("k", "size", "draw", *r6("theta"), "place")

@@ -33,8 +33,7 @@ select j, i, th, a, b, case when u < 1/(1+exp(-a*(th-b))) then 1 else 0 end as c
   select j, i, -2.0e0 + 4.0e0*((j*7919)%1009)/1008.0e0 as th, -2.0e0 + 4.0e0*((i*6007)%2003)/2002.0e0 as b,
     case when i%20=0 then -1.2e0 when i%7=0 then 0.05e0 else 0.5e0+1.5e0*((i*3571)%997)/996.0e0 end as a,
     ((j*104729 + i*1299709 + (j*i*15485863)%10000019)%10007)/10007.0e0 as u
-  from (select distinct l_suppkey as j from lineitem) cross join (select p_partkey as i from part where p_partkey <= 400)
-  where (j*31+i*17)%10 <> 0)"""
+  from (select distinct l_suppkey as j, l_partkey as i from lineitem))"""
 TABLES["resp"] = "select j as r, i as c, correct as obs from b2_cells"
 TABLES["peop"] = "select distinct r, concat('m', cast(r as varchar)) as model_id from resp"
 TABLES["itm"] = "select distinct c, concat('i', cast(c as varchar)) as item_id, concat('s', cast(c%7 as varchar)) as subject from resp"

@@ -8,24 +8,37 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from respanel.functions.coerce import build_records
+from respanel.operators.store import stored
 from respanel.schema import PASSTHROUGH, REQUIRED, RecordError
 from respanel.sources.registry import Reader, register
 
 
+#: Blocks whose counts are broadcast at once; beyond it lines meet them by a shuffle.
+FEW_BLOCKS = 100_000
+
+
 def numbered_lines(spark: SparkSession, path: str, **options) -> DataFrame:
     """value, _source, _line (from 1, blank lines counted), _seq over all lines in file order.
 
-    Spark's readers cut files at line ends and number nothing, so lines are
-    ranked inside their file by block start and place in the block.
+    Spark's readers cut files at line ends and number nothing. Lines of a
+    block come in order from one task, so a line's place is its id less the
+    least id of its block, plus the lines of the blocks before. Only the
+    counts of the blocks are ever sorted, one row a block; the texts stay
+    where they are read.
     """
     rows = spark.read.options(**options).text(path)
     rows = rows.select("value", F.col("_metadata.file_path").alias("_source"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__id"))
-    line = F.row_number().over(Window.partitionBy("_source").orderBy("__at", "__id"))
-    numbered = rows.withColumn("_line", line.cast("long"))
-    sizes = numbered.groupBy("_source").agg(F.max("_line").alias("__n"))
-    before = Window.orderBy("_source").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_source", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    return numbered.join(starts, "_source").select("value", "_source", "_line", (F.col("__start") + F.col("_line") - 1).alias("_seq"))
+    blocks = stored(rows.groupBy("_source", "__at").agg(F.min("__id").alias("__first"), F.count("*").alias("__n")), "blocks")
+    before = Window.partitionBy("_source").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.withColumn("__line", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    files = blocks.groupBy("_source").agg(F.sum("__n").alias("__all"))
+    ahead = Window.orderBy("_source").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("_source", F.coalesce(F.sum("__all").over(ahead), F.lit(0)).alias("__start"))
+    placed = placed.join(starts, "_source").select("_source", "__at", "__first", "__line", "__start")
+    if blocks.count() <= FEW_BLOCKS:
+        placed = F.broadcast(placed)
+    line = F.col("__line") + F.col("__id") - F.col("__first")
+    return rows.join(placed, ["_source", "__at"]).select("value", "_source", (line + 1).alias("_line"), (F.col("__start") + line).alias("_seq"))
 
 
 def parsed_objects(lines: DataFrame, strict: bool = True) -> DataFrame:
