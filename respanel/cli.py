@@ -46,16 +46,20 @@ def parser() -> argparse.ArgumentParser:
 
 
 def run_fit(spark, a) -> None:
+    import time
+    from datetime import UTC, datetime
+
     from pyspark.sql import functions as F
 
     from respanel.functions.coerce import parse_key
-    from respanel.operators import fit, matrix, store, variational
+    from respanel.operators import diagnostics, fit, matrix, store, variational
     from respanel.sources.registry import read_any
 
     key = tuple(parse_key(a.respondent_key))
     options = {"model_id": a.model_id, "metric": a.metric, "filter": a.lmeval_filter, "scorer": a.scorer}
     m = matrix.build_matrix(read_any(spark, a.responses, a.format, **{k: v for k, v in options.items() if v is not None}), key)
-    responses = store.stored(m.responses, "responses")
+    responses, began = store.stored(m.responses, "responses"), time.time()
+    history, hyper, reflected = [], {}, False
     if a.engine == "newton":
         items, abilities = fit.newton_fit(responses)
     else:
@@ -64,13 +68,23 @@ def run_fit(spark, a) -> None:
         mean = lambda kind, name: got.filter(F.col("kind") == kind).select(F.col("id").alias("c"), F.col("mean").alias(name))
         items = rates.join(mean("item-a", "a"), "c").join(mean("item-b", "b"), "c")
         abilities = got.filter("kind = 'respondent'").select(F.col("id").alias("r"), F.col("mean").alias("theta"))
+        first = got.filter("kind = 'elbo'").orderBy("id").collect()
+        history, reflected = [r["mean"] for r in first], bool(first[0]["reflected"])
+        hyper = {} if a.priors == "vague" else {h: first[0][h] for h in variational.HYPER}
         rows = fit.with_theta(responses, abilities)
-        items = fit.item_flags(fit.item_intervals(items, rows), abilities)
+        of_a, of_b = diagnostics.prior_precisions(a.priors, hyper)
+        items = fit.item_flags(fit.item_intervals(items, rows, precision_a=of_a, precision_b=of_b), abilities)
     people = m.respondents.join(abilities.select("r", "theta"), "r", "left")
-    items = m.items.join(items, "c")
-    meta = {"respondent_key": list(key), "engine": a.engine, "priors": a.priors, "seed": a.seed}
-    store.save_fit(a.out, people, items, responses if a.embed_responses else None, meta)
+    items = store.stored(m.items.join(items, "c"), "items")
     shape = matrix.shape(m).first()
+    facts = {k: shape[k] for k in ("n_responses", "n_respondents", "n_real_models", "n_items", "density")}
+    counts = {r["flag"]: r["n"] for r in fit.flag_counts(items).collect()}
+    told = diagnostics.fit_diagnostics(
+        history, epochs=a.epochs if history else None, seed=a.seed, priors=a.priors, seconds=round(time.time() - began, 3), reflected=reflected, **facts,
+        flag_counts=counts, hyperparameters=hyper, interval_method="conditional-information",
+    )
+    meta = {"respondent_key": list(key), "engine": a.engine, "priors": a.priors, "seed": a.seed, "model": diagnostics.model_metadata(a.engine, a.priors), "diagnostics": told, "created": datetime.now(UTC).isoformat(timespec="seconds")}
+    store.save_fit(a.out, people, items, responses if a.embed_responses else None, meta)
     print(f"{shape['n_real_models']} models, {shape['n_respondents']} respondents, {shape['n_items']} items, {shape['n_responses']} responses -> {a.out}", file=sys.stderr)
 
 
@@ -92,13 +106,16 @@ def run_report(spark, a) -> None:
         with open(a.html, "w", encoding="utf-8") as file:
             file.write(page)
         print(f"wrote {a.html}", file=sys.stderr)
-    print(render.json_report(head, rows, a.sort, a.limit, key) if a.json else render.text_report(head, rows, key), end="\n" if a.json else "")
+    from respanel.operators import diagnostics
+
+    told = diagnostics.lines(f["meta"], VERSION)
+    print(render.json_report(head, rows, a.sort, a.limit, key) if a.json else render.text_report(head, rows, key) + "\n".join(["", *told, ""]), end="\n" if a.json else "")
 
 
 def run_select(spark, a) -> None:
     from pyspark.sql import functions as F
 
-    from respanel.operators import select, store
+    from respanel.operators import select, store, studies
     from respanel.schema import SelectError
 
     if a.adaptive:
@@ -111,7 +128,7 @@ def run_select(spark, a) -> None:
         raise SelectError("no item is eligible; more respondents are needed before a set can be chosen")
     error = select.set_error(chosen, f["items"], points).agg(F.sum(F.col("weight") * F.col("theta_se"))).first()[0]
     padded = sum(r["padded"] for r in rows)
-    out = {"item_ids": [r["item_id"] for r in rows], "count": len(rows), "requested": a.n, "objective": "max-information", "padded": padded, "n_items": f["items"].count(), "mean_theta_se": error, "gains": [r["gain"] for r in rows], "source": a.artifact}
+    out = {"item_ids": [r["item_id"] for r in rows], "count": len(rows), "requested": a.n, "objective": "max-information", "padded": padded, "short": a.n - len(rows), **studies.usable_share(f["items"]).select("n_usable_items", "n_items").first().asDict(), "mean_theta_se": error, "gains": [r["gain"] for r in rows], "source": a.artifact}
     print(f"{len(rows)} of {a.n} items, {padded} of them padding, mean error {error:.3f}", file=sys.stderr)
     if a.out:
         with open(a.out, "w", encoding="utf-8") as file:
@@ -130,8 +147,13 @@ def run_validate(spark, a) -> None:
     if f["responses"] is None:
         raise ValidateError("the fit carries no responses; fit with --embed-responses")
     m = ResponseMatrix(f["respondents"].select("r", "respondent_id", "model_id"), f["items"].select("c", "item_id", "subject", "split"), f["responses"])
-    table = holdout.leave_one_model_out(m, lambda responses, by: fit.newton_fit(responses, by), holdout.parse_sizes(a.sizes), a.draws, a.seed)
-    rows = [r.asDict() for r in table.orderBy("size").collect()]
+    sizes, models = holdout.validation(m, lambda responses, by: fit.newton_fit(responses, by), holdout.parse_sizes(a.sizes), a.draws, a.seed)
+    rows = [r.asDict() for r in sizes.orderBy("size").collect()]
+    for own in rows:
+        own["models"] = []
+    at = {own["size"]: own["models"] for own in rows}
+    for r in models.orderBy("size", "holdout").collect():
+        at[r["size"]].append({k: v for k, v in r.asDict().items() if k not in ("size", "k")})
     n = m.respondents.select("model_id").distinct().count()
     print(json.dumps({"n_models": n, "random_draws": a.draws, "sizes": rows}, indent=1) if a.json else render.validation_table(rows, n), end="\n" if a.json else "")
 

@@ -56,7 +56,7 @@ def respondent_id(key: list[str], available: list[str]) -> Column:
     """Identity of a respondent: the key's fields joined by ``|``; null where one is null, so that it is never skipped."""
     absent = [k for k in key if k not in available]
     if absent:
-        raise RecordError(f"no column {', '.join(absent)} for the respondent key among {', '.join(sorted(available))}")
+        raise RecordError(f"no column {', '.join(absent)} for the respondent key; {', '.join(sorted(available))} are available")
     whole = F.concat_ws("|", *[F.col(k).cast("string") for k in key])
     sound = F.lit(True)
     for k in key:

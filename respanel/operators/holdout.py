@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from respanel.operators import score, select
 from respanel.operators.matrix import ResponseMatrix, full_suite_accuracy
+from respanel.operators.store import stored
 from respanel.schema import DEFAULT_SIZES, MIN_MODELS, ValidateError
 
 
@@ -100,8 +101,39 @@ def summary(chosen: DataFrame, random: DataFrame) -> DataFrame:
     )
 
 
+def validation(m: ResponseMatrix, fit_fn, sizes=DEFAULT_SIZES, draws: int = 200, seed: int = 0, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(summary by size, rows by size and held-out model), places by accuracy and by ability.
+
+    ``fit_fn(responses, by)`` gives (items with flags, abilities) of every k.
+    The summary adds to ``summary`` the same three figures by ability, the
+    fewest items that a set of the size really holds and the sets that fall
+    short of it.
+    """
+    holdouts = stored(all_holdouts(m, only), "holdouts")
+    m = ResponseMatrix(m.respondents, m.items, stored(m.responses, "responses"), m.respondent_key)
+    items, abilities = fit_fn(stored(held_out_responses(m, holdouts), "held-out"), ["k"])
+    points = select.ability_points(abilities, m.respondents, ["k"])
+    sets = stored(chosen_sets(items, points, list(sizes), ["k"]), "sets")
+    realised = stored(sets.groupBy("k", "size").agg(F.count("*").alias("n_selected")), "realised")
+    drawn = stored(random_sets(items.filter("n_resp > 0"), realised, draws, seed), "drawn")
+    reference = stored(score.model_abilities(abilities, m.respondents, ["k"]), "reference")
+    params = items.select("k", "c", "a", "b").filter("b is not null")
+
+    def both(chosen: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+        return stored(errors(chosen, m, holdouts, by), "errors"), stored(ability_errors(chosen, params, reference, m, holdouts, by, ["k"]), "ability-errors")
+
+    own, own_ability = both(sets, ["k", "size"])
+    random, random_ability = both(drawn, ["k", "size", "draw"])
+    by_ability = summary(own_ability, random_ability).select("size", *[F.col(c).alias(c.replace("error", "ability_error") if "error" in c else f"{c}_ability") for c in ("mean_error", "random_error", "beats_random")])
+    filled = realised.groupBy("size").agg(F.min("n_selected").alias("min_selected"), F.sum((F.col("n_selected") < F.col("size")).cast("long")).alias("n_short"))
+    rows = own.join(realised, ["k", "size"]).join(
+        own_ability.select("k", "size", "theta", F.col("place").alias("ability_place"), F.col("error").alias("ability_error")), ["k", "size"], "left"
+    )
+    return summary(own, random).join(by_ability, "size", "left").join(filled, "size", "left"), rows
+
+
 def leave_one_model_out(m: ResponseMatrix, fit_fn, sizes=DEFAULT_SIZES, draws: int = 200, seed: int = 0, only: list[str] | None = None) -> DataFrame:
-    """Size summary of the whole validation. ``fit_fn(responses, by)`` gives (items with flags, abilities) of every k."""
+    """Size summary by accuracy alone. ``fit_fn(responses, by)`` gives (items with flags, abilities) of every k."""
     holdouts = all_holdouts(m, only)
     responses = held_out_responses(m, holdouts)
     items, abilities = fit_fn(responses, ["k"])

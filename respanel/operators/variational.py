@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from respanel.operators.diagnostics import thinned
 from respanel.schema import FitError, ModelError
 
 PRIORS = ("hierarchical", "vague")
@@ -21,7 +22,7 @@ RATE, DECAY, EPOCHS, START_SCALE = 0.05, 0.1, 2000, 0.1
 def fit_arrays(rows: np.ndarray, cols: np.ndarray, obs: np.ndarray, n_r: int, n_c: int, priors: str = "hierarchical", epochs: int = EPOCHS, seed: int = 0) -> dict:
     """Posterior means and deviations of a, b, theta from answers in triplets; starts at the classical estimates."""
     if priors not in PRIORS:
-        raise ModelError(f"unknown priors {priors!r}; choose one of {', '.join(PRIORS)}")
+        raise ModelError(f"unknown priors {priors!r}, there are {' and '.join(PRIORS)}")
     if epochs < 1:
         raise FitError("epochs must be positive")
     draw = np.random.default_rng(seed)
@@ -92,11 +93,15 @@ def fit_arrays(rows: np.ndarray, cols: np.ndarray, obs: np.ndarray, n_r: int, n_
     return out | {f"{k}_sd": np.exp(log_scale[cuts[k]]) for k in ("a", "b", "theta")} | {"elbo": history, "hyperparameters": hyper, "reflected": sign < 0}
 
 
-RESULT = "fit_id long, kind string, id long, mean double, sd double, elbo double"
+HYPER = ("sigma_a", "mu_b", "sigma_b")
+RESULT = "fit_id long, kind string, id long, mean double, sd double, elbo double, " + ", ".join(f"{h} double" for h in HYPER) + ", reflected boolean"
 
 
 def vi_fit(responses: DataFrame, priors: str = "hierarchical", epochs: int = EPOCHS, seed: int = 0) -> DataFrame:
-    """(fit_id, kind item-a / item-b / respondent, id, mean, sd, elbo) of every fit in ``responses`` (fit_id, r, c, obs).
+    """(fit_id, kind item-a / item-b / respondent / elbo, id, mean, sd, elbo, learned scales, reflected) of every fit in ``responses`` (fit_id, r, c, obs).
+
+    Rows of kind elbo hold the bound after the step ``id``, thinned. The
+    scales are null under vague priors, where none are learned.
 
     A fit is one group and one task: full-batch gradient steps over its
     answers, 12 bytes an answer. Fits of a holdout run side by side.
@@ -108,9 +113,15 @@ def vi_fit(responses: DataFrame, priors: str = "hierarchical", epochs: int = EPO
         got = fit_arrays(rows, cols, pdf["obs"].to_numpy(float), len(r_ids), len(c_ids), priors, epochs, seed)
         parts = [("item-a", c_ids, "a"), ("item-b", c_ids, "b"), ("respondent", r_ids, "theta")]
         frames = [pd.DataFrame({"kind": kind, "id": ids, "mean": got[k], "sd": got[f"{k}_sd"]}) for kind, ids, k in parts]
+        kept, stride = thinned(got["elbo"])
+        steps = [min(k * stride, len(got["elbo"]) - 1) for k in range(len(kept))]
+        frames.append(pd.DataFrame({"kind": "elbo", "id": steps, "mean": kept, "sd": np.nan}))
         out = pd.concat(frames)
         out.insert(0, "fit_id", int(pdf["fit_id"].iloc[0]))
         out["elbo"] = got["elbo"][-1]
+        for name in HYPER:
+            out[name] = got["hyperparameters"].get(name, np.nan)
+        out["reflected"] = bool(got["reflected"])
         return out
 
     return responses.groupBy("fit_id").applyInPandas(one, RESULT)

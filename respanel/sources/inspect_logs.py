@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import io
 import json
+import warnings
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from respanel.functions.coerce import build_records
 from respanel.schema import RecordError
-from respanel.sources.registry import Reader, register
+from respanel.sources.registry import SNIFF_BYTES, Reader, register
 
 LOGS = "_source string, model string, task string, sample string, place long"
 METHODS = (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA)
@@ -36,12 +37,19 @@ def opened(path: str, data: bytes) -> tuple[dict, list]:
 
 def samples(spark: SparkSession, path: str) -> DataFrame:
     """One row a sample, as JSON text. A file is one task's work: logs are read whole."""
+    skipping = not path.endswith((".json", ".eval"))  # a named file must be a log, files of a folder need not
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{json,eval}").load(path)
 
+    # a batch is some files, whatever their size
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, data in zip(frame["path"], frame["content"], strict=True):
-                header, own = opened(name, bytes(data))
+                data = bytes(data)
+                if skipping and name.endswith(".json") and not sniff(name, data[:SNIFF_BYTES]):
+                    continue
+                header, own = opened(name, data)
                 spec = header.get("eval") or {}
                 if not spec.get("model"):
                     raise RecordError("a log that names no model", name, 1)
@@ -61,7 +69,14 @@ def grade_of(value):
 def read_inspect(spark: SparkSession, path: str, scorer: str | None = None, strict: bool = True) -> DataFrame:
     """Records of logs below ``path``; unscored samples are left out, several scorers need one named."""
     rows = samples(spark, path).withColumn("scores", F.from_json(F.get_json_object("sample", "$.scores"), "map<string,string>"))
-    rows = rows.filter("scores is not null and size(scores) > 0").withColumn("_line", F.col("place") + 1)
+    scored = F.col("scores").isNotNull() & (F.size("scores") > 0)
+    if lost := rows.filter(~F.coalesce(scored, F.lit(False))).count():
+        warnings.warn(f"{lost} samples without a score are left out: missing, not wrong", stacklevel=2)
+    rows = rows.filter(scored).withColumn("_line", F.col("place") + 1)
+    files = rows.groupBy("_source").agg((F.max("place") + 1).alias("__n"))
+    before = Window.orderBy("_source").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("_source", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    rows = rows.join(F.broadcast(starts), "_source").withColumn("_seq", F.col("__start") + F.col("place"))
     if scorer is None:
         many = rows.filter("size(scores) > 1").select(F.array_join(F.map_keys("scores"), ", ").alias("names"), "_source", "_line").limit(1).collect()
         if many:
@@ -79,6 +94,7 @@ def read_inspect(spark: SparkSession, path: str, scorer: str | None = None, stri
         F.map_filter(F.create_map(F.lit("task"), "task", F.lit("epoch"), F.get_json_object("sample", "$.epoch")), lambda k, v: v.isNotNull()).alias("extra"),
         "_source",
         "_line",
+        "_seq",
     )
     return build_records(out, strict)
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import warnings
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +15,9 @@ from respanel.schema import FormatError, RecordError
 from respanel.sources.jsonl import field, numbered_lines, parsed_objects
 from respanel.sources.registry import Reader, register
 
-# Metrics in order of preference; keys of model arguments that name the model, in order.
+# Metrics in order of preference; fields of a sample; keys of model arguments that name the model, in order.
 METRICS = ("acc", "exact_match", "em", "acc_norm")
+FIELDS = ("doc_id", "doc", "target", "arguments", "resps", "filtered_resps", "filter", "metrics", "doc_hash", "prompt_hash", "target_hash")
 MODEL_KEYS = ("peft", "delta", "pretrained", "model", "path", "engine")
 
 
@@ -46,8 +50,14 @@ def model_of(text: str) -> str | None:
 def results_models(spark: SparkSession, path: str) -> DataFrame:
     """(folder, model): one row a folder with a results file that names its model."""
     options = {"recursiveFileLookup": "true", "pathGlobFilter": "results_*.json", "wholetext": "true"}
+
+    def named(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"file": frame["file"], "value": [model_of(x) for x in frame["value"]]})
+
     try:
-        files = spark.read.options(**options).text(path).select("value", F.col("_metadata.file_path").alias("file")).orderBy("file").collect()
+        texts = spark.read.options(**options).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+        files = texts.mapInPandas(named, "file string, value string").filter("value is not null").orderBy("file").collect()  # names, not files
     except Exception as error:  # a folder without such files
         if "PATH_NOT_FOUND" in str(error):
             files = []
@@ -56,8 +66,7 @@ def results_models(spark: SparkSession, path: str) -> DataFrame:
     found: dict[str, str] = {}
     for row in files:
         folder = row["file"].rsplit("/", 1)[0]
-        if folder not in found and (name := model_of(row["value"])):
-            found[folder] = name
+        found.setdefault(folder, row["value"])
     return spark.createDataFrame(list(found.items()), "folder string, model string")
 
 
@@ -79,7 +88,10 @@ def read_lmeval(spark: SparkSession, path: str, model_id: str | None = None, met
         rows = rows.withColumn("wanted", F.lit(filter))
         if rows.filter(F.col("filter") == filter).isEmpty():
             raise RecordError(f"no sample has the filter {filter!r}")
-    rows = rows.filter(F.col("filter").isNull() | (F.col("filter") == F.col("wanted")))
+    wanted = F.col("filter").isNull() | (F.col("filter") == F.col("wanted"))
+    if dropped := rows.filter(~wanted).count():
+        warnings.warn(f"{dropped} samples of other filters are left out", stacklevel=2)
+    rows = rows.filter(wanted)
     names = F.from_json(field("metrics"), "array<string>")
     rows = rows.withColumn("metrics", names)
     if metric is not None:
@@ -88,6 +100,9 @@ def read_lmeval(spark: SparkSession, path: str, model_id: str | None = None, met
         chosen = F.when(F.size("metrics") == 1, F.col("metrics")[0])
         for m in METRICS:
             chosen = chosen.when(F.array_contains("metrics", m) | (F.col("metrics").isNull() & field(m).isNotNull()), F.lit(m))
+        # without a list of metrics, a single number beside the fixed fields is the metric
+        numbers = F.map_filter(F.from_json("value", "map<string,string>"), lambda k, v: ~k.isin(*FIELDS) & v.try_cast("double").isNotNull())
+        chosen = chosen.when(F.col("metrics").isNull() & (F.size(numbers) == 1), F.map_keys(numbers)[0])
     value = F.lit(None).cast("string")
     whole = F.from_json("value", "map<string,string>")
     rows = rows.withColumn("metric", chosen).withColumn("grade", F.coalesce(whole[F.col("metric")], value))

@@ -54,7 +54,7 @@ def dispatch(name: str | None, path: str, head: bytes) -> Reader:
     """An explicit format wins; else the sniffers of the extension, then all, then a sole reader of the extension."""
     if name is not None:
         if name not in READERS:
-            raise FormatError(f"no reader is called {name!r}, only {', '.join(sorted(READERS))}")
+            raise FormatError(f"unknown format: no reader is called {name!r}, only {', '.join(sorted(READERS))}")
         return READERS[name]
     extension = os.path.splitext(path)[1].lower()
     own = [r for r in READERS.values() if extension in r.extensions]
