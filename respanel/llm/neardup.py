@@ -5,7 +5,8 @@ They miss pairs whose change moves more bits, so a prefix filter proposes the
 rest: two shingle sets of Jaccard similarity ``SIMILARITY`` or more share a
 shingle among the rarest fifth of each (Chaudhuri et al. 2006), whatever
 changed between them. Texts that do fall into one cluster of candidates.
-Inside a cluster every pair is compared that verified links don't join yet.
+Texts of a large cluster are compared with a few of its texts first; then
+every pair of a cluster is compared that verified links don't join yet.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from respanel.llm.simhash import fingerprint, forest, links
 SIMILARITY, WIDTH, RADIUS = 0.8, 5, 3
 #: A node with many links is joined in so many parts.
 SALT = 32
+#: In a cluster of more texts than this, every text is first compared with so many of its texts.
+HUB_FROM, HUBS = 128, 8
 #: Shingles that a task of the prefix filter holds at once, about.
 PART = 250_000
 #: Texts of a block; a cluster of more is compared block against block, so a task holds two blocks.
@@ -215,6 +218,14 @@ def proposed(nodes: DataFrame) -> DataFrame:
     return equal.unionByName(near).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
 
 
+def to_hubs(clusters: DataFrame) -> DataFrame:
+    """(a, b): every node of a large cluster beside ``HUBS`` of its nodes, one of each part of the hash range."""
+    large = clusters.groupBy("cluster").agg(F.count("*").alias("n")).filter(F.col("n") > HUB_FROM).select("cluster")
+    member = clusters.join(large, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.lit(HUBS)))
+    hubs = member.groupBy("cluster", "part").agg(F.min("node").alias("a"))
+    return member.select("cluster", F.col("node").alias("b")).join(hubs.select("cluster", "a"), "cluster").filter("a <> b").select("a", "b")
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, shingles) of the documents whose id is a node of ``wanted``."""
     rows = docs.select(F.col(id_col).cast("long").alias("node"), text_bytes(text_col).alias("raw"))
@@ -322,7 +333,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     clusters = stored(candidate_clusters(known, nodes, text_col), "nd-clusters")
     wanted = clusters.select("node").unionByName(edges.select(F.explode(F.array("a", "b")).alias("node")))
     sets = stored(shingle_sets(known, wanted, id_col, text_col), "nd-sets")
-    links_ = stored(verified(edges, sets), "nd-verified")
+    links_ = stored(verified(edges.unionByName(to_hubs(clusters)), sets), "nd-verified")
     more = links_in_clusters(sets, clusters, components(links_))
     labels = components(links_.unionByName(more))
     group = nodes.select("h1", "h2", "node").join(labels, "node", "left").select("h1", "h2", "node", F.coalesce("label", "node").alias("label"))

@@ -188,6 +188,7 @@ def test_prefixes_of_similar_sets_always_meet():
 
 def test_clusters_of_several_families_are_compared_across_labels(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "HUB_FROM", 20)
     hubs = [text(150, 8000 + k) for k in range(4)]
     shared = text(12, 8100)  # rare shingles in common, so that all families meet in one cluster
     rows = [(1000 * h + k, f"{changed(t, 1 + k % 9, 100 * h + k)} {shared}") for h, t in enumerate(hubs) for k in range(30)]
