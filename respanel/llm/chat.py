@@ -63,12 +63,14 @@ def tree(rows: DataFrame, conv: str, order: list[str]) -> DataFrame:
 def branches(nodes: DataFrame, top: int = 1) -> DataFrame:
     """(conv, leaf, node, depth, score) of the nodes on the ``top`` best root-to-leaf paths of every tree.
 
-    ``nodes``: conv, node (unique in conv), parent (null at a root), score.
+    ``nodes``: conv, node, parent (null at a root), score. Of rows that share
+    conv and node the least (parent, score) counts, nulls first.
     A path scores the mean of its nodes' scores (null: 0); ties go to the
     smaller leaf. Paths grow by self-joins that double the reach, so a tree
     of depth d takes log2(d) rounds. A node whose parent is not there counts
     as a root; nodes on a cycle have no root and no path.
     """
+    nodes = nodes.groupBy("conv", "node").agg(F.min(F.struct("parent", "score")).alias("x")).select("conv", "node", "x.parent", "x.score")
     known = nodes.select("conv", F.col("node").alias("parent"))
     rows = nodes.select("conv", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     rows = rows.join(known.withColumn("known", F.lit(True)), ["conv", "parent"], "left")
@@ -108,12 +110,16 @@ def format_trees(nodes: DataFrame, top: int = 1) -> DataFrame:
     Columns: conv, leaf, score, n_turns, formatted, loss (code point spans of
     the assistant texts, as escaped). A null role or text is empty. Control
     strings inside roles and texts are escaped reversibly. Trees with a null
-    conv form one tree of their own. An empty table gives an empty result.
+    conv form one tree of their own. Rows that share conv and node are one
+    node, the least of them. One conversation is formatted by one task, which
+    holds its text. Other columns are ignored. An empty table gives an empty
+    result.
     """
     prepare(nodes.sparkSession)
     keyed = nodes.withColumn("conv", F.coalesce(F.col("conv").cast("long"), F.lit(NO_CONV)))
     paths = branches(keyed.select("conv", "node", "parent", "score"), top)
-    texts = keyed.select("conv", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    least = keyed.groupBy("conv", "node").agg(F.min(F.struct("parent", "score", "role", "text")).alias("x"))
+    texts = least.select("conv", "node", F.coalesce("x.role", F.lit("")).alias("role"), F.coalesce("x.text", F.lit("")).alias("text"))
     rows = paths.join(texts, ["conv", "node"]).select("conv", "leaf", "score", "depth", "role", "text")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "conv", "leaf").sortWithinPartitions("conv", "leaf", "depth")

@@ -153,8 +153,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple
     """Fit on at most ``max_rows`` labelled documents that aren't held out.
 
     A document with several labels counts by their mean, 0.5 and up as 1.
-    Null labels and ids are left out; without labels of both kinds the model
-    is a constant.
+    Null labels and ids are left out; without labels of both kinds, as with
+    empty tables, the model is a constant. A document with several rows is
+    learnt from once for each. Other columns are ignored.
     """
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     sample = known.filter(~held_out("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -168,7 +169,9 @@ def score(docs: DataFrame, model: tuple[float, list[tuple[Rule, float]]]) -> Dat
     """(doc_id, held_out, score, predicted) of every row, from its whole text.
 
     A null or empty text has all-zero statistics and is scored like any
-    other. A null id is never held out. Repeated rows come back repeated.
+    other, a very long one whole. A null id is never held out. Repeated rows
+    come back repeated. Columns other than doc_id and text are ignored,
+    whatever their names. An empty table gives an empty result.
     """
     rows = measured(docs.select(F.col("doc_id"), F.col("text")), ["doc_id"])
     out = rows.select("doc_id", held_out("doc_id").alias("held_out"), compiled(*model).alias("score"))

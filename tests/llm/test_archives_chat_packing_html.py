@@ -129,6 +129,14 @@ def test_branches_match_brute_force(spark):
     assert got == want
 
 
+def test_repeated_nodes_are_one(spark):
+    rows = [(1, 0, None, 1.0, "user", "a"), (1, 1, 0, 1.0, "assistant", "b"), (1, 1, 0, 1.0, "assistant", "b"), (1, 1, 0, 2.0, "assistant", "z"), (1, 2, 1, 1.0, "user", "c"), (1, 0, None, 1.0, "user", "a")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv long, node long, parent long, score double, role string, text string, depth string")
+    got = chat.format_trees(df).collect()
+    assert len(got) == 1 and chat.parse_turns(got[0].formatted) == [("user", "a"), ("assistant", "b"), ("user", "c")]
+    assert sorted((r.node, r.depth) for r in chat.branches(df.select("conv", "node", "parent", "score")).collect()) == [(0, 1), (1, 2), (2, 3)]
+
+
 def test_conversations_read_back(spark):
     rows = [(1, 1, "assistant", "b<|x"), (1, 0, "user", None), (2, 0, None, "only"), (None, 0, "user", "lost"), (1, 1, "assistant", "b<|x"), (3, 0, "assistant", "z" * 100_000)]
     df = spark.createDataFrame([(*r, "s", 1) for r in rows], "conv_id long, turn long, role string, text string, score string, leaf int")
