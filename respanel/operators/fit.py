@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from respanel.functions.irt import clamped_logit, difficulty, information, probability, start_difficulty
 from respanel.operators.store import stored
-from respanel.schema import CEILING, DEAD_THRESHOLD, FLAGS, FLOOR, Z95
+from respanel.schema import CEILING, DEAD_THRESHOLD, FLAGS, FLOOR, HDI_PROB, Z95
 
 NEWTON_STEPS = 4
 
@@ -84,6 +84,14 @@ def interval(mean: Column, sd: Column, name: str) -> list[Column]:
     return [sd.alias(f"{name}_sd"), (mean - Z95 * sd).alias(f"{name}_lo"), (mean + Z95 * sd).alias(f"{name}_hi")]
 
 
+def sampled_posterior(samples: DataFrame, by: list[str], value: str, prob: float = HDI_PROB) -> DataFrame:
+    """(by, mean, sd, low, high) of posterior draws: sample deviation and the narrowest interval that holds ``prob`` of them."""
+    from respanel.functions.ranks import narrowest_interval
+
+    moments = samples.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    return moments.join(narrowest_interval(samples, by, value, prob), by)
+
+
 def item_intervals(items: DataFrame, rows: DataFrame, by: list[str] = (), precision_a: float = 1.0, precision_b: float = 1.0) -> DataFrame:
     """Adds a and b intervals from the joint information of (a, b): for bounded b only.
 

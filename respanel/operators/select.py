@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,16 @@ from respanel.schema import SelectError, THETA_PRECISION
 OBJECTIVES = ("max-information", "min-variance")
 
 
+def normal_quantiles(n: int) -> list[tuple[float, float]]:
+    """(x, weight): the middles of ``n`` equal parts of a standard normal."""
+    return [(NormalDist().inv_cdf((k + 0.5) / n), 1 / n) for k in range(n)]
+
+
+def quantile_points(spark, n: int = 41):
+    """(theta, weight) of ``normal_quantiles``, for choosing where models will be and not where they are."""
+    return spark.createDataFrame(normal_quantiles(n), "theta double, weight double")
+
+
 def ability_points(abilities: DataFrame, respondents: DataFrame, by: list[str] = ()) -> DataFrame:
     """(by, r, model_id, theta, weight): each model weighs the same, shared by its respondents, all adding up to 1."""
     rows = abilities.select(*by, "r", "theta").join(respondents.select("r", "model_id"), "r")

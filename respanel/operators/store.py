@@ -45,6 +45,45 @@ def save_fit(path: str, respondents: DataFrame, items: DataFrame, responses: Dat
     spark.createDataFrame([(row,)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 
+def export_fit(fit: dict, path: str) -> None:
+    """A loaded fit as one gzip JSON file, for other programmes; the whole fit passes through the driver."""
+    import gzip
+    import json
+
+    rows = {k: [r.asDict(True) for r in fit[k].collect()] if fit[k] is not None else None for k in TABLES[:3]}
+    schemas = {k: json.loads(fit[k].schema.json()) if fit[k] is not None else None for k in TABLES[:3]}
+    with gzip.open(path, "wt", encoding="utf-8") as file:
+        json.dump({"schema_version": SCHEMA_VERSION, "meta": fit["meta"], "schemas": schemas, **rows}, file)
+
+
+def import_fit(spark: SparkSession, path: str) -> dict:
+    """Inverse of ``export_fit``; a file of another shape or version raises ``ArtifactError``."""
+    import gzip
+    import json
+
+    from pyspark.sql.types import StructType
+
+    from respanel.schema import ArtifactError
+
+    try:
+        with gzip.open(path, "rt", encoding="utf-8") as file:
+            held = json.load(file)
+        if held["schema_version"] != SCHEMA_VERSION:
+            raise ArtifactError(f"schema version {held['schema_version']!r}, this reads {SCHEMA_VERSION}")
+        frames = {}
+        for k in TABLES[:3]:
+            if held[k] is None:
+                frames[k] = None
+                continue
+            schema = StructType.fromJson(held["schemas"][k])
+            frames[k] = spark.createDataFrame([tuple(row[f.name] for f in schema.fields) for row in held[k]], schema)
+    except (OSError, ValueError, KeyError, TypeError) as error:
+        if isinstance(error, ArtifactError):
+            raise
+        raise ArtifactError(f"{path} holds no fit: {error}") from error
+    return frames | {"meta": held["meta"]}
+
+
 def load_fit(spark: SparkSession, path: str, check: bool = True) -> dict:
     """respondents, items, responses (None if not embedded) and meta of a stored fit; only this version is read."""
     import json

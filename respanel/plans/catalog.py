@@ -1057,3 +1057,29 @@ def loo_random_ability(spark, sf_dir):
     reference = score.model_abilities(abilities, m.respondents, ["k"])
     out = holdout.ability_errors(sets, items.select("k", "c", "a", "b"), reference, m, holdouts, ["k", "size", "draw"], ["k"])
     return out.select("k", "size", "draw", *r6("theta"), "place")
+
+
+TABLES["normal41"] = " union all ".join(f"select {x!r}::double as theta, {w!r}::double as weight" for x, w in select.normal_quantiles(41))
+
+
+@query(
+    f"""select row_number() over (order by score desc, c) as rank, c, round(score, 6) as gain from (select c, round(sum(weight*{info()}), 10) as score from
+    (select c, case when a < 0 then 0e0 else a end as a, b from truth_i) cross join normal41 group by c) qualify row_number() over (order by score desc, c) <= 50"""
+)
+def oracle_quantile_selector(spark, sf_dir):
+    """Sets chosen by the true parameters for a standard normal population."""
+    truth, _ = bind.planted_truth(spark, sf_dir)
+    scored = select.weighted_information(truth.withColumn("a", F.greatest("a", F.lit(0.0))), select.quantile_points(spark)).withColumn("tier", F.lit(0))
+    return select.anchor_max_information(scored, 50).select("rank", "c", *r6("gain"))
+
+
+@query(
+    """select x.g, round(x.mean, 4) as mean, round(x.sd, 4) as sd, y.low, y.high from (select l_returnflag as g, avg(l_extendedprice) as mean, stddev_samp(l_extendedprice) as sd from lineitem group by 1) x join (
+    select l_returnflag as g, low, high from (select *, row_number() over (partition by l_returnflag order by high - low, low) as best from (
+    select l_returnflag, l_extendedprice as low, lead(l_extendedprice, cast(ceil(n*0.95e0) as int) - 1) over (partition by l_returnflag order by l_extendedprice) as high
+    from (select *, count(*) over (partition by l_returnflag) as n from lineitem)) where high is not null) where best = 1) y on x.g = y.g"""
+)
+def sampled_posterior(spark, sf_dir):
+    """Mean, deviation and narrowest interval of draws, one group for each return flag."""
+    lines = bind.table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "g")
+    return fit.sampled_posterior(lines, ["g"], "l_extendedprice").select("g", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"), "low", "high")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from respanel.functions.coerce import build_records
 from respanel.schema import PASSTHROUGH, REQUIRED, FormatError, RecordError
@@ -42,19 +41,17 @@ def read_delimited(spark: SparkSession, path: str, strict: bool = True, sep: str
     absent = [c for c in REQUIRED if c not in names]
     if absent:
         raise FormatError(f"{path} lacks the column {', '.join(absent)}")
-    schema = StructType([StructField(c, StringType()) for c in names] + [StructField("__more", StringType())])
+    schema = ", ".join([*(f"c{k} string" for k in range(len(names))), "more string"])
+    place = {c: f"c{k}" for k, c in reversed(list(enumerate(names)))}
     lines = numbered_lines(spark, path).withColumn("value", F.regexp_replace("value", "^﻿", ""))
     first = lines.filter(F.trim("value") != "").groupBy("_source").agg(F.min("_line").alias("__first"))
     body = lines.join(first, "_source").filter((F.col("_line") > F.col("__first")) & (F.trim("value") != ""))
-    cells = F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"sep": sep}) if all(c.isidentifier() for c in names) else None
-    if cells is None:
-        raise FormatError(f"{path}: a column name is no identifier")
-    rows = body.withColumn("x", cells)
+    rows = body.withColumn("x", F.from_csv("value", schema, {"sep": sep}))
     if strict:
-        long = rows.filter(F.col("x.__more").isNotNull()).orderBy("_source", "_line").select("_source", "_line").limit(1).collect()
+        long = rows.filter(F.col("x.more").isNotNull()).orderBy("_source", "_line").select("_source", "_line").limit(1).collect()
         if long:
             raise RecordError("more cells than the header", *long[0])
-    value = lambda c: F.nullif(F.trim(F.col("x")[c]), F.lit(""))
+    value = lambda c: F.nullif(F.trim(F.col("x")[place[c]]), F.lit(""))
     known = [c for c in names if c in REQUIRED + PASSTHROUGH]
     rest = [c for c in names if c not in known]
     pairs = F.map_from_entries(F.array(*[F.struct(F.lit(c), value(c)) for c in rest])) if rest else F.create_map().cast("map<string,string>")

@@ -201,3 +201,34 @@ def test_empty_matrix_is_refused(spark):
     with pytest.raises(MatrixError):
         build_matrix(spark.createDataFrame([], "model_id string, item_id string, correct int"))
     assert isinstance(small(spark), ResponseMatrix)
+
+
+def test_a_fit_travels_as_one_file(spark, tmp_path):
+    from respanel.operators import store
+    from respanel.schema import ArtifactError
+
+    items, _ = fitted(spark)
+    people = spark.createDataFrame([(0, "m0", 0.5)], "r long, respondent_id string, theta double")
+    store.save_fit(str(tmp_path / "fit"), people, items, None, {"seed": 3})
+    store.export_fit(store.load_fit(spark, str(tmp_path / "fit")), str(tmp_path / "fit.gz"))
+    back = store.import_fit(spark, str(tmp_path / "fit.gz"))
+    assert back["meta"]["seed"] == 3 and back["responses"] is None
+    assert sorted(map(str, back["items"].collect())) == sorted(map(str, items.collect())) and back["respondents"].collect() == people.collect()
+    (tmp_path / "bad.gz").write_bytes(b"no")
+    with pytest.raises(ArtifactError):
+        store.import_fit(spark, str(tmp_path / "bad.gz"))
+
+
+def test_tables_with_any_header(spark, tmp_path):
+    from respanel.sources.registry import read_any
+
+    (tmp_path / "a.csv").write_text('model_id,item_id,correct,run no.,2nd\nm,i,1,"x, y",z\nm,j,0,,w\n')
+    rows = read_any(spark, str(tmp_path / "a.csv")).orderBy("_line").collect()
+    assert [(r.item_id, r.correct, r.extra) for r in rows] == [("i", 1, {"run no.": "x, y", "2nd": "z"}), ("j", 0, {"2nd": "w"})]
+
+
+def test_normal_quantiles():
+    from respanel.operators import select
+
+    points = select.normal_quantiles(41)
+    assert len(points) == 41 and abs(sum(x * w for x, w in points)) < 1e-12 and points[20][0] == 0
