@@ -10,13 +10,19 @@ from respanel.operators.crosscheck import log_likelihoods, posteriors, quadratur
 from respanel.operators.store import stored
 
 
-def em_fit(responses: DataFrame, rounds: int = 8, nodes: int = 31, precision_a: float = 0.25, precision_d: float = 0.05) -> tuple[DataFrame, list[float]]:
+#: Estimates of separable items would run away beyond it.
+BOUND = 100.0
+
+
+def em_fit(responses: DataFrame, rounds: int = 100, nodes: int = 31, precision_a: float = 0.25, precision_d: float = 0.05, tol: float = 1e-5) -> tuple[DataFrame, list[float]]:
     """(items c, a, d, b; log likelihood before each round).
 
     E-step: posterior of every respondent over the nodes, expected answers by
     item and node. M-step: three Newton steps on those counts, whose size is
     items x nodes. Every round is written to the shared folder, so the plan
-    of a round never holds the rounds before it.
+    of a round never holds the rounds before it. It ends when a round gains
+    less than ``tol`` of the log likelihood, or after ``rounds``. Slopes and
+    intercepts are held to 100 either way.
     """
     spark = responses.sparkSession
     grid = stored(quadrature(spark, nodes), "em-nodes")
@@ -26,6 +32,8 @@ def em_fit(responses: DataFrame, rounds: int = 8, nodes: int = 31, precision_a:
     for _ in range(rounds):
         post = stored(posteriors(log_likelihoods(responses, items, grid)), "em-posterior")
         history.append(post.filter("q = 0").agg(F.sum("marginal")).first()[0])
+        if len(history) > 1 and history[-1] - history[-2] < tol * abs(history[-1]):
+            break
         wide = post.groupBy("r").agg(F.map_from_entries(F.collect_list(F.struct("q", "p"))).alias("p"))
         sums = {"n": lambda g: F.col("p")[g["q"]], "k": lambda g: F.col("p")[g["q"]] * F.col("obs")}
         counts = stored(summed_by_node(responses.join(wide, "r"), "c", grid.orderBy("q").collect(), sums), "em-counts")
@@ -43,6 +51,7 @@ def em_fit(responses: DataFrame, rounds: int = 8, nodes: int = 31, precision_a:
             ga, gd = F.col("sa") - precision_a * (F.col("a") - 1), F.col("sd") - precision_d * F.col("d")
             haa, hdd, had = F.col("haa") + precision_a, F.col("hdd") + precision_d, F.col("had")
             det = haa * hdd - had * had
-            items = sums.select("c", (F.col("a") + (hdd * ga - had * gd) / det).alias("a"), (F.col("d") + (haa * gd - had * ga) / det).alias("d"))
+            held = lambda x: F.greatest(F.least(x, F.lit(BOUND)), F.lit(-BOUND))
+            items = sums.select("c", held(F.col("a") + (hdd * ga - had * gd) / det).alias("a"), held(F.col("d") + (haa * gd - had * ga) / det).alias("d"))
         items = stored(items, "em-items")
     return items.withColumn("b", difficulty(F.col("a"), F.col("d"))), history

@@ -19,6 +19,40 @@ PRIORS = ("hierarchical", "vague")
 RATE, DECAY, EPOCHS, START_SCALE = 0.05, 0.1, 2000, 0.1
 
 
+def sparse_slopes(rows: np.ndarray, cols: np.ndarray, obs: np.ndarray, n_r: int, n_c: int):
+    """Log likelihood of the answers and its gradient in a, b and theta, answer by answer."""
+
+    def slopes(a: np.ndarray, b: np.ndarray, theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        gap = theta[rows] - b[cols]
+        z = a[cols] * gap
+        tail = np.exp(-np.abs(z))
+        miss = obs - np.where(z > 0, 1.0, tail) / (1 + tail)
+        back = miss * a[cols]
+        value = float((obs * z - np.maximum(z, 0) - np.log1p(tail)).sum())
+        return value, np.bincount(cols, miss * gap, n_c), -np.bincount(cols, back, n_c), np.bincount(rows, back, n_r)
+
+    return slopes
+
+
+def dense_slopes(rows: np.ndarray, cols: np.ndarray, obs: np.ndarray, n_r: int, n_c: int):
+    """The same for a table that is mostly full, as a matrix: single precision inside, sums in double."""
+    given, right = np.zeros((n_r, n_c), np.float32), np.zeros((n_r, n_c), np.float32)
+    np.add.at(given, (rows, cols), 1)
+    np.add.at(right, (rows, cols), obs)
+
+    def slopes(a: np.ndarray, b: np.ndarray, theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        a4, theta4 = a.astype(np.float32), theta.astype(np.float32)
+        z = a4 * (theta4[:, None] - b.astype(np.float32))
+        tail = np.exp(-np.abs(z))
+        miss = right - given * (np.where(z > 0, np.float32(1), tail) / (1 + tail))
+        by_item = miss.sum(axis=0, dtype=np.float64)
+        with_theta = np.einsum("rc,r->c", miss, theta4).astype(np.float64)
+        value = float((right * z).sum(dtype=np.float64) - (given * (np.maximum(z, 0) + np.log1p(tail))).sum(dtype=np.float64))
+        return value, with_theta - b * by_item, -a * by_item, np.einsum("rc,c->r", miss, a4).astype(np.float64)
+
+    return slopes
+
+
 def fit_arrays(rows: np.ndarray, cols: np.ndarray, obs: np.ndarray, n_r: int, n_c: int, priors: str = "hierarchical", epochs: int = EPOCHS, seed: int = 0) -> dict:
     """Posterior means and deviations of a, b, theta from answers in triplets; starts at the classical estimates."""
     if priors not in PRIORS:
@@ -38,6 +72,7 @@ def fit_arrays(rows: np.ndarray, cols: np.ndarray, obs: np.ndarray, n_r: int, n_
     theta0 = logit(rate(rows, n_r))
     theta0 = (theta0 - theta0.mean()) / max(theta0.std(), 1e-6)
     b0 = np.clip(-logit(rate(cols, n_c)), -6, 6)
+    slopes = dense_slopes(rows, cols, obs, n_r, n_c) if 2 * len(rows) >= n_r * n_c else sparse_slopes(rows, cols, obs, n_r, n_c)
     sizes = {"a": n_c, "b": n_c, "theta": n_r, "m": 1, "ls_a": 1, "ls_b": 1}
     start = {"a": np.ones(n_c), "b": b0, "theta": theta0, "m": np.zeros(1), "ls_a": np.zeros(1), "ls_b": np.zeros(1)}
     loc = np.concatenate([start[k] for k in sizes])
@@ -53,15 +88,10 @@ def fit_arrays(rows: np.ndarray, cols: np.ndarray, obs: np.ndarray, n_r: int, n_
         scale = np.exp(log_scale)
         x = loc + scale * noise
         a, b, theta = x[cuts["a"]], x[cuts["b"]], x[cuts["theta"]]
-        gap = theta[rows] - b[cols]
-        z = a[cols] * gap
-        miss = obs - 1 / (1 + np.exp(-z))
         grad = np.zeros_like(x)
-        grad[cuts["a"]] = np.bincount(cols, miss * gap, n_c)
-        back = miss * a[cols]
-        grad[cuts["b"]] = -np.bincount(cols, back, n_c)
-        grad[cuts["theta"]] = np.bincount(rows, back, n_r) - theta
-        value = float((obs * z - np.logaddexp(0, z)).sum() - 0.5 * (theta**2).sum())
+        likelihood, grad[cuts["a"]], grad[cuts["b"]], grad[cuts["theta"]] = slopes(a, b, theta)
+        grad[cuts["theta"]] -= theta
+        value = likelihood - 0.5 * float((theta**2).sum())
         if priors == "vague":
             grad[cuts["a"]] -= (a - 1) / 4
             grad[cuts["b"]] -= b / 9

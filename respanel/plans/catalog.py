@@ -773,7 +773,7 @@ def narrowest_interval(spark, sf_dir):
 @query()
 def em_fit(spark, sf_dir):
     """Marginal maximum likelihood estimates of the planted items."""
-    items, _ = em.em_fit(bind.planted(spark, sf_dir).responses, rounds=6)
+    items, _ = em.em_fit(bind.planted(spark, sf_dir).responses)
     return items.select("c", "a", "d", "b")
 
 
@@ -783,7 +783,7 @@ def vi_fit(spark, sf_dir):
     m = bind.natural(spark, sf_dir)
     variant = F.when(F.col("respondent_id").endswith("|O"), 1).otherwise(0).cast("long")
     rows = m.responses.join(m.respondents.select("r", variant.alias("fit_id")), "r")
-    return variational.vi_fit(rows.select("fit_id", "r", "c", "obs"), epochs=400)
+    return variational.vi_fit(rows.select("fit_id", "r", "c", "obs"))
 
 
 @query()

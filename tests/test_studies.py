@@ -232,3 +232,18 @@ def test_normal_quantiles():
 
     points = select.normal_quantiles(41)
     assert len(points) == 41 and abs(sum(x * w for x, w in points)) < 1e-12 and points[20][0] == 0
+
+
+def test_slopes_of_full_and_sparse_tables_agree():
+    import numpy as np
+
+    draw = np.random.default_rng(2)
+    rows, cols = np.nonzero(draw.random((30, 40)) < 0.8)
+    obs = draw.integers(0, 2, len(rows)).astype(float)
+    at = (draw.standard_normal(40), draw.standard_normal(40), draw.standard_normal(30))
+    one, other = (fn(rows, cols, obs, 30, 40)(*at) for fn in (variational.sparse_slopes, variational.dense_slopes))
+    a, b, theta = at
+    z = a[cols] * (theta[rows] - b[cols])
+    assert math.isclose(one[0], float((obs * z - np.logaddexp(0, z)).sum()), rel_tol=1e-9)
+    for x, y in zip(one, other, strict=True):
+        assert np.allclose(x, y, atol=1e-3)
