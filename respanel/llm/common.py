@@ -112,31 +112,55 @@ def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
 FEW_KEYS, HOT = 250_000, 100_000
 
 
-def later_holders(held: DataFrame, first: DataFrame) -> DataFrame:
-    """The rows (doc_id, key) of ``held`` whose key some smaller doc_id holds too.
-
-    ``first``: (key, owner, n), the smallest holder and the number of rows of
-    every key that several documents hold. Few keys are broadcast. Else only
-    the commonest are, at most ``FEW_KEYS`` since each has over sum(n) /
-    ``FEW_KEYS`` rows, and the others meet by a shuffle, in which no key
-    brings more rows than that to a task.
+def holders(held: DataFrame, first: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of ``held`` whose ``on`` columns ``first`` has, with its ``owner``.
+
+    ``first``: on, owner, n, the number of rows of every key. Few keys are
+    broadcast. Else only the commonest are, at most ``FEW_KEYS`` since each
+    has over sum(n) / ``FEW_KEYS`` rows, and the others meet by a shuffle, in
+    which no key brings more rows than that to a task.
     """
     first = stored(first, "first-holders")
     size = first.agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
     if size["keys"] <= FEW_KEYS:
-        return held.join(F.broadcast(first.select("key", "owner")), "key").filter("doc_id > owner").select("doc_id", "key")
+        return held.join(F.broadcast(first.drop("n")), on)
     hot = F.col("n") > max(HOT, size["rows"] // FEW_KEYS)
-    common, rare = first.filter(hot).select("key", "owner"), first.filter(~hot).select("key", "owner")
-    near = held.join(F.broadcast(common), "key")
-    far = held.join(F.broadcast(common.select("key")), "key", "left_anti").join(rare, "key")
-    return near.unionByName(far).filter("doc_id > owner").select("doc_id", "key")
+    common, rare = first.filter(hot).drop("n"), first.filter(~hot).drop("n")
+    near = held.join(F.broadcast(common), on)
+    far = held.join(F.broadcast(common.select(*on)), on, "left_anti").join(rare, on)
+    return near.unionByName(far)
+
+
+def first_holders(held: DataFrame, on: list[str]) -> DataFrame:
+    """(on, owner, n) of the keys of (doc_id, on) that several documents hold: the smallest holder and the number of rows."""
+    seen = held.groupBy(*on).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top"), F.count("*").alias("n"))
+    return seen.filter("top > owner").select(*on, "owner", "n")
+
+
+def later_holders(held: DataFrame) -> DataFrame:
+    """(doc_id, key): the rows of a stored table (doc_id, h1, h2) whose 128-bit key some smaller doc_id holds too.
+
+    Most keys are there once. They are told by their first half alone, so
+    that the shuffles of all rows are narrow, and only the rest is compared
+    in full. ``key``: the 16 bytes of the two halves, greatest byte first.
+    """
+    rest = stored(holders(held, first_holders(held, ["h1"]), ["h1"]).select("doc_id", "h1", "h2"), "repeated")
+    on = ["h1", "h2"]
+    found = holders(rest, first_holders(rest, on), on).filter("doc_id > owner")
+    return found.select("doc_id", F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in on])).alias("key"))
+
+
+def halves(keys: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    """16-byte keys as two columns of whole numbers."""
+    pairs = np.frombuffer(b"".join(keys), ">i8").astype(np.int64).reshape(-1, 2)
+    return pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())
 
 
 def beside_keys(rows: DataFrame, keyed: DataFrame, key: str, value: str) -> DataFrame:
     """``rows`` with the ``value`` of their ``key`` in ``keyed`` (key, value, n rows), null where it has none.
 
     Few keys are broadcast and the rows stay where they are. Else only the
-    commonest are, bounded as in ``later_holders``; the other rows meet
+    commonest are, bounded as in ``holders``; the other rows meet
     theirs by a shuffle, those of common keys under a key of their own.
     """
     keyed = stored(keyed, "keyed")
@@ -155,12 +179,6 @@ def beside_keys(rows: DataFrame, keyed: DataFrame, key: str, value: str) -> Data
     return joined.drop("__key", "__value", "__common", "__hot", "__at")
 
 
-def first_holders(held: DataFrame) -> DataFrame:
-    """(key, owner, n) of the keys of (doc_id, key) that several documents hold."""
-    seen = held.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top"), F.count("*").alias("n"))
-    return seen.filter("top > owner").select("key", "owner", "n")
-
-
 def text_bytes(text: str | Column) -> Column:
     """The UTF-8 bytes of a text column; a null text is empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")

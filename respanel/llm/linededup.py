@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from respanel.llm.common import arrow_map, first_holders, later_holders, plain_names, prepare, stored, text_bytes
+from respanel.llm.common import arrow_map, first_holders, halves, holders, later_holders, plain_names, prepare, stored, text_bytes
 
 #: Lines in the rolling window, and so the least lines of a chunk.
 WINDOW = 2
@@ -83,8 +83,8 @@ def run_keys(lines: list[bytes], ranges: list[tuple[int, int]]) -> list[bytes]:
     return [xxhash.xxh3_128_digest(b"\n".join(lines[s:e])) for s, e in ranges]
 
 
-def _keys(docs: DataFrame, id_col: str, text_col: str, fn) -> DataFrame:
-    """(doc_id, key): ``fn`` of the lines of every row, each key once a row."""
+def _keys(docs: DataFrame, id_col: str, text_col: str, fn, split: bool = False) -> DataFrame:
+    """(doc_id, key): ``fn`` of the lines of every row, each key once a row; ``split``: 16-byte keys as halves h1 and h2."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("raw")).filter("doc_id is not null")
 
@@ -95,9 +95,10 @@ def _keys(docs: DataFrame, id_col: str, text_col: str, fn) -> DataFrame:
             counts.append(len(own))
             keys += own
         ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-        return pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary())], names=["doc_id", "key"])
+        cols = halves(keys) if split else [pa.array(keys, pa.binary())]
+        return pa.RecordBatch.from_arrays([ids, *cols], names=["doc_id", "h1", "h2"] if split else ["doc_id", "key"])
 
-    return arrow_map(rows, "doc_id long, key binary", cut)
+    return arrow_map(rows, "doc_id long, " + ("h1 long, h2 long" if split else "key binary"), cut)
 
 
 def _chunks_of(lines: list[bytes]) -> list[bytes]:
@@ -106,15 +107,15 @@ def _chunks_of(lines: list[bytes]) -> list[bytes]:
 
 def chunk_removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, key): the chunks that a document of smaller id also holds, compared byte by byte."""
-    same = first_holders(_keys(docs, id_col, text_col, _chunks_of))
+    same = first_holders(_keys(docs, id_col, text_col, _chunks_of), ["key"])
     first = same.select(F.substring(F.unhex(F.sha2("key", 256)), 1, 16).alias("key"), "owner", "n")
-    return later_holders(_keys(docs, id_col, text_col, lambda lines: [chunk_key(x) for x in _chunks_of(lines)]), first)
+    held = _keys(docs, id_col, text_col, lambda lines: [chunk_key(x) for x in _chunks_of(lines)])
+    return holders(held, first, ["key"]).filter("doc_id > owner").select("doc_id", "key")
 
 
 def run_removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, key): the runs of ``WINDOW`` lines that a document of smaller id also holds."""
-    held = stored(_keys(docs, id_col, text_col, lambda lines: run_keys(lines, run_ranges(lines))), "line-runs")
-    return later_holders(held, first_holders(held))
+    return later_holders(stored(_keys(docs, id_col, text_col, lambda lines: run_keys(lines, run_ranges(lines)), split=True), "line-runs"))
 
 
 def without(raw: bytes, gone: set[bytes], whole: bool = False) -> tuple[bytes, int]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from respanel.llm.common import arrow_map, first_holders, later_holders, plain_names, prepare, stored, text_bytes
+from respanel.llm.common import arrow_map, halves, later_holders, plain_names, prepare, stored, text_bytes
 
 #: Least pieces and words of a span; words of a window that holds a cut. A
 #: passage of n words has its cuts in common from word WINDOW to word
@@ -115,7 +115,7 @@ def span_keys(raw: bytes) -> tuple[list[tuple[int, int]], list[bytes]]:
 
 
 def spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, key) of every different span of every row with an id."""
+    """(doc_id, h1, h2), the halves of the key, of every different span of every row with an id."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("raw")).filter("doc_id is not null")
 
@@ -126,15 +126,14 @@ def spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             counts.append(len(own))
             keys += own
         ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-        return pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary())], names=["doc_id", "key"])
+        return pa.RecordBatch.from_arrays([ids, *halves(keys)], names=["doc_id", "h1", "h2"])
 
-    return arrow_map(rows, "doc_id long, key binary", cut)
+    return arrow_map(rows, "doc_id long, h1 long, h2 long", cut)
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, key): spans of a document that a document of smaller id also holds."""
-    held = stored(spans(docs, id_col, text_col), "sentence-spans")
-    return later_holders(held, first_holders(held))
+    return later_holders(stored(spans(docs, id_col, text_col), "sentence-spans"))
 
 
 def without(raw: bytes, gone: set[bytes]) -> tuple[bytes, int, int]:
