@@ -1083,3 +1083,49 @@ def sampled_posterior(spark, sf_dir):
     """Mean, deviation and narrowest interval of draws, one group for each return flag."""
     lines = bind.table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "g")
     return fit.sampled_posterior(lines, ["g"], "l_extendedprice").select("g", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"), "low", "high")
+
+
+PLACED_BY_ABILITY = """select {by}, 1e0 + sum(case when round(qt, 10) > round(theta, 10) then 1e0 when round(qt, 10) = round(theta, 10) then 0.5e0 else 0e0 end) as place
+  from (select {cols}, m.theta, q.theta as qt from {t} m join tpts q on m.k = q.k) group by {by}"""
+TABLES["aplace"] = PLACED_BY_ABILITY.format(by="k, size", cols="m.k, m.size", t="tmap_t")
+TABLES["daplace"] = PLACED_BY_ABILITY.format(by="k, size, draw", cols="m.k, m.size, m.draw", t="dmap_t")
+TABLES["aerr"] = "select p.k, p.size, abs(p.place - e.true_place) as error from aplace p join terr e on p.k = e.k and p.size = e.size"
+TABLES["daerr"] = "select p.k, p.size, p.draw, abs(p.place - e.true_place) as error from daplace p join derr e on p.k = e.k and p.size = e.size and p.draw = e.draw"
+
+
+def beaten(own: str, draws: str) -> str:
+    """SQL of (size, n, own error, error of the draws, share of draws that are worse)."""
+    return f"""select d.size, any_value(n) as n, any_value(m) as own, avg(e) as drawn, avg(case when round(e, 10) > round(m, 10) then 1e0 when round(e, 10) = round(m, 10) then 0.5e0 else 0e0 end) as beats
+      from (select size, draw, avg(error) as e from {draws} group by size, draw) d join (select size, count(*) as n, avg(error) as m from {own} group by size) t on d.size = t.size group by d.size"""
+
+
+@query(
+    f"""select cast(x.size as bigint) as size, x.n as n_holdouts, round(x.own, 6) as mean_error, round(x.drawn, 6) as random_error, round(x.beats, 6) as beats_random,
+    round(y.own, 6) as mean_ability_error, round(y.drawn, 6) as random_ability_error, round(y.beats, 6) as beats_random_ability, z.least as min_selected, z.short as n_short
+    from ({beaten("terr", "derr")}) x join ({beaten("aerr", "daerr")}) y on x.size = y.size
+    join (select size, min(n) as least, sum((n < size)::bigint)::bigint as short from (select k, size, count(*) as n from tsets group by k, size) group by size) z on x.size = z.size"""
+)
+def loo_validation(spark, sf_dir):
+    """The whole validation, by accuracy and by ability, with fits that found the truth."""
+    m, _, items, abilities = truth_holdout(spark, sf_dir)
+
+    def found(responses, by):
+        counts = responses.groupBy(*by, "c").agg(F.count("*").alias("n"))
+        known = items.drop("n_resp").join(counts, [*by, "c"], "left").withColumn("n_resp", F.coalesce("n", F.lit(0))).drop("n")
+        return known, abilities
+
+    sizes, _ = holdout.validation(m, found, (25, 50), draws=20, seed=5, only=ONLY)
+    figures = ["mean_error", "random_error", "beats_random", "mean_ability_error", "random_ability_error", "beats_random_ability"]
+    return sizes.select("size", "n_holdouts", *r6(*figures), "min_selected", "n_short")
+
+
+@query(
+    """select k, cast(size as bigint) as size, x.holdout, place, true_place, x.error, round(t.theta, 6) + 0e0 as theta, ability_place, round(abs(ability_place - true_place), 6) as ability_error, n_selected
+    from (select * from terr) x join (select k as k2, size as s2, theta from tmap_t) t on k = k2 and size = s2 join (select k as k3, size as s3, place as ability_place from aplace) p on k = k3 and size = s3
+    join (select k as k4, size as s4, count(*) as n_selected from tsets group by 1, 2) z on k = k4 and size = s4"""
+)
+def loo_model_rows(spark, sf_dir):
+    """Rows of the validation by held-out model."""
+    m, _, items, abilities = truth_holdout(spark, sf_dir)
+    _, rows = holdout.validation(m, lambda responses, by: (items, abilities), (25, 50), draws=2, seed=5, only=ONLY)
+    return rows.select("k", "size", "holdout", "place", "true_place", "error", *r6("theta"), "ability_place", *r6("ability_error"), "n_selected")
