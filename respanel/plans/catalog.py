@@ -1129,3 +1129,62 @@ def loo_model_rows(spark, sf_dir):
     m, _, items, abilities = truth_holdout(spark, sf_dir)
     _, rows = holdout.validation(m, lambda responses, by: (items, abilities), (25, 50), draws=2, seed=5, only=ONLY)
     return rows.select("k", "size", "holdout", "place", "true_place", "error", *r6("theta"), "ability_place", *r6("ability_error"), "n_selected")
+
+
+def report_in_order(spark, sf_dir, sort: str) -> DataFrame:
+    out = report.rows(planted_fit(spark, sf_dir)[1].withColumn("b", F.round("b", 5)), sort, 40)
+    return out.select("position", "item_id", *r6("a"), "b", "rank")
+
+
+RANKED = "case when not unsure then row_number() over (partition by unsure order by round(a, 10) desc, item_id) end as rank"
+
+
+@query(f"select row_number() over (order by round(b, 5) nulls last, item_id) as position, item_id, round(a, 6) as a, round(b, 5) + 0e0 as b, {RANKED} from fl qualify position <= 40")
+def report_rows_by_difficulty(spark, sf_dir):
+    return report_in_order(spark, sf_dir, "difficulty")
+
+
+@query(f"select row_number() over (order by item_id) as position, item_id, round(a, 6) as a, round(b, 5) + 0e0 as b, {RANKED} from fl qualify position <= 40")
+def report_rows_by_id(spark, sf_dir):
+    return report_in_order(spark, sf_dir, "id")
+
+
+TABLES["spread_b"] = "select case when size <= 10 then 'a_' || p_brand when size <= 30 then 'b_' || p_brand else p_brand end as subject, l_returnflag as flag from (select p_brand, p_size as size, l_returnflag from lineitem join part on l_partkey = p_partkey)"
+
+
+@query(
+    """select slice, count(*) as n from (select 'one' as slice from spread_b where subject = 'Brand#13' union all select 'prefix' from spread_b where starts_with(subject, 'a_') union all select 'rest' from spread_b where subject <> 'Brand#13') group by slice"""
+)
+def subject_slices(spark, sf_dir):
+    """Rows dealt to named slices by their subject: equal, by prefix, unequal."""
+    rows = bind.table(spark, sf_dir, "lineitem").join(bind.table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    size = F.col("p_size")
+    subject = F.when(size <= 10, F.concat(F.lit("a_"), "p_brand")).when(size <= 30, F.concat(F.lit("b_"), "p_brand")).otherwise(F.col("p_brand"))
+    own = F.col("subject")
+    cut = studies.sliced(rows.select(subject.alias("subject")), {"one": own == "Brand#13", "prefix": own.startswith("a_"), "rest": own != "Brand#13"})
+    return cut.groupBy("slice").agg(F.count("*").alias("n"))
+
+
+@query("select 'm' || cast(r as varchar) as subject_id, count(*) as n_items, cast(sum(obs) as bigint) as n_right from resp group by r")
+def response_maps(spark, sf_dir):
+    """Sizes of the maps from item to answer that other estimators read."""
+    maps = studies.response_maps(bind.planted(spark, sf_dir))
+    right = F.aggregate(F.map_values("responses"), F.lit(0).cast("long"), lambda s, x: s + x)
+    return maps.select("subject_id", F.size("responses").cast("long").alias("n_items"), right.alias("n_right"))
+
+
+@query(
+    """select 'm' || cast(p.r as varchar) as respondent_id, coalesce(cast(max(case when c = 1 then obs end) as varchar), 'NA') as i1, coalesce(cast(max(case when c = 2 then obs end) as varchar), 'NA') as i2,
+    coalesce(cast(max(case when c = 3 then obs end) as varchar), 'NA') as i3 from (select distinct r from resp) p left join resp on p.r = resp.r and c in (1, 2, 3) group by p.r"""
+)
+def wide_table(spark, sf_dir):
+    """A column for each of three items, NA where there is no answer."""
+    return studies.wide(bind.planted(spark, sf_dir), ["i1", "i2", "i3"])
+
+
+@query("select c, n_resp, round(p, 6) as p_correct, round(a, 6) + 0e0 as a, round(sa, 6) as a_sd from (select r.c, n_resp, p, t.a, 0e0 as sa from rates r join truth_i t on r.c = t.c)")
+def oracle_items(spark, sf_dir):
+    """Items of a fit that found the truth, without width."""
+    m = bind.planted(spark, sf_dir)
+    own = fit.classical_items(m.responses).join(m.items.select("c", "item_id"), "c")
+    return studies.oracle_fit(own, *bind.planted_truth(spark, sf_dir)).select("c", "n_resp", *r6("p_correct", "a", "a_sd"))
