@@ -40,7 +40,7 @@ def model_metadata(engine: str, priors: str) -> dict[str, str]:
         inference = "ridge logistic regression of each item by Newton steps; intervals from its information matrix"
     else:
         population = "slope ~ N(1, s_a), difficulty ~ N(m, s_b), both scales and m learned" if priors == "hierarchical" else "slope ~ N(1, 2), difficulty ~ N(0, 3)"
-        inference = "means by a mean-field normal approximation; item intervals from the information matrix at the fitted abilities, as marginals of that approximation are too narrow"
+        inference = "means by a factorised normal approximation; widths of items by the information matrix at the fitted abilities"
     return {
         "kind": "2pl",
         "priors": priors if engine != "newton" else "ridge",
@@ -97,6 +97,6 @@ def lines(meta: Mapping, version: str) -> list[str]:
     if (cut := score_threshold(meta.get("diagnostics", {}), model)) is not None:
         out.append(f"scores were cut at {cut:g}")
     if model.get("synthetic"):
-        out.append("SYNTHETIC: made from known parameters, not fitted")
+        out.append("SYNTHETIC: drawn from a given truth, there is no fit behind it")
     out.append(f"respanel {version}, written {meta.get('created', 'at an unknown time')}")
     return out

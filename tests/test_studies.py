@@ -247,3 +247,23 @@ def test_slopes_of_full_and_sparse_tables_agree():
     assert math.isclose(one[0], float((obs * z - np.logaddexp(0, z)).sum()), rel_tol=1e-9)
     for x, y in zip(one, other, strict=True):
         assert np.allclose(x, y, atol=1e-3)
+
+
+def test_reports_of_comparisons(spark):
+    rows = [(k, float(k % 37) + k / 100, float(k % 37) + k / 99) for k in range(200)]
+    pairs = spark.createDataFrame(rows, "c long, x double, y double")
+    assert studies.canary(pairs, "c", "x", "y")["pearson"] > 0.999
+    with pytest.raises(studies.VacuousComparison):
+        studies.canary(pairs.withColumn("y", F.col("c") * 17 % 41 + 0.5), "c", "x", "y")
+    found, control = crosscheck.agreement(pairs, "c", "x", "y").first().asDict(), crosscheck.shuffled_control(pairs, "c", "x", "y").first().asDict()
+    assert "NO SIGNAL" not in studies.agreement_line("b", found, control) and "NO SIGNAL" in studies.agreement_line("b", found, control | {"beats_control": False})
+    assert "settled" in studies.convergence_line("fit", [-10.0] * 50) and "moving" in studies.convergence_line("fit", [float(k) for k in range(1, 50)])
+    assert json.loads(studies.study_json([{"a": 1.23456789, "b": float("nan"), "c": "x"}])) == [{"a": 1.23457, "b": None, "c": "x"}]
+
+
+def test_refits_cover(spark):
+    from respanel.operators import synth
+
+    m, truth, _ = synth.synthetic_matrix(spark, 40, 60, seed=2)
+    rows = {r.epochs: r.coverage for r in studies.refit_coverage(m, truth, [50, 300]).collect()}
+    assert set(rows) == {50, 300} and rows[300] > 0.7
