@@ -109,7 +109,7 @@ def test_diagnostics():
     told = diagnostics.fit_diagnostics(history, seed=1, source="x", none=None, nested={"a": 1.0, "b": [1]})
     short = diagnostics.summarised(told)
     assert short["elbo_history_points"] == len(kept) and short["nested"] == {"a": 1.0} and "source" not in short and "none" not in short
-    assert diagnostics.score_threshold({"score_threshold": True}, {"binarise_threshold": 0.5}) == 0.5 and diagnostics.score_threshold({}, {}) is None
+    assert diagnostics.score_threshold({"score_threshold": True}, {"binarize_threshold": 0.5}) == 0.5 and diagnostics.score_threshold({}, {}) is None
     text = diagnostics.lines({"model": diagnostics.model_metadata("newton", "x") | {"synthetic": True}, "diagnostics": told, "created": "now"}, "1")
     assert text[0].startswith("2pl · ridge priors") and any("SYNTHETIC" in x for x in text) and text[-1] == "respanel 1, written now"
 
