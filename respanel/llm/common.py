@@ -108,8 +108,8 @@ def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     return own.join(lost, at == lost.gone_id, "left_anti").toDF(*docs.columns)
 
 
-#: Repeated keys that are broadcast at once, at most: about 24 MB. A key held more often than this is dealt over all tasks.
-FEW_KEYS, HOT = 250_000, 100_000
+#: Repeated keys that are broadcast at once, at most: about 10 MB. A key held more often than this is dealt over all tasks.
+FEW_KEYS, HOT = 100_000, 100_000
 
 
 def holders(held: DataFrame, first: DataFrame, on: list[str]) -> DataFrame:
