@@ -17,8 +17,14 @@ BATCH_ROWS = 256
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings the Arrow operators rely on; both are runtime settings."""
+    """Session settings the Arrow operators rely on; all are runtime settings.
+
+    Vectored reads of a local file leave a direct buffer as long as a column
+    chunk with every thread of a growing pool, outside the heap; whole texts
+    make long chunks. Tables on other stores are read in order as well.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
 
 
 #: Scratch paths this process made and has not deleted, in order.
