@@ -530,14 +530,14 @@ def main_text(source: str, layouts: list[tuple[int, Skeleton, dict, int | None,
     if not layouts:
         return page.text()
     own = page.layout()
-    _, tree, known, slot, constant = next((x for x in layouts if x[0] == own), layouts[0])
+    layout, tree, known, slot, constant = next((x for x in layouts if x[0] == own), layouts[0])
     mine = Skeleton(page.skeleton())
     pairs = match(tree, mine, known)
     template = {y for x, y in pairs if x in constant and tree.text[x] == mine.text[y]}
     for c, d in alike(tree, mine, pairs):
         template |= {d + k for k in range(mine.size[d]) if c + k in constant}
     place = dict(pairs).get(slot)
-    if place is not None and (text := page.text(template, place)):
+    if place is not None and ((text := page.text(template, place)) or layout == own):
         return text
     return page.text(template)
 
@@ -550,7 +550,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     elements that hold no article text (menus, forms, scripts ...). Without a
     wrapper (at most ``LEAST_PAGES`` different pages, no host) or where the
     page lacks the slot, the slot is an article or main element, else the
-    page. Character references are decoded once, white space becomes one
+    page. A page of another layout that has nothing in the slot counts as one
+    without. Character references are decoded once, white space becomes one
     space, blocks are joined by two line feeds.
 
     A null page is empty; no text gives an empty string. Null ids and

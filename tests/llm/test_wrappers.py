@@ -134,6 +134,8 @@ def test_layouts_copies_and_constant_parts(spark, monkeypatch, small):
     for k in range(60):  # copies of one article, most of the host: its paragraphs are no template
         rows.append((100 + k, f"http://h.example/c{k}", first.format(t="Same", s=copy, a=f"buy {1000 + k}")))
         want[100 + k] = f"Same\n\n{copy}"
+    rows.append((998, "http://h.example/none", first.format(t="", s="", a="buy it all").replace("Share this page", "")))
+    want[998] = ""  # an empty slot is an empty text, whatever stands beside it
     rows.append((999, "http://h.example/long", first.format(t="Long", s="</p><p>".join(f"part {k}" for k in range(3000)), a="buy")))
     want[999] = "\n\n".join(["Long", *(f"part {k}" for k in range(3000))])
     got = {r.page_id: r.text for r in htmltext.extract(pages(spark, rows)).collect()}
