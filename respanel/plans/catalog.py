@@ -1139,12 +1139,12 @@ def report_in_order(spark, sf_dir, sort: str) -> DataFrame:
 RANKED = "case when not unsure then row_number() over (partition by unsure order by round(a, 10) desc, item_id) end as rank"
 
 
-@query(f"select row_number() over (order by round(b, 5) nulls last, item_id) as position, item_id, round(a, 6) as a, round(b, 5) + 0e0 as b, {RANKED} from fl qualify position <= 40")
+@query(f"select row_number() over (order by round(b, 5) nulls last, item_id) as position, item_id, round(a, 6) + 0e0 as a, round(b, 5) + 0e0 as b, {RANKED} from fl qualify position <= 40")
 def report_rows_by_difficulty(spark, sf_dir):
     return report_in_order(spark, sf_dir, "difficulty")
 
 
-@query(f"select row_number() over (order by item_id) as position, item_id, round(a, 6) as a, round(b, 5) + 0e0 as b, {RANKED} from fl qualify position <= 40")
+@query(f"select row_number() over (order by item_id) as position, item_id, round(a, 6) + 0e0 as a, round(b, 5) + 0e0 as b, {RANKED} from fl qualify position <= 40")
 def report_rows_by_id(spark, sf_dir):
     return report_in_order(spark, sf_dir, "id")
 
