@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from respanel.llm import chat, decontaminate, htmltext, linededup, packing, quality, rulefit, sentences, simhash, warc
+from respanel.llm import chat, decontaminate, htmltext, linededup, packing, quality, ranked, rulefit, sentences, simhash, tokencount, vectorcodes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,21 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of every embedding."""
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def queries() -> dict:
     return {
         "op1_benchmark_decontamination": op1_benchmark_decontamination,
@@ -77,9 +92,13 @@ def queries() -> dict:
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_html_extraction": op10_html_extraction,
+        "op11_token_counts": op11_token_counts,
+        "op12_ranked_search": op12_ranked_search,
+        "op13_vector_codes": op13_vector_codes,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    own = {"op12_ranked_search": ranked.ORACLE_SQL, "op13_vector_codes": vectorcodes.oracle_sql()}
+    return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -23,6 +23,9 @@ COLUMNS = {
     "op8_simhash_near_dedup": ["doc_id", "fingerprint", "component_id"],
     "op9_quality_classifier": ["doc_id", "held_out", "score", "predicted"],
     "op10_html_extraction": ["page_id", "url", "text", "n_chars"],
+    "op11_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+    "op12_ranked_search": ["item_id", "rank", "doc_id", "score"],
+    "op13_vector_codes": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
 }
 
 
@@ -41,7 +44,7 @@ def test_columns(results, name):
     assert results[name].columns[: len(COLUMNS[name])] == COLUMNS[name]
 
 
-@pytest.mark.parametrize("name", ["op3_line_dedup", "op6_substring_dedup", "op7_quality_rules", "op8_simhash_near_dedup", "op9_quality_classifier"])
+@pytest.mark.parametrize("name", ["op3_line_dedup", "op6_substring_dedup", "op7_quality_rules", "op8_simhash_near_dedup", "op9_quality_classifier", "op11_token_counts"])
 def test_one_row_a_document(spark, sf, results, name):
     assert sorted(r.doc_id for r in results[name].collect()) == sorted(r.doc_id for r in table(spark, sf, "documents"))
 
@@ -82,6 +85,18 @@ def test_packing_query(spark, sf, results):
         assert at <= 2048
 
 
+@pytest.mark.parametrize("name", ["op12_ranked_search", "op13_vector_codes"])
+def test_queries_equal_their_sql(spark, sf, results, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for own in ("documents", "benchmark", "embeddings"):
+        con.sql(f"CREATE VIEW {own} AS SELECT * FROM '{sf}/{own}.parquet'")
+    got, want = results[name], con.sql(__spark_entry__.oracle_sql()[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(tuple(r) for r in got.select(*want.columns).collect()) == sorted(want.fetchall())
+
+
 def test_chat_query(spark, sf, results):
     rows = {}
     for r in sorted(table(spark, sf, "conversations"), key=lambda r: (r.conv_id, r.turn)):
