@@ -108,7 +108,7 @@ def run_report(spark, a) -> None:
         print(f"wrote {a.html}", file=sys.stderr)
     from respanel.operators import diagnostics
 
-    told = diagnostics.lines(f["meta"], VERSION)
+    told = diagnostics.sheet(f["meta"], VERSION)
     print(render.json_report(head, rows, a.sort, a.limit, key) if a.json else render.text_report(head, rows, key) + "\n".join(["", *told, ""]), end="\n" if a.json else "")
 
 

@@ -1,7 +1,8 @@
 """Mean-field variational fit of the hierarchical two-parameter model, one fit a group.
 
-Model: a ~ N(1, s_a), b ~ N(m, s_b), theta ~ N(0, 1); s_a, s_b log-normal
-(0, 0.5), m ~ N(0, 1); or the vague a ~ N(1, 2), b ~ N(0, 3). Every quantity
+Model: a ~ N(0, s_a), b ~ N(m, s_b), theta ~ N(0, 1); s_a, s_b log-normal
+(0, 0.5), m ~ N(0, 1); or the vague a ~ N(1, 2), b ~ N(0, 3). Slopes start at 1,
+which decides between the two mirror images. Every quantity
 has a normal factor (the scales on the log scale); gradients come from
 reparameterised samples, steps from Adam with a decaying rate.
 """
@@ -19,7 +20,7 @@ PRIORS = ("hierarchical", "vague")
 RATE, DECAY, EPOCHS, START_SCALE = 0.05, 0.1, 2000, 0.1
 
 
-def sparse_slopes(rows: np.ndarray, cols: np.ndarray, obs: np.ndarray, n_r: int, n_c: int):
+def slopes_by_answer(rows: np.ndarray, cols: np.ndarray, obs: np.ndarray, n_r: int, n_c: int):
     """Log likelihood of the answers and its gradient in a, b and theta, answer by answer."""
 
     def slopes(a: np.ndarray, b: np.ndarray, theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
@@ -34,21 +35,19 @@ def sparse_slopes(rows: np.ndarray, cols: np.ndarray, obs: np.ndarray, n_r: int,
     return slopes
 
 
-def dense_slopes(rows: np.ndarray, cols: np.ndarray, obs: np.ndarray, n_r: int, n_c: int):
-    """The same for a table that is mostly full, as a matrix: single precision inside, sums in double."""
-    given, right = np.zeros((n_r, n_c), np.float32), np.zeros((n_r, n_c), np.float32)
+def slopes_by_cell(rows: np.ndarray, cols: np.ndarray, obs: np.ndarray, n_r: int, n_c: int):
+    """The same sums in the same precision over a matrix of counts: less work where most cells are filled."""
+    given, right = np.zeros((n_r, n_c)), np.zeros((n_r, n_c))
     np.add.at(given, (rows, cols), 1)
     np.add.at(right, (rows, cols), obs)
 
     def slopes(a: np.ndarray, b: np.ndarray, theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-        a4, theta4 = a.astype(np.float32), theta.astype(np.float32)
-        z = a4 * (theta4[:, None] - b.astype(np.float32))
+        z = a * (theta[:, None] - b)
         tail = np.exp(-np.abs(z))
-        miss = right - given * (np.where(z > 0, np.float32(1), tail) / (1 + tail))
-        by_item = miss.sum(axis=0, dtype=np.float64)
-        with_theta = np.einsum("rc,r->c", miss, theta4).astype(np.float64)
-        value = float((right * z).sum(dtype=np.float64) - (given * (np.maximum(z, 0) + np.log1p(tail))).sum(dtype=np.float64))
-        return value, with_theta - b * by_item, -a * by_item, np.einsum("rc,c->r", miss, a4).astype(np.float64)
+        miss = right - given * (np.where(z > 0, 1.0, tail) / (1 + tail))
+        by_item = miss.sum(axis=0)
+        value = float((right * z).sum() - (given * (np.maximum(z, 0) + np.log1p(tail))).sum())
+        return value, np.einsum("rc,r->c", miss, theta) - b * by_item, -a * by_item, np.einsum("rc,c->r", miss, a)
 
     return slopes
 
@@ -72,7 +71,7 @@ def fit_arrays(rows: np.ndarray, cols: np.ndarray, obs: np.ndarray, n_r: int, n_
     theta0 = logit(rate(rows, n_r))
     theta0 = (theta0 - theta0.mean()) / max(theta0.std(), 1e-6)
     b0 = np.clip(-logit(rate(cols, n_c)), -6, 6)
-    slopes = dense_slopes(rows, cols, obs, n_r, n_c) if 2 * len(rows) >= n_r * n_c else sparse_slopes(rows, cols, obs, n_r, n_c)
+    slopes = (slopes_by_cell if 2 * len(rows) >= n_r * n_c else slopes_by_answer)(rows, cols, obs, n_r, n_c)
     sizes = {"a": n_c, "b": n_c, "theta": n_r, "m": 1, "ls_a": 1, "ls_b": 1}
     start = {"a": np.ones(n_c), "b": b0, "theta": theta0, "m": np.zeros(1), "ls_a": np.zeros(1), "ls_b": np.zeros(1)}
     loc = np.concatenate([start[k] for k in sizes])
@@ -99,12 +98,12 @@ def fit_arrays(rows: np.ndarray, cols: np.ndarray, obs: np.ndarray, n_r: int, n_
         else:
             m, la, lb = (float(x[cuts[k]][0]) for k in ("m", "ls_a", "ls_b"))
             wa, wb = np.exp(-2 * la), np.exp(-2 * lb)
-            grad[cuts["a"]] -= (a - 1) * wa
+            grad[cuts["a"]] -= a * wa
             grad[cuts["b"]] -= (b - m) * wb
             grad[cuts["m"]] = ((b - m) * wb).sum() - m
-            grad[cuts["ls_a"]] = -n_c + ((a - 1) ** 2).sum() * wa - la / 0.25
+            grad[cuts["ls_a"]] = -n_c + (a**2).sum() * wa - la / 0.25
             grad[cuts["ls_b"]] = -n_c + ((b - m) ** 2).sum() * wb - lb / 0.25
-            value -= float(n_c * (la + lb) + 0.5 * wa * ((a - 1) ** 2).sum() + 0.5 * wb * ((b - m) ** 2).sum() + 0.5 * m * m + 2 * la * la + 2 * lb * lb)
+            value -= float(n_c * (la + lb) + 0.5 * wa * (a**2).sum() + 0.5 * wb * ((b - m) ** 2).sum() + 0.5 * m * m + 2 * la * la + 2 * lb * lb)
         value += float(log_scale.sum())
         if not np.isfinite(value):
             raise FitError(f"the bound is not finite after {epoch} steps")

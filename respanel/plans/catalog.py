@@ -819,13 +819,13 @@ TABLES["kn"] = "select fl.*, t.a as true_a, t.b as true_b, ceil_ or floor_ as ed
 
 
 @query(
-    """select round(avg((a_lo <= true_a and true_a <= a_hi)::int), 6) as a_coverage, round(avg(case when sure_ then (true_a < 0.35e0)::int end), 6) as usable_truly_flat,
-    round(avg(case when sure_ then (true_a < 0)::int end), 6) as usable_truly_backwards, round(avg(case when dead then (abs(true_a) < 0.35e0)::int end), 6) as dead_truly_negligible,
-    round(avg(case when inverted then (true_a < 0)::int end), 6) as inverted_truly_backwards, round(avg(case when true_a >= 0.8e0 and not edge_ then unsure::int end), 6) as live_refused from kn"""
+    """select round(avg((a_lo <= true_a and true_a <= a_hi)::int), 6) as slope_covered, round(avg(case when sure_ then (true_a < 0.35e0)::int end), 6) as ready_but_flat,
+    round(avg(case when sure_ then (true_a < 0)::int end), 6) as ready_but_negative, round(avg(case when dead then (abs(true_a) < 0.35e0)::int end), 6) as dead_confirmed,
+    round(avg(case when inverted then (true_a < 0)::int end), 6) as inverted_confirmed, round(avg(case when true_a >= 0.8e0 and not edge_ then unsure::int end), 6) as steep_withheld from kn"""
 )
 def claim_purity(spark, sf_dir):
     """Coverage of the slopes and how far the flags' claims hold."""
-    out = studies.purity(planted_fit(spark, sf_dir)[1], bind.planted_truth(spark, sf_dir)[0])
+    out = studies.claims_that_hold(planted_fit(spark, sf_dir)[1], bind.planted_truth(spark, sf_dir)[0])
     return out.select(*r6(*out.columns))
 
 
@@ -834,7 +834,7 @@ def claim_purity(spark, sf_dir):
     sum((round(a, 9) < 0)::bigint)::bigint as fitted_negative from kn where true_a < 0 group by 1"""
 )
 def planted_buckets(spark, sf_dir):
-    return studies.planted_buckets(planted_fit(spark, sf_dir)[1], bind.planted_truth(spark, sf_dir)[0])
+    return studies.landing_of_miskeyed(planted_fit(spark, sf_dir)[1], bind.planted_truth(spark, sf_dir)[0])
 
 
 @query("select count(*) as n, round(avg((true_a > a_hi)::int), 6) as above, round(avg((true_a < a_lo)::int), 6) as below from kn where not edge_")
@@ -847,7 +847,7 @@ def interval_misses(spark, sf_dir):
     from kn where true_a < 0 and not edge_ group by 1"""
 )
 def sign_barrier(spark, sf_dir):
-    return studies.barrier(planted_fit(spark, sf_dir)[1], bind.planted_truth(spark, sf_dir)[0]).select("fitted_negative", "n", *r6("median_logit"))
+    return studies.rates_by_fitted_sign(planted_fit(spark, sf_dir)[1], bind.planted_truth(spark, sf_dir)[0]).select("fitted_negative", "n", *r6("median_logit"))
 
 
 @query("select round((select stddev_pop(theta) from start_r), 6) as fitted_sd, round((select stddev_pop(theta) from truth_r), 6) as true_sd")
