@@ -28,6 +28,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the files behind a table made by ``stored``; what is read from it afterwards fails."""
+    spark = df.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 SCHEMA_VERSION = 2
 TABLES = ("respondents", "items", "responses", "meta")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from respanel.functions import coerce, irt, ranks
-from respanel.operators import crosscheck, em, fit, holdout, matrix, report, score, select, studies, variational
+from respanel.operators import crosscheck, em, fit, holdout, marginal, matrix, report, score, select, studies, variational
 from respanel.operators.store import stored
 from respanel.plans import bindings as bind
 from respanel.plans.sql import TABLES, info, statement
@@ -777,6 +777,59 @@ def em_fit(spark, sf_dir):
     return items.select("c", "a", "d", "b")
 
 
+TABLES["nodes21"] = """select q, node, -node*node/2 - ln(sum(exp(-node*node/2)) over ()) as logw from (select range as q, -6e0 + 12e0*range/20e0 as node from range(21))"""
+TABLES["mixed"] = "select c from resp group by c having min(obs) < max(obs)"
+TABLES["mm_z"] = """select resp.r, resp.c, q, node, logw, obs, a*(node-b) as z from resp join mixed on resp.c = mixed.c join truth_i on resp.c = truth_i.c cross join nodes21"""
+TABLES["mm_ll"] = "select r, q, any_value(logw) + sum(obs*z - greatest(z, 0) - ln(1+exp(-abs(z)))) as ll from mm_z group by r, q"
+TABLES["mm_post"] = "select r, q, exp(ll-top)/sum(exp(ll-top)) over (partition by r) as w, top + ln(sum(exp(ll-top)) over (partition by r)) as marginal from (select *, max(ll) over (partition by r) as top from mm_ll)"
+
+
+@query(
+    """select c, round(sum(w*node*(obs - 1/(1+exp(-z)))), 5) + 0e0 as ga, round(sum(w*(obs - 1/(1+exp(-z)))), 5) + 0e0 as gd,
+    (select round(sum(marginal), 4) from mm_post where q = 0) as log_likelihood from mm_z join mm_post on mm_z.r = mm_post.r and mm_z.q = mm_post.q group by c"""
+)
+def marginal_objective(spark, sf_dir):
+    """The marginal log likelihood of the planted answers at the true parameters and its gradient by item."""
+    truth, _ = bind.planted_truth(spark, sf_dir)
+    answers = bind.planted(spark, sf_dir).responses
+    mixed = answers.groupBy("c").agg(F.min("obs").alias("low"), F.max("obs").alias("high")).filter("low < high").select("c")
+    target = marginal.objective(answers.join(mixed, "c", "left_semi"), 21)
+    value, grads = target.evaluate(truth.join(mixed, "c", "left_semi").select("c", "a", (-F.col("a") * F.col("b")).alias("d")))
+    return grads.select("c", *[(F.round(x, 5) + 0.0).alias(x) for x in ("ga", "gd")], F.lit(round(value, 4)).alias("log_likelihood"))
+
+
+@query()
+def marginal_fit(spark, sf_dir):
+    """Unpenalised marginal estimates of the planted table turned round: suppliers as items, each with the answers of the parts it delivered."""
+    turned = bind.planted(spark, sf_dir).responses.select(F.col("c").alias("r"), F.col("r").alias("c"), "obs")
+    return marginal.marginal_fit(turned, nodes=31, tol=1e-4).items
+
+
+TABLES["gcount"] = "select resp.c, th as theta, count(*)::double as n, sum(obs)::double as k from resp join (select distinct j, th from b2_cells) t on resp.r = t.j group by 1, 2"
+TABLES["ggrid"] = """
+select c, i, ln(sum(exp(lp - top))) + any_value(top) - 0.5e0*power((-6e0 + i*0.3e0)/0.9e0, 2) as lp from (select *, max(lp) over (partition by c, i) as top from (
+  select c, i, j, any_value(-0.5e0*power((b - 0.1e0)/1.2e0, 2)) + sum(k*z - n*(greatest(z, 0) + ln(1 + exp(-abs(z))))) as lp from (
+    select c, i, j, n, k, -12e0 + j*0.6e0 as b, (-6e0 + i*0.3e0)*(theta - (-12e0 + j*0.6e0)) as z from gcount, (select range as i from range(41)), (select range as j from range(41))) group by c, i, j)) group by c, i"""
+TABLES["gpost"] = """
+select c, i, a, p, cdf, lag(cdf) over (partition by c order by i) as before from (select *, sum(p) over (partition by c order by i rows unbounded preceding) as cdf from (
+  select c, i, -6e0 + i*0.3e0 as a, w/sum(w) over (partition by c) as p from (select *, exp(lp - max(lp) over (partition by c)) as w from ggrid)))"""
+CROSSED = "coalesce(min_by(case when cdf >= {0} then case when before is null then a else a - 0.3e0*(cdf - {0})/(cdf - before) end end, case when cdf >= {0} then i end), 6e0)"
+TABLES["gsum"] = f"""select c, sum(a*p) as a_mean, {CROSSED.format('0.025e0')} as a_lo, {CROSSED.format('0.975e0')} as a_hi, sum(case when i in (0, 40) then p else 0e0 end) as edge from gpost group by c"""
+
+
+@query(
+    """select c, round(a_mean, 5) + 0e0 as a_mean, round(a_lo, 5) + 0e0 as a_lo, round(a_hi, 5) + 0e0 as a_hi, round(a_lo, 5) <= 0 and round(a_hi, 5) >= 0 as spans_zero, round(edge, 7) as edge from gsum"""
+)
+def grid_posterior(spark, sf_dir):
+    """Posterior of every planted slope at the true abilities on a grid of 41 x 41."""
+    _, people = bind.planted_truth(spark, sf_dir)
+    rows = fit.with_theta(bind.planted(spark, sf_dir).responses, people).select("c", "theta", "obs")
+    out = crosscheck.grid_posterior(rows, 0.9, 0.1, 1.2, 41)
+    low, high = F.round("a_lo", 5), F.round("a_hi", 5)
+    rounded = [(F.round(x, 5) + 0.0).alias(x) for x in ("a_mean", "a_lo", "a_hi")]
+    return out.select("c", *rounded, ((low <= 0) & (high >= 0)).alias("spans_zero"), F.round("edge", 7).alias("edge"))
+
+
 @query()
 def vi_fit(spark, sf_dir):
     """Variational fits of the natural binding, one for each prompt variant."""

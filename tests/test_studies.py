@@ -165,10 +165,26 @@ def test_node_sums_match_rows_by_node(spark):
     assert estimates.count() == m.items.count() and history == sorted(history)
 
 
-def test_grid_posterior_covers(spark):
-    rows = spark.createDataFrame([(c, t / 10, int((t * 7 + c) % 10 < 5 + t / 8)) for c in range(2) for t in range(-30, 31)], "c long, theta double, obs int")
-    got = crosscheck.grid_posterior(rows, 1.0, 1.0, points=81).collect()
-    assert len(got) == 2 and all(r.a_lo < r.a_mean < r.a_hi and r.edge < 0.01 for r in got)
+def test_grid_posterior_equals_integration(spark):
+    rows = [(c, t / 10 if c < 3 else 1.0, int((t * 7 + c) % 10 < 5 + t / 8)) for c in range(4) for t in range(-30, 31, 1 + 5 * (c == 2))]
+    df = spark.createDataFrame(rows + rows[:9], "c long, theta double, obs int")
+    points = 97
+    a, b = np.linspace(-6, 6, points), np.linspace(-12, 12, points)
+    for r in crosscheck.grid_posterior(df, 0.9, 0.2, 1.3, points).collect():
+        own = [x for x in rows + rows[:9] if x[0] == r.c]
+        lp = -0.5 * (a[:, None] / 0.9) ** 2 - 0.5 * ((b[None, :] - 0.2) / 1.3) ** 2
+        for _, theta, y in own:
+            z = a[:, None] * (theta - b[None, :])
+            lp = lp + y * z - np.logaddexp(0, z)
+        p = np.exp(lp - lp.max()).sum(axis=1)
+        p /= p.sum()
+        want = [a @ p, *np.interp([0.025, 0.975], np.cumsum(p), a), p[0] + p[-1]]
+        assert np.allclose([r.a_mean, r.a_lo, r.a_hi, r.edge], want, atol=1e-9)
+        assert r.spans_zero == (want[1] <= 0 <= want[2]) and r.grid_limited == (want[3] > 1e-4)
+    limited = crosscheck.grid_posterior(df.filter("c = 0"), 400.0, 0.0, 1.0, 41).first()
+    assert limited.edge >= 0
+    compared = crosscheck.interval_against_grid(spark.createDataFrame([(0, -1.0, 1.0), (1, 0.1, 0.9)], "c long, a_lo double, a_hi double"), crosscheck.grid_posterior(df, 0.9, 0.2, 1.3, 41)).first()
+    assert compared.n == 2 and compared.width_ratio > 0 and 0 <= compared.same_verdict <= 1
 
 
 def test_wider_intervals_only_refuse_more(spark):
