@@ -18,7 +18,7 @@ def parser() -> argparse.ArgumentParser:
     fit.add_argument("-o", "--out", required=True)
     fit.add_argument("--respondent-key", default="model_id")
     fit.add_argument("--format")
-    fit.add_argument("--engine", choices=("newton", "variational"), default="newton")
+    fit.add_argument("--engine", choices=("variational", "newton"), default="variational")
     fit.add_argument("--priors", default="hierarchical")
     fit.add_argument("--epochs", type=int, default=2000)
     fit.add_argument("--seed", type=int, default=0)
@@ -41,6 +41,8 @@ def parser() -> argparse.ArgumentParser:
     validate.add_argument("--sizes", default="25,50,100,200,400")
     validate.add_argument("--json", action="store_true")
     validate.add_argument("--seed", type=int, default=0)
+    validate.add_argument("--epochs", type=int)
+    validate.add_argument("--engine", choices=("variational", "newton"))
     validate.add_argument("--draws", type=int, default=200)
     return top
 
@@ -63,17 +65,10 @@ def run_fit(spark, a) -> None:
     if a.engine == "newton":
         items, abilities = fit.newton_fit(responses)
     else:
-        got = store.stored(variational.vi_fit(responses.withColumn("fit_id", F.lit(0).cast("long")), a.priors, a.epochs, a.seed), "vi")
-        rates = fit.classical_items(responses).select("c", "n_resp", "p_correct")
-        mean = lambda kind, name: got.filter(F.col("kind") == kind).select(F.col("id").alias("c"), F.col("mean").alias(name))
-        items = rates.join(mean("item-a", "a"), "c").join(mean("item-b", "b"), "c")
-        abilities = got.filter("kind = 'respondent'").select(F.col("id").alias("r"), F.col("mean").alias("theta"))
-        first = got.filter("kind = 'elbo'").orderBy("id").collect()
+        items, abilities, bounds = variational.joint_fit(responses, [], a.priors, a.epochs, a.seed)
+        first = bounds.orderBy("id").collect()  # thinned, some thousand rows
         history, reflected = [r["mean"] for r in first], bool(first[0]["reflected"])
         hyper = {} if a.priors == "vague" else {h: first[0][h] for h in variational.HYPER}
-        rows = fit.with_theta(responses, abilities)
-        of_a, of_b = diagnostics.prior_precisions(a.priors, hyper)
-        items = fit.item_flags(fit.item_intervals(items, rows, precision_a=of_a, precision_b=of_b), abilities)
     people = m.respondents.join(abilities.select("r", "theta"), "r", "left")
     items = store.stored(m.items.join(items, "c"), "items")
     shape = matrix.shape(m).first()
@@ -83,7 +78,7 @@ def run_fit(spark, a) -> None:
         history, epochs=a.epochs if history else None, seed=a.seed, priors=a.priors, seconds=round(time.time() - began, 3), reflected=reflected, **facts,
         flag_counts=counts, hyperparameters=hyper, interval_method="conditional-information",
     )
-    meta = {"respondent_key": list(key), "engine": a.engine, "priors": a.priors, "seed": a.seed, "model": diagnostics.model_metadata(a.engine, a.priors), "diagnostics": told, "created": datetime.now(UTC).isoformat(timespec="seconds")}
+    meta = {"respondent_key": list(key), "engine": a.engine, "priors": a.priors, "epochs": a.epochs, "seed": a.seed, "model": diagnostics.model_metadata(a.engine, a.priors), "diagnostics": told, "created": datetime.now(UTC).isoformat(timespec="seconds")}
     store.save_fit(a.out, people, items, responses if a.embed_responses else None, meta)
     print(f"{shape['n_real_models']} models, {shape['n_respondents']} respondents, {shape['n_items']} items, {shape['n_responses']} responses -> {a.out}", file=sys.stderr)
 
@@ -139,7 +134,7 @@ def run_select(spark, a) -> None:
 
 def run_validate(spark, a) -> None:
     from respanel import render
-    from respanel.operators import fit, holdout, store
+    from respanel.operators import holdout, store, variational
     from respanel.operators.matrix import ResponseMatrix
     from respanel.schema import ValidateError
 
@@ -147,7 +142,14 @@ def run_validate(spark, a) -> None:
     if f["responses"] is None:
         raise ValidateError("the fit carries no responses; fit with --embed-responses")
     m = ResponseMatrix(f["respondents"].select("r", "respondent_id", "model_id"), f["items"].select("c", "item_id", "subject", "split"), f["responses"])
-    sizes, models = holdout.validation(m, lambda responses, by: fit.newton_fit(responses, by), holdout.parse_sizes(a.sizes), a.draws, a.seed)
+    meta = f["meta"]
+    engine, priors, epochs = a.engine or meta.get("engine", "variational"), meta.get("priors", "hierarchical"), a.epochs or meta.get("epochs", variational.EPOCHS)
+
+    def refit(m: ResponseMatrix, holdouts):
+        """As the fit at hand was made."""
+        return holdout.newton_holdouts(m, holdouts) if engine == "newton" else holdout.joint_holdouts(m, holdouts, priors, epochs, a.seed)
+
+    sizes, models = holdout.validation(m, refit, holdout.parse_sizes(a.sizes), a.draws, a.seed)
     rows = [r.asDict() for r in sizes.orderBy("size").collect()]
     for own in rows:
         own["models"] = []
@@ -155,7 +157,7 @@ def run_validate(spark, a) -> None:
     for r in models.orderBy("size", "holdout").collect():
         at[r["size"]].append({k: v for k, v in r.asDict().items() if k not in ("size", "k")})
     n = m.respondents.select("model_id").distinct().count()
-    print(json.dumps({"n_models": n, "random_draws": a.draws, "sizes": rows}, indent=1) if a.json else render.validation_table(rows, n), end="\n" if a.json else "")
+    print(json.dumps({"n_models": n, "random_draws": a.draws, "engine": engine, "sizes": rows}, indent=1) if a.json else render.validation_table(rows, n), end="\n" if a.json else "")
 
 
 def main(args: list[str] | None = None, spark=None) -> int:

@@ -7,6 +7,8 @@ obs, theta.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from respanel.operators.store import stored
 from respanel.schema import CEILING, DEAD_THRESHOLD, FLAGS, FLOOR, HDI_PROB, Z95
 
 NEWTON_STEPS = 4
+#: A state of items (by, c, ...) -> its columns beside obs and theta of every answer.
+Meet = Callable[[DataFrame], DataFrame]
 
 
 def classical_items(responses: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -35,25 +39,31 @@ def with_theta(responses: DataFrame, abilities: DataFrame, by: list[str] = ()) -
     return responses.join(abilities.select(*by, "r", "theta"), [*by, "r"])
 
 
-def newton_items(rows: DataFrame, by: list[str] = (), steps: int = NEWTON_STEPS, precision_a: float = 1.0, precision_d: float = 1.0) -> DataFrame:
+def newton_items(
+    rows: DataFrame | None, by: list[str] = (), steps: int = NEWTON_STEPS, precision_a: float = 1.0, precision_d: float = 1.0, meet: Meet | None = None, counts: DataFrame | None = None
+) -> DataFrame:
     """(by, c, n_resp, p_correct, a, d, b, gradient): ridge logistic regression of each item on fixed abilities.
 
     Slope-intercept form, from a = 0 and d = logit of the rate; the ridge
     pulls d to its start. ``gradient`` is the norm of the score after the
     last step. All steps share one partitioning by item: each is a join and
-    an aggregation without a new shuffle.
+    an aggregation without a new shuffle. Instead of ``rows``, ``meet`` may
+    give the answers beside a state of the items, and ``counts`` the columns
+    n_resp and p_correct.
     """
     keys = [*by, "c"]
-    rows = rows.select(*keys, "obs", "theta")
-    now = rows.groupBy(*keys).agg(F.count("*").alias("n_resp"), F.avg("obs").alias("p_correct"))
-    now = now.withColumn("d0", clamped_logit(F.col("p_correct"))).withColumn("a", F.lit(0.0)).withColumn("d", F.col("d0"))
+    if meet is None:
+        rows = rows.select(*keys, "obs", "theta")
+        counts = rows.groupBy(*keys).agg(F.count("*").alias("n_resp"), F.avg("obs").alias("p_correct"))
+        meet = lambda state: rows.join(state, keys)
+    now = counts.withColumn("d0", clamped_logit(F.col("p_correct"))).withColumn("a", F.lit(0.0)).withColumn("d", F.col("d0"))
     state = ["n_resp", "p_correct", "d0", "a", "d"]
     for step in range(steps + 1):
         p = 1 / (1 + F.exp(-(F.col("a") * F.col("theta") + F.col("d"))))
         w = p * (1 - p)
         # the state rides along as grouping columns: each step reads the last one once
         both = (
-            rows.join(now, keys)
+            meet(now)
             .groupBy(*keys, *state)
             .agg(
                 F.sum((F.col("obs") - p) * F.col("theta")).alias("sa"),
@@ -92,10 +102,11 @@ def sampled_posterior(samples: DataFrame, by: list[str], value: str, prob: float
     return moments.join(narrowest_interval(samples, by, value, prob), by)
 
 
-def item_intervals(items: DataFrame, rows: DataFrame, by: list[str] = (), precision_a: float = 1.0, precision_b: float = 1.0) -> DataFrame:
+def item_intervals(items: DataFrame, rows: DataFrame, by: list[str] = (), precision_a: float | Column = 1.0, precision_b: float | Column = 1.0) -> DataFrame:
     """Adds a and b intervals from the joint information of (a, b): for bounded b only.
 
-    An item without a response keeps the prior's width.
+    An item without a response keeps the prior's width. Precisions of the
+    prior are numbers or columns of ``items``.
     """
     keys = [*by, "c"]
     at = rows.select(*keys, "theta").join(items.select(*keys, "a", "b"), keys)
@@ -111,14 +122,14 @@ def item_intervals(items: DataFrame, rows: DataFrame, by: list[str] = (), precis
     return joined.select(*items.columns, *interval(F.col("a"), F.sqrt(ibb / det), "a"), *interval(F.col("b"), F.sqrt(iaa / det), "b"))
 
 
-def newton_intervals(items: DataFrame, rows: DataFrame, by: list[str] = (), precision_a: float = 1.0, precision_d: float = 1.0) -> DataFrame:
+def newton_intervals(items: DataFrame, rows: DataFrame | None, by: list[str] = (), precision_a: float = 1.0, precision_d: float = 1.0, meet: Meet | None = None) -> DataFrame:
     """Adds intervals from the information of (a, d), that of b by the delta method.
 
     With b = -d / a an item near a = 0 would look certain in the (a, b) form.
     An item without a response keeps the prior's width.
     """
     keys = [*by, "c"]
-    at = rows.select(*keys, "theta").join(items.select(*keys, "a", "d"), keys)
+    at = meet(items.select(*keys, "a", "d")) if meet else rows.select(*keys, "theta").join(items.select(*keys, "a", "d"), keys)
     p = 1 / (1 + F.exp(-(F.col("a") * F.col("theta") + F.col("d"))))
     w = p * (1 - p)
     info = at.groupBy(*keys).agg(F.sum(w * F.col("theta") * F.col("theta")).alias("iaa"), F.sum(w * F.col("theta")).alias("iad"), F.sum(w).alias("idd"))

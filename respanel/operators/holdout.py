@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from respanel.operators import score, select
+from respanel.functions.irt import clamped_logit
+from respanel.operators import fit, score, select
 from respanel.operators.matrix import ResponseMatrix, full_suite_accuracy
 from respanel.operators.store import stored
 from respanel.schema import DEFAULT_SIZES, MIN_MODELS, ValidateError
@@ -40,10 +41,81 @@ def all_holdouts(m: ResponseMatrix, only: list[str] | None = None) -> DataFrame:
     return found
 
 
+def without_own(rows: DataFrame, holdouts: DataFrame) -> DataFrame:
+    """``rows`` (with model_id) once for every holdout but that of their own model: k beside the columns of ``rows``.
+
+    The keys of the holdouts, one a model, are a literal; nothing is joined on an inequality.
+    """
+    named = holdouts.select(F.col("holdout").alias("model_id"), F.array("k").alias("own"))
+    every = F.lit([r["k"] for r in holdouts.select("k").distinct().orderBy("k").collect()]).cast("array<bigint>")
+    met = rows.join(F.broadcast(named), "model_id", "left")
+    others = F.when(F.col("own").isNull(), every).otherwise(F.array_except(every, F.col("own")))
+    return met.select(F.explode(others).alias("k"), *rows.columns)
+
+
 def held_out_responses(m: ResponseMatrix, holdouts: DataFrame) -> DataFrame:
-    """(k, r, c, obs) of every fit: all respondents of the other models."""
-    owned = m.responses.join(m.respondents.select("r", "model_id"), "r")
-    return owned.join(holdouts, F.col("model_id") != F.col("holdout")).select("k", "r", "c", "obs")
+    """(k, r, c, obs) of every fit: all respondents of the other models. For fits that need the answers of each holdout in one place."""
+    return without_own(m.responses.join(m.respondents.select("r", "model_id"), "r"), holdouts).select("k", "r", "c", "obs")
+
+
+def held_out_counts(m: ResponseMatrix, holdouts: DataFrame) -> DataFrame:
+    """(k, c, n_resp, n_right) of the items that a fit has answers of: counts of all models less those of the held-out one.
+
+    Answers are counted once by item and once by item and held-out model,
+    however many holdouts there are.
+    """
+    whole = m.responses.groupBy("c").agg(F.count("*").alias("n"), F.sum("obs").alias("right"))
+    people = m.respondents.join(F.broadcast(holdouts.withColumnRenamed("holdout", "model_id")), "model_id").select("r", "k")
+    own = m.responses.join(people, "r").groupBy("k", "c").agg(F.count("*").alias("own_n"), F.sum("obs").alias("own_right"))
+    grid = whole.crossJoin(F.broadcast(holdouts.select("k"))).join(own, ["k", "c"], "left")
+    less = lambda x: (F.col(x) - F.coalesce(f"own_{x}", F.lit(0))).cast("long")
+    return grid.select("k", "c", less("n").alias("n_resp"), less("right").alias("n_right")).filter("n_resp > 0")
+
+
+def held_out_moments(logits: DataFrame, holdouts: DataFrame) -> DataFrame:
+    """(k, holdout, mean, sd) of ``logits`` (model_id, logit) without the held-out model: sums of all less its own, about the common mean."""
+    whole = logits.agg(F.avg("logit").alias("middle"))
+    centred = logits.crossJoin(F.broadcast(whole)).select("model_id", "middle", (F.col("logit") - F.col("middle")).alias("x"))
+    sums = [F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss")]
+    own = centred.groupBy("model_id").agg(*[x.alias(f"own_{name}") for x, name in zip(sums, ("n", "s", "ss"), strict=True)])
+    total = centred.agg(F.first("middle").alias("middle"), *sums)
+    both = holdouts.join(own, holdouts.holdout == own.model_id, "left").crossJoin(F.broadcast(total))
+    n, s, ss = (F.col(x) - F.coalesce(f"own_{x}", F.lit(0.0)) for x in ("n", "s", "ss"))
+    spread = F.sqrt(F.greatest(ss / n - (s / n) * (s / n), F.lit(0.0)))
+    return both.select("k", "holdout", (F.col("middle") + s / n).alias("mean"), F.greatest(spread, F.lit(1e-6)).alias("sd"))
+
+
+def newton_holdouts(m: ResponseMatrix, holdouts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``fit.newton_fit`` gives for the answers of every holdout, without copies of the matrix.
+
+    A respondent's logit accuracy is the same in all fits; what differs is
+    the mean and deviation it is standardised by. So the answers are stored
+    once with their logits and meet the state of an item in all its holdouts
+    by an equi-join on the item, in which the held-out model's are passed over.
+    """
+    rates = m.responses.groupBy("r").agg(F.count("*").alias("n_resp"), F.avg("obs").alias("rate"))
+    logits = stored(rates.join(m.respondents.select("r", "model_id"), "r").select("r", "model_id", "n_resp", clamped_logit(F.col("rate")).alias("logit")), "holdout-logits")
+    moments = stored(held_out_moments(logits, holdouts), "holdout-moments")
+    spread = without_own(logits, holdouts).join(F.broadcast(moments), "k")
+    abilities = stored(spread.select("k", "r", "n_resp", ((F.col("logit") - F.col("mean")) / F.col("sd")).alias("theta")), "abilities")
+    answers = stored(m.responses.join(logits.select("r", "model_id", "logit"), "r").select("c", "obs", "model_id", "logit"), "holdout-answers")
+
+    def meet(state: DataFrame) -> DataFrame:
+        kept = answers.join(state.join(F.broadcast(moments), "k"), "c").filter(F.col("model_id") != F.col("holdout"))
+        return kept.withColumn("theta", (F.col("logit") - F.col("mean")) / F.col("sd"))
+
+    counts = held_out_counts(m, holdouts).select("k", "c", "n_resp", (F.col("n_right") / F.col("n_resp")).alias("p_correct"))
+    items = stored(fit.newton_items(None, ["k"], meet=meet, counts=stored(counts, "holdout-counts")), "fit-items")
+    items, abilities = fit.canonical_sign(fit.newton_intervals(items, None, ["k"], meet=meet), abilities, ["k"])
+    abilities = stored(abilities, "abilities")
+    return stored(fit.item_flags(items, abilities, ["k"]), "fit"), abilities
+
+
+def joint_holdouts(m: ResponseMatrix, holdouts: DataFrame, priors: str, epochs: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Variational fits of all holdouts, side by side."""
+    from respanel.operators import variational
+
+    return variational.joint_fit(stored(held_out_responses(m, holdouts), "held-out"), ["k"], priors, epochs, seed)[:2]
 
 
 def chosen_sets(items: DataFrame, points: DataFrame, sizes: list[int], by: list[str]) -> DataFrame:
@@ -104,14 +176,15 @@ def summary(chosen: DataFrame, random: DataFrame) -> DataFrame:
 def validation(m: ResponseMatrix, fit_fn, sizes=DEFAULT_SIZES, draws: int = 200, seed: int = 0, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(summary by size, rows by size and held-out model), places by accuracy and by ability.
 
-    ``fit_fn(responses, by)`` gives (items with flags, abilities) of every k.
-    The summary adds to ``summary`` the same three figures by ability, the
+    ``fit_fn(m, holdouts)`` gives (items with flags, abilities) of every k,
+    fitted to the answers of the other models: ``newton_holdouts``, or
+    ``joint_holdouts`` with its priors, steps and seed. The summary adds to ``summary`` the same three figures by ability, the
     fewest items that a set of the size really holds and the sets that fall
     short of it.
     """
     holdouts = stored(all_holdouts(m, only), "holdouts")
     m = ResponseMatrix(m.respondents, m.items, stored(m.responses, "responses"), m.respondent_key)
-    items, abilities = fit_fn(stored(held_out_responses(m, holdouts), "held-out"), ["k"])
+    items, abilities = fit_fn(m, holdouts)
     points = select.ability_points(abilities, m.respondents, ["k"])
     sets = stored(chosen_sets(items, points, list(sizes), ["k"]), "sets")
     realised = stored(sets.groupBy("k", "size").agg(F.count("*").alias("n_selected")), "realised")
@@ -130,16 +203,3 @@ def validation(m: ResponseMatrix, fit_fn, sizes=DEFAULT_SIZES, draws: int = 200,
         own_ability.select("k", "size", "theta", F.col("place").alias("ability_place"), F.col("error").alias("ability_error")), ["k", "size"], "left"
     )
     return summary(own, random).join(by_ability, "size", "left").join(filled, "size", "left"), rows
-
-
-def leave_one_model_out(m: ResponseMatrix, fit_fn, sizes=DEFAULT_SIZES, draws: int = 200, seed: int = 0, only: list[str] | None = None) -> DataFrame:
-    """Size summary by accuracy alone. ``fit_fn(responses, by)`` gives (items with flags, abilities) of every k."""
-    holdouts = all_holdouts(m, only)
-    responses = held_out_responses(m, holdouts)
-    items, abilities = fit_fn(responses, ["k"])
-    points = select.ability_points(abilities, m.respondents, ["k"])
-    sets = chosen_sets(items, points, list(sizes), ["k"])
-    own = errors(sets, m, holdouts, ["k", "size"])
-    realised = sets.groupBy("k", "size").agg(F.count("*").alias("n_selected"))
-    random = errors(random_sets(items.filter("n_resp > 0"), realised, draws, seed), m, holdouts, ["k", "size", "draw"])
-    return summary(own, random)

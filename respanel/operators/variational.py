@@ -154,3 +154,34 @@ def vi_fit(responses: DataFrame, priors: str = "hierarchical", epochs: int = EPO
         return out
 
     return responses.groupBy("fit_id").applyInPandas(one, RESULT)
+
+
+def joint_fit(responses: DataFrame, by: list[str] = (), priors: str = "hierarchical", epochs: int = EPOCHS, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items with intervals and flags, abilities, bound and learned scales by step) of every fit in ``responses`` (by, r, c, obs).
+
+    ``by`` is empty or one column of whole numbers. Means are those of the
+    fit; intervals of items come from the information at its abilities, with
+    its learned scales as priors.
+    """
+    from pyspark.sql import functions as F
+
+    from respanel.operators import diagnostics, fit
+    from respanel.operators.store import stored
+
+    key = F.col(by[0]).cast("long") if by else F.lit(0).cast("long")
+    got = stored(vi_fit(responses.withColumn("fit_id", key), priors, epochs, seed), "joint-fit")
+    named = [F.col("fit_id").alias(c) for c in by]
+    mean = lambda kind, ident, name: got.filter(F.col("kind") == kind).select(*named, F.col("id").alias(ident), F.col("mean").alias(name))
+    keys = [*by, "c"]
+    items = fit.classical_items(responses, by).select(*keys, "n_resp", "p_correct").join(mean("item-a", "c", "a"), keys).join(mean("item-b", "c", "b"), keys)
+    abilities = mean("respondent", "r", "theta")
+    bounds = got.filter("kind = 'elbo'").select(*named, "id", "mean", *HYPER, "reflected")
+    if priors == "vague":
+        of_a, of_b = diagnostics.prior_precisions(priors, {})
+        items = items.withColumns({"of_a": F.lit(of_a), "of_b": F.lit(of_b)})
+    else:
+        scales = bounds.filter("id = 0").select(*by, (1 / F.pow("sigma_a", F.lit(2))).alias("of_a"), (1 / F.pow("sigma_b", F.lit(2))).alias("of_b"))
+        items = items.join(F.broadcast(scales), by) if by else items.crossJoin(F.broadcast(scales))
+    rows = fit.with_theta(responses, abilities, by)
+    items = fit.item_intervals(items, rows, by, F.col("of_a"), F.col("of_b")).drop("of_a", "of_b")
+    return stored(fit.item_flags(items, abilities, by), "joint-items"), abilities, bounds

@@ -11,7 +11,8 @@ from respanel.functions import coerce, irt, ranks
 from respanel.operators import crosscheck, em, fit, holdout, marginal, matrix, report, score, select, studies, variational
 from respanel.operators.store import stored
 from respanel.plans import bindings as bind
-from respanel.plans.sql import TABLES, info, statement
+from respanel.plans.sql import LOGIT, TABLES, info, statement
+from respanel.schema import RANDOM_DRAWS
 from respanel.sources import helm
 from respanel.streaming import online
 
@@ -192,8 +193,12 @@ def full_suite_accuracy(spark, sf_dir):
 )
 def drop_model(spark, sf_dir):
     m = bind.natural(spark, sf_dir)
-    left = holdout.held_out_responses(m, holdout.all_holdouts(m)).join(holdout.all_holdouts(m), "k")
-    return left.groupBy("holdout").agg(F.count_distinct("r").alias("n_respondents"), F.count("*").alias("n_responses"), F.count_distinct("c").alias("n_items"))
+    holdouts = holdout.all_holdouts(m)
+    counts = holdout.held_out_counts(m, holdouts).groupBy("k").agg(F.sum("n_resp").alias("n_responses"), F.count("*").alias("n_items"))
+    models = m.respondents.groupBy("model_id").agg(F.count("*").alias("own"))
+    whole = m.respondents.agg(F.count("*").alias("everyone"))
+    people = holdouts.join(models, F.col("holdout") == F.col("model_id")).crossJoin(F.broadcast(whole))
+    return people.join(counts, "k").select("holdout", (F.col("everyone") - F.col("own")).alias("n_respondents"), "n_responses", "n_items")
 
 
 @query(
@@ -507,7 +512,7 @@ def truth_holdout(spark, sf_dir):
     truth, people = bind.planted_truth(spark, sf_dir)
     flagged = truth.withColumn("flags", F.when(F.col("a") < 0, F.array(F.lit("inverted"))).otherwise(F.array().cast("array<string>"))).withColumn("n_resp", F.lit(1))
     items = flagged.crossJoin(F.broadcast(holdouts.select("k")))
-    owned = people.join(m.respondents.select("r", "model_id"), "r").join(holdouts, F.col("model_id") != F.col("holdout"))
+    owned = holdout.without_own(people.join(m.respondents.select("r", "model_id"), "r"), holdouts)
     return m, holdouts, items, owned.select("k", "r", "theta")
 
 
@@ -533,14 +538,14 @@ def loo_truth_placement(spark, sf_dir):
 TABLES["draws"] = """
 select k, size, draw, c from (select k, draw, c, row_number() over (partition by k, draw order by h, c) as rank from (
   select k, draw, c, (g*g + c*31 + draw*17) % 999983 as h from (select k, draw, c, (c*7919 + draw*104729 + k*1299709 + 5*15485863) % 1000003 as g
-    from (select distinct k, c from hresp) cross join (select range as draw from range(20))))) join (select unnest([25, 50]) as size) on rank <= size"""
+    from (select distinct k, c from hresp) cross join (select range as draw from range(200))))) join (select unnest([25, 50]) as size) on rank <= size"""
 TABLES["derr"] = placed("draws", "k, size, draw")
 
 
 def truth_draws(m, holdouts, items):
     realised = items.sparkSession.createDataFrame([(25, 25), (50, 50)], "size long, n_selected long").crossJoin(holdouts.select("k"))
-    answered = holdout.held_out_responses(m, holdouts).select("k", "c").distinct()
-    return holdout.errors(holdout.random_sets(answered, realised, 20, 5), m, holdouts, ["k", "size", "draw"])
+    answered = holdout.held_out_counts(m, holdouts).select("k", "c")
+    return holdout.errors(holdout.random_sets(answered, realised, RANDOM_DRAWS, 5), m, holdouts, ["k", "size", "draw"])
 
 
 @query("select k, cast(size as bigint) as size, draw, holdout, place, true_place, error from derr")
@@ -581,11 +586,61 @@ def loo_ability_placement(spark, sf_dir):
     return out.select("k", "size", *r6("theta"), "place", *r6("error"))
 
 
-@query()
+TABLES["ho_l"] = "select start_l.r, model_id, l from start_l join peop on start_l.r = peop.r"
+TABLES["ho_m"] = "select k, holdout, avg(l) as m, greatest(stddev_pop(l), 1e-6) as s from ho_l join hold on model_id <> holdout group by k, holdout"
+TABLES["ho_rows"] = "select k, c, obs, (l - m)/s as theta from resp join ho_l on resp.r = ho_l.r join ho_m on model_id <> holdout"
+TABLES["ho_0"] = f"select k, c, n_resp, p, {LOGIT.format('p')} as d0, 0e0 as a, {LOGIT.format('p')} as d from (select k, c, count(*) as n_resp, avg(obs) as p from ho_rows group by k, c)"
+for _k in range(1, 5):
+    TABLES[f"ho_{_k}"] = f"""
+select k, c, n_resp, p, d0, a + (hdd*ga - had*gd)/(haa*hdd - had*had) as a, d + (haa*gd - had*ga)/(haa*hdd - had*had) as d from (
+  select k, c, n_resp, p, d0, a, d, sum((obs-q)*theta) - a as ga, sum(obs-q) - (d - d0) as gd, sum(q*(1-q)*theta*theta) + 1 as haa, sum(q*(1-q)*theta) as had, sum(q*(1-q)) + 1 as hdd
+  from (select n.*, x.obs, x.theta, 1/(1+exp(-(n.a*x.theta+n.d))) as q from ho_rows x join ho_{_k - 1} n on x.k = n.k and x.c = n.c) group by k, c, n_resp, p, d0, a, d)"""
+TABLES["ho_iv"] = """
+select *, a - 1.959963985e0*sqrt(idd/(iaa*idd - iad*iad)) as a_lo, a + 1.959963985e0*sqrt(idd/(iaa*idd - iad*iad)) as a_hi from (
+  select k, c, n_resp, p, a, d, case when abs(a) > 1e-9 then -d/a end as b, sum(q*(1-q)*theta*theta) + 1 as iaa, sum(q*(1-q)*theta) as iad, sum(q*(1-q)) + 1 as idd
+  from (select n.*, x.theta, 1/(1+exp(-(n.a*x.theta+n.d))) as q from ho_rows x join ho_4 n on x.k = n.k and x.c = n.c) group by k, c, n_resp, p, a, d)"""
+
+
+@query("select k, c, n_resp, round(p, 6) as p_correct, round(a, 6) + 0e0 as a, round(d, 6) + 0e0 as d, round(a_lo, 6) + 0e0 as a_lo, round(a_hi, 6) + 0e0 as a_hi from ho_iv")
+def loo_fitted_items(spark, sf_dir):
+    """Newton fits of all holdouts, every model held out once."""
+    m = bind.planted(spark, sf_dir)
+    items, _ = holdout.newton_holdouts(m, stored(holdout.all_holdouts(m), "holdouts"))
+    return items.select("k", "c", "n_resp", *r6("p_correct"), *[(F.round(x, 6) + 0.0).alias(x) for x in ("a", "d", "a_lo", "a_hi")])
+
+
+TABLES["ho_tier"] = """
+select k, c, a, b, case when not unsure then 0 else 1 end as tier from (select *, a_lo <= 0 and a_hi >= 0 as unsure, not (a_lo > -0.35e0 and a_hi < 0.35e0) and a_hi < 0 as wrong, p >= 0.99e0 or p <= 0.01e0 as edge_ from ho_iv)
+where b is not null and not edge_ and not wrong and (not unsure or a > 0)"""
+TABLES["ho_pts"] = "select k, r, (l - m)/s as theta, 1e0/(count(*) over (partition by k)) as weight from ho_l join ho_m on model_id <> holdout"
+TABLES["ho_sets"] = f"""
+select k, size, c from (select k, c, row_number() over (partition by k order by tier, score desc, c) as rank from (
+  select t.k, c, tier, round(sum(weight*{info()}), 10) as score from ho_tier t join ho_pts p on t.k = p.k group by t.k, c, tier)) join (select unnest([25, 50]) as size) on rank <= size"""
+TABLES["ho_err"] = placed("ho_sets", "k, size").replace("hold3", "hold")
+
+
+@query("select k, cast(size as bigint) as size, holdout, place, true_place, error from ho_err")
+def loo_fitted_placement(spark, sf_dir):
+    """Places of every model, held out in turn, under sets chosen by the fits of the others."""
+    m = bind.planted(spark, sf_dir)
+    holdouts = stored(holdout.all_holdouts(m), "holdouts")
+    items, abilities = holdout.newton_holdouts(m, holdouts)
+    sets = stored(holdout.chosen_sets(items, select.ability_points(abilities, m.respondents, ["k"]), [25, 50], ["k"]), "sets")
+    return holdout.errors(sets, m, holdouts, ["k", "size"])
+
+
+TABLES["ho_err3"] = "select ho_err.* from ho_err join hold3 on ho_err.k = hold3.k"
+
+
+@query(
+    """select cast(size as bigint) as size, n as n_holdouts, round(own, 6) as mean_error, round(drawn, 6) as random_error, round(beats, 6) as beats_random from (
+    select d.size, any_value(n) as n, any_value(m) as own, avg(e) as drawn, avg(case when round(e, 10) > round(m, 10) then 1e0 when round(e, 10) = round(m, 10) then 0.5e0 else 0e0 end) as beats
+    from (select size, draw, avg(error) as e from derr group by size, draw) d join (select size, count(*) as n, avg(error) as m from ho_err3 group by size) t on d.size = t.size group by d.size)"""
+)
 def loo_newton_placement(spark, sf_dir):
     """Whole validation with a Newton fit of every holdout: size summary."""
-    m = bind.planted(spark, sf_dir)
-    return holdout.leave_one_model_out(m, lambda responses, by: fit.newton_fit(responses, by), (25, 50), draws=20, seed=5, only=ONLY)
+    sizes, _ = holdout.validation(bind.planted(spark, sf_dir), holdout.newton_holdouts, (25, 50), draws=RANDOM_DRAWS, seed=5, only=ONLY)
+    return sizes.select("size", "n_holdouts", *r6("mean_error", "random_error", "beats_random"))
 
 
 # --- report ----------------------------------------------------------------------
@@ -1105,8 +1160,8 @@ def loo_random_ability(spark, sf_dir):
     """Random sets scored by ability, as the chosen ones are."""
     m, holdouts, items, abilities = truth_holdout(spark, sf_dir)
     realised = spark.createDataFrame([(25, 25), (50, 50)], "size long, n_selected long").crossJoin(holdouts.select("k"))
-    answered = holdout.held_out_responses(m, holdouts).select("k", "c").distinct()
-    sets = stored(holdout.random_sets(answered, realised, 20, 5), "draws")
+    answered = holdout.held_out_counts(m, holdouts).select("k", "c")
+    sets = stored(holdout.random_sets(answered, realised, RANDOM_DRAWS, 5), "draws")
     reference = score.model_abilities(abilities, m.respondents, ["k"])
     out = holdout.ability_errors(sets, items.select("k", "c", "a", "b"), reference, m, holdouts, ["k", "size", "draw"], ["k"])
     return out.select("k", "size", "draw", *r6("theta"), "place")
@@ -1162,12 +1217,12 @@ def loo_validation(spark, sf_dir):
     """The whole validation, by accuracy and by ability, with fits that found the truth."""
     m, _, items, abilities = truth_holdout(spark, sf_dir)
 
-    def found(responses, by):
-        counts = responses.groupBy(*by, "c").agg(F.count("*").alias("n"))
-        known = items.drop("n_resp").join(counts, [*by, "c"], "left").withColumn("n_resp", F.coalesce("n", F.lit(0))).drop("n")
+    def found(own, held):
+        counts = holdout.held_out_counts(own, held).select("k", "c", F.col("n_resp").alias("n"))
+        known = items.drop("n_resp").join(counts, ["k", "c"], "left").withColumn("n_resp", F.coalesce("n", F.lit(0))).drop("n")
         return known, abilities
 
-    sizes, _ = holdout.validation(m, found, (25, 50), draws=20, seed=5, only=ONLY)
+    sizes, _ = holdout.validation(m, found, (25, 50), draws=RANDOM_DRAWS, seed=5, only=ONLY)
     figures = ["mean_error", "random_error", "beats_random", "mean_ability_error", "random_ability_error", "beats_random_ability"]
     return sizes.select("size", "n_holdouts", *r6(*figures), "min_selected", "n_short")
 
@@ -1180,7 +1235,7 @@ def loo_validation(spark, sf_dir):
 def loo_model_rows(spark, sf_dir):
     """Rows of the validation by held-out model."""
     m, _, items, abilities = truth_holdout(spark, sf_dir)
-    _, rows = holdout.validation(m, lambda responses, by: (items, abilities), (25, 50), draws=2, seed=5, only=ONLY)
+    _, rows = holdout.validation(m, lambda own, held: (items, abilities), (25, 50), draws=2, seed=5, only=ONLY)
     return rows.select("k", "size", "holdout", "place", "true_place", "error", *r6("theta"), "ability_place", *r6("ability_error"), "n_selected")
 
 

@@ -248,7 +248,7 @@ def test_commands(spark, tmp_path, capsys):
     lines = [json.dumps(r.asDict()) for r in synth.records_of(m).select("model_id", "item_id", "correct", "subject").orderBy("model_id", "item_id").collect()]
     source, out = tmp_path / "r.jsonl", str(tmp_path / "fit")
     source.write_text("\n".join(lines))
-    assert cli.main(["fit", str(source), "-o", out], spark) == 0
+    assert cli.main(["fit", str(source), "-o", out, "--epochs", "300"], spark) == 0
     capsys.readouterr()
     assert cli.main(["report", out, "--json", "--limit", "5", "--html", str(tmp_path / "r.html")], spark) == 0
     told = json.loads(capsys.readouterr().out)
@@ -264,3 +264,28 @@ def test_commands(spark, tmp_path, capsys):
     assert cli.main(["fit", str(tmp_path / "none.jsonl"), "-o", out], spark) == 1
     with pytest.raises(ArtifactError):
         store.load_fit(spark, str(tmp_path / "nothing"))
+
+
+def test_holdouts_by_subtraction_equal_fits_of_copies(spark):
+    m, _, _ = synth.synthetic_matrix(spark, 6, 30, variants=2, seed=9, missing=0.3)
+    holdouts = holdout.all_holdouts(m)
+    copies = holdout.held_out_responses(m, holdouts)
+    counts = {(r.k, r.c): (r.n_resp, r.n_right) for r in holdout.held_out_counts(m, holdouts).collect()}
+    assert counts == {(r.k, r.c): (r.n, r.s) for r in copies.groupBy("k", "c").agg(F.count("*").alias("n"), F.sum("obs").alias("s")).collect()}
+    names = ["a", "d", "b", "a_lo", "b_hi", "p_correct"]
+    (one, people), (other, others) = holdout.newton_holdouts(m, holdouts), fit.newton_fit(copies, ["k"])
+    want = {(r.k, r.c): r for r in other.collect()}
+    got = {(r.k, r.c): r for r in one.collect()}
+    assert set(got) == set(want) and len(got) > 100
+    assert all(got[k].flags == want[k].flags and got[k].n_resp == want[k].n_resp and all(abs(got[k][n] - want[k][n]) < 1e-8 * (1 + abs(want[k][n])) for n in names) for k in got)
+    theta = {(r.k, r.r): r.theta for r in others.collect()}
+    assert all(abs(r.theta - theta[r.k, r.r]) < 1e-9 for r in people.collect()) and len(theta) == people.count()
+
+
+def test_joint_fits_of_holdouts_leave_the_model_out(spark):
+    m, _, _ = synth.synthetic_matrix(spark, 4, 12, seed=2)
+    holdouts = holdout.all_holdouts(m, ["model-1", "model-3"])
+    items, people = holdout.joint_holdouts(m, holdouts, "hierarchical", 40, 0)
+    assert {(r.k, r.n) for r in items.groupBy("k").agg(F.count("*").alias("n")).collect()} == {(1, 12), (3, 12)}
+    assert {(r.k, r.r) for r in people.collect()} == {(1, 0), (1, 2), (1, 3), (3, 0), (3, 1), (3, 2)}
+    assert {"a_lo", "a_hi", "flags", "n_resp"} <= set(items.columns)

@@ -127,7 +127,7 @@ def test_variational_fit_keeps_its_scales(spark):
 
 def test_validation_by_ability_and_by_model(spark):
     m = small(spark)
-    sizes, rows = holdout.validation(m, lambda responses, by: fit.newton_fit(responses, by), (3, 5), 4, 1)
+    sizes, rows = holdout.validation(m, holdout.newton_holdouts, (3, 5), 4, 1)
     sizes, rows = {r["size"]: r for r in sizes.collect()}, rows.collect()
     assert set(sizes) <= {3, 5} and all(r.n_short >= 0 and r.min_selected <= r["size"] and 0 <= r.beats_random_ability <= 1 for r in sizes.values())
     by_size = {}
