@@ -174,15 +174,28 @@ def item_rest(responses: DataFrame, respondents: DataFrame) -> DataFrame:
 
 
 def item_rest_filled(responses: DataFrame, respondents: DataFrame, items: DataFrame) -> DataFrame:
-    """(c, item_rest): as ``item_rest`` on the full models x items table, gaps filled by the item's mean; constant: 0."""
+    """(c, item_rest): as ``item_rest`` on the full models x items table, gaps filled by the item's mean; constant: 0.
+
+    The table is never made. With the deviations e of the observed cells
+    from their items' means, a gap has e = 0 and a model's row total is a
+    constant plus the sum E of its deviations. So an item's sums over all
+    models are those over its observed cells: of e, e^2 and e E, and of E^2
+    over the models.
+    """
     scores = responses.join(respondents.select("r", "model_id"), "r").groupBy("model_id", "c").agg(F.avg("obs").alias("x"))
     means = scores.groupBy("c").agg(F.avg("x").alias("mean"))
-    cells = respondents.select("model_id").distinct().crossJoin(items.select("c")).join(scores, ["model_id", "c"], "left").join(means, "c")
-    filled = cells.select("model_id", "c", F.coalesce("x", "mean").alias("x"))
-    rest = filled.withColumn("rest", F.sum("x").over(Window.partitionBy("model_id")) - F.col("x"))
-    from respanel.functions.ranks import correlation
-
-    return rest.groupBy("c").agg(F.coalesce(correlation("x", "rest"), F.lit(0.0)).alias("item_rest"))
+    cells = scores.join(means, "c").select("model_id", "c", (F.col("x") - F.col("mean")).alias("e"))
+    totals = cells.groupBy("model_id").agg(F.sum("e").alias("t"))
+    every = respondents.select("model_id").distinct().agg(F.count("*").alias("n"))
+    whole = every.crossJoin(totals.agg(F.coalesce(F.sum("t"), F.lit(0.0)).alias("st"), F.coalesce(F.sum(F.col("t") * F.col("t")), F.lit(0.0)).alias("stt")))
+    e, t = F.col("e"), F.col("t")
+    sums = cells.join(totals, "model_id").groupBy("c").agg(F.sum(e).alias("se"), F.sum(e * e).alias("see"), F.sum(e * t).alias("set"))
+    both = items.select("c").join(sums, "c").crossJoin(F.broadcast(whole))
+    # the rest of a model is t - e, up to a constant
+    n, se, see = (F.col(x) for x in ("n", "se", "see"))
+    sr, srr, ser = F.col("st") - se, F.col("stt") - 2 * F.col("set") + see, F.col("set") - see
+    vx, vr, cov = see - se * se / n, srr - sr * sr / n, ser - se * sr / n
+    return both.select("c", F.when((vx > 1e-12) & (vr > 1e-12), cov / F.sqrt(vx * vr)).otherwise(0.0).alias("item_rest"))
 
 
 def top_by(scores: DataFrame, value: str, n: int) -> DataFrame:

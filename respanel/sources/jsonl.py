@@ -17,8 +17,8 @@ from respanel.sources.registry import Reader, register
 FEW_BLOCKS = 100_000
 
 
-def numbered_lines(spark: SparkSession, path: str, **options) -> DataFrame:
-    """value, _source, _line (from 1, blank lines counted), _seq over all lines in file order.
+def numbered_lines(spark: SparkSession, path: str, blocks: bool = False, **options) -> DataFrame:
+    """value, _source, _line (from 1, blank lines counted), _seq over all lines in file order; with ``blocks``, __at, where the line's block begins.
 
     Spark's readers cut files at line ends and number nothing. Lines of a
     block come in order from one task, so a line's place is its id less the
@@ -28,17 +28,17 @@ def numbered_lines(spark: SparkSession, path: str, **options) -> DataFrame:
     """
     rows = spark.read.options(**options).text(path)
     rows = rows.select("value", F.col("_metadata.file_path").alias("_source"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__id"))
-    blocks = stored(rows.groupBy("_source", "__at").agg(F.min("__id").alias("__first"), F.count("*").alias("__n")), "blocks")
+    counts = stored(rows.groupBy("_source", "__at").agg(F.min("__id").alias("__first"), F.count("*").alias("__n")), "blocks")
     before = Window.partitionBy("_source").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
-    placed = blocks.withColumn("__line", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    files = blocks.groupBy("_source").agg(F.sum("__n").alias("__all"))
+    placed = counts.withColumn("__line", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    files = counts.groupBy("_source").agg(F.sum("__n").alias("__all"))
     ahead = Window.orderBy("_source").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("_source", F.coalesce(F.sum("__all").over(ahead), F.lit(0)).alias("__start"))
     placed = placed.join(starts, "_source").select("_source", "__at", "__first", "__line", "__start")
-    if blocks.count() <= FEW_BLOCKS:
+    if counts.count() <= FEW_BLOCKS:
         placed = F.broadcast(placed)
     line = F.col("__line") + F.col("__id") - F.col("__first")
-    return rows.join(placed, ["_source", "__at"]).select("value", "_source", (line + 1).alias("_line"), (F.col("__start") + line).alias("_seq"))
+    return rows.join(placed, ["_source", "__at"]).select("value", "_source", (line + 1).alias("_line"), (F.col("__start") + line).alias("_seq"), *(["__at"] if blocks else []))
 
 
 def parsed_objects(lines: DataFrame, strict: bool = True) -> DataFrame:

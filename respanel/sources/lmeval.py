@@ -7,7 +7,7 @@ import warnings
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from respanel.functions.coerce import build_records
@@ -82,8 +82,9 @@ def read_lmeval(spark: SparkSession, path: str, model_id: str | None = None, met
         raise FormatError(f"no samples below {path}; log them with --log_samples")
     rows = rows.withColumn("folder", F.regexp_replace("_source", "/[^/]*$", "")).withColumn("task", task_of(F.regexp_extract("_source", "([^/]*)$", 1)))
     if filter is None:
-        own = Window.partitionBy("_source").orderBy("_line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        rows = rows.withColumn("wanted", F.first("filter", ignorenulls=True).over(own))
+        # one row a file is all that is gathered; the lines stay where they are read
+        named = rows.filter("filter is not null").groupBy("_source").agg(F.min_by("filter", "_line").alias("wanted"))
+        rows = rows.join(F.broadcast(named), "_source", "left")
     else:
         rows = rows.withColumn("wanted", F.lit(filter))
         if rows.filter(F.col("filter") == filter).isEmpty():

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from respanel import cli, render
 from respanel.functions import coerce, ranks
-from respanel.operators import em, fit, holdout, matrix, report, score, select, store, synth, variational
+from respanel.operators import crosscheck, em, fit, holdout, matrix, report, score, select, store, synth, variational
 from respanel.schema import FLAGS, ArtifactError, MatrixError, RecordError, ReportError, SelectError, ValidateError
 
 
@@ -289,3 +289,47 @@ def test_joint_fits_of_holdouts_leave_the_model_out(spark):
     assert {(r.k, r.n) for r in items.groupBy("k").agg(F.count("*").alias("n")).collect()} == {(1, 12), (3, 12)}
     assert {(r.k, r.r) for r in people.collect()} == {(1, 0), (1, 2), (1, 3), (3, 0), (3, 1), (3, 2)}
     assert {"a_lo", "a_hi", "flags", "n_resp"} <= set(items.columns)
+
+
+def test_inversions_and_tau_equal_brute_force(spark):
+    draw = np.random.default_rng(6)
+    rows = [(g, i, float(x), float(y)) for g, n, top in ((0, 60, 8), (1, 50, 1000), (2, 2, 5), (3, 40, 1)) for i, (x, y) in enumerate(draw.integers(-1, top, (n, 2)))]
+    rows += [(1, 99, float("nan"), 1.0), (1, 98, None, 1.0), (0, 97, -0.0, 0.0)]
+    got = {r.g: r for r in ranks.rank_correlations(spark.createDataFrame(rows, "g long, i long, x double, y double"), ["g"], "i", "x", "y").collect()}
+    for g in got:
+        own = [(x, y) for k, _, x, y in rows if k == g and x is not None and x == x]
+        signs = [(np.sign(a - c), np.sign(b - d)) for k, (a, b) in enumerate(own) for c, d in own[:k]]
+        s, t = (sum(abs(z[k]) for z in signs) for k in (0, 1))
+        want = sum(p * q for p, q in signs) / math.sqrt(s * t) if s * t and len(own) > 2 else None
+        assert got[g].n == len(own) and (got[g].kendall is None if want is None else math.isclose(got[g].kendall, want, abs_tol=1e-12))
+
+
+def test_item_rest_on_the_filled_table_equals_the_table(spark):
+    m, _, _ = synth.synthetic_matrix(spark, 9, 14, variants=2, seed=4, missing=0.4)
+    obs = m.responses.join(m.respondents, "r").groupBy("model_id", "c").agg(F.avg("obs").alias("x")).toPandas()
+    wide = obs.pivot(index="model_id", columns="c", values="x")
+    wide = wide.fillna(wide.mean())
+    got = {r.c: r.item_rest for r in select.item_rest_filled(m.responses, m.respondents, m.items).collect()}
+    for c in wide.columns:
+        rest = wide.sum(axis=1) - wide[c]
+        want = np.corrcoef(wide[c], rest)[0, 1] if wide[c].std() > 1e-9 else 0.0
+        assert math.isclose(got[c], want, abs_tol=1e-9)
+    plan = select.item_rest_filled(m.responses, m.respondents, m.items)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("bins", [2, 4096])
+def test_median_of_the_surface_is_exact(spark, monkeypatch, bins):
+    monkeypatch.setattr(crosscheck, "BINS", bins)
+    monkeypatch.setattr(crosscheck, "PEOPLE_BLOCK", 3)
+    draw = np.random.default_rng(bins)
+    one, other = draw.normal(size=(2, 7, 2))
+    t1, t2 = draw.integers(-2, 3, (2, 10)) / 2
+    items = lambda x: spark.createDataFrame([(c, float(a), float(b)) for c, (a, b) in enumerate(x)] + [(99, 1.0, None)], "c long, a double, b double")
+    people = lambda x: spark.createDataFrame([(r, float(t)) for r, t in enumerate(x)], "r long, theta double")
+    p = lambda x, t: 1 / (1 + np.exp(-(x[:, 0][:, None] * (t[None, :] - x[:, 1][:, None]))))
+    want = np.abs(p(one, t1) - p(other, t2)).ravel()
+    got = crosscheck.probability_surface((items(one), people(t1)), (items(other), people(t2))).first()
+    assert got.n == 70 and np.allclose([got.mean_diff, got.median_diff, got.max_diff], [want.mean(), np.median(want), want.max()], atol=1e-12)
+    rows = spark.createDataFrame([(1.0, 2), (1.0, 1), (2.0, 3), (3.0, 1)], "d double, w long")
+    assert [crosscheck.weighted_order_statistic(rows, "d", "w", k, 1.0, 3.0) for k in range(7)] == [1.0] * 3 + [2.0] * 3 + [3.0]

@@ -1,12 +1,16 @@
 """Readers: every format gives the same records, refusals name their place."""
 
+import csv
+import io
 import json
+import random
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from respanel.schema import FormatError, RecordError
-from respanel.sources import helm
+from respanel.sources import delimited, helm, inspect_logs
 from respanel.sources.registry import read_any
 
 ROWS = [("m1", "0042", 1), ("m1", "q2", 0), ("m2", "0042", 0), ("m2", "q2", 1)]
@@ -54,6 +58,47 @@ def test_delimited(spark, tmp_path, name, sep):
         read_any(spark, write(tmp_path / f"z{name}", sep.join(["model_id", "item_id"]) + "\n"), fmt="csv")
 
 
+def many_blocks(spark, size):
+    for name in ("maxPartitionBytes", "openCostInBytes"):
+        spark.conf.set(f"spark.sql.files.{name}", str(size))
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+
+
+@pytest.mark.parametrize("block", [97, 1 << 20])
+def test_quoted_line_ends_over_many_blocks(spark, tmp_path, block):
+    """Cells with line ends, doubled quotes and lone quotes, cut by blocks anywhere, against the standard library."""
+    draw = random.Random(4)
+    cells = ["plain", 'two\nlines', 'a "quoted" word', '""', "x,y", "\n\n", 'end"', "5\" disk", "", "é\n" * 40, 'a\n"b"\n,c']
+    rows = [[f"m{k % 7}", f"q{k}", str(k % 2), draw.choice(cells), draw.choice(cells)] for k in range(150)]
+    text = io.StringIO()
+    writer = csv.writer(text, lineterminator="\n")
+    writer.writerow(["model_id", "item_id", "correct", "note", "other"])
+    for k, row in enumerate(rows):
+        writer.writerow(row) if k % 11 else text.write(f'{row[0]},{row[1]},{row[2]},un"quoted,5" disk\n')
+    path = write(tmp_path / "a.csv", text.getvalue())
+    text.seek(0)
+    reader = csv.DictReader(text)
+    want, line = [], 1
+    for r in reader:
+        want.append((r["item_id"], {k: v.strip() for k, v in (("note", r["note"]), ("other", r["other"])) if v.strip()}, line + 1))
+        line = reader.line_num
+    try:
+        many_blocks(spark, block)
+        got = read_any(spark, path)
+        assert block > 1000 or got.rdd.getNumPartitions() > 5
+        assert [(r.item_id, r.extra, r._line) for r in got.orderBy("_seq").collect()] == want
+    finally:
+        for name in ("maxPartitionBytes", "openCostInBytes", "minPartitionNum"):
+            spark.conf.unset(f"spark.sql.files.{name}")
+
+
+def test_an_endless_quote_is_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(delimited, "LONGEST", 5)
+    path = write(tmp_path / "a.csv", 'model_id,item_id,correct\nm,a,1\nm,"b,0\n' + "m,c,1\n" * 9)
+    with pytest.raises(RecordError, match="runs over"):
+        read_any(spark, path)
+
+
 def sample(doc, **more):
     return json.dumps({"doc_id": doc, "doc": {"subject": "alg"} if doc else {}, "metrics": ["acc", "acc_norm"], "acc": 1.0, "acc_norm": 0.0} | more)
 
@@ -91,6 +136,12 @@ def test_inspect(spark, tmp_path):
         for k, s in enumerate(samples):
             z.writestr(f"samples/{k}_epoch_1.json", json.dumps(s))
     assert triples(read_any(spark, str(packed))) == want
+    for method in (zipfile.ZIP_STORED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA):
+        with zipfile.ZipFile(packed, "w", method) as z:
+            z.writestr("header.json", json.dumps({"eval": {"model": "org/m", "task": "t"}}))
+            for k, s in enumerate(samples):
+                z.writestr(f"samples/{k}_epoch_1.json", json.dumps(s))
+        assert triples(read_any(spark, str(packed))) == want
     two = [{"id": 1, "epoch": 1, "scores": {"a": {"value": 1}, "b": {"value": 0}}}]
     path = write(tmp_path / "three" / "a.json", json.dumps(log(two)))
     assert triples(read_any(spark, path, fmt="inspect", scorer="b")) == [("org/m", "t_1", 0)]
@@ -100,6 +151,22 @@ def test_inspect(spark, tmp_path):
         read_any(spark, write(tmp_path / "four" / "a.json", json.dumps(log([{"id": 1, "scores": {"a": {"value": "P"}}}]))), fmt="inspect")
 
 
+def test_a_large_archive_is_read_by_many_tasks(spark, tmp_path):
+    packed = tmp_path / "big log.eval"
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("header.json", json.dumps({"eval": {"model": "org/m", "task": "t"}}))
+        for k in range(10_000):
+            z.writestr(f"samples/{k:05d}.json", json.dumps({"id": k, "epoch": 1, "scores": {"m": {"value": "CI"[k % 2]}}}))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = inspect_logs.samples(spark, str(packed))
+    by_task = rows.groupBy(F.spark_partition_id()).count().collect()
+    assert len(by_task) >= 4 and sum(r["count"] for r in by_task) == 10_000 and max(r["count"] for r in by_task) < 5_000
+    got = read_any(spark, str(packed))
+    assert got.count() == 10_000 and got.filter("correct = 1").count() == 5_000
+    assert {r._line: r.item_id for r in got.filter("_line < 4").collect()} == {1: "t_0", 2: "t_1", 3: "t_2"}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_run_names(spark):
     names = ["r/runs/v1.9.0/math:level=1,model=a_b,k=1/", "r/runs/v1.10.0/math:level=1,model=a_b,k=1/", "r/runs/v1.10.0/math:level=1,model=a_b/", "r/runs/v1.2.0/other/"]
     parsed = helm.parse_runs(spark.createDataFrame([(n,) for n in names], "prefix string"))
