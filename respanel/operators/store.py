@@ -53,54 +53,120 @@ def save_fit(path: str, respondents: DataFrame, items: DataFrame, responses: Dat
     spark.createDataFrame([(row,)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 
+#: Columns that order the rows of a table in a file.
+ORDER = {"respondents": ["r"], "items": ["c"], "responses": ["c", "r", "obs"]}
+
+
 def export_fit(fit: dict, path: str) -> None:
-    """A loaded fit as one gzip JSON file, for other programmes; the whole fit passes through the driver."""
+    """A loaded fit as one gzip file of JSON lines, for other programmes: a head, then the rows of each table in order.
+
+    Equal fits give equal bytes, wherever they are written: the gzip header
+    holds no time and no name. Rows are streamed through the file system that
+    Spark uses for ``path``, a partition at a time; none is held longer.
+    The name must end in .gz, which tells readers how to open it.
+    """
     import gzip
+    import io
     import json
 
-    rows = {k: [r.asDict(True) for r in fit[k].collect()] if fit[k] is not None else None for k in TABLES[:3]}
+    from pyspark.sql import functions as F
+
+    from respanel.schema import ArtifactError
+
+    if not path.endswith(".gz"):
+        raise ArtifactError(f"the file of a fit ends in .gz, not {path}")
+    spark = fit["items"].sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+
+    class Sink(io.RawIOBase):
+        def writable(self) -> bool:
+            return True
+
+        def write(self, data) -> int:
+            stream.write(bytearray(data))
+            return len(data)
+
     schemas = {k: json.loads(fit[k].schema.json()) if fit[k] is not None else None for k in TABLES[:3]}
-    with gzip.open(path, "wt", encoding="utf-8") as file:
-        json.dump({"schema_version": SCHEMA_VERSION, "meta": fit["meta"], "schemas": schemas, **rows}, file)
+    head = {"schema_version": SCHEMA_VERSION, "meta": fit["meta"], "schemas": schemas}
+    try:
+        with io.BufferedWriter(Sink(), 1 << 20) as raw, gzip.GzipFile(filename="", mode="wb", fileobj=raw, mtime=0) as file:
+            file.write(json.dumps(head).encode() + b"\n")
+            for name in TABLES[:3]:
+                if fit[name] is None:
+                    continue
+                order = [c for c in ORDER[name] if c in fit[name].columns]
+                line = F.to_json(F.struct(F.lit(name).alias("table"), F.struct(*fit[name].columns).alias("row")))
+                for row in fit[name].orderBy(*order).select(line.alias("line")).toLocalIterator():
+                    file.write(row["line"].encode() + b"\n")
+    finally:
+        stream.close()
 
 
 def import_fit(spark: SparkSession, path: str) -> dict:
-    """Inverse of ``export_fit``; a file of another shape or version raises ``ArtifactError``."""
-    import gzip
+    """Inverse of ``export_fit``, with all checks of ``load_fit``; a file of another shape or version raises ``ArtifactError``.
+
+    The lines are read and parsed by a task and written to the shared folder
+    once, since a gzip file has no parts.
+    """
     import json
 
-    from pyspark.sql.types import StructType
+    from py4j.protocol import Py4JError
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import StringType, StructField, StructType
 
     from respanel.schema import ArtifactError
 
     try:
-        with gzip.open(path, "rt", encoding="utf-8") as file:
-            held = json.load(file)
-        if held["schema_version"] != SCHEMA_VERSION:
-            raise ArtifactError(f"schema version {held['schema_version']!r}, this reads {SCHEMA_VERSION}")
+        lines = spark.read.text(path)
+        head = json.loads(lines.filter(F.col("value").startswith('{"schema_version"')).first()["value"])
+        if head["schema_version"] != SCHEMA_VERSION:
+            raise ArtifactError(f"schema version {head['schema_version']!r}, this reads {SCHEMA_VERSION}")
+        lines = stored(lines, "fit-lines")
         frames = {}
-        for k in TABLES[:3]:
-            if held[k] is None:
-                frames[k] = None
+        for name in TABLES[:3]:
+            if head["schemas"][name] is None:
+                frames[name] = None
                 continue
-            schema = StructType.fromJson(held["schemas"][k])
-            frames[k] = spark.createDataFrame([tuple(row[f.name] for f in schema.fields) for row in held[k]], schema)
-    except (OSError, ValueError, KeyError, TypeError) as error:
+            own = StructType.fromJson(head["schemas"][name])
+            parsed = F.from_json("value", StructType([StructField("table", StringType()), StructField("row", own)]), {"mode": "FAILFAST"})
+            rows = lines.filter(F.col("value").startswith(f'{{"table":"{name}",')).select(parsed.alias("x"))
+            frames[name] = stored(rows.select("x.row.*"), f"fit-{name}")
+    except (PySparkException, Py4JError, ValueError, KeyError, TypeError) as error:
         if isinstance(error, ArtifactError):
             raise
-        raise ArtifactError(f"{path} holds no fit: {error}") from error
-    return frames | {"meta": held["meta"]}
+        raise ArtifactError(f"{path} holds no fit: {str(error).splitlines()[0]}") from error
+    verify(frames["items"])
+    return frames | {"meta": head["meta"]}
+
+
+def verify(items: DataFrame) -> None:
+    """Raises for an item with contradictory or unknown flags, or an interval whose ends are the wrong way round."""
+    from pyspark.sql import functions as F
+
+    from respanel.schema import FLAGS, ArtifactError
+
+    readings = F.size(F.array_intersect("flags", F.array(*[F.lit(f) for f in FLAGS[:3]])))
+    unknown = F.size(F.array_except("flags", F.array(*[F.lit(f) for f in FLAGS])))
+    crossed = [F.col(f"{x}_lo") > F.col(f"{x}_hi") for x in ("a", "b") if f"{x}_lo" in items.columns]
+    wrong = (readings > 1) | (unknown > 0)
+    for x in crossed:
+        wrong = wrong | F.coalesce(x, F.lit(False))
+    if bad := items.filter(wrong).limit(1).collect():
+        raise ArtifactError(f"item {bad[0]['item_id']} has contradictory flags or an inverted interval")
 
 
 def load_fit(spark: SparkSession, path: str, check: bool = True) -> dict:
-    """respondents, items, responses (None if not embedded) and meta of a stored fit; only this version is read."""
+    """respondents, items, responses (None if not embedded) and meta of a stored fit, a folder or one .gz file; only this version is read."""
     import json
 
     from pyspark.errors import AnalysisException
-    from pyspark.sql import functions as F
 
-    from respanel.schema import FLAGS, ArtifactError
+    from respanel.schema import ArtifactError
 
+    if path.endswith(".gz"):
+        return import_fit(spark, path)
     try:
         meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
         people, items = spark.read.parquet(f"{path}/respondents"), spark.read.parquet(f"{path}/items")
@@ -109,10 +175,6 @@ def load_fit(spark: SparkSession, path: str, check: bool = True) -> dict:
     if meta.get("schema_version") != SCHEMA_VERSION:
         raise ArtifactError(f"schema version {meta.get('schema_version')!r}, this reads {SCHEMA_VERSION}")
     if check:
-        readings = F.size(F.array_intersect("flags", F.array(*[F.lit(f) for f in FLAGS[:3]])))
-        unknown = F.size(F.array_except("flags", F.array(*[F.lit(f) for f in FLAGS])))
-        bad = items.filter((readings > 1) | (unknown > 0) | (F.col("a_lo") > F.col("a_hi"))).limit(1).collect()
-        if bad:
-            raise ArtifactError(f"item {bad[0]['item_id']} has contradictory flags or an inverted interval")
+        verify(items)
     responses = spark.read.parquet(f"{path}/responses") if meta["embedded"] else None
     return {"respondents": people, "items": items, "responses": responses, "meta": meta}

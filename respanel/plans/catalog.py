@@ -945,6 +945,26 @@ def planted_buckets(spark, sf_dir):
     return studies.landing_of_miskeyed(planted_fit(spark, sf_dir)[1], bind.planted_truth(spark, sf_dir)[0])
 
 
+@query(
+    """select factor, count(*) as n, sum((lo <= 0 and hi >= 0)::bigint)::bigint as n_refused, sum((not (lo <= 0 and hi >= 0) and lo > -0.35e0 and hi < 0.35e0)::bigint)::bigint as n_dead,
+    sum((not (lo <= 0 and hi >= 0) and not (lo > -0.35e0 and hi < 0.35e0) and hi < 0)::bigint)::bigint as n_inverted from (
+    select factor, a - factor*1.959963985e0*a_sd as lo, a + factor*1.959963985e0*a_sd as hi from nw_fit cross join (select unnest([0.5e0, 1e0, 1.25e0, 1.5e0, 2e0, 3e0]) as factor)) group by factor"""
+)
+def widening_sweep(spark, sf_dir):
+    """Verdicts on the planted items under wider and wider intervals."""
+    return studies.widening_sweep(planted_fit(spark, sf_dir)[1], (0.5, 1.0, 1.25, 1.5, 2.0, 3.0))
+
+
+@query(
+    """select c, min_by(kind, place) as kind from (
+    (select c, 0 as place, 'narrow' as kind from nw_iv order by round(a_hi - a_lo, 10), c limit 8) union all (select c, 1, 'wide' from nw_iv order by round(a_hi - a_lo, 10) desc, c limit 8)
+    union all (select c, 2, 'random' from nw_iv order by (c*7919 + 3*104729) % 1000003, c limit 8)) group by c"""
+)
+def spread_of_items(spark, sf_dir):
+    """Items of narrow, of wide and of any intervals, for costly checks of single items."""
+    return studies.spread_of_items(planted_fit(spark, sf_dir)[1], 24)
+
+
 @query("select count(*) as n, round(avg((true_a > a_hi)::int), 6) as above, round(avg((true_a < a_lo)::int), 6) as below from kn where not edge_")
 def interval_misses(spark, sf_dir):
     return studies.misses(planted_fit(spark, sf_dir)[1], bind.planted_truth(spark, sf_dir)[0]).select("n", *r6("above", "below"))

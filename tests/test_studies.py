@@ -74,6 +74,50 @@ def test_grid_leaves_out_what_is_done(spark):
     assert {(r.models, r.seed): r.x for r in rows} == {(3, 1): 31.0, (4, 0): 40.0, (4, 1): 41.0}
 
 
+def test_a_killed_study_resumes_without_running_cells_again(spark, tmp_path):
+    path, log = str(tmp_path / "study"), tmp_path / "log"
+    log.mkdir()
+
+    def run(cell, broken=()):
+        if cell["name"] in broken:
+            raise RuntimeError("killed")
+        (log / f"{cell['name']}-{cell['share']}-{cell['deep']}-{random.random()}").touch()
+        return pd.DataFrame({"x": [cell["share"]] * (2 if cell["deep"] else 0)})
+
+    axes = {"name": ["a", "b", "c"], "share": [0.25, 0.5], "deep": [True, False]}
+    with pytest.raises(Exception, match="killed"):
+        studies.run_study(spark, axes, lambda cell: run(cell, ("c",)), "x double", path, wave=4)
+    assert len(list(log.iterdir())) == 8 and studies.stored_study(spark, path, list(axes))[0].count() == 8
+    rows = studies.run_study(spark, axes, run, "x double", path, wave=3).collect()
+    assert sorted((r.name, r.share) for r in rows) == sorted([(n, s) for n in "abc" for s in (0.25, 0.5)] * 2)
+    assert len(list(log.iterdir())) == 12
+    more = studies.run_study(spark, axes | {"share": [0.5, 0.75]}, run, "x double", path)
+    assert {r.share for r in more.collect()} == {0.5, 0.75} and len(list(log.iterdir())) == 18
+
+
+def test_spread_and_widening(spark):
+    draw = np.random.default_rng(8)
+    rows = [(c, float(draw.normal()), float(draw.uniform(0.1, 0.9))) for c in range(60)]
+    items = spark.createDataFrame(rows, "c long, a double, a_sd double").withColumns({"a_lo": F.col("a") - F.col("a_sd"), "a_hi": F.col("a") + F.col("a_sd")})
+    got = {r.c: r.kind for r in studies.spread_of_items(items, 12).collect()}
+    by_width = [c for c, _, _ in sorted(rows, key=lambda x: x[2])]
+    assert {c for c, k in got.items() if k == "narrow"} == set(by_width[:4]) and {c for c, k in got.items() if k == "wide"} == set(by_width[-4:]) and 8 <= len(got) <= 12
+    sweep = studies.widening_sweep(items, (0.1, 1.0, 2.0, 5.0)).collect()
+    assert [r.factor for r in sweep] == [0.1, 1.0, 2.0, 5.0] and all(r.n == 60 for r in sweep)
+    assert [r.n_refused for r in sweep] == sorted(r.n_refused for r in sweep) and sweep[0].n_refused < sweep[-1].n_refused
+    assert sweep[1].n_refused == sum(abs(a) <= 1.959963985 * sd for _, a, sd in rows)
+
+
+def test_scales_are_recovered_by_a_refit_or_not_at_all(spark):
+    m = small(spark)
+    items, _, bounds = variational.joint_fit(m.responses, [], "hierarchical", 30, 4)
+    own = {"items": items, "responses": m.responses, "meta": {"priors": "hierarchical", "epochs": 30, "seed": 4}}
+    got = studies.recovered_scales(own)
+    assert got["drift"] < 1e-9 and math.isclose(got["sigma_a"], bounds.first().sigma_a)
+    with pytest.raises(studies.NothingToCompare):
+        studies.recovered_scales(own | {"meta": own["meta"] | {"seed": 5}})
+
+
 def test_comparisons_that_say_nothing_are_refused(spark):
     table = lambda rows: spark.createDataFrame(rows, "x double, y double")
     assert studies.common_positions(table([(1.0, 2.0), (2.0, 2.5), (3.0, 1.0), (None, 1.0)]), "x", "y") == 3
@@ -233,6 +277,17 @@ def test_a_fit_travels_as_one_file(spark, tmp_path):
     back = store.import_fit(spark, str(tmp_path / "fit.gz"))
     assert back["meta"]["seed"] == 3 and back["responses"] is None
     assert sorted(map(str, back["items"].collect())) == sorted(map(str, items.collect())) and back["respondents"].collect() == people.collect()
+    (tmp_path / "other").mkdir()
+    shuffled = items.repartition(3, "a")
+    store.save_fit(str(tmp_path / "again"), people, shuffled, None, {"seed": 3})
+    store.export_fit(store.load_fit(spark, str(tmp_path / "again")), str(tmp_path / "other/name.gz"))
+    assert (tmp_path / "other/name.gz").read_bytes() == (tmp_path / "fit.gz").read_bytes()
+    crossed = items.withColumn("a_lo", F.when(F.col("c") == 1, 9.0).otherwise(F.col("a_lo")))
+    store.export_fit({"respondents": people, "items": crossed, "responses": None, "meta": {}}, str(tmp_path / "crossed.gz"))
+    with pytest.raises(ArtifactError, match="i1"):
+        store.load_fit(spark, str(tmp_path / "crossed.gz"))
+    with pytest.raises(ArtifactError):
+        store.export_fit(back, str(tmp_path / "name.json"))
     (tmp_path / "bad.gz").write_bytes(b"no")
     with pytest.raises(ArtifactError):
         store.import_fit(spark, str(tmp_path / "bad.gz"))
