@@ -27,6 +27,8 @@ MIN_WORDS, IDENTITY = 13, 0.8
 #: Words of test items that are broadcast as an index: 8 bytes for a word and
 #: 20 for each of its seeds, about 150 MB at this bound.
 BLOCK_WORDS = 1_000_000
+#: Test items of an index, at most: the bits that number an item in a hit.
+ITEM_BITS = 20
 FILTER_BITS = 22
 #: Pairs of equal seeds that a task holds at once, about.
 MEETINGS = 1_000_000
@@ -107,13 +109,13 @@ class SeedIndex:
                 own = count[k:end]
                 flat = np.repeat(low[k:end] - np.concatenate(([0], np.cumsum(own)[:-1])), own) + np.arange(own.sum())
                 start = np.repeat(where[k:end] - bounds[doc[k:end]], own)
-                # 11 bits for a document of the batch, 20 for an item of the block, 32 for the diagonal
-                pending.append(np.unique(((np.repeat(doc[k:end], own) << 20 | item[flat]) << 32) + (start - at[flat] + (1 << 31))))
+                # 11 bits for a document of the batch, ITEM_BITS for an item of the index, 32 for the diagonal
+                pending.append(np.unique(((np.repeat(doc[k:end], own) << ITEM_BITS | item[flat]) << 32) + (start - at[flat] + (1 << 31))))
                 if sum(map(len, pending)) > MEETINGS:
                     found, pending = np.unique(np.concatenate([found, *pending])), []
                 k = end
         found = np.unique(np.concatenate([found, *pending]))
-        return np.stack([found >> 52, found >> 32 & (1 << 20) - 1, (found & (1 << 32) - 1) - (1 << 31)], axis=1)
+        return np.stack([found >> 32 + ITEM_BITS, found >> 32 & (1 << ITEM_BITS) - 1, (found & (1 << 32) - 1) - (1 << 31)], axis=1)
 
 
 def verify(own: np.ndarray, tokens: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
@@ -156,7 +158,7 @@ def _rows(found: list[tuple]) -> pa.RecordBatch:
 
 
 def _searched(rows: DataFrame, tests: DataFrame) -> DataFrame:
-    """Overlaps by an index of all test items that every task holds."""
+    """Overlaps by an index of all test items that every task holds, 2 ** ``ITEM_BITS`` at most."""
     index = SeedIndex([(r["item_id"], bytes(r["raw"])) for r in tests.collect()])
     held = rows.sparkSession.sparkContext.broadcast(vars(index))
 
@@ -273,9 +275,9 @@ def overlaps(
     Reported is the longest overlap with at least ``IDENTITY`` of its tokens
     equal and at least ``MIN_WORDS`` tokens (all of a shorter item). Items
     under ``SPAN`` tokens must occur whole and unchanged. A test set of at
-    most ``block_words`` words is broadcast as an index and met in one pass
-    without a shuffle; a larger one is joined by seed hash. The results are
-    the same.
+    most ``block_words`` words and 2 ** ``ITEM_BITS`` items is broadcast as an
+    index and met in one pass without a shuffle; a larger one is joined by
+    seed hash. The results are the same.
 
     Null, empty and wordless texts or items overlap nothing. Equal items all
     report; a repeated document reports for each of its rows. Null ids are
@@ -286,8 +288,9 @@ def overlaps(
     prepare(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(F.lower(text_col)).alias("raw"))
     tests = items.select(F.col(item_col).cast("long").alias("item_id"), text_bytes(F.lower(item_text)).alias("raw")).filter("raw <> X''")
-    words = tests.agg(F.coalesce(F.sum(F.length("raw")), F.lit(0)).alias("n")).first()["n"] / 4
-    return _searched(rows, tests) if words <= block_words else _joined(rows, tests)
+    size = tests.agg(F.coalesce(F.sum(F.length("raw")), F.lit(0)).alias("bytes"), F.count("*").alias("items")).first()
+    few = size["bytes"] / 4 <= block_words and size["items"] <= 1 << ITEM_BITS
+    return _searched(rows, tests) if few else _joined(rows, tests)
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -42,6 +42,24 @@ def test_leaks_exact_changed_and_partial(spark):
     assert kept.columns == docs.columns and kept.count() == docs.count() - 3
 
 
+def test_more_items_than_an_index_numbers(spark, monkeypatch):
+    """Items past the last number of an index are joined, whatever their words; up to it no hit is mistaken for another's."""
+    items = [(k, f"w{k} x{k} y{k} z{k}") for k in range(40)]
+    docs = table(spark, [(100 + k, f"before w{k} x{k} y{k} z{k} after") for k in (0, 7, 8, 9, 38, 39)])
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    want = {(100 + k, k) for k in (0, 7, 8, 9, 38, 39)}
+    for bits in (20, 6, 5, 3):
+        monkeypatch.setattr(decontaminate, "ITEM_BITS", bits)
+        assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, tests).collect()} == want
+
+
+def test_the_last_item_of_a_full_index_is_told_from_the_first():
+    index = decontaminate.SeedIndex([(k, b"a%07d" % k) for k in range(1 << decontaminate.ITEM_BITS)])
+    tokens = decontaminate.token_hashes(b"a%07d b a%07d" % ((1 << decontaminate.ITEM_BITS) - 1, 0))
+    hits = index.hits(tokens, np.array([0, len(tokens)]))
+    assert {(int(d), int(k)) for d, k, _ in hits} == {(0, (1 << decontaminate.ITEM_BITS) - 1), (0, 0)}
+
+
 def test_leaks_match_brute_force(spark, sf):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     fold = lambda t: re.sub(r"[^\w]+|_", " ", t.lower()).split()
