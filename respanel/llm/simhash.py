@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from respanel.llm.common import arrow_map, components, prepare, stored, text_bytes, without_ids
+from respanel.llm.common import arrow_map, components, holders, prepare, stored, text_bytes, without_ids
 
 BITS = 64
 #: Runs up to this length are compared by shifts over a whole batch.
@@ -207,7 +207,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Two documents link if their fingerprints differ in at most ``radius``
     bits; ``component_id`` is the smallest id that links reach, the document
     itself included. Equal fingerprints are one node, so exact copies cost
-    one row each however many there are.
+    one row each however many there are, and a common fingerprint (zero: all
+    texts without words) meets its component by a broadcast, not in one task.
 
     Null or wordless text: fingerprint zero, linked like any other. A null id
     keeps its row and never becomes a component_id unless no other id is
@@ -215,13 +216,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     result. Other columns of ``docs`` are ignored.
     """
     rows = stored(fingerprints(docs, id_col, text_col, width), "simhash")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     labels = components(links(nodes.select(F.lit(0).alias("family"), "fp"), radius))
-    member = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    member = nodes.join(labels, nodes.fp == labels.node, "left").select("fp", "least", "n", F.coalesce("label", "fp").alias("label"))
     member = stored(member, "simhash-member")
     root = member.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = member.join(root, "label").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = member.join(root, "label").select("fp", F.col("component_id").alias("owner"), "n")
+    return holders(rows, named, ["fp"]).select("doc_id", "fp", F.col("owner").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 3) -> DataFrame:

@@ -82,6 +82,15 @@ def test_null_ids_and_empty_table(spark):
     assert simhash.near_groups(table(spark, [])).count() == 0
 
 
+def test_a_common_fingerprint_is_not_gathered(spark, monkeypatch):
+    rows = [(k, "" if k % 3 else "one two three four five") for k in range(90)] + [(200, "some other text of a few words"), (None, "")]
+    want = sorted(map(str, simhash.near_groups(table(spark, rows)).collect()))
+    for few, hot in ((1, 10), (2, 1), (0, 0)):
+        monkeypatch.setattr(common, "FEW_KEYS", max(few, 1))
+        monkeypatch.setattr(common, "HOT", hot)
+        assert sorted(map(str, simhash.near_groups(table(spark, rows)).collect())) == want
+
+
 def test_long_runs_lose_no_link():
     draw = np.random.default_rng(2)
     base = np.uint64(draw.integers(0, 2**63))
