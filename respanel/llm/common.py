@@ -143,8 +143,8 @@ def first_holders(held: DataFrame, on: list[str]) -> DataFrame:
     return seen.filter("top > owner").select(*on, "owner", "n")
 
 
-def later_holders(held: DataFrame) -> DataFrame:
-    """(doc_id, key): the rows of a stored table (doc_id, h1, h2) whose 128-bit key some smaller doc_id holds too.
+def shared_keys(held: DataFrame) -> DataFrame:
+    """(doc_id, key, owner): the rows of a stored table (doc_id, h1, h2) whose 128-bit key several doc_ids hold; owner is the smallest.
 
     Most keys are there once. They are told by their first half alone, so
     that the shuffles of all rows are narrow, and only the rest is compared
@@ -152,8 +152,13 @@ def later_holders(held: DataFrame) -> DataFrame:
     """
     rest = stored(holders(held, first_holders(held, ["h1"]), ["h1"]).select("doc_id", "h1", "h2"), "repeated")
     on = ["h1", "h2"]
-    found = holders(rest, first_holders(rest, on), on).filter("doc_id > owner")
-    return found.select("doc_id", F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in on])).alias("key"))
+    found = holders(rest, first_holders(rest, on), on)
+    return found.select("doc_id", F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in on])).alias("key"), "owner")
+
+
+def later_holders(held: DataFrame) -> DataFrame:
+    """(doc_id, key): the rows of ``shared_keys`` whose key some smaller doc_id holds too."""
+    return shared_keys(held).filter("doc_id > owner").select("doc_id", "key")
 
 
 def halves(keys: list[bytes]) -> tuple[pa.Array, pa.Array]:

@@ -2,9 +2,11 @@
 
 Chunks are cut at content-defined places: a rolling hash over the last lines
 is compared with its neighbours, and its local minima are cuts, so that an
-insertion moves only the cuts next to it. Chunks are grouped by their bytes.
-A repeated passage keeps the lines between its ends and the nearest cuts, so
-``whole`` adds the runs of the rolling window itself, by 128-bit hash.
+insertion moves only the cuts next to it. A 128-bit hash proposes the chunks
+that several documents hold; they are grouped by their bytes. A repeated
+passage keeps the lines between its ends and the nearest cuts, so ``whole``
+adds the runs of the rolling window itself, which are proposed and compared
+alike wherever they reach out of a repeated chunk.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from respanel.llm.common import arrow_map, first_holders, halves, holders, later_holders, plain_names, prepare, stored, text_bytes
+from respanel.llm.common import arrow_map, first_holders, halves, holders, plain_names, prepare, shared_keys, stored, text_bytes
 
 #: Lines in the rolling window, and so the least lines of a chunk.
 WINDOW = 2
@@ -69,64 +71,105 @@ def candidates(raw: bytes) -> list[tuple[int, bytes]]:
     return [(s, b"\n".join(lines[s:e])) for s, e in chunk_ranges(lines)]
 
 
-def chunk_key(chunk: bytes) -> bytes:
-    return hashlib.sha256(chunk).digest()[:16]
-
-
 def run_ranges(lines: list[bytes]) -> list[tuple[int, int]]:
     """[start, end) of each run of ``WINDOW`` lines with words; blank lines between them belong to it."""
     worded = [k for k, x in enumerate(lines) if x.strip()]
     return [(s, e + 1) for s, e in zip(worded, worded[WINDOW - 1 :], strict=False)]
 
 
-def run_keys(lines: list[bytes], ranges: list[tuple[int, int]]) -> list[bytes]:
-    return [xxhash.xxh3_128_digest(b"\n".join(lines[s:e])) for s, e in ranges]
+def all_ranges(lines: list[bytes], whole: bool) -> list[tuple[int, int]]:
+    """Chunks, with ``whole`` runs too, in order of their first line; a chunk of two lines is also a run and stands once."""
+    return sorted({*chunk_ranges(lines), *(run_ranges(lines) if whole else ())})
+
+
+def part_key(part: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(part)
 
 
-def _keys(docs: DataFrame, id_col: str, text_col: str, fn, split: bool = False) -> DataFrame:
-    """(doc_id, key): ``fn`` of the lines of every row, each key once a row; ``split``: 16-byte keys as halves h1 and h2."""
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("raw")).filter("doc_id is not null")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("raw")).filter("doc_id is not null")
+
+
+def _keys(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame:
+    """(doc_id, h1, h2): 128-bit keys of the chunks and runs of every row, each key once a row."""
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, keys = [], []
         for raw in batch.column(1).to_pylist():
-            own = dict.fromkeys(fn(raw.split(b"\n")))
+            lines = raw.split(b"\n")
+            own = dict.fromkeys(part_key(b"\n".join(lines[s:e])) for s, e in all_ranges(lines, whole))
             counts.append(len(own))
             keys += own
         ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-        cols = halves(keys) if split else [pa.array(keys, pa.binary())]
-        return pa.RecordBatch.from_arrays([ids, *cols], names=["doc_id", "h1", "h2"] if split else ["doc_id", "key"])
+        return pa.RecordBatch.from_arrays([ids, *halves(keys)], names=["doc_id", "h1", "h2"])
+
+    return arrow_map(_lines(docs, id_col, text_col), "doc_id long, h1 long, h2 long", cut)
+
+
+def proposals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """(doc_id, first, later): by key, what a document shares with others: as smallest id of the key or as a later one."""
+    held = stored(_keys(docs, id_col, text_col, whole), "line-keys")
+    shared = shared_keys(held)
+    key = F.when(F.col("doc_id") > F.col("owner"), F.col("key"))
+    own = F.when(F.col("doc_id") <= F.col("owner"), F.col("key"))
+    return shared.groupBy("doc_id").agg(F.collect_list(own).alias("first"), F.collect_list(key).alias("later"))
 
-    return arrow_map(rows, "doc_id long, " + ("h1 long, h2 long" if split else "key binary"), cut)
 
+def to_compare(raw: bytes, first: set[bytes], later: set[bytes], whole: bool) -> list[bytes]:
+    """The parts of a text whose bytes have to be compared: proposed chunks, and proposed runs that reach out of the chunks that may go.
 
-def _chunks_of(lines: list[bytes]) -> list[bytes]:
-    return [b"\n".join(lines[s:e]) for s, e in chunk_ranges(lines)]
+    A run inside a chunk that may go needs no look: its bytes are part of the
+    chunk's, whose smallest holder has the run too.
+    """
+    lines = raw.split(b"\n")
+    out, covered = {}, [0] * len(lines)
+    for s, e in chunk_ranges(lines):
+        part = b"\n".join(lines[s:e])
+        if (key := part_key(part)) in later:
+            covered[s:e] = [s + 1] * (e - s)
+        if key in later or key in first:
+            out[part] = None
+    for s, e in run_ranges(lines) if whole else ():
+        if not (covered[s] and covered[s] == covered[e - 1]):
+            part = b"\n".join(lines[s:e])
+            if (key := part_key(part)) in later or key in first:
+                out[part] = None
+    return list(out)
+
+
+def chunk_key(chunk: bytes) -> bytes:
+    return hashlib.sha256(chunk).digest()[:16]
 
 
-def chunk_removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key): the chunks that a document of smaller id also holds, compared byte by byte."""
-    same = first_holders(_keys(docs, id_col, text_col, _chunks_of), ["key"])
-    first = same.select(F.substring(F.unhex(F.sha2("key", 256)), 1, 16).alias("key"), "owner", "n")
-    held = _keys(docs, id_col, text_col, lambda lines: [chunk_key(x) for x in _chunks_of(lines)])
-    return holders(held, first, ["key"]).filter("doc_id > owner").select("doc_id", "key")
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """(doc_id, key): the chunks, with ``whole`` runs, that a document of smaller id also holds.
 
+    Hash keys only propose; what they propose is grouped by its bytes. Parts
+    that one document alone holds never leave their task.
+    """
+    rows = _lines(docs, id_col, text_col).join(proposals(docs, id_col, text_col, whole), "doc_id")
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts, parts = [], []
+        for raw, first, later in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            own = to_compare(raw, set(first), set(later), whole)
+            counts.append(len(own))
+            parts += own
+        ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
+        return pa.RecordBatch.from_arrays([ids, pa.array(map(chunk_key, parts), pa.binary()), pa.array(parts, pa.binary())], names=["doc_id", "key", "part"])
 
-def run_removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key): the runs of ``WINDOW`` lines that a document of smaller id also holds."""
-    return later_holders(stored(_keys(docs, id_col, text_col, lambda lines: run_keys(lines, run_ranges(lines)), split=True), "line-runs"))
+    said = stored(arrow_map(rows, "doc_id long, key binary, part binary", cut), "line-parts")
+    first = first_holders(said, ["part"]).select(F.substring(F.unhex(F.sha2("part", 256)), 1, 16).alias("key"), "owner", "n")
+    return holders(said.select("doc_id", "key"), first, ["key"]).filter("doc_id > owner").select("doc_id", "key")
 
 
 def without(raw: bytes, gone: set[bytes], whole: bool = False) -> tuple[bytes, int]:
     """(text without the lines of chunks, with ``whole`` of runs, that ``gone`` names or that repeat inside the text, lines removed)."""
     lines = raw.split(b"\n")
     lost, seen = [False] * len(lines), {}
-    named = [(r, chunk_key(b"\n".join(lines[slice(*r)]))) for r in chunk_ranges(lines)]
-    if whole:
-        ranges = run_ranges(lines)
-        named += zip(ranges, run_keys(lines, ranges), strict=True)
-    for (s, e), key in named:
+    for s, e in all_ranges(lines, whole):
+        key = chunk_key(b"\n".join(lines[s:e]))
         if key in gone or s >= seen.setdefault(key, e):
             lost[s:e] = [True] * (e - s)
     return b"\n".join(x for x, out in zip(lines, lost, strict=True) if not out), sum(lost)
@@ -151,9 +194,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole
     prepare(docs.sparkSession)
     own, names, at = plain_names(docs), docs.columns, docs.columns.index(text_col)
     inner = own.columns
-    gone = chunk_removals(docs, id_col, text_col)
-    if whole:
-        gone = gone.unionByName(run_removals(docs, id_col, text_col))
+    gone = removals(docs, id_col, text_col, whole)
     gone = gone.groupBy("doc_id").agg(F.collect_list("key").alias("gone"))
     joined = own.join(gone, F.col(f"c{names.index(id_col)}") == F.col("doc_id"), "left").drop("doc_id")
 

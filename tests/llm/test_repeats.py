@@ -95,6 +95,21 @@ def test_passages_without_a_cut_in_common_still_go(spark):
     assert out == want
 
 
+def test_runs_are_compared_only_where_chunks_do_not_decide():
+    lines = [" ".join(prose(4, k)).encode() for k in range(60)]
+    joined = lambda ranges: [b"\n".join(lines[s:e]) for s, e in ranges]
+    parts, runs = linededup.chunk_ranges(lines), linededup.run_ranges(lines)
+    keys = {linededup.part_key(x) for x in joined(parts) + joined(runs)}
+    ends = {e for _, e in parts}
+    over = [(s, e) for s, e in runs if s + 1 in ends]  # from one chunk into the next
+    raw = b"\n".join(lines)
+    assert 5 < len(over) < len(runs) / 2
+    assert sorted(linededup.to_compare(raw, set(), keys, True)) == sorted(joined(parts) + joined(over))
+    assert sorted(linededup.to_compare(raw, keys, set(), True)) == sorted({*joined(parts), *joined(runs)})
+    assert sorted(linededup.to_compare(raw, set(), keys, False)) == sorted(joined(parts))
+    assert linededup.to_compare(raw, set(), set(), True) == []
+
+
 def plain_pieces(text):
     """Word lists of pieces, found by regular expressions and plain loops."""
     pieces = []
