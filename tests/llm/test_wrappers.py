@@ -142,6 +142,23 @@ def test_layouts_copies_and_constant_parts(spark, monkeypatch, small):
     assert got == want
 
 
+def test_wrappers_decide_on_pages_that_have_an_article(spark):
+    """Constant parts inside an article go, and an article element that holds few of the varying words is not the slot."""
+    draw = random.Random(8)
+    story = lambda n: " ".join(draw.choice(["sun", "rain", "wind", "snow", "fog"]) + str(draw.randint(0, 999)) for _ in range(n))
+    notice = "<article><h1>{t}</h1><p>You read this free of charge.</p><p>{s}</p><div>Sign up for our letter</div><p>{u}</p></article><p>{a}</p>"
+    teaser = "<div><h1>{t}</h1><p>{s}</p><p>{u}</p></div><div><article><p>{a}</p></article></div>"
+    rows, want = [], {}
+    for k in range(24):
+        t, s, u = f"Title {k}", story(40), story(40)
+        rows.append((k, f"http://notice.example/{k}", notice.format(t=t, s=s, u=u, a=f"buy {k}")))
+        rows.append((100 + k, f"http://teaser.example/{k}", teaser.format(t=t, s=s, u=u, a=f"read {k} next")))
+        want[k] = want[100 + k] = f"{t}\n\n{s}\n\n{u}"
+    got = {r.page_id: r.text for r in htmltext.extract(pages(spark, rows)).collect()}
+    assert got == want
+    assert not any(htmltext.Page(h).text() == want[i] for i, _, h in rows)
+
+
 def test_nulls_repeats_and_no_host(spark):
     rows = [(1, None, "<p>a</p>"), (1, None, "<p>a</p>"), (None, "http://h.example/", None), (2, "no url", "<p>a</p>")] + [(k, None, "<p>a</p>") for k in range(3, 20)]
     got = [(r.page_id, r.url, r.text, r.n_chars) for r in htmltext.extract(pages(spark, rows)).collect()]
