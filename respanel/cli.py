@@ -94,10 +94,11 @@ def run_report(spark, a) -> None:
     if a.html:
         people = f["respondents"].select("r", "theta")
         points = select.ability_points(people, f["respondents"])
-        curve = report.information_curve(f["items"], people)
+        curve = store.stored(report.information_curve(f["items"], people), "curve")
+        marks = [r.asDict() for r in report.rug(curve, points).orderBy("g").collect()]  # one a point of the curve at most
         drawn = [r.asDict() for r in curve.orderBy("g").collect()]
         models = [r.asDict() for r in report.model_positions(f["items"], people, f["respondents"]).collect()]
-        page = render.html_report(a.artifact, head, rows, drawn, models, report.verdict(curve, f["items"], points).first().asDict(), key)
+        page = render.html_report(a.artifact, head, rows, drawn, models, report.verdict(curve, f["items"], points).first().asDict(), key, marks, report.spread(points).first().asDict())
         with open(a.html, "w", encoding="utf-8") as file:
             file.write(page)
         print(f"wrote {a.html}", file=sys.stderr)
@@ -110,6 +111,7 @@ def run_report(spark, a) -> None:
 def run_select(spark, a) -> None:
     from pyspark.sql import functions as F
 
+    from respanel import render
     from respanel.operators import select, store, studies
     from respanel.schema import SelectError
 
@@ -123,8 +125,9 @@ def run_select(spark, a) -> None:
         raise SelectError("no item is eligible; more respondents are needed before a set can be chosen")
     error = select.set_error(chosen, f["items"], points).agg(F.sum(F.col("weight") * F.col("theta_se"))).first()[0]
     padded = sum(r["padded"] for r in rows)
-    out = {"item_ids": [r["item_id"] for r in rows], "count": len(rows), "requested": a.n, "objective": "max-information", "padded": padded, "short": a.n - len(rows), **studies.usable_share(f["items"]).select("n_usable_items", "n_items").first().asDict(), "mean_theta_se": error, "gains": [r["gain"] for r in rows], "source": a.artifact}
-    print(f"{len(rows)} of {a.n} items, {padded} of them padding, mean error {error:.3f}", file=sys.stderr)
+    out = {"item_ids": [r["item_id"] for r in rows], "count": len(rows), "requested": a.n, "objective": "max-information", "n_confident": len(rows) - padded, "padded": padded, "short": a.n - len(rows), **studies.usable_share(f["items"]).select("n_usable_items", "n_items").first().asDict(), "mean_theta_se": error, "gains": [r["gain"] for r in rows], "source": a.artifact}
+    people = f["respondents"].agg(F.count_distinct("model_id"), F.count("*")).first()
+    print("\n".join(render.set_summary(out, *people, f["meta"]["respondent_key"])), file=sys.stderr)
     if a.out:
         with open(a.out, "w", encoding="utf-8") as file:
             json.dump(out, file, indent=1)

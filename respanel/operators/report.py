@@ -97,6 +97,26 @@ def model_positions(items: DataFrame, abilities: DataFrame, respondents: DataFra
     return out.withColumn("se", 1 / F.sqrt(1 + F.col("info")))
 
 
+def rug(curve: DataFrame, points: DataFrame) -> DataFrame:
+    """(g, theta, weight, n): respondents and their weight by the nearest place of the curve; those beyond an end count there.
+
+    A drawing has no more marks than the curve has points, however many
+    respondents there are. Null abilities have no place.
+    """
+    ends = curve.agg(F.min("theta").alias("low"), F.max("theta").alias("high"))
+    share = F.coalesce(F.try_divide(F.col("theta") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
+    place = F.least(F.greatest(F.floor(share * (GRID_POINTS - 1) + 0.5), F.lit(0)), F.lit(GRID_POINTS - 1)).cast("long")
+    placed = points.filter("theta is not null").select("theta", "weight").crossJoin(F.broadcast(ends)).groupBy(place.alias("g")).agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
+    return placed.join(curve.select("g", "theta"), "g").select("g", "theta", "weight", "n")
+
+
+def spread(points: DataFrame) -> DataFrame:
+    """(theta_lo, theta_hi, theta_mean): span and weighted mean of the respondents' abilities, in one row."""
+    known = points.filter("theta is not null")
+    mean = F.try_divide(F.sum(F.col("theta") * F.col("weight")), F.sum("weight"))
+    return known.agg(F.min("theta").alias("theta_lo"), F.max("theta").alias("theta_hi"), mean.alias("theta_mean"))
+
+
 def verdict(curve: DataFrame, items: DataFrame, points: DataFrame) -> DataFrame:
     """(peak_info, info_at_models, coverage, verdict): the pool's information where the models are, as a share of its peak."""
     peak = curve.agg(F.max("pool_info").alias("peak_info"))

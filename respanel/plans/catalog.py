@@ -713,6 +713,11 @@ def model_positions(spark, sf_dir):
     return report.model_positions(items, abilities, m.respondents).select("model_id", *r6("theta"), F.round("info", 5).alias("info"), *r6("se"))
 
 
+@query("select round(min(theta), 6) as theta_lo, round(max(theta), 6) as theta_hi, round(sum(theta*weight)/sum(weight), 6) + 0.0 as theta_mean from pts")
+def ability_span(spark, sf_dir):
+    return report.spread(planted_fit(spark, sf_dir)[3]).select(*r6("theta_lo", "theta_hi"), (F.round("theta_mean", 6) + F.lit(0.0)).alias("theta_mean"))  # no negative zero
+
+
 @query(
     """select subject, count(*) as n_items, sum((not (unsure or inverted or ceil_ or floor_))::bigint)::bigint as n_usable, sum(unsure::bigint)::bigint as n_insufficient,
     sum(dead::bigint)::bigint as n_dead, round(avg(a), 6) as mean_a from fl group by subject"""
