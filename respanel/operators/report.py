@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from respanel.functions.irt import information
-from respanel.operators import fit
+from respanel.operators import fit, select, smooth
 from respanel.schema import (
     ALIGNED,
     CAUTION_SHARE,
@@ -92,8 +92,8 @@ def model_positions(items: DataFrame, abilities: DataFrame, respondents: DataFra
     """(model_id, theta, info, se): mean ability of each model and the pool's information there."""
     models = abilities.join(respondents.select("r", "model_id"), "r").groupBy("model_id").agg(F.avg("theta").alias("theta"))
     pool = fit.usable(items).filter("n_resp > 0").select("a", "b")
-    info = models.crossJoin(pool).groupBy("model_id").agg(F.sum(information(F.col("a"), F.col("b"), F.col("theta"))).alias("info"))
-    out = models.join(info, "model_id", "left").withColumn("info", F.coalesce("info", F.lit(0.0)))
+    info = smooth.summed(pool, models, information).withColumnRenamed("total", "info")
+    out = models.join(info, "theta", "left").select("model_id", "theta", F.coalesce("info", F.lit(0.0)).alias("info"))
     return out.withColumn("se", 1 / F.sqrt(1 + F.col("info")))
 
 
@@ -121,9 +121,7 @@ def verdict(curve: DataFrame, items: DataFrame, points: DataFrame) -> DataFrame:
     """(peak_info, info_at_models, coverage, verdict): the pool's information where the models are, as a share of its peak."""
     peak = curve.agg(F.max("pool_info").alias("peak_info"))
     pool = fit.usable(items).filter("n_resp > 0").select("a", "b")
-    at = pool.crossJoin(points.select("theta", "weight")).agg(
-        F.sum(F.col("weight") * information(F.col("a"), F.col("b"), F.col("theta"))).alias("info_at_models")
-    )
+    at = select.at_nodes(pool, points).agg(F.sum(F.col("weight") * information(F.col("a"), F.col("b"), F.col("theta"))).alias("info_at_models"))
     coverage = F.when(F.col("peak_info") > 0, F.col("info_at_models") / F.col("peak_info")).otherwise(F.lit(0.0))
     unread = F.coalesce(F.col("peak_info"), F.lit(0.0)) <= 0
     name = F.when(unread, "unreadable").when(coverage >= ALIGNED, "aligned").when(coverage >= PARTIAL, "partial").otherwise("mismatch")
