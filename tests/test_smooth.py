@@ -39,3 +39,21 @@ def test_an_item_meets_no_more_rows_for_more_abilities(spark):
     few, many = (select.at_nodes(items, people.filter(f"r < {n}")).count() for n in (2000, 8000))
     assert many < 1.5 * few  # four times the abilities; the tails fill a few more cells
 
+
+
+def test_minimum_variance_set_equals_the_plain_greedy_pass(spark, monkeypatch):
+    """Few candidates at a time, so that bounds are passed and items are measured anew."""
+    monkeypatch.setattr(select, "CANDIDATES", 4)
+    items, people, _, info = tables(spark, 80, 900)
+    items = items.filter("c <> 1").selectExpr("*", "cast(case when c % 3 = 0 then array('insufficient-data') else array() end as array<string>) as flags", "1L as n_resp")
+    a = {r.c: r.a for r in items.collect()}
+    got = select.anchor_min_variance(items, people, 79).orderBy("rank").collect()
+    assert len(got) == sum(1 for c in a if c % 3 or a[c] > 0)
+    precision, left = np.ones(900), {c for c in a if c % 3}
+    pads = {c for c in a if c % 3 == 0 and a[c] > 0}
+    for row in got:
+        pool = left or pads
+        gain = {c: (1 / precision - 1 / (precision + info[c])).mean() for c in pool}
+        assert row.c in pool and abs(row.gain - gain[row.c]) < 1e-12 and row.gain > max(gain.values()) - 1e-12 and row.padded == (not left)
+        precision = precision + info[row.c]
+        pool.remove(row.c)
