@@ -75,3 +75,15 @@ def test_ability_of_greatest_posterior_is_the_root_or_the_bound(spark):
         assert abs(got[k] - low) < 1e-12
     plan = df.select(score.map_theta(F.col("answers")))._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan  # sixty passes of an interpreted aggregate before
+
+
+def test_tables_behind_the_chosen_sets_are_read_and_not_made_again(spark, sf, monkeypatch):
+    """Scores were summed over the nodes behind joins and distincts, in the few tasks that such small tables are gathered to."""
+    from respanel.operators import select
+    from respanel.plans import catalog
+
+    seen, scored = [], select.weighted_information
+    monkeypatch.setattr(select, "weighted_information", lambda items, points, *rest, **named: seen.extend([items, points]) or scored(items, points, *rest, **named))
+    catalog.fresh_population_spearman(spark, sf)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in seen]
+    assert len(plans) == 4 and not any(word in plan for plan in plans for word in ("Join", "Aggregate", "Window"))
