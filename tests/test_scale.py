@@ -87,3 +87,17 @@ def test_tables_behind_the_chosen_sets_are_read_and_not_made_again(spark, sf, mo
     catalog.fresh_population_spearman(spark, sf)
     plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in seen]
     assert len(plans) == 4 and not any(word in plan for plan in plans for word in ("Join", "Aggregate", "Window"))
+
+
+def test_planted_answers_of_keys_whose_product_leaves_64_bits(spark, tmp_path):
+    """Supplier times part times the third factor passes 2^63 from about 300 copies of sf0.1 on; the sum was an overflow."""
+    from respanel.plans import bindings as bind
+
+    keys = [(j, i) for j in (3, 60_000, 359_999) for i in (7, 7_199_999, 7_000_003)]
+    spark.createDataFrame(keys, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for fresh, (first, second, third) in ((False, (104729, 1299709, 15485863)), (True, (7919, 611953, 32452843))):
+        got = {(r.j, r.i): r for r in bind.planted_cells(spark, str(tmp_path), fresh).collect()}
+        assert got.keys() == set(keys)
+        for (j, i), r in got.items():
+            noise = (j * first + i * second + (j * i * third) % 10000019) % 10007 / 10007
+            assert r.correct == int(noise < 1 / (1 + math.exp(-r.a * (r.th - r.b))))
