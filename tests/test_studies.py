@@ -231,6 +231,34 @@ def test_grid_posterior_equals_integration(spark):
     assert compared.n == 2 and compared.width_ratio > 0 and 0 <= compared.same_verdict <= 1
 
 
+def test_the_query_integrates_over_the_whole_grid(spark, sf, monkeypatch):
+    """It took 41 values of either axis where the posterior is defined on 481; a value of an interval lies between two of them."""
+    from respanel.plans import catalog
+
+    seen = []
+    keep = crosscheck.grid_posterior
+    monkeypatch.setattr(crosscheck, "grid_posterior", lambda rows, *given, **named: seen.append((given[3:], named)) or keep(rows, *given, **named))
+    catalog.grid_posterior(spark, sf)
+    assert seen == [((), {})] and catalog.oracle_sql()["grid_posterior"].count("range(481)") == 2
+
+
+def test_abilities_shared_by_a_batch_give_the_posterior_of_each_item(spark):
+    """Nodes stand for 400 distinct abilities, and for none where a batch has few of them."""
+    rows = [(c, -3 + 6 * ((c * 37 + t * 11) % 400) / 399, int((t * 7 + c) % 5 < 2 + c % 2)) for c in range(40) for t in range(20 + c)]
+    for own in (rows, [x for x in rows if x[0] == 3]):
+        got = crosscheck.grid_posterior(spark.createDataFrame(own, "c long, theta double, obs int").coalesce(1), 0.9, 0.2, 1.3, 61).collect()
+        assert len(got) == len({x[0] for x in own})
+        a, b = np.linspace(-6, 6, 61), np.linspace(-12, 12, 61)
+        for r in got:
+            lp = -0.5 * (a[:, None] / 0.9) ** 2 - 0.5 * ((b[None, :] - 0.2) / 1.3) ** 2
+            for _, theta, y in (x for x in own if x[0] == r.c):
+                z = a[:, None] * (theta - b[None, :])
+                lp = lp + y * z - np.logaddexp(0, z)
+            p = np.exp(lp - lp.max()).sum(axis=1)
+            p /= p.sum()
+            assert np.allclose([r.a_mean, r.edge], [a @ p, p[0] + p[-1]], rtol=0, atol=1e-11)
+
+
 def test_wider_intervals_only_refuse_more(spark):
     items, _ = fitted(spark)
     people = spark.createDataFrame([(0, -1.0), (1, 1.0)], "r long, theta double")
