@@ -47,3 +47,23 @@ def test_turned_fits_and_models_of_several_respondents(spark):
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
     sets = {(r.k, r.size, r.c) for r in holdout.chosen_sets(items, select.ability_points(abilities, m.respondents, ["k"]), [5], ["k"]).collect()}
     assert {(r.k, r.size, r.c) for r in loo.chosen_sets(folded, [5]).collect()} == sets
+
+
+@pytest.mark.parametrize("variants", [1, 3])
+def test_random_errors_of_all_holdouts_equal_those_of_the_sets(spark, monkeypatch, variants):
+    m, _, _ = synth.synthetic_matrix(spark, 9, 60, variants=variants, seed=4, missing=0.8)
+    holdouts = stored(holdout.all_holdouts(m), "holdouts")
+    sizes = spark.createDataFrame([(k, s, s - k % 2) for k in range(9) for s in (3, 6)], "k long, size long, n_selected long")
+    sets = holdout.random_sets(holdout.held_out_counts(m, holdouts).select("k", "c"), sizes, 12, 5)
+    want = {(r.k, r["size"], r.draw): r.error for r in holdout.errors(sets, m, holdouts, ["k", "size", "draw"]).collect()}
+    monkeypatch.setattr(loo, "CELLS", 17)
+    assert {(r.k, r["size"], r.draw): r.error for r in loo.random_errors(m, holdouts, sizes, 12, 5).collect()} == want and want
+
+
+def test_the_newton_validation_holds_every_model_out(spark, sf):
+    """Three named models were held out, whatever the table had."""
+    from respanel.plans import catalog
+
+    models = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey").distinct().count()
+    assert max(r.n_holdouts for r in catalog.loo_newton_placement(spark, sf).collect()) == models
+    assert "hold3" not in catalog.oracle_sql()["loo_newton_placement"]
